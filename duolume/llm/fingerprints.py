@@ -114,11 +114,11 @@ def sketch(*parts: np.ndarray) -> np.ndarray:
     """The SKETCH smallest different values (of their upper 32 bits)."""
     small = []
     for x in parts:
-        m = 2 * SKETCH
-        small.append(np.partition(x, m)[:m] if len(x) > m else x)
-    got = np.unique(np.concatenate(small) >> np.uint64(32))
-    if len(got) < SKETCH and sum(map(len, small)) < sum(map(len, parts)):  # values that repeat
-        got = np.unique(np.concatenate(parts) >> np.uint64(32))
+        got = np.unique((np.partition(x, 2 * SKETCH)[: 2 * SKETCH] if len(x) > 2 * SKETCH else x) >> np.uint64(32))
+        if len(got) < SKETCH and len(x) > 2 * SKETCH:  # values that repeat
+            got = np.unique(x >> np.uint64(32))
+        small.append(got)
+    got = np.unique(np.concatenate(small))
     return got[:SKETCH].astype(np.uint32)
 
 

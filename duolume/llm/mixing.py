@@ -10,7 +10,9 @@ sample has a fixed size in words, with unequal probabilities.
 
 No source is sorted as a whole. A histogram of the ranks finds the bin in which
 the cut lies, a second one splits that bin a thousandfold, and only rows of the
-last bin are put in order.
+last bin are put in order. Where a large document lies on the cut, the one
+document whose addition or removal brings the source nearest to its target is
+changed at the end.
 
 Null or empty texts have size 0 and are taken 0 times. Null sources are a source
 (the last). Repeated rows have equal ranks and are taken together. Empty tables
@@ -92,8 +94,18 @@ def pareto_mix(docs: DataFrame, weights: list[float], share: float, cap: float,
     ends = last.groupBy(F.col("source").alias("s")).agg((F.min("fine") / F.lit(float(BINS * BINS))).alias("edge"), F.max(F.when(F.col("ok"), F.struct("rank", "doc_id", "size"))).alias("end"))
     ends = materialize(ends, "mix-ends")
 
-    out = rows.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = rows.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     key = F.struct("rank", "doc_id", "size")
     # without an end, a source needs all its documents once more (or has none to add)
     extra = F.when(F.col("p") <= 0, False).when(F.col("edge").isNull(), True).otherwise((F.col("rank") < F.col("edge")) | F.coalesce(key <= F.col("end"), F.lit(False)))
-    return out.withColumn("copies", F.col("whole") + extra.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.withColumn("extra", extra)
+    # the one document whose change brings a source nearest to its target
+    gap = out.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum((F.col("whole") + F.col("extra").cast("long")) * F.col("size"))).alias("gap"))
+    gap = materialize(gap, "mix-gaps")
+    out = out.join(gap, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    change = F.col("size") * F.when(F.col("extra"), -1).otherwise(1)
+    may = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("extra") == (F.col("gap") < 0)) & (F.abs(F.col("gap") - change) < F.abs("gap"))
+    last = out.filter(may).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("gap") - change).alias("off"), "rank", "doc_id", "size")).alias("m")).select("s", F.struct("m.rank", "m.doc_id", "m.size").alias("changed"))
+    out = out.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = out.withColumn("extra", F.col("extra") != F.coalesce(may & (key == F.col("changed")), F.lit(False)))
+    return out.withColumn("copies", F.col("whole") + F.col("extra").cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
