@@ -51,8 +51,14 @@ def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n_words=4, p=85, q=100)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op8_prefix_fingerprints)
+    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op8_prefix_fingerprints, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
