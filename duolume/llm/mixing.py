@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialize, word_count
 
 BINS = 1024
+#: Sources whose plan is broadcast; with more, documents are joined to it by source.
+MOST_BROADCAST = 100_000
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -66,46 +68,88 @@ def _cut(rows: DataFrame, bin_col: str) -> DataFrame:
     return first.select("source", F.col(f"m.{bin_col}").alias("cut_bin"), (F.col("m.need") - (F.col("m.upto") - F.col("m.n"))).alias("cut_need"))
 
 
-def pareto_mix(docs: DataFrame, weights: list[float], share: float, cap: float, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every document."""
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("own_weight")), "mix-sizes")
+def _ranked(rows: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFrame:
+    """Adds whole copies, the inclusion probability of one more, and the Pareto rank as a number in (0, 1)."""
+    named = plan.withColumnRenamed("source", "s")
+    rows = rows.join(F.broadcast(named) if plan.count() <= MOST_BROADCAST else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    own = F.coalesce(F.col("own_weight") / F.col("mean_weight"), F.lit(1.0))
+    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * own, F.lit(float(cap)))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole")).withColumn("u", uniform(F.col("doc_id"), seed))
+    # [u / (1 - u)] / [p / (1 - p)], brought to (0, 1) in the same order
+    return rows.withColumn("rank", (F.col("u") * (1 - F.col("p"))) / (F.col("u") * (1 - F.col("p")) + F.col("p") * (1 - F.col("u"))))
+
+
+def _extra() -> Column:
+    """Whether a ranked document is before its source's cut; without a cut, all are taken once more."""
+    before = (F.col("rank") < F.col("edge")) | F.coalesce(F.struct("rank", "doc_id", "size") <= F.col("end"), F.lit(False))
+    return F.when(F.col("p") <= 0, False).when(F.col("edge").isNull(), True).otherwise(before)
+
+
+def mix_plan(sized: DataFrame, weights: list[float], share: float, cap: float, seed: str) -> DataFrame:
+    """One row for each source: its target, where its ranks are cut, and the document that is changed at the end.
+
+    `sized` has doc_id, source, size, own_weight.
+    """
     per = source_targets(sized, weights, share, cap)
     mean = sized.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("own_weight") * F.col("size")) / F.sum("size")).alias("mean_weight"))
     per = materialize(per.join(mean, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
+    rows = _ranked(sized, per, cap, seed)
 
-    named = per.withColumnRenamed("source", "s")
-    rows = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * F.coalesce(F.col("own_weight") / F.col("mean_weight"), F.lit(1.0)), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
-    u = uniform(F.col("doc_id"), seed)
-    # [u / (1 - u)] / [p / (1 - p)] as a number in (0, 1), in the same order
-    rows = rows.withColumn("u", u).withColumn("rank", (F.col("u") * (1 - F.col("p"))) / (F.col("u") * (1 - F.col("p")) + F.col("p") * (1 - F.col("u"))))
-
-    certain = rows.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    open_rows = rows.filter((F.col("p") > 0) & (F.col("size") > 0)).join(certain, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    open_rows = open_rows.withColumn("need", F.col("target") - F.col("certain")).withColumn("bin", F.floor(F.col("rank") * BINS)).withColumn("fine", F.floor(F.col("rank") * (BINS * BINS))).select("doc_id", "source", "size", "rank", "bin", "fine", "need")
+    certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("all")).select(F.col("source").alias("s"), (F.col("all") - F.col("certain")).alias("need"))
+    certain = materialize(certain, "mix-certain")
+    open_rows = rows.filter((F.col("p") > 0) & (F.col("size") > 0)).join(F.broadcast(certain), F.col("source").eqNullSafe(F.col("s"))) if certain.count() <= MOST_BROADCAST else rows.filter((F.col("p") > 0) & (F.col("size") > 0)).join(certain, F.col("source").eqNullSafe(F.col("s")))
+    open_rows = open_rows.withColumn("bin", F.floor(F.col("rank") * BINS)).withColumn("fine", F.floor(F.col("rank") * (BINS * BINS))).select("doc_id", "source", "size", "rank", "bin", "fine", "need")
     first = materialize(_cut(open_rows, "bin"), "mix-cut").withColumnRenamed("source", "s")
     inner = open_rows.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("cut_bin"))).withColumn("need", F.col("cut_need")).drop("s", "cut_bin", "cut_need")
+    inner = materialize(inner, "mix-inner")
     second = _cut(inner, "fine").withColumnRenamed("source", "s")
     last = inner.join(second, F.col("source").eqNullSafe(F.col("s")) & (F.col("fine") == F.col("cut_bin"))).drop("s")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a document is taken if that brings the words nearer to the target
     last = last.withColumn("ok", before + F.col("size") / 2 <= F.col("cut_need"))
     ends = last.groupBy(F.col("source").alias("s")).agg((F.min("fine") / F.lit(float(BINS * BINS))).alias("edge"), F.max(F.when(F.col("ok"), F.struct("rank", "doc_id", "size"))).alias("end"))
-    ends = materialize(ends, "mix-ends")
+    plan = materialize(per.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-ends")
 
-    out = rows.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    key = F.struct("rank", "doc_id", "size")
-    # without an end, a source needs all its documents once more (or has none to add)
-    extra = F.when(F.col("p") <= 0, False).when(F.col("edge").isNull(), True).otherwise((F.col("rank") < F.col("edge")) | F.coalesce(key <= F.col("end"), F.lit(False)))
-    out = out.withColumn("extra", extra)
     # the one document whose change brings a source nearest to its target
-    gap = out.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum((F.col("whole") + F.col("extra").cast("long")) * F.col("size"))).alias("gap"))
-    gap = materialize(gap, "mix-gaps")
-    out = out.join(gap, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    change = F.col("size") * F.when(F.col("extra"), -1).otherwise(1)
-    may = (F.col("p") > 0) & (F.col("size") > 0) & (F.col("extra") == (F.col("gap") < 0)) & (F.abs(F.col("gap") - change) < F.abs("gap"))
-    last = out.filter(may).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(F.abs(F.col("gap") - change).alias("off"), "rank", "doc_id", "size")).alias("m")).select("s", F.struct("m.rank", "m.doc_id", "m.size").alias("changed"))
-    out = out.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
-    out = out.withColumn("extra", F.col("extra") != F.coalesce(may & (key == F.col("changed")), F.lit(False)))
-    return out.withColumn("copies", F.col("whole") + F.col("extra").cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = _ranked(sized, plan, cap, seed).withColumn("extra", _extra())
+    gap = rows.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum((F.col("whole") + F.col("extra").cast("long")) * F.col("size"))).alias("gap"))
+    plan = materialize(plan.join(gap, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-gaps")
+    rows = _ranked(sized, plan, cap, seed).withColumn("extra", _extra()).filter(_may_change())
+    changed = rows.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(_off().alias("off"), "rank", "doc_id", "size")).alias("m")).select("s", F.struct("m.rank", "m.doc_id", "m.size").alias("changed"))
+    return materialize(plan.join(changed, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan")
+
+
+def _off() -> Column:
+    return F.abs(F.col("gap") - F.col("size") * F.when(F.col("extra"), -1).otherwise(1))
+
+
+def _may_change() -> Column:
+    return (F.col("p") > 0) & (F.col("size") > 0) & (F.col("extra") == (F.col("gap") < 0)) & (_off() < F.abs("gap"))
+
+
+def with_copies(sized: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFrame:
+    """Adds source_size, target and copies; other columns stay. The plan is small, so documents aren't shuffled."""
+    rows = _ranked(sized, plan, cap, seed).withColumn("extra", _extra())
+    changed = F.coalesce(_may_change() & (F.struct("rank", "doc_id", "size") == F.col("changed")), F.lit(False))
+    return rows.withColumn("copies", F.col("whole") + (F.col("extra") != changed).cast("long"))
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("own_weight"))
+
+
+def pareto_mix(docs: DataFrame, weights: list[float], share: float, cap: float, seed: str = "mix", **columns: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every document."""
+    sized = materialize(sizes(docs, **columns), "mix-sizes")
+    rows = with_copies(sized, mix_plan(sized, weights, share, cap, seed), cap, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: list[float], share: float, cap: float, seed: str = "mix") -> DataFrame:
+    """The documents themselves, each as many times as the mix takes it, with their own columns."""
+    sized = materialize(sizes(docs), "mix-sizes")
+    plan = mix_plan(sized, weights, share, cap, seed)
+    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(1.0).alias("own_weight"))
+    rows = with_copies(own, plan, cap, seed).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -45,6 +45,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_matches
+
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_documents
 
@@ -58,7 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op8_prefix_fingerprints, op10_jaccard_join)
+    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op7_decontaminate, op8_prefix_fingerprints, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 

@@ -8,6 +8,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation.
+_BREAKS = _SPACE.copy()
+_BREAKS[[i for i in range(128) if not chr(i).isalnum()]] = True
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -27,14 +30,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (lower case for A-Z, split at ASCII white space), and the text of each."""
+def word_hashes(texts: list[str], punctuation: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (lower case for A-Z, split at ASCII white space), and the text of each.
+
+    Without punctuation, words are split at ASCII punctuation as well.
+    """
     joined = b"\n".join(x.encode().lower() for x in texts)
     sizes = np.array([len(x.encode()) if not x.isascii() else len(x) for x in texts], dtype=np.int64)
     starts_of = np.cumsum(sizes + 1) - (sizes + 1)
     raw = np.frombuffer(joined, dtype=np.uint8)
     space = np.ones(len(raw) + 2, dtype=bool)
-    space[1:-1] = _SPACE[raw]
+    space[1:-1] = (_SPACE if punctuation else _BREAKS)[raw]
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
