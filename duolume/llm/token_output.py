@@ -13,6 +13,7 @@ tables give an empty file set. Further input columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,23 +30,55 @@ from pyspark.sql import functions as F
 #: A space is a chunk border only after something that isn't white space.
 _WHITE_BEFORE_SPACE = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S) ")
-_tokenizers: dict[str, tuple] = {}
-#: Entries of a worker's chunk cache; it is emptied when full.
-CACHE_ENTRIES = 500_000
+#: The byte-level pattern, and the printable stand-ins of bytes.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_UNUSUAL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
+_loaded: dict[str, ByteLevelWords] = {}
+#: Entries of a worker's cache; it is emptied when full.
+CACHE_ENTRIES = 400_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
 
-def _loaded(path: str):
-    if path not in _tokenizers:
-        import os
+class ByteLevelWords(dict):
+    """Ids of pieces of text after a space, as little-endian 32-bit integers; made when first asked for.
 
+    A piece is cut by the byte-level pattern into words, of which each goes to
+    the tokenizer's own BPE model; words repeat far more than pieces. What the
+    pattern might treat differently here (rare white space, control characters,
+    special tokens) is encoded by the tokenizer as a whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            got = self.words[word] = array("I", [x.id for x in self.model.tokenize(word.encode().decode("latin1").translate(_BYTE_NAMES))]).tobytes()
+        return got
+
+    def piece(self, piece: str) -> bytes:
+        if _UNUSUAL.search(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.word, _PATTERN.findall(piece)))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+            self.words.clear()
+        spaced = " " + piece
+        got = self[piece] = self.word(spaced) if piece.isalpha() else self.piece(spaced)
+        return got
 
 
 def chunks_of(text: str) -> list[str]:
@@ -57,24 +91,14 @@ def chunks_of(text: str) -> list[str]:
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each whole text, as little-endian 32-bit integers.
-
-    Pieces repeat far more than texts do, so each new piece goes through the
-    tokenizer once and its ids are kept.
-    """
-    tokenizer, cache = _loaded(path)
-    if len(cache) > CACHE_ENTRIES:
-        cache.clear()
-    pieces = []
+    """Ids of each whole text, as little-endian 32-bit integers."""
+    if path not in _loaded:
+        _loaded[path] = ByteLevelWords(path)
+    known, out = _loaded[path], []
     for text in texts:
         first, *rest = chunks_of(text)
-        pieces.append([first, *[" " + x for x in rest]])
-    new = list(set().union(*pieces) - cache.keys())
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for piece, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[piece] = array("I", got.ids).tobytes()
-    return [b"".join(map(cache.__getitem__, x)) for x in pieces]
+        out.append(known.piece(first) + b"".join(map(known.__getitem__, rest)))
+    return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
