@@ -57,6 +57,12 @@ def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -64,7 +70,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op7_decontaminate, op8_prefix_fingerprints, op10_jaccard_join)
+    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op7_decontaminate, op8_prefix_fingerprints, op9_repeats, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
