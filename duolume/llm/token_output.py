@@ -34,10 +34,12 @@ _BORDER = re.compile(r"(?<=\S) ")
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_SPACE_NAME = chr(_BYTE_NAMES[32])
+_STOPS = frozenset(".,;:!?")
 _UNUSUAL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 _loaded: dict[str, ByteLevelWords] = {}
 #: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -46,10 +48,10 @@ PAGE_ROWS = 2_000
 class ByteLevelWords(dict):
     """Ids of pieces of text after a space, as little-endian 32-bit integers; made when first asked for.
 
-    A piece is cut by the byte-level pattern into words, of which each goes to
-    the tokenizer's own BPE model; words repeat far more than pieces. What the
-    pattern might treat differently here (rare white space, control characters,
-    special tokens) is encoded by the tokenizer as a whole.
+    A piece that isn't letters alone is cut by the byte-level pattern into words
+    and signs. Each word goes to the tokenizer's own BPE model once. What the pattern might treat
+    differently here (rare white space, control characters, special tokens) is
+    encoded by the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -59,25 +61,35 @@ class ByteLevelWords(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        #: words that don't follow a space
+        self.other: dict[str, bytes] = {}
 
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
+    def named(self, name: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(name)]).tobytes()
+
+    def as_is(self, word: str) -> bytes:
+        got = self.other.get(word)
         if got is None:
-            got = self.words[word] = array("I", [x.id for x in self.model.tokenize(word.encode().decode("latin1").translate(_BYTE_NAMES))]).tobytes()
+            got = self.other[word] = self.named(word.encode().decode("latin1").translate(_BYTE_NAMES))
         return got
 
     def piece(self, piece: str) -> bytes:
         if _UNUSUAL.search(piece):
             return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.word, _PATTERN.findall(piece)))
+        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.as_is(x) for x in _PATTERN.findall(piece)])
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) + len(self.other) > CACHE_ENTRIES:
             self.clear()
-            self.words.clear()
-        spaced = " " + piece
-        got = self[piece] = self.word(spaced) if piece.isalpha() else self.piece(spaced)
+            self.other.clear()
+        if piece.isalpha():
+            # ASCII letters stand for themselves
+            got = self.named(_SPACE_NAME + (piece if piece.isascii() else piece.encode().decode("latin1").translate(_BYTE_NAMES)))
+        elif piece[-1:] in _STOPS and piece[:-1].isalpha():
+            got = self[piece[:-1]] + self.as_is(piece[-1])
+        else:
+            got = self.piece(" " + piece)
+        self[piece] = got
         return got
 
 
