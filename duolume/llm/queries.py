@@ -29,6 +29,12 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -45,6 +51,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_site_lines
+
+    return drop_site_lines(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_matches
 
@@ -70,9 +82,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_output, op2_pareto_mix, op4_vector_packing, op5_language_id, op7_decontaminate, op8_prefix_fingerprints, op9_repeats, op10_jaccard_join)
+    found = (
+        op1_token_output, op2_pareto_mix, op3_html_text, op4_vector_packing, op5_language_id, op6_site_lines,
+        op7_decontaminate, op8_prefix_fingerprints, op9_repeats, op10_jaccard_join,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .line_dedup import ORACLE
+
+    return {"op6_site_lines": ORACLE}
