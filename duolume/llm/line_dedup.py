@@ -35,7 +35,7 @@ def host_of(url: Column) -> Column:
 def lines_of(html: Column) -> Column:
     """Non-empty lines of a page, in order."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BLOCK_TAGS, "\n"), ANY_TAG, "")
-    return F.filter(F.transform(F.split(F.regexp_replace(text, WHITE, " "), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, WHITE, " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def drop_site_lines(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
