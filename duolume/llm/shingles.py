@@ -80,10 +80,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
         return words
     k = min(n, len(words))
     m = len(words) - k + 1
-    out = np.full(m, np.uint64(k))
-    for j in range(k):
-        out = mix(out * _BASE + words[j : j + m])
-    return out
+    out = words[:m] + np.uint64(k)
+    for j in range(1, k):
+        # words are mixed already, so a polynomial of them is enough
+        out *= _BASE
+        out += words[j : j + m]
+    return mix(out)
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
