@@ -164,9 +164,11 @@ def _unpack(packed: bytes, widths: list[int]) -> list[np.ndarray]:
 
 def _split(to: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each destination, in their order."""
+    if not len(to):
+        return
     order = np.argsort(to, kind="stable")
     to = to[order]
-    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
         yield int(to[a]), [x[order[a:b]] for x in columns]
 
