@@ -150,7 +150,7 @@ def _whole(packed: bytes, n: int, width: int = 8) -> np.ndarray:
 
 
 def _pack(columns: list[np.ndarray], widths: list[int]) -> bytes:
-    """Integer columns; the first is stored as differences if it ascends."""
+    """Integer columns of one length."""
     return len(columns[0]).to_bytes(4, "little") + b"".join(_planes(x, w) for x, w in zip(columns, widths, strict=True))
 
 
@@ -178,6 +178,34 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(deal, type=pa.int32()), pa.array(kind, type=pa.int32()), pa.array(packed, type=pa.binary())], ["deal", "kind", "packed"])
 
 
+class _Outbox:
+    """Gathers findings of a task and sends them in packs, one for each destination, when they are many or at the end."""
+
+    MOST = 400_000
+
+    def __init__(self, kind: int, widths: list[int], deal: int):
+        self.kind, self.widths, self.deal = kind, widths, deal
+        self.held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        self.size = 0
+
+    def put(self, to: np.ndarray, columns: list[np.ndarray]) -> None:
+        if len(to):
+            self.held.append((to, columns))
+            self.size += len(to)
+
+    def full(self) -> bool:
+        return self.size >= self.MOST
+
+    def rows(self) -> list[tuple[int, int, bytes]]:
+        if not self.held:
+            return []
+        to = np.concatenate([x for x, _ in self.held])
+        columns = [np.concatenate(x) for x in zip(*(c for _, c in self.held), strict=True)]
+        self.held, self.size = [], 0
+        n = len(self.widths)
+        return [(at, self.kind, _pack(x[:n], self.widths) + b"".join(y.tobytes() for y in x[n:])) for at, x in _split(to, columns)]
+
+
 def _home(ids: np.ndarray, deal: int) -> np.ndarray:
     """Where a document's findings and text meet."""
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(deal)).astype(np.int64)
@@ -241,7 +269,7 @@ def _send_hashes(deal: int):
 
 
 def _compare_hashes(deal: int):
-    def settle(held: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    def settle(held: list[bytes], box: _Outbox) -> None:
         h, c, doc, number = (np.concatenate(x) for x in zip(*(_unpack(x, _ENTRY) for x in held), strict=True))
         order = np.lexsort((doc, c, h))
         h, c, doc, number = h[order], c[order], doc[order], number[order]
@@ -253,16 +281,15 @@ def _compare_hashes(deal: int):
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         status = np.where(doc > least, 1, np.where(several[group], 2, 0))
         some = status > 0
-        for to, x in _split(_home(doc[some], deal), [doc[some], number[some], status[some]]):
-            yield to, 1, _pack(x, _REPLY)
+        box.put(_home(doc[some], deal), [doc[some], number[some], status[some]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_deal(batches, 0, settle)
+        yield from _by_deal(batches, 0, settle, _Outbox(1, _REPLY, deal))
 
     return run
 
 
-def _by_deal(batches: Iterator[pa.RecordBatch], kind: int, settle) -> Iterator[pa.RecordBatch]:
+def _by_deal(batches: Iterator[pa.RecordBatch], kind: int, settle, box: _Outbox) -> Iterator[pa.RecordBatch]:
     """Gathers the packs of one kind and destination and settles them together; other kinds pass."""
     held, at = [], None
     for batch in batches:
@@ -272,13 +299,16 @@ def _by_deal(batches: Iterator[pa.RecordBatch], kind: int, settle) -> Iterator[p
                 rows.append((to, k, packed))
                 continue
             if to != at and held:
-                rows += settle(held)
+                settle(held, box)
                 held = []
+                if box.full():
+                    rows += box.rows()
             at = to
             held.append(packed)
         yield _batch(rows)
     if held:
-        yield _batch(list(settle(held)))
+        settle(held, box)
+    yield _batch(box.rows())
 
 
 def _pack_texts(deal: int):
@@ -304,8 +334,8 @@ def _texts(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [whole[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], widths: list[int], use) -> Iterator[pa.RecordBatch]:
-    """Calls use(ids, texts, findings by row) for each pack of texts, with the findings of its home sorted by document."""
+def _meet(batches: Iterator[pa.RecordBatch], widths: list[int]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray]]]:
+    """(ids, texts, findings) of each pack of texts, with the findings of its home sorted by document."""
     held, at, table = [], None, None
     for batch in batches:
         for to, kind, packed in zip(*(batch.column(x).to_pylist() for x in ("deal", "kind", "packed")), strict=True):
@@ -319,11 +349,11 @@ def _meet(batches: Iterator[pa.RecordBatch], widths: list[int], use) -> Iterator
                 order = np.argsort(table[0], kind="stable")
                 table, held = [x[order] for x in table], []
             ids, texts = _texts(packed)
-            yield from use(ids, texts, table)
+            yield ids, texts, table
 
 
 def _send_contexts(deal: int):
-    def use(ids: np.ndarray, texts: list[bytes], replies: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def use(ids: np.ndarray, texts: list[bytes], replies: list[np.ndarray], spans: _Outbox, contexts: _Outbox) -> None:
         low, high = np.searchsorted(replies[0], ids, side="left"), np.searchsorted(replies[0], ids, side="right")
         pick = np.flatnonzero(high > low)
         own = [texts[i] for i in pick]
@@ -337,7 +367,6 @@ def _send_contexts(deal: int):
         lengths = np.array([len(x) for x in own], dtype=np.int64)
         p, doc = position[anchor], ids[pick][who]
         before, after = np.minimum(p, LEFT), np.minimum(LENGTH, lengths[who] - p)
-        out = []
         one = status == 1
         # covered contexts of a document that touch become one span
         s, e, d, w = (p - before)[one], (p + after)[one], doc[one], who[one]
@@ -348,7 +377,7 @@ def _send_contexts(deal: int):
             fresh = np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] > reach[:-1])])
             first = np.flatnonzero(fresh)
             last = np.concatenate([first[1:], [len(s)]]) - 1
-            out += [(to, 1, _pack(x, _SPAN)) for to, x in _split(_home(d[first], deal), [d[first], s[first], reach[last]])]
+            spans.put(_home(d[first], deal), [d[first], s[first], reach[last]])
         two = np.flatnonzero(status == 2)
         if len(two):
             raw = np.frombuffer(bytes(LEFT) + b"".join(own) + bytes(LENGTH), dtype=np.uint8)
@@ -356,12 +385,15 @@ def _send_contexts(deal: int):
             chars = raw[place[:, None] + np.arange(WIDTH)]
             column = np.arange(WIDTH) - LEFT
             chars = np.where((column >= -before[two][:, None]) & (column < after[two][:, None]), chars, 0).astype(np.uint8)
-            out += [(to, 0, _pack(x[:4], _CONTEXT) + x[4].tobytes()) for to, x in _split((h[anchor[two]] % np.uint64(deal)).astype(np.int64), [doc[two], p[two], before[two], after[two], chars])]
-        if out:
-            yield _batch(out)
+            contexts.put((h[anchor[two]] % np.uint64(deal)).astype(np.int64), [doc[two], p[two], before[two], after[two], chars])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _meet(batches, _REPLY, use)
+        spans, contexts = _Outbox(1, _SPAN, deal), _Outbox(0, _CONTEXT, deal)
+        for met in _meet(batches, _REPLY):
+            use(*met, spans, contexts)
+            if spans.full() or contexts.full():
+                yield _batch(spans.rows() + contexts.rows())
+        yield _batch(spans.rows() + contexts.rows())
 
     return run
 
@@ -401,7 +433,7 @@ def repeats_of(doc: np.ndarray, before: np.ndarray, after: np.ndarray, chars: np
 
 
 def _compare_contexts(deal: int):
-    def settle(held: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    def settle(held: list[bytes], box: _Outbox) -> None:
         parts = []
         for x in held:
             columns = _unpack(x, _CONTEXT)
@@ -409,11 +441,10 @@ def _compare_contexts(deal: int):
         doc, p, before, after, chars = (np.concatenate(x) for x in zip(*parts, strict=True))
         left, right = repeats_of(doc, before, after, chars)
         some = left >= 0
-        for to, x in _split(_home(doc[some], deal), [doc[some], (p - left)[some], (p + right)[some]]):
-            yield to, 1, _pack(x, _SPAN)
+        box.put(_home(doc[some], deal), [doc[some], (p - left)[some], (p + right)[some]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_deal(batches, 0, settle)
+        yield from _by_deal(batches, 0, settle, _Outbox(1, _SPAN, deal))
 
     return run
 
@@ -436,21 +467,19 @@ def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def use(ids: np.ndarray, texts: list[bytes], spans: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in OUT.split(", ")]
+    for ids, texts, spans in _meet(batches, _SPAN):
         low, high = np.searchsorted(spans[0], ids, side="left"), np.searchsorted(spans[0], ids, side="right")
         out = []
         for i, raw in enumerate(texts):
             kept, runs = cut(raw, spans[1][low[i] : high[i]], spans[2][low[i] : high[i]]) if high[i] > low[i] else (raw, 0)
             out.append((None if ids[i] == _NO_ID else int(ids[i]), len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-        names = [x.split()[0] for x in OUT.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string() if n == "kept_sha256" else pa.int64()) for c, n in zip(zip(*out, strict=True), names, strict=True)], names)
 
-    yield from _meet(batches, _SPAN, use)
-
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    deal = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def dealt(df: DataFrame) -> DataFrame:
