@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of some megabytes of text."""
+    for batch in batches:
+        at, size = 0, 0
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+        for i, n in enumerate(lengths):
+            size += int(n)
+            if size >= most:
+                yield batch.slice(at, i + 1 - at)
+                at, size = i + 1, 0
+        if at < batch.num_rows:
+            yield batch.slice(at)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .shingles import mix, shingles, text_batches, word_hashes
 
 SHINGLE = 5
@@ -173,7 +174,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     def against(index) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 ids, texts, out = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
                 for a, b in text_batches(texts):
                     out += [(ids[a + i], *x) for i, *x in find_matches(texts[a:b], index.value)]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 P = np.uint64((1 << 31) - 1)
 _P = (1 << 31) - 1
@@ -175,7 +175,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         part, before, last_id = TaskContext.get().partitionId(), None, None
         blank = (None,) * (len(_NAMES) - 1)
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 doc = _Document(text or "")
                 rows.append((doc_id, *_compared(doc, before), 0, part, None) if before else (doc_id, *blank, 1, part, doc.text))

@@ -135,16 +135,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         log_probs, priors = shared.value
         for batch in batches:
-            texts = [clean(x) for x in batch]
-            known = np.array([bool(x) for x in texts]) & bool(langs)
-            if langs:
-                logs = score_texts(texts, log_probs, priors)
-                best = logs.argmax(axis=1)
-                p = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                names = np.array(langs, dtype=object)[best]
-            else:
-                names, p = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-            yield pd.DataFrame({"lang": np.where(known, names, UNKNOWN), "score": np.where(known, p, 0.0)})
+            # some texts at a time, so that cleaned copies of a whole batch don't pile up
+            parts = [score_part(list(batch[at : at + 200]), log_probs, priors) for at in range(0, len(batch), 200)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": [], "score": []})
+
+    def score_part(texts: list, log_probs: np.ndarray, priors: np.ndarray) -> pd.DataFrame:
+        texts = [clean(x) for x in texts]
+        known = np.array([bool(x) for x in texts]) & bool(langs)
+        if not langs:
+            return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))})
+        logs = score_texts(texts, log_probs, priors)
+        p = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        names = np.array(langs, dtype=object)[logs.argmax(axis=1)]
+        return pd.DataFrame({"lang": np.where(known, names, UNKNOWN), "score": np.where(known, p, 0.0)})
 
     temp = "__language"
     return docs.withColumn(temp, of(F.col(text_col))).withColumns({lang: F.col(f"{temp}.lang"), score: F.col(f"{temp}.score")}).drop(temp)

@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: A space is a chunk border only after something that isn't white space.
 _WHITE_BEFORE_SPACE = re.compile(r"\s ")
 _BORDER = re.compile(r"(?<=\S) ")
@@ -113,20 +114,6 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of some megabytes of text."""
-    for batch in batches:
-        at, size = 0, 0
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
-        for i, n in enumerate(lengths):
-            size += int(n)
-            if size >= most:
-                yield batch.slice(at, i + 1 - at)
-                at, size = i + 1, 0
-        if at < batch.num_rows:
-            yield batch.slice(at)
-
-
 TOKEN_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -135,7 +122,7 @@ def tokenize_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, end = TaskContext.get().partitionId(), 0, array("I", [end_id]).tobytes()
-        for batch in _slices(batches, "text"):
+        for batch in slices(batches, "text"):
             got = [x + end for x in encode_texts(["" if x is None else x for x in batch.column("text").to_pylist()], tokenizer_path)]
             sizes = np.array([len(x) // 4 for x in got], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
