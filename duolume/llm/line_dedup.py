@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SALTS = 16
 #: What starts or ends a line, what is no text at all.
 BLOCK_TAGS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:\s[^>]*)?/?>"
@@ -42,7 +44,7 @@ def drop_site_lines(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5,
     """page_id, host, n_lines, n_dropped, kept (text) of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.coalesce(lines_of(F.col(html_col)), F.array().cast("array<string>")).alias("lines"))
     # what a page is known by: rows that are equal in all three get equal results
-    rows = rows.withColumn("page", F.xxhash64("page_id", "host", "lines"))
+    rows = materialize(rows.withColumn("page", F.xxhash64("page_id", "host", "lines")), "page-lines")  # pages are parsed once
     seen = rows.select("page", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
