@@ -52,7 +52,7 @@ def q3(spark, d):
 
 Q3 = f"""WITH {FUSED}, c AS (SELECT method, image_id, least(floor(f0 * 8), 7) AS i, least(floor(t * 8), 7) AS j, count(*) / 64 AS p FROM sc GROUP BY ALL),
 r AS (SELECT method, image_id, i, sum(p) AS pi FROM c GROUP BY ALL), k AS (SELECT method, image_id, j, sum(p) AS pj FROM c GROUP BY ALL)
-SELECT method, image_id, round(greatest(0, sum(p * ln(p / (pi * pj)))), 4) AS mi FROM c JOIN r USING (method, image_id, i) JOIN k USING (method, image_id, j) GROUP BY ALL"""
+SELECT method, image_id, round(greatest(0, sum((p + 1e-10) / (1 + 64e-10) * ln((p + 1e-10) * (1 + 64e-10) / ((pi + 8e-10) * (pj + 8e-10))))), 4) AS mi FROM c JOIN r USING (method, image_id, i) JOIN k USING (method, image_id, j) GROUP BY ALL"""
 
 
 def q9(spark, d):
