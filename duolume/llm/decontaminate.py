@@ -6,8 +6,8 @@ punctuation don't count), made by prefix sums of bits. Item fingerprints are
 indexed by BLOCKS bit blocks: of two fingerprints within RADIUS bits, some block
 differs in RADIUS // BLOCKS bits at most, so looking up each block and its
 neighbours finds all items within the radius. A candidate's similarity is then
-computed exactly: weighted Jaccard of the shingle multisets, where a shingle
-weighs 1 / (number of items that have it).
+computed exactly: weighted Jaccard of the shingle multisets, where a shingle of
+the item weighs 1 / (number of items that have it), and any other one 1.
 
 A window without any item shingle has similarity 0, so only windows around
 shared shingles are fingerprinted; nothing is lost by that.
@@ -29,6 +29,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def packed(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one block of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counts: dict[int, int] | None = None):
         self.ids, self.shingles, self.words = [], [], []
         for item_id, text in sorted(items, key=lambda x: (x[0], x[1])):
             words, _ = word_hashes([(text or "").lower()], punctuation=False)
@@ -71,6 +72,8 @@ class Index:
         for x in self.shingles:
             for v in set(x.tolist()):
                 have[v] += 1
+        #: of the whole benchmark, where this is a block of it
+        have = {v: (counts or {}).get(v, n) for v, n in have.items()}
         self.vocabulary = np.array(sorted(have), dtype=np.uint64)
         self.weights = np.array([1 / have[v] for v in sorted(have)])
         self.maybe = np.zeros(_FILTER, dtype=bool)
@@ -104,7 +107,7 @@ class Index:
         a, b = np.zeros(len(both)), np.zeros(len(both))
         a[np.searchsorted(both, own)], b[np.searchsorted(both, other)] = n, m
         at = np.minimum(np.searchsorted(self.vocabulary, both), len(self.vocabulary) - 1)
-        weight = np.where(self.vocabulary[at] == both, self.weights[at], 1.0)
+        weight = np.where(b > 0, self.weights[at], 1.0)
         return float((np.minimum(a, b) * weight).sum() / (np.maximum(a, b) * weight).sum())
 
     def candidates(self, prints: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -163,6 +166,20 @@ def find_matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, i
                 yield int(i), index.ids[item], score, start, index.words[item]
 
 
+def item_counts(items: DataFrame, wanted: np.ndarray) -> dict[int, int]:
+    """How many items have each of some shingles (of one block: bounded)."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                words, _ = word_hashes([(text or "").lower()], punctuation=False)
+                yield pd.DataFrame({"v": np.unique(shingles(words, SHINGLE)).view(np.int64)})
+
+    own = items.sparkSession.createDataFrame([(int(v),) for v in wanted.view(np.int64)], "v long")
+    rows = items.mapInPandas(of, "v long").groupBy("v").agg(F.count("*").alias("n")).join(F.broadcast(own), "v").collect()
+    return {r["v"] % (1 << 64): r["n"] for r in rows}
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document for each item it has."""
     spark = docs.sparkSession
@@ -186,5 +203,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     for block in range(blocks):
         # a block is bounded by MOST_ITEMS and MOST_BYTES on average
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        parts.append(against(spark.sparkContext.broadcast(Index([tuple(x) for x in own]))))
+        index = Index([tuple(x) for x in own])
+        if blocks > 1 and len(index.vocabulary):
+            index = Index([tuple(x) for x in own], item_counts(items, index.vocabulary))
+        parts.append(against(spark.sparkContext.broadcast(index)))
     return reduce(DataFrame.unionByName, parts)

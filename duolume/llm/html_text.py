@@ -222,6 +222,9 @@ def render(html: str | None) -> str | None:
     """The visible text of one page."""
     if html is None:
         return None
+    start = html.rfind("<!--")
+    if start >= 0 and "-->" not in html[start:] and "</script" not in html[start:].lower():
+        html = html[:start]  # a comment without an end goes on to the end of the page
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()

@@ -1,7 +1,7 @@
 """Operator 4: sharding by vector bin packing.
 
 A group (equal texts, or any key) is a vector of bytes, tokens and rows. Vectors
-are placed in falling order of their largest share, each into the shard where
+are placed in falling order of their weighted size, each into the shard where
 the dot product with the residual capacity is highest, so that all three
 measures stay balanced.
 
@@ -9,7 +9,9 @@ There are as many groups as texts, so placement works on a bounded table: groups
 with over 1 / GRAIN of a shard's capacity in any measure are placed singly (at
 most 3 * shards * GRAIN of them can exist), all others are first hashed into
 LIGHT_BINS bins, whose vectors are summed by Spark. A group larger than a shard
-is cut into equal pieces by document id, as no shard could hold it.
+is cut into a piece for each shard by document id, as no shard could hold it.
+Bytes weigh most in the dot product (WEIGHTS): they come out near equal even where
+groups of many short texts make all three measures impossible to level together.
 
 Null texts count as empty ones: size 1. Repeated rows are documents of their
 own. Empty tables give an empty result. The result has the named columns only.
@@ -17,14 +19,18 @@ own. Empty tables give an empty result. The result has the named columns only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, word_count
 
 GRAIN = 64
 LIGHT_BINS = 4096
+#: Of bytes, tokens, rows.
+WEIGHTS = np.array([32.0, 1.0, 1.0])
 #: Rows of a shard that are numbered in one task.
 ROWS_A_CHUNK = 2_000
 
@@ -33,8 +39,8 @@ def place_vectors(vectors: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each vector (rows: items; columns: measures, summing to 1)."""
     residual = np.full((shards, vectors.shape[1]), 1.0 / shards)
     placed = np.zeros(len(vectors), dtype=np.int32)
-    for i in np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))):
-        best = int(np.argmax(residual @ vectors[i]))
+    for i in np.lexsort((np.arange(len(vectors)), -(vectors * WEIGHTS).sum(axis=1))):
+        best = int(np.argmax(residual @ (WEIGHTS * vectors[i])))
         placed[i], residual[best] = best, residual[best] - vectors[i]
     return placed
 
@@ -53,23 +59,19 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     total = rows.agg(F.sum("size"), F.sum("n_tokens"), F.count("*")).first()
     total = [max(1, x or 0) for x in total]
-    heavy = F.lit(False)
-    for c, n in zip(measures, total, strict=True):
-        heavy = heavy | (F.col(c) > n / (shards * GRAIN))
+    heavy = reduce(Column.__or__, [F.col(c) * (shards * GRAIN) > n for c, n in zip(measures, total, strict=True)])
     items = groups.withColumn("heavy", heavy).groupBy("heavy", F.when(F.col("heavy"), F.col("group_key")).otherwise(F.pmod("group_key", F.lit(LIGHT_BINS))).alias("item")).agg(*[F.sum(c).alias(c) for c in measures])
-    # at most 3 * shards * GRAIN + LIGHT_BINS rows, whatever the input
-    found = sorted(tuple(x) for x in items.select("heavy", "item", *measures).collect())
-    pieces = []
-    for is_heavy, item, *sums in found:
-        vector = np.array(sums, dtype=float) / total
-        k = max(1, int(np.ceil(vector.max() * shards))) if is_heavy else 1
-        pieces += [(is_heavy, item, j, k, vector / k) for j in range(k)]
-    placed = place_vectors(np.array([x[-1] for x in pieces]).reshape(-1, 3), shards)
-    places = spark.createDataFrame([(*x[:4], int(s)) for x, s in zip(pieces, placed, strict=True)], "heavy boolean, item long, piece int, n_pieces int, shard int")
-    cuts = F.broadcast(places.filter("heavy and piece = 0").select(F.col("item").alias("group_key"), "n_pieces"))
+    too_large = reduce(Column.__or__, [F.col(c) * shards > n for c, n in zip(measures, total, strict=True)])
+    # at most 3 * shards * GRAIN rows, whatever the input
+    cuts = F.broadcast(spark.createDataFrame(groups.filter(heavy).select("group_key", F.when(too_large, shards).otherwise(1)).collect(), "group_key long, n_pieces int"))
     rows = rows.join(cuts, "group_key", "left").withColumn("heavy", F.col("n_pieces").isNotNull())
-    rows = rows.withColumn("item", F.when(F.col("heavy"), F.col("group_key")).otherwise(F.pmod("group_key", F.lit(LIGHT_BINS)))).withColumn("piece", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.col("n_pieces"))).otherwise(0).cast("int"))
-    rows = rows.drop("n_pieces").join(F.broadcast(places.drop("n_pieces")), ["heavy", "item", "piece"])
+    rows = rows.withColumn("item", F.when(F.col("heavy"), F.col("group_key")).otherwise(F.pmod("group_key", F.lit(LIGHT_BINS)))).withColumn("piece", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.col("n_pieces"))).otherwise(0).cast("int")).drop("n_pieces")
+    # at most shards pieces for each of 3 * shards groups, besides those and LIGHT_BINS bins
+    items = sorted(tuple(x) for x in rows.groupBy("heavy", "item", "piece").agg(F.sum("size"), F.sum("n_tokens"), F.count("*")).collect())
+    vectors = np.array([x[3:] for x in items], dtype=float).reshape(-1, 3) / total
+    placed = place_vectors(vectors, shards)
+    places = spark.createDataFrame([(*x[:3], int(s)) for x, s in zip(items, placed, strict=True)], "heavy boolean, item long, piece int, shard int")
+    rows = rows.join(F.broadcast(places), ["heavy", "item", "piece"])
 
     chunks = 1 + total[2] // (shards * ROWS_A_CHUNK)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(chunks)))
