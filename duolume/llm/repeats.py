@@ -45,7 +45,7 @@ LEFT = LENGTH - ANCHOR
 WIDTH = LEFT + LENGTH
 _BLOCK = 1 << 20
 #: Bytes of text that a task looks at before it sends what it found.
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LAST = np.uint64(2**64 - 1)
@@ -181,7 +181,7 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 class _Outbox:
     """Gathers findings of a task and sends them in packs, one for each destination, when they are many or at the end."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, kind: int, widths: list[int], deal: int):
         self.kind, self.widths, self.deal = kind, widths, deal
