@@ -71,7 +71,7 @@ def anova2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     rows = []
     for term, sum_sq, d in ((a, rss_b - rss_ab, k_ab - k_b), (b, rss_a - rss_ab, k_ab - k_a), (f"{a}:{b}", rss_ab - full, k - k_ab)):
         f = float((sum_sq / d) / (full / left)) if d > 0 and left > 0 and full > 0 else None
-        rows.append((term, float(sum_sq), float(d), f, None if f is None else f_tail(f, d, left)))
+        rows.append((term, float(sum_sq), float(d), f, None if f is None else float(f_tail(f, d, left))))
     rows.append(("Residual", full, float(left), None, None))
     return spark.createDataFrame(rows, "term string, sum_sq double, df double, f double, p double")
 
@@ -126,7 +126,7 @@ def nested_ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
         r2 = float(beta @ cov[:k, -1] / cov[-1, -1]) if cov[-1, -1] > 0 else 0.0
         left = n - k - 1
         f = float((r2 / k) / ((1 - r2) / left)) if left > 0 and r2 < 1 else None
-        out.append((" + ".join(xs[:k]), [float(mean[-1] - beta @ mean[:k]), *map(float, beta)], r2, 1 - (1 - r2) * (n - 1) / left if left > 0 else None, r2 - before, f, None if f is None else f_tail(f, k, left), n))
+        out.append((" + ".join(xs[:k]), [float(mean[-1] - beta @ mean[:k]), *map(float, beta)], r2, 1 - (1 - r2) * (n - 1) / left if left > 0 else None, r2 - before, f, None if f is None else float(f_tail(f, k, left)), n))
         before = r2
     return df.sparkSession.createDataFrame(out, "model string, betas array<double>, r2 double, adj_r2 double, delta_r2 double, f double, p double, n long")
 
