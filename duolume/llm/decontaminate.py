@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -80,15 +79,15 @@ class Index:
         self.maybe[(self.vocabulary % np.uint64(_FILTER)).astype(np.int64)] = True
         self.prints = np.array([packed(bits_of(x).sum(axis=0))[0] for x in self.shingles], dtype=np.uint64)
         self.lengths = sorted(set(self.words))
-        self.tables: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, (n, v) in enumerate(zip(self.words, self.prints, strict=True)):
-            for block in range(BLOCKS):
-                width = _EDGES[block + 1] - _EDGES[block]
-                own = (int(v) >> _EDGES[block]) & ((1 << width) - 1)
-                for d in range(RADIUS // BLOCKS + 1):
-                    for flips in combinations(range(width), d):
-                        self.tables[n, block][own ^ sum(1 << f for f in flips)].append(i)
-        self.tables = {k: dict(v) for k, v in self.tables.items()}
+        #: by length: its items, and for each block which of them lie next to each value of the block
+        self.tables: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        for n in self.lengths:
+            own = np.flatnonzero(np.array(self.words) == n)
+            near = []
+            for low, high in zip(_EDGES[:-1], _EDGES[1:], strict=True):
+                values = (self.prints[own] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+                near.append(np.bitwise_count(np.arange(1 << (high - low), dtype=np.uint64)[:, None] ^ values) <= RADIUS // BLOCKS)
+            self.tables[n] = own, near
 
     def known(self, values: np.ndarray) -> np.ndarray:
         """Whether each value is a shingle of some item."""
@@ -112,17 +111,13 @@ class Index:
 
     def candidates(self, prints: np.ndarray, n: int) -> list[tuple[int, int]]:
         """(window, item) pairs of which the fingerprints are within RADIUS."""
-        found: set[tuple[int, int]] = set()
-        for block in range(BLOCKS):
-            table = self.tables.get((n, block), {})
-            own = (prints >> np.uint64(_EDGES[block])) & np.uint64((1 << (_EDGES[block + 1] - _EDGES[block])) - 1)
-            for w, v in enumerate(own.tolist()):
-                found.update((w, i) for i in table.get(v, ()))
-        if not found:
-            return []
-        pairs = np.array(sorted(found))
-        near = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]) <= RADIUS
-        return [tuple(x) for x in pairs[near].tolist()]
+        own, near = self.tables[n]
+        found = np.zeros((len(prints), len(own)), dtype=bool)
+        for low, high, table in zip(_EDGES[:-1], _EDGES[1:], near, strict=True):
+            found |= table[((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)]
+        window, item = np.nonzero(found)
+        close = np.bitwise_count(prints[window] ^ self.prints[own[item]]) <= RADIUS
+        return list(zip(window[close].tolist(), own[item[close]].tolist(), strict=True))
 
     def matches(self, words: np.ndarray, values: np.ndarray, hits: np.ndarray, k: int) -> Iterator[tuple[int, float, int]]:
         """(item, similarity, first word) of one text's best window for each item found."""
