@@ -79,7 +79,7 @@ def read_documents(spark: SparkSession, path: str, glob: str, schema: str) -> Da
                     out.append({"path": file, **dict.fromkeys(fields), "_error": str(e)[:200]})
             yield pd.DataFrame(out, columns=["path", *fields, "_error"])
 
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(decode, f"path string, {schema}, _error string")
 
 
