@@ -49,8 +49,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of some megabytes of text."""
+#: What operators keep in a Python worker between tasks, by operator.
+worker_caches: dict[str, dict] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches of some megabytes of text. Frees what other operators kept in this worker."""
+    for name in [x for x in worker_caches if x != keeps]:
+        del worker_caches[name]
     for batch in batches:
         at, size = 0, 0
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))

@@ -23,8 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -126,31 +130,28 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return langs, log_probs, np.full(len(langs), -np.log(len(langs)))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", *, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All input columns plus the language and its posterior probability."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", *, lang: str = "lang_pred", score: str = "score", returned: list[str] | None = None) -> DataFrame:
+    """All input columns (or the named ones) plus the language and its posterior probability."""
     langs, log_probs, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((log_probs, priors))
+    kept = docs.columns if returned is None else returned
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
-    @F.pandas_udf("struct<lang string, score double>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_probs, priors = shared.value
-        for batch in batches:
-            # some texts at a time, so that cleaned copies of a whole batch don't pile up
-            parts = [score_part(list(batch[at : at + 200]), log_probs, priors) for at in range(0, len(batch), 200)]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": [], "score": []})
-
-    def score_part(texts: list, log_probs: np.ndarray, priors: np.ndarray) -> pd.DataFrame:
-        texts = [clean(x) for x in texts]
-        known = np.array([bool(x) for x in texts]) & bool(langs)
-        if not langs:
-            return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))})
-        logs = score_texts(texts, log_probs, priors)
-        p = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-        names = np.array(langs, dtype=object)[logs.argmax(axis=1)]
-        return pd.DataFrame({"lang": np.where(known, names, UNKNOWN), "score": np.where(known, p, 0.0)})
-
-    temp = "__language"
-    return docs.withColumn(temp, of(F.col(text_col))).withColumns({lang: F.col(f"{temp}.lang"), score: F.col(f"{temp}.score")}).drop(temp)
+        for batch in slices(batches, text_col):
+            texts = [clean(x) for x in batch.column(text_col).to_pylist()]
+            names, p = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            if langs:
+                logs = score_texts(texts, log_probs, priors)
+                best = logs.argmax(axis=1)
+                sure = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+                for i, text in enumerate(texts):
+                    if text:
+                        names[i], p[i] = langs[best[i]], float(sure[i])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, type=pa.string()), pa.array(p, type=pa.float64())], [*kept, lang, score])
+
+    return docs.mapInArrow(run, schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:

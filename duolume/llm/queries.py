@@ -47,7 +47,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(fold() != 2))
-    rows = predict(docs.select("doc_id", "text"), model)
+    rows = predict(docs.select("doc_id", "text"), model, returned=["doc_id"])
     return rows.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, worker_caches
 
 #: A space is a chunk border only after something that isn't white space.
 _WHITE_BEFORE_SPACE = re.compile(r"\s ")
@@ -38,7 +38,6 @@ _BYTE_NAMES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x f
 _SPACE_NAME = chr(_BYTE_NAMES[32])
 _STOPS = frozenset(".,;:!?")
 _UNUSUAL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
-_loaded: dict[str, ByteLevelWords] = {}
 #: Entries of a worker's cache; it is emptied when full.
 CACHE_ENTRIES = 700_000
 ROW_GROUP_BYTES = 16 << 20
@@ -105,9 +104,10 @@ def chunks_of(text: str) -> list[str]:
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each whole text, as little-endian 32-bit integers."""
-    if path not in _loaded:
-        _loaded[path] = ByteLevelWords(path)
-    known, out = _loaded[path], []
+    loaded = worker_caches.setdefault("tokens", {})
+    if path not in loaded:
+        loaded[path] = ByteLevelWords(path)
+    known, out = loaded[path], []
     for text in texts:
         first, *rest = chunks_of(text)
         out.append(known.piece(first) + b"".join(map(known.__getitem__, rest)))
@@ -122,7 +122,7 @@ def tokenize_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, end = TaskContext.get().partitionId(), 0, array("I", [end_id]).tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keeps="tokens"):
             got = [x + end for x in encode_texts(["" if x is None else x for x in batch.column("text").to_pylist()], tokenizer_path)]
             sizes = np.array([len(x) // 4 for x in got], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
