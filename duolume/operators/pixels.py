@@ -362,6 +362,22 @@ def global_pca(px: DataFrame) -> DataFrame:
     return norm255(_project(rows, F.broadcast(solved), ["all"], list(ALL), 3))
 
 
+def standard_pca(px: DataFrame, n: int = 3, from_hsv_too: bool = False) -> DataFrame:
+    """Components of standardised channels (b, g, r, t, or hue, saturation, value, t), each stretched with the image; one is repeated three times.
+
+    The largest loading of each is positive, so a brighter image gives a brighter first component.
+    """
+    rows, names = px, list(ALL)
+    if from_hsv_too:
+        h, s, v = hsv(*map(_c, BGR))
+        rows, names = px.select(*KEYS, h.alias("h"), s.alias("s"), v.alias("v"), "t"), ["h", "s", "v", "t"]
+    ends = rows.groupBy("image_id").agg(*[f(c).alias(f"__{k}{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    spread = lambda c: F.when(F.coalesce(F.col(f"__s{c}"), F.lit(0.0)) > 0, F.col(f"__s{c}")).otherwise(F.lit(1.0))
+    rows = rows.join(ends, "image_id").select(*KEYS, *[((F.col(c) - F.col(f"__m{c}")) / spread(c)).alias(c) for c in names])
+    out = norm255(_project(rows, _solved(_moments(rows, ["image_id"], names), ["image_id"], names, lambda cov: _components(cov, n)), ["image_id"], names, n))
+    return out.withColumn("c", F.array_repeat(F.get("c", 0), 3)) if n == 1 else out
+
+
 def alpha_pca(px: DataFrame) -> DataFrame:
     """Grey and thermal weighted by the first eigenvector of their 2 x 2 covariance; colours keep their ratio to grey."""
     rows = px.withColumn("grey", 0.114 * F.col("b") + 0.587 * F.col("g") + 0.299 * F.col("r"))
@@ -375,7 +391,7 @@ def alpha_pca(px: DataFrame) -> DataFrame:
 
 
 IMAGE_FUSIONS |= {
-    "pca": pca, "fa": factor_analysis, "fa_patches": lambda px: factor_analysis(px, 128), "pca_full": global_pca, "alpha_pca": alpha_pca, "wavelet": wavelet, "wavelet_max": wavelet_max,
+    "pca": pca, "fa": factor_analysis, "fa_patches": lambda px: factor_analysis(px, 128), "pca_full": global_pca, "alpha_pca": alpha_pca, "pca_std": standard_pca, "pca_1ch": lambda px: standard_pca(px, 1), "hsvt_pca": lambda px: standard_pca(px, 3, True), "wavelet": wavelet, "wavelet_max": wavelet_max,
     "ssim": _ssim_fusion(False), "ssim_v2": _ssim_fusion(True), "sobel_weighted": sobel_weighted, "superpixel": segment_fuse,
 }
 

@@ -187,7 +187,7 @@ PLANS = {
     "p_vths_v3": (fused("vths_v3"), f"WITH {HSV} " + sums_sql("SELECT image_id, y, x, hi AS c0, t AS c1, floor(255 * ((floor(deg * 256 / 360 + 0.5) % 256) + s) / 510) AS c2 FROM hs")),
     "p25_prepare_channels": (p25, f"WITH {PIXELS} " + sums_sql(f"SELECT image_id, y, x, {V} AS c0, t AS c1, ({V} + t) / 2 AS c2 FROM px")),
     "p16_wavelet": (fused("wavelet"), WAVELET), "p19_sobel_weighted": (sobel_weighted, SOBEL_W),
-    **{f"p_{m}": (fused(m), None) for m in ("hsvt", "pca", "fa", "fa_patches", "pca_full", "alpha_pca", "wavelet_max", "ssim", "ssim_v2", "superpixel")},
+    **{f"p_{m}": (fused(m), None) for m in ("hsvt", "pca", "fa", "fa_patches", "pca_full", "pca_std", "pca_1ch", "hsvt_pca", "alpha_pca", "wavelet_max", "ssim", "ssim_v2", "superpixel")},
     "p21_clahe": (clahe, None), "p22_equalize_expand": (p22, P22),
     "p23_bad_images": (p23, f"WITH {PIXELS} SELECT DISTINCT image_id, CASE WHEN image_id % 7 = 0 THEN 0.0 ELSE 255.0 END::DOUBLE AS low, CASE WHEN image_id % 7 = 0 THEN 0.0 ELSE 255.0 END::DOUBLE AS high FROM px WHERE image_id % 7 = 0 OR image_id % 11 = 0"),
     "p24_warp": (p24, P24), "p26_fuse_all": (fuse_all, None),
