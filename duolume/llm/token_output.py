@@ -39,7 +39,7 @@ _SPACE_NAME = chr(_BYTE_NAMES[32])
 _STOPS = frozenset(".,;:!?")
 _UNUSUAL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
 #: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
