@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duolume.functions.names import REGIMES, build_key, build_label, clean_tags
 
 # Fixed names of the archives.
-RESULTS, REBUILT, IGNORE = "results.yaml", "results_reconstructed.yaml", "EEHA_GUI_IGNORE"
+RESULTS, REBUILT, IGNORE = "results.yaml", "results_reconstructed.yaml", "GUI_IGNORE"
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -41,7 +41,7 @@ def discover_runs(files: DataFrame, root: str = "") -> DataFrame:
     its own but overrides the run above it; the latest path wins.
     """
     names = files.withColumn("file", base(F.col("path"))).withColumn("dir", folder(F.col("path")))
-    marked = names.filter(F.col("file") == IGNORE).select(F.col("dir").alias("up")).distinct()
+    marked = names.filter(F.col("file").endswith(IGNORE)).select(F.col("dir").alias("up")).distinct()
     found = names.filter(F.col("file").isin(RESULTS, REBUILT) & ~F.col("path").contains("validate"))
     hidden = found.select("path", F.explode(_parents(F.col("path"))).alias("up")).join(marked, "up", "left_semi").select("path").distinct()
     found = found.join(hidden, "path", "left_anti")
@@ -140,7 +140,7 @@ def assemble_runs(results: DataFrame, epochs: DataFrame, args: DataFrame) -> Dat
 
 def eligible_runs(files: DataFrame, tag: str) -> DataFrame:
     """Folders with best weights and results, without an ignore marker, not yet validated for a tag."""
-    per = files.groupBy(folder(F.col("path")).alias("dir")).agg(*[F.bool_or(base(F.col("path")) == n).alias(k) for n, k in (("best.pt", "weights"), (RESULTS, "results"), (IGNORE, "ignored"), (f"validated_{tag}", "done"))])
+    per = files.groupBy(folder(F.col("path")).alias("dir")).agg(*[F.bool_or(base(F.col("path")).endswith(n)).alias(k) for n, k in (("best.pt", "weights"), (RESULTS, "results"), (IGNORE, "ignored"), (f"validated_{tag}", "done"))])
     return per.filter("weights and results and not ignored and not done").select("dir")
 
 

@@ -21,7 +21,7 @@ def put(root, name, text):
 
 
 def test_discovery(spark, tmp_path):
-    for name in ("g/m_4090/r1/results.yaml", "g/m_4090/r1/results_reconstructed.yaml", "g/m/r2/results.yaml", "g/m/r2/npzfix/f1/results.yaml", "g/m/r2/npzfix/f2/results.yaml", "h/EEHA_GUI_IGNORE", "h/m/r3/results.yaml", "g/validate/r4/results.yaml"):
+    for name in ("g/m_4090/r1/results.yaml", "g/m_4090/r1/results_reconstructed.yaml", "g/m/r2/results.yaml", "g/m/r2/npzfix/f1/results.yaml", "g/m/r2/npzfix/f2/results.yaml", "h/X_GUI_IGNORE", "h/m/r3/results.yaml", "g/validate/r4/results.yaml"):
         put(tmp_path, name, "a: 1")
     files = S.list_files(spark, f"file://{tmp_path}")
     got = {r["run_key"]: r for r in S.discover_runs(files, f"file:{tmp_path}").collect()}
