@@ -425,10 +425,10 @@ def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "
     links = None
     if not wide.isEmpty():
         wide = materialize(wide, "join-wide")
-        parted, wide = _peel(rows, found, wide, n_words, p, q, most_nodes)
+        parted, wide, peeled, buckets = _peel(rows, found, wide, n_words, p, q, most_nodes)
         narrow = narrow.unionByName(parted)
         if not wide.isEmpty():
-            links = _wide_links(rows, found, wide.select("node", "doc_id"), n_words, p, q)
+            links = _wide_links(rows, peeled, buckets, wide.select("node", "doc_id"), n_words, p, q)
     texts = _texts_of(rows, narrow.select("doc_id", "node", "comp")).select("comp", "node", "text")
     roots = texts.repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_join_components(n_words, p, q), "node long, root long")
     if links is not None:
@@ -444,8 +444,8 @@ def _by_size(nodes: DataFrame, most_nodes: int) -> tuple[DataFrame, DataFrame]:
     return nodes.join(wide, "comp", "left_anti"), nodes.join(wide, "comp", "left_semi")
 
 
-def _peel(rows: DataFrame, found: DataFrame, wide: DataFrame, n_words: int, p: int, q: int, most_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """Parts large components by verifying pivots: (nodes of components that are small now, nodes of those that aren't).
+def _peel(rows: DataFrame, found: DataFrame, wide: DataFrame, n_words: int, p: int, q: int, most_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Parts large components by verifying pivots: (nodes of components that are small now, nodes of those that aren't, and the latter's links and buckets without their pivots).
 
     When all pairs of a key's pivot are verified, the pivot only hangs on by links, and
     the key's other nodes get the next pivot. Chance agreements of two sets end there.
@@ -466,27 +466,26 @@ def _peel(rows: DataFrame, found: DataFrame, wide: DataFrame, n_words: int, p: i
         small, left = _by_size(parted, most_nodes)
         if left.isEmpty():
             break
-    return small, left
+    # links and buckets lie within one component each
+    links = links.join(left.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
+    buckets = buckets.withColumn("least", F.array_min("members")).join(left.select(F.col("node").alias("least")), "least", "left_semi").select("members")
+    return small, left, links, buckets
 
 
 def _is_link(p: int, q: int):
     return F.col("same") * q >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))
 
 
-def _wide_links(rows: DataFrame, found: DataFrame, inside: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
-    """Verified links (a, b) between the nodes of components that are too large for one task."""
+def _wide_links(rows: DataFrame, links: DataFrame, buckets: DataFrame, inside: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
+    """Verified links (a, b) between the nodes of components that are too large for one task: those known, and those in their buckets."""
     is_link = _is_link(p, q)
     texts = materialize(_texts_of(rows, inside).select("node", "text"), "join-texts")
-    found = found.join(inside.select(F.col("node").alias("a")), "a", "left_semi").filter("kind = 1").select("kind", "a", "b", "n", "members").unionByName(
-        found.filter("kind = 2").join(inside.select(F.col("node").alias("b")), "b", "left_semi").select("kind", "a", "b", "n", "members")
-    )
-    links = None
+    buckets = buckets.select(F.xxhash64("members").alias("bucket"), F.array_min("members").alias("pivot"), "members")
+    pairs = buckets.select(F.col("pivot").alias("a"), F.explode("members").alias("b")).filter("a <> b").distinct()
     for level in range(LEVELS):
-        pairs = found.filter("kind = 1").select("a", "b").distinct()
         checked = materialize(verify(pairs, texts, n_words), "join-checked")
         here = checked.filter(is_link).select("a", "b")
         # members of buckets that their pivot does not link
-        buckets = found.filter("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("pivot"), "members").dropDuplicates(["bucket"])
         far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
         long = buckets.select("bucket", "pivot", F.explode("members").alias("node"))
         spread = long.join(far, ["pivot", "node"], "left").groupBy("bucket").agg(F.collect_list(F.struct("node", F.coalesce("far", F.lit(0.0)).alias("far"))).alias("rows"), F.max("far").alias("most"))
@@ -494,12 +493,14 @@ def _wide_links(rows: DataFrame, found: DataFrame, inside: DataFrame, n_words: i
         more = materialize(open_ones.mapInPandas(_cross_pairs(p, q), "bucket long, a long, b long, open boolean"), "join-more")
         extra = more.filter("not open").select("a", "b").join(pairs, ["a", "b"], "left_anti")
         again = materialize(verify(extra, texts, n_words).filter(is_link).select("a", "b"), "join-extra")
-        links = here.unionByName(again) if links is None else links.unionByName(here).unionByName(again)
+        links = links.unionByName(here).unionByName(again)
         still = more.filter("open").select("bucket", F.col("a").alias("node"))
         if level == LEVELS - 1 or still.isEmpty():
             break
         inner = still.join(texts, "node").select(F.lit(0).cast("long").alias("doc_id"), "text", F.col("bucket").alias("within"))
         found = find_candidates(inner, n_words, p, q, None, level + 1)
+        pairs = found.filter("kind = 1").select("a", "b").distinct()
+        buckets = found.filter("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("pivot"), "members").dropDuplicates(["bucket"])
     return links
 
 

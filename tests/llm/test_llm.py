@@ -496,6 +496,28 @@ def test_jaccard_components(spark, n, p, q, most_nodes):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, p, q)
 
 
+def test_links_of_buckets_headed_by_an_unlinked_node(spark, monkeypatch):
+    from duolume.llm import jaccard_join as J
+
+    words_of = lambda own: J.shingle_sets([" ".join(own)], 1)[0]
+    keys = lambda own: set(J.segment_keys(words_of(own), 80, 100).tolist())
+    x = [f"w{i}" for i in range(100)]
+    y = x[:89] + [f"y{i}" for i in range(11)]
+    shared = keys(x) & keys(y)
+    # has all keys that x and y share, and few more of their words; its hash is the smallest
+    head = x
+    for i in range(1000):
+        other = [*(w for w in head if w != x[i % 100]), f"h{i}"] if x[i % 100] in head else head
+        head = other if shared <= keys(other) else head
+    node = lambda own: J.node_of(words_of(own))
+    head = next(h for k in range(10_000) if node(h := [*head, f"k{k}"]) < min(node(x), node(y)) and shared <= keys(h))
+    assert shared and 100 * len(set(head) & set(x)) < 80 * len(set(head) | set(x))
+    rows = [(1, " ".join(x)), (2, " ".join(y)), (3, " ".join(head))]
+    monkeypatch.setattr(J, "OFTEN", 100)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 100, most_nodes=1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {1: (100, 1), 2: (100, 1), 3: (101, 3)}
+
+
 def test_jaccard_odd_rows(docs, empty):
     from duolume.llm.jaccard_join import jaccard_components
 
