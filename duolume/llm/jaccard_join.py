@@ -23,10 +23,11 @@ the same tokens are one node. Nodes that share a key are joined to its smallest
 node, and components of these candidate links are found. No similar pair lies
 across two of them. A component of bounded size is joined exactly in one task by an
 inverted index, with all pairs tested that don't already hang together. In
-larger ones, each key's nodes are verified against its smallest (the pivot), then
-those that fail against the others, unless the triangle inequality (1 - Jaccard is a
-metric) rules a link out; keys where that would be many pairs are split again by
-the keys of another partition, as a similar pair must share one of those too.
+larger ones, each key's nodes are verified against its smallest (the pivot) for some
+rounds, after which the pivot leaves. Keys whose nodes hang together by verified links
+are done. The nodes of the others are cut into blocks, of one key or of the whole
+component, whichever copies less; each pair of blocks is joined exactly in a task of its
+own, which gives links that connect its nodes, not its pairs.
 
 Null or empty texts, or texts without words: empty set, linked with nothing.
 Texts shorter than n words: their whole sequence is one shingle. Repeated rows
@@ -50,19 +51,20 @@ from .common import materialize, slices
 from .components import connected_components
 from .shingles import mix, shingle_sets, text_batches
 
-#: Cross pairs that one key may give before it is split again.
-MOST_PAIRS = 4_096
-LEVELS = 4
 #: Ids that are broadcast to find the texts to verify; beyond, the join is a shuffled one.
 MOST_BROADCAST = 2_000_000
 #: Partners of one pivot in one task.
 PARTNERS = 500
-#: Rounds of verified pivots that part a large component before its keys are split.
+#: Rounds of verified pivots that part a large component before its keys are joined by blocks.
 PEELS = 3
 PACK = 1_000_000
 #: Components up to this many nodes and tokens are joined in one task.
 MOST_NODES = 20_000
 MOST_TOKENS = 8_000_000
+#: Blocks of a large bucket hold this part of these bounds, so that a pair of blocks stays within them.
+BLOCKS = 4
+#: Nodes of a bucket in one row.
+CHUNK = 1_024
 #: Documents sampled for frequent tokens, how many must have one, and how many are kept.
 SAMPLE = 5_000
 OFTEN = 3
@@ -179,13 +181,13 @@ def _found(kind: int, a, b, n, members: list | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), as_long(a), as_long(b), as_long(n), pa.array(members if members is not None else [None] * size, type=pa.list_(pa.int64()))], ["kind", "a", "b", "n", "members"])
 
 
-def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None, level: int = 0) -> DataFrame:
-    """(doc_id, text, within) -> kinds 0: documents (doc_id, node, size); 1: (pivot, node) pairs; 2: buckets of three and more nodes, without the level's own documents after level 0."""
+def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None) -> DataFrame:
+    """(doc_id, text) -> kinds 0: documents (doc_id, node, size); 1: (pivot, node) pairs; 2: buckets of three and more nodes, CHUNK of them in a row."""
     spark = rows.sparkSession
     deal = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         keys, nodes, sizes, docs = [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -208,15 +210,14 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.int32()), pa.array([x[1] for x in out], type=pa.int32()), pa.array([x[2] for x in out], type=pa.binary())], ["deal", "kind", "packed"])
 
         for batch in slices(batches, "text"):
-            ids, texts, inside = (batch.column(c).to_pylist() for c in ("doc_id", "text", "within"))
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
             for a, b in text_batches(texts):
                 for i, tokens in enumerate(shingle_sets([x or "" for x in texts[a:b]], n_words), a):
                     node = node_of(tokens)
-                    if not level:
-                        docs.append((ids[i], node, len(tokens)))
-                    if len(tokens) and (node, inside[i]) not in seen:
-                        seen.add((node, inside[i]))
-                        keys.append(segment_keys(tokens, p, q, frequent.value if frequent else None, level, inside[i]))
+                    docs.append((ids[i], node, len(tokens)))
+                    if len(tokens) and node not in seen:
+                        seen.add(node)
+                        keys.append(segment_keys(tokens, p, q, frequent.value if frequent else None))
                         nodes.append(node)
                         sizes.append(len(keys[-1]))
                 if sum(sizes) > PACK or len(docs) > PACK:
@@ -257,8 +258,10 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
                     known.add(name)
                     members.append(got)
                     names.append(name)
-            if members:
-                yield _found(2, names, [int(x[0]) for x in members], [len(x) for x in members], members)
+            # the bucket's name, pivot and size stand beside each chunk
+            for at_once in range(0, len(members), 1024):
+                cuts = [(name, got, at) for name, got in zip(names[at_once : at_once + 1024], members[at_once : at_once + 1024], strict=True) for at in range(0, len(got), CHUNK)]
+                yield _found(2, [x[0] for x in cuts], [int(x[1][0]) for x in cuts], [len(x[1]) for x in cuts], [x[1][x[2] : x[2] + CHUNK] for x in cuts])
 
         for batch in batches:
             for to, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("deal", "kind", "packed")), strict=True):
@@ -318,31 +321,6 @@ def _as_frames(f):
     return run
 
 
-def _cross_pairs(p: int, q: int):
-    """Buckets with each member's similarity to the pivot -> pairs that may still be links; or the bucket itself if those are too many."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most = 1 - p / q + 1e-9
-        for batch in batches:
-            out = [(np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=bool),)]
-            for name, rows, last in zip(batch["bucket"], batch["rows"], batch["last"], strict=True):
-                got = sorted((x["node"], x["far"]) for x in rows)
-                nodes, far = np.array([x[0] for x in got], dtype=np.int64), np.array([x[1] for x in got])
-                failed = np.flatnonzero(far > most)
-                if len(failed) * len(nodes) > MOST_PAIRS and not last:
-                    out.append((np.full(len(nodes), name), nodes, nodes, np.ones(len(nodes), dtype=bool)))
-                    continue
-                rank = np.full(len(nodes), -1)
-                rank[failed] = np.arange(len(failed))
-                # each pair once: with linked members, and with failed ones that come later
-                i, j = np.nonzero((np.abs(far[failed][:, None] - far) <= most) & ((rank < 0) | (rank > rank[failed][:, None])) & ~((np.arange(len(nodes)) == 0) & (far == 0)))
-                x, y = nodes[failed[i]], nodes[j]
-                out.append((np.full(len(x), name), np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), dtype=bool)))
-            yield pd.DataFrame(dict(zip(("bucket", "a", "b", "open"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    return run
-
-
 def join_component(sets: list[np.ndarray], p: int, q: int) -> np.ndarray:
     """The component of each set (the place of its first member), with links between similar sets.
 
@@ -414,7 +392,7 @@ def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "
     """(doc_id, node, n_shingles) of every document, and (node, root) of nodes in components of links."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, n_words))
-    found = find_candidates(rows.withColumn("within", F.lit(0).cast("long")), n_words, p, q, frequent)
+    found = find_candidates(rows, n_words, p, q, frequent)
     members = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     comps = connected_components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     comps = comps.select(F.col("u").alias("node"), F.col("root").alias("comp"))
@@ -428,7 +406,7 @@ def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "
         parted, wide, peeled, buckets = _peel(rows, found, wide, n_words, p, q, most_nodes)
         narrow = narrow.unionByName(parted)
         if not wide.isEmpty():
-            links = _wide_links(rows, peeled, buckets, wide.select("node", "doc_id"), n_words, p, q)
+            links = _wide_links(rows, peeled, buckets, wide, n_words, p, q, most_nodes)
     texts = _texts_of(rows, narrow.select("doc_id", "node", "comp")).select("comp", "node", "text")
     roots = texts.repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_join_components(n_words, p, q), "node long, root long")
     if links is not None:
@@ -453,13 +431,13 @@ def _peel(rows: DataFrame, found: DataFrame, wide: DataFrame, n_words: int, p: i
     texts = materialize(_texts_of(rows, wide.select("node", "doc_id")).select("node", "text"), "join-texts")
     inside = wide.select(F.col("node").alias("a"))
     pairs = found.filter("kind = 1").select("a", "b").join(inside, "a", "left_semi")
-    buckets = found.filter("kind = 2").select(F.col("b").alias("a"), "members").join(inside, "a", "left_semi").select("members").distinct()
+    buckets = found.filter("kind = 2").select("a", "b", "members").join(inside.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("a").alias("bucket"), F.explode("members").alias("node")).distinct()
     links, small = None, None
     for _ in range(PEELS):
         fresh = materialize(verify(pairs, texts, n_words).filter(_is_link(p, q)).select("a", "b"), "join-peeled")
         links = fresh if links is None else links.unionByName(fresh)
-        buckets = materialize(buckets.select(F.array_except("members", F.array(F.array_min("members"))).alias("members")).filter(F.size("members") > 1).distinct(), "join-buckets")
-        pairs = buckets.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b").distinct()
+        buckets = materialize(_unpivoted(buckets), "join-buckets")
+        pairs = buckets.join(buckets.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
         comps = connected_components(links.unionByName(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("node"), F.col("root").alias("comp"))
         comps = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct())
         parted = materialize(wide.drop("comp").join(comps, "node").select(wide.columns), "join-parted")
@@ -468,40 +446,52 @@ def _peel(rows: DataFrame, found: DataFrame, wide: DataFrame, n_words: int, p: i
             break
     # links and buckets lie within one component each
     links = links.join(left.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
-    buckets = buckets.withColumn("least", F.array_min("members")).join(left.select(F.col("node").alias("least")), "least", "left_semi").select("members")
+    buckets = buckets.join(left.select("node"), "node", "left_semi").select("bucket", "node")
     return small, left, links, buckets
 
 
+def _unpivoted(buckets: DataFrame) -> DataFrame:
+    """(bucket, node) rows without the smallest node of each, of buckets that keep two or more nodes; equal buckets once."""
+    least = buckets.groupBy("bucket").agg(F.min("node").alias("least"))
+    rest = buckets.join(least, "bucket").filter("node <> least").select("bucket", "node")
+    of = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "node"), 24)).alias("s"))
+    once = of.filter("n > 1").groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return rest.join(once, "bucket", "left_semi").select("bucket", "node")
+
+
 def _is_link(p: int, q: int):
     return F.col("same") * q >= p * (F.col("n_a") + F.col("n_b") - F.col("same"))
 
 
-def _wide_links(rows: DataFrame, links: DataFrame, buckets: DataFrame, inside: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
-    """Verified links (a, b) between the nodes of components that are too large for one task: those known, and those in their buckets."""
-    is_link = _is_link(p, q)
-    texts = materialize(_texts_of(rows, inside).select("node", "text"), "join-texts")
-    buckets = buckets.select(F.xxhash64("members").alias("bucket"), F.array_min("members").alias("pivot"), "members")
-    pairs = buckets.select(F.col("pivot").alias("a"), F.explode("members").alias("b")).filter("a <> b").distinct()
-    for level in range(LEVELS):
-        checked = materialize(verify(pairs, texts, n_words), "join-checked")
-        here = checked.filter(is_link).select("a", "b")
-        # members of buckets that their pivot does not link
-        far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))).alias("far"))
-        long = buckets.select("bucket", "pivot", F.explode("members").alias("node"))
-        spread = long.join(far, ["pivot", "node"], "left").groupBy("bucket").agg(F.collect_list(F.struct("node", F.coalesce("far", F.lit(0.0)).alias("far"))).alias("rows"), F.max("far").alias("most"))
-        open_ones = spread.filter(F.col("most") > 1 - p / q + 1e-9).select("bucket", "rows", F.lit(level == LEVELS - 1).alias("last"))
-        more = materialize(open_ones.mapInPandas(_cross_pairs(p, q), "bucket long, a long, b long, open boolean"), "join-more")
-        extra = more.filter("not open").select("a", "b").join(pairs, ["a", "b"], "left_anti")
-        again = materialize(verify(extra, texts, n_words).filter(is_link).select("a", "b"), "join-extra")
-        links = links.unionByName(here).unionByName(again)
-        still = more.filter("open").select("bucket", F.col("a").alias("node"))
-        if level == LEVELS - 1 or still.isEmpty():
-            break
-        inner = still.join(texts, "node").select(F.lit(0).cast("long").alias("doc_id"), "text", F.col("bucket").alias("within"))
-        found = find_candidates(inner, n_words, p, q, None, level + 1)
-        pairs = found.filter("kind = 1").select("a", "b").distinct()
-        buckets = found.filter("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("pivot"), "members").dropDuplicates(["bucket"])
-    return links
+def _wide_links(rows: DataFrame, links: DataFrame, buckets: DataFrame, inside: DataFrame, n_words: int, p: int, q: int, most_nodes: int) -> DataFrame:
+    """Links (a, b) that connect the nodes of components too large for one task: those known, and those in their buckets."""
+    known = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("node"), "root")
+    rooted = buckets.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unsettled = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    open_ones = materialize(buckets.join(unsettled, "bucket", "left_semi").join(inside.select("node", "comp", "size"), "node").select("comp", "bucket", "node", "size"), "join-open")
+    if open_ones.isEmpty():
+        return links
+    most = F.lit(max(1, most_nodes // BLOCKS)), F.lit(max(1, MOST_TOKENS // BLOCKS))
+
+    def pieces(of: DataFrame, *names: str) -> DataFrame:
+        sizes = of.groupBy(*names).agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+        return sizes.withColumn("k", F.least("n", F.greatest(F.ceil(F.col("n") / most[0]), F.ceil(F.col("tokens") / most[1])))).withColumn("copies", F.col("n") * F.greatest(F.col("k") - 1, F.lit(1)))
+
+    by_bucket = pieces(open_ones, "comp", "bucket")
+    whole = open_ones.select("comp", "node", "size").distinct()
+    by_comp = pieces(whole, "comp")
+    # a component is joined as one piece where its buckets would copy more
+    taken = by_comp.join(by_bucket.groupBy("comp").agg(F.sum("copies").alias("other")), "comp").select("comp", "k", (F.col("copies") <= F.col("other")).alias("as_one"))
+    one = whole.join(taken.filter("as_one"), "comp").select(F.lit(0).alias("kind"), F.col("comp").alias("piece"), "k", "node")
+    many = open_ones.join(taken.filter("not as_one").select("comp"), "comp", "left_semi").join(by_bucket.select("comp", "bucket", "k"), ["comp", "bucket"])
+    dealt = one.unionByName(many.select(F.lit(1).alias("kind"), F.col("bucket").alias("piece"), "k", "node"))
+    # each block meets each other one; within a block, nodes meet in all of its pairs
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).filter("own <> other or k = 1")
+    dealt = dealt.select(F.xxhash64("kind", "piece", F.least("own", "other"), F.greatest("own", "other")).alias("comp"), "node")
+    texts = _texts_of(rows, inside.select("node", "doc_id")).select("node", "text")
+    joined = dealt.join(texts, "node").select("comp", "node", "text").repartition("comp").sortWithinPartitions("comp", "node")
+    more = joined.mapInArrow(_join_components(n_words, p, q), "node long, root long").filter("node <> root")
+    return links.unionByName(materialize(more.select(F.col("node").alias("a"), F.col("root").alias("b")), "join-blocks"))
 
 
 def jaccard_components(docs: DataFrame, n_words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:

@@ -518,6 +518,45 @@ def test_links_of_buckets_headed_by_an_unlinked_node(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {1: (100, 1), 2: (100, 1), 3: (101, 3)}
 
 
+def test_hot_buckets_lie_in_bounded_pieces(spark, monkeypatch):
+    from duolume.llm import jaccard_join as J
+
+    # variants under the threshold that share most segments, and some linked ones
+    rows = [(i, " ".join([*(f"w{j}" for j in range(70)), *(f"v{i}-{j}" for j in range(30))])) for i in range(60)]
+    rows += [(60 + i, rows[i * 7][1].replace(f"v{i * 7}-1", "other")) for i in range(5)]
+    monkeypatch.setattr(J, "OFTEN", 1000)
+    monkeypatch.setattr(J, "CHUNK", 8, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    materialize, seen = J.materialize, {}
+
+    def spy(table, tag):
+        out = materialize(table, tag)
+        seen[tag] = out
+        return out
+
+    monkeypatch.setattr(J, "materialize", spy)
+    join, sizes = J._join_components, spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = join(*args)
+
+        def checked(batches):
+            rows = [x for b in batches for x in [b]]
+            comps = [c for b in rows for c in b.column("comp").to_pylist()]
+            assert max(map(comps.count, set(comps)), default=0) <= 30
+            sizes.add(len(set(comps)))
+            return run(iter(rows))
+
+        return checked
+
+    monkeypatch.setattr(J, "_join_components", counted)
+    got = J.jaccard_components(df, 1, 80, 100, most_nodes=20).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 1, 80, 100)
+    buckets = seen["join-found"].filter("kind = 2")
+    assert buckets.agg(F.max("n")).first()[0] > 30 and buckets.agg(F.max(F.size("members"))).first()[0] <= 8
+    assert sizes.value > 10
+
+
 def test_jaccard_odd_rows(docs, empty):
     from duolume.llm.jaccard_join import jaccard_components
 
