@@ -1,8 +1,10 @@
 """Operator 7: benchmark decontamination by SimHash of item-sized windows.
 
-A window of a document has as many words as an item. Window and item have
-64-bit SimHashes of their word shingles (SHINGLE words; case and ASCII
-punctuation don't count), made by prefix sums of bits. Item fingerprints are
+A window of a document has as many words as an item; a shorter document is one
+window. Window and item have 64-bit SimHashes of their word shingles (SHINGLE
+words; case and ASCII punctuation don't count), made by prefix sums of bits, in
+which a shingle counts by the root of its weight: the cosine of two such vectors
+is by weights then, as the similarity is. Item fingerprints are
 indexed by BLOCKS bit blocks: of two fingerprints within RADIUS bits, some block
 differs in RADIUS // BLOCKS bits at most, so looking up each block and its
 neighbours finds all items within the radius. A candidate's similarity is then
@@ -43,6 +45,8 @@ BLOCKS = 10
 MOST_ITEMS = 20_000
 MOST_BYTES = 16 << 20
 _FILTER = 1 << 22
+#: Weights in sums of bits are integers, so that equal windows have equal sums.
+_UNIT = 1 << 16
 _EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
@@ -77,7 +81,8 @@ class Index:
         self.weights = np.array([1 / have[v] for v in sorted(have)])
         self.maybe = np.zeros(_FILTER, dtype=bool)
         self.maybe[(self.vocabulary % np.uint64(_FILTER)).astype(np.int64)] = True
-        self.prints = np.array([packed(bits_of(x).sum(axis=0))[0] for x in self.shingles], dtype=np.uint64)
+        self.roots = np.maximum(1, np.rint(_UNIT * np.sqrt(self.weights))).astype(np.int64)
+        self.prints = np.array([packed(self.weighted_bits(x).sum(axis=0))[0] for x in self.shingles], dtype=np.uint64)
         self.lengths = sorted(set(self.words))
         #: by length: its items, and for each block which of them lie next to each value of the block
         self.tables: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
@@ -98,6 +103,13 @@ class Index:
             out[at] = self.vocabulary[found] == values[at]
         return out
 
+    def weighted_bits(self, values: np.ndarray) -> np.ndarray:
+        """The bits of each value by the root of its weight: 1 / number of items that have it, or 1."""
+        root = np.full(len(values), _UNIT, dtype=np.int64)
+        at = np.flatnonzero(self.known(values))
+        root[at] = self.roots[np.searchsorted(self.vocabulary, values[at])]
+        return bits_of(values) * root[:, None]
+
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard of two shingle multisets."""
         own, n = np.unique(window, return_counts=True)
@@ -119,13 +131,14 @@ class Index:
         close = np.bitwise_count(prints[window] ^ self.prints[own[item]]) <= RADIUS
         return list(zip(window[close].tolist(), own[item[close]].tolist(), strict=True))
 
-    def matches(self, words: np.ndarray, values: np.ndarray, hits: np.ndarray, k: int) -> Iterator[tuple[int, float, int]]:
-        """(item, similarity, first word) of one text's best window for each item found."""
-        best: dict[int, tuple[float, int]] = {}
+    def matches(self, words: np.ndarray, values: np.ndarray, hits: np.ndarray, k: int) -> Iterator[tuple[int, float, int, int]]:
+        """(item, similarity, first word, words) of one text's best window for each item found."""
+        best: dict[int, tuple[float, int, int]] = {}
         for n in self.lengths:
-            if min(n, SHINGLE) != k or n > len(words):
+            if min(n, SHINGLE) != k:
                 continue
-            span = n - k + 1  # shingles of a window
+            size = min(n, len(words))
+            span = size - k + 1  # shingles of a window
             starts = np.unique(np.concatenate([hits - j for j in range(span)]))
             starts = starts[(starts >= 0) & (starts + span <= len(values))]
             # runs of starts with what their windows cover
@@ -133,15 +146,15 @@ class Index:
                 for at in range(0, len(run), 4096):
                     part = run[at : at + 4096]
                     low, high = part[0], part[-1] + span
-                    sums = np.zeros((high - low + 1, 64), dtype=np.int32)
-                    np.cumsum(bits_of(values[low:high]), axis=0, out=sums[1:])
+                    sums = np.zeros((high - low + 1, 64), dtype=np.int64)
+                    np.cumsum(self.weighted_bits(values[low:high]), axis=0, out=sums[1:])
                     prints = packed(sums[part - low + span] - sums[part - low])
                     for w, item in self.candidates(prints, n):
                         score = self.similarity(values[part[w] : part[w] + span], item)
                         if score >= SIMILARITY and score > best.get(item, (0.0,))[0]:
-                            best[item] = (score, int(part[w]))
-        for item, (score, start) in sorted(best.items()):
-            yield item, score, start
+                            best[item] = (score, int(part[w]), size)
+        for item, (score, start, size) in sorted(best.items()):
+            yield item, score, start, size
 
 
 def find_matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, float, int, int]]:
@@ -157,8 +170,8 @@ def find_matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, i
         for i in np.unique(owner[hits]):
             a, b = bounds[i], bounds[i + 1]
             own = hits[slice(*np.searchsorted(hits, [a, b]))] - a
-            for item, score, start in index.matches(words[a:b], values[a : b - k + 1], own, k):
-                yield int(i), index.ids[item], score, start, index.words[item]
+            for item, score, start, size in index.matches(words[a:b], values[a : b - k + 1], own, k):
+                yield int(i), index.ids[item], score, start, size
 
 
 def item_counts(items: DataFrame, wanted: np.ndarray) -> dict[int, int]:

@@ -346,6 +346,37 @@ def test_decontaminate_in_blocks(spark, docs, empty, monkeypatch):
     assert D.benchmark_matches(empty, items).count() == 0 and D.benchmark_matches(docs, items.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark):
+    from duolume.llm.decontaminate import benchmark_matches
+
+    rng = random.Random(8)
+    template = prose(40, rng)
+    # templated items weigh by their own words; the others by all of them
+    items = [(i, prose(30, rng)) for i in range(20)] + [(100 + i, f"{template} {prose(16, rng)}") for i in range(50)]
+    words = {i: t.split() for i, t in items}
+    rows = [(i, " ".join(words[i][:29])) for i in range(10)] + [(i, " ".join(words[i][2:])) for i in range(10, 15)] + [(i, " ".join(words[i][:20])) for i in range(15, 20)]
+    rows += [(i, " ".join(words[i][38:])) for i in range(100, 150)]
+    got = benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in [*range(15), *range(100, 150)]}
+    assert {(r["first_word"], r["n_words"]) for r in got if r["doc_id"] < 10} == {(0, 29)}
+
+
+def test_weights_count_in_fingerprints():
+    from duolume.llm import decontaminate as D
+
+    rng = random.Random(8)
+    # a template with a fifth of the shingles gives way to other words
+    template = prose(14, rng)
+    index = D.Index([(i, f"{template} {prose(60, rng)}") for i in range(400)])
+    near = []
+    for i, x in enumerate(index.shingles):
+        common = np.isin(x, index.vocabulary[index.weights < 0.01])
+        window = np.concatenate([x[~common], np.arange(common.sum(), dtype=np.uint64) + np.uint64(1000 * i)])
+        assert index.similarity(window, i) > 0.8
+        near.append(bin(int(D.packed(index.weighted_bits(window).sum(axis=0))[0] ^ index.prints[i])).count("1"))
+    assert np.mean(near) < 10.5 and sum(n > D.RADIUS for n in near) <= 2
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     from duolume.llm import decontaminate as D
 
