@@ -6,7 +6,10 @@ start. Rendering walks the tree: invisible elements give nothing (scripts, style
 heads, hidden attributes, display:none); blocks stand on lines of their own,
 with a blank line around paragraphs, headings, lists and tables; list items have
 bullets or numbers, indented by depth; cells of a table are aligned in columns;
-white space collapses, but not in preformatted text. Nothing visible is dropped.
+white space collapses, but not in preformatted text. Formulas, labels and titles
+of drawings and all options of a selection are inline text; as no scripts or plug-ins
+run, noscript, object and canvas show their content. Nothing visible is dropped, but
+for what a drawing only shows by reference (defs, symbol).
 
 Null HTML gives null text; empty pages give the empty text. Repeated rows give repeated
 results. Trees deeper than MOST_DEPTH are flattened from there on (text is
@@ -25,7 +28,13 @@ from pyspark.sql import functions as F
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head script style template noscript title meta link datalist iframe object svg math audio video canvas select".split())
+INVISIBLE = frozenset("head script style template title meta link datalist iframe audio video".split())
+#: Parts of drawings and formulas that show nothing where they stand.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
+UNWRITTEN = frozenset("annotation annotation-xml".split())
+EMBEDDED = frozenset("svg math select".split())
+#: What stands between the parts of a formula's element.
+BETWEEN = {"mfrac": "/", "msup": "^", "msub": "_", "mtr": " ", "mtable": " "}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 CLOSES_P = BLOCKS - {"html", "body", "tbody", "tfoot", "thead", "tr", "td", "th", "caption", "summary", "legend"}
@@ -49,7 +58,11 @@ class Node:
 
     @property
     def visible(self) -> bool:
-        return self.tag not in INVISIBLE and "hidden" not in self.attrs and self.attrs.get("aria-hidden") != "true" and not _HIDDEN_STYLE.search(self.attrs.get("style") or "")
+        return self.tag not in INVISIBLE and self.unhidden
+
+    @property
+    def unhidden(self) -> bool:
+        return "hidden" not in self.attrs and self.attrs.get("aria-hidden") != "true" and not _HIDDEN_STYLE.search(self.attrs.get("style") or "")
 
 
 class TreeBuilder(HTMLParser):
@@ -151,6 +164,8 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
         elif tag in ("input", "button") and tag == "input":
             if child.attrs.get("type") in ("submit", "button", "reset"):
                 lines.text(f" {child.attrs.get('value') or ''} ")
+        elif tag in EMBEDDED:
+            lines.text(_embedded(child))
         elif tag == "table":
             lines.space()
             for row in _table(child, depth):
@@ -177,7 +192,55 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
 
 
 def _plain(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else "\n" if x.tag == "br" else _plain(x) if x.visible else "" for x in node.children)
+    return "".join(x if isinstance(x, str) else "\n" if x.tag == "br" else (_embedded if x.tag in EMBEDDED else _plain)(x) if x.visible else "" for x in node.children)
+
+
+def _embedded(node: Node) -> str:
+    """The inline text of a drawing, formula or selection."""
+    return _WHITE.sub(" ", {"svg": _drawn, "math": _formula, "select": _options}[node.tag](node))
+
+
+def _drawn(node: Node) -> str:
+    out = []
+    for x in node.children:
+        if isinstance(x, str) or not x.unhidden or x.tag in UNDRAWN:
+            continue
+        if x.tag == "title":
+            out.append(f" {_plain(x)} ")
+        elif x.tag in INVISIBLE:
+            continue
+        elif x.tag == "text":
+            out.append(f" {_label(x)} ")
+        elif x.tag == "foreignobject":
+            out.append(f" {' '.join(_inside(x))} ")
+        else:
+            out.append(_drawn(x))
+    return "".join(out)
+
+
+def _label(node: Node) -> str:
+    """Text with a space before each part that has a place of its own."""
+    parts = (x if isinstance(x, str) else " " * bool(x.attrs.keys() & {"x", "y", "dx", "dy"}) + _label(x) if x.visible and x.tag not in UNDRAWN else "" for x in node.children)
+    return "".join(parts)
+
+
+def _formula(node: Node) -> str:
+    between = BETWEEN.get(node.tag, "")
+    parts = [x if isinstance(x, str) else _embedded(x) if x.tag in EMBEDDED else _formula(x) for x in node.children if isinstance(x, str) or x.visible and x.tag not in UNWRITTEN]
+    return between.join(x.strip() if between else x for x in parts if x.strip() or not between)
+
+
+def _options(node: Node) -> str:
+    """Labels of groups and options, in their order."""
+    out = []
+    for x in node.children:
+        if isinstance(x, str):
+            out.append(x)
+        elif x.visible and x.tag == "optgroup":
+            out.append(f" {x.attrs.get('label') or ''} {_options(x)} ")
+        elif x.visible:
+            out.append(f" {(x.attrs.get('label') if x.tag == 'option' else '') or _plain(x)} ")
+    return "".join(out)
 
 
 def _rows(node: Node) -> Iterator[Node | str]:

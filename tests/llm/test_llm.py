@@ -178,6 +178,22 @@ def test_render(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>so <math><mfrac><mi>a</mi><mn>2</mn></mfrac><mo>=</mo><msup><mi>x</mi><mn>2</mn></msup><annotation>tex</annotation></math> holds", "so a/2=x^2 holds"),
+        ("a<svg><title>Map</title><defs><text>no</text></defs><g>no<text x=1>north<tspan dy=2>pole</tspan></text><path/></g><style>no</style><text>south</text></svg>b", "a Map north pole south b"),
+        ("<select><optgroup label=G><option>one<option label=two>2</optgroup><option>three</select>", "G one two three"), ("<title>no</title>x", "x"),
+        ("<noscript><p>turn it on</noscript>y", "turn it on\n\ny"), ("<object data=f>no plug-in</object>", "no plug-in"), ("<canvas>a bar chart</canvas>", "a bar chart"),
+        ("<pre>a\n <svg><text>label</text></svg></pre>", "a\n  label"), ("<svg hidden><text>no</text></svg>z<iframe>no</iframe><template>no</template>", "z"),
+    ],
+)
+def test_visible_text_of_embedded_elements(html, text):
+    from duolume.llm.html_text import render
+
+    assert render(html) == text
+
+
 def test_deep_and_long_html():
     from duolume.llm.html_text import render
 
