@@ -13,6 +13,7 @@ tables give an empty file set. Further input columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,97 +22,165 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, worker_caches
+from .common import ranges, slices, worker_caches
 
-#: A space is a chunk border only after something that isn't white space.
-_WHITE_BEFORE_SPACE = re.compile(r"\s ")
-_BORDER = re.compile(r"(?<=\S) ")
+#: White space in any version of Unicode but line ends, for a character class.
+_WHITE = r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Neighbours in white space, other than two line ends before something else: there, not every space or line end is a border.
+_RUNS = rf"[{_WHITE}][{_WHITE}\n]|\n[{_WHITE}]|\n\n(?:\n|\z)"
+#: A space is a border wherever something that isn't white space stands before it.
+_BORDER = re.compile(f"(?<=[^\n{re.sub(r'x{([0-9a-f]+)}', lambda m: 'u' + m[1].zfill(4), _WHITE)}]) ")
 #: The byte-level pattern, and the printable stand-ins of bytes.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _SPACE_NAME = chr(_BYTE_NAMES[32])
 _STOPS = frozenset(".,;:!?")
-_UNUSUAL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
-#: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 300_000
+#: All but tabs, line ends and the scripts of which no version of Unicode moves letters or white space.
+_UNUSUAL = re.compile(r"[^\t\n\x20-\x7e\xa1-\u052f]")
+#: Pieces and ids that a worker knows at most, besides those of the texts at hand.
+KNOWN_PIECES = 400_000
+KNOWN_IDS = 4_000_000
+#: Words within pieces that a worker keeps; emptied when full.
+KNOWN_WORDS = 20_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
 
-class ByteLevelWords(dict):
-    """Ids of pieces of text after a space, as little-endian 32-bit integers; made when first asked for.
+def _is_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer's description is byte-level BPE that cuts texts by the pattern above and changes nothing else."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    cuts = pre.get("type") == "ByteLevel" and pre.get("add_prefix_space") is False and pre.get("use_regex", True)
+    return bool(model.get("type") == "BPE" and plain and cuts and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
 
-    A piece that isn't letters alone is cut by the byte-level pattern into words
-    and signs. Each word goes to the tokenizer's own BPE model once. What the pattern might treat
-    differently here (rare white space, control characters, special tokens) is
-    encoded by the tokenizer as a whole.
+
+class Encoder:
+    """Ids of texts, as little-endian 32-bit integers, by one tokenizer file.
+
+    Byte-level BPE encodes a word wherever it stands alike, so a text is cut before its
+    spaces and line ends and each piece goes to the tokenizer once. A piece that isn't letters alone is cut
+    by the byte-level pattern into words and signs, which go to the tokenizer's own
+    BPE model. What the pattern might treat differently here (rare white space,
+    control characters, scripts that Unicode still adds to) is encoded by the tokenizer as a whole,
+    as are texts with one of its added tokens, and all texts of tokenizers of any other kind.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        #: words that don't follow a space
-        self.other: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.byte_level = _is_byte_level(spec)
+        self.added = sorted({x["content"] for x in spec.get("added_tokens") or [] if x.get("content")})
+        #: known pieces, with where their ids lie
+        self.pieces, self.starts, self.sizes = pa.array([], type=pa.string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<i4")
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def named(self, name: str) -> bytes:
         return array("I", [x.id for x in self.model.tokenize(name)]).tobytes()
 
-    def as_is(self, word: str) -> bytes:
-        got = self.other.get(word)
+    def word(self, word: str) -> bytes:
+        got = self.words.get(word)
         if got is None:
-            got = self.other[word] = self.named(word.encode().decode("latin1").translate(_BYTE_NAMES))
+            if len(self.words) >= KNOWN_WORDS:
+                self.words.clear()
+            got = self.words[word] = self.named(word if word.isascii() and word.isalpha() else word.encode().decode("latin1").translate(_BYTE_NAMES))
         return got
 
     def piece(self, piece: str) -> bytes:
-        if _UNUSUAL.search(piece):
-            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.as_is(x) for x in _PATTERN.findall(piece)])
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) + len(self.other) > CACHE_ENTRIES:
-            self.clear()
-            self.other.clear()
-        if piece.isalpha():
-            # ASCII letters stand for themselves
-            got = self.named(_SPACE_NAME + (piece if piece.isascii() else piece.encode().decode("latin1").translate(_BYTE_NAMES)))
-        elif piece[-1:] in _STOPS and piece[:-1].isalpha():
-            got = self[piece[:-1]] + self.as_is(piece[-1])
-        else:
-            got = self.piece(" " + piece)
-        self[piece] = got
-        return got
-
-
-def chunks_of(text: str) -> list[str]:
-    """Pieces which a byte-level tokenizer encodes independently of each other.
-
-    Each piece after the first had a space before it. Byte-level pre-tokenizers
-    put a border before a space that follows a non-space.
-    """
-    return _BORDER.split(text) if _WHITE_BEFORE_SPACE.search(text) else text.split(" ")
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each whole text, as little-endian 32-bit integers."""
+        """The ids of a piece that starts a text or has its own white space before it."""
+        return self.whole(piece) if _UNUSUAL.search(piece) else b"".join(map(self.word, _PATTERN.findall(piece)))
+
+    def after_border(self, piece: str) -> bytes:
+        """The ids of a piece with its line end, or of one that had a space before it."""
+        if piece[:1] == "\n":
+            return self.piece(piece)
+        stop = piece[-1:] in _STOPS
+        word = piece[:-1] if stop else piece
+        if not word.isalpha() or _UNUSUAL.search(word):
+            return self.piece(" " + piece)
+        # ASCII letters stand for themselves
+        got = self.named(_SPACE_NAME + (word if word.isascii() else word.encode().decode("latin1").translate(_BYTE_NAMES)))
+        return got + self.word(piece[-1]) if stop else got
+
+    def spaced(self, text: str) -> bytes:
+        """A text with runs of white space."""
+        first, *rest = _BORDER.split(text)
+        return self.piece(first) + b"".join([self.piece(" " + x) for x in rest])
+
+    def known(self, pieces: pa.Array) -> np.ndarray:
+        """Places in the table of known pieces, to which new ones come."""
+        if len(self.pieces) > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
+            # the common ones are back with the next texts
+            self.pieces, self.starts, self.sizes, self.ids = self.pieces[:0], self.starts[:0], self.sizes[:0], self.ids[:0]
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = pieces.filter(at.is_null())
+        got = [self.after_border(x) for x in new.to_pylist()]
+        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, np.frombuffer(b"".join(got), dtype="<i4")])
+        out = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[out < 0] = len(self.pieces) + np.arange(len(got))
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of whole texts (null: empty), each with the end id after it."""
+        texts = pc.fill_null(texts, "")
+        other = np.full(len(texts), not self.byte_level)
+        for x in self.added if self.byte_level else []:
+            other |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        spaced = ~other & pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False)
+        alone = other | spaced
+        cut = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~alone)), "\n", " \n"), " ")
+        at, pieces = np.asarray(cut.offsets, dtype=np.int64), cut.values.dictionary_encode()
+        places = self.known(pieces.dictionary)
+        parts = [self.piece(x) for x in cut.values.take(pa.array(at[:-1])).to_pylist()]
+        n_first = len(parts)
+        parts += [(self.whole if o else self.spaced)(x) for x, o in zip(texts.filter(pa.array(alone)).to_pylist(), other[alone].tolist(), strict=True)]
+        parts.append(b"" if end_id is None else array("I", [end_id]).tobytes())
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        n_known = len(self.starts)
+        starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        sizes = np.concatenate([self.sizes, lengths])
+        # the parts of each text in their order, and the end
+        counts = np.full(len(texts), 2)
+        counts[~alone] = np.diff(at) + 1
+        last = np.cumsum(counts)
+        order = np.full(int(counts.sum()), n_known + len(parts) - 1)
+        inner = np.ones(len(order), dtype=bool)
+        inner[last - 1] = False
+        of_pieces = np.repeat(~alone, counts)
+        code = places[pieces.indices.to_numpy(zero_copy_only=False)]
+        code[at[:-1]] = n_known + np.arange(n_first)
+        order[inner & of_pieces] = code
+        order[inner & ~of_pieces] = n_known + n_first + np.arange(len(parts) - 1 - n_first)
+        sizes, starts = sizes[order], starts[order]
+        values = np.concatenate([self.ids, np.frombuffer(b"".join(parts), dtype="<i4")])[ranges(starts, sizes)]
+        return np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], last])], values
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, loaded once a worker."""
     loaded = worker_caches.setdefault("tokens", {})
     if path not in loaded:
-        loaded[path] = ByteLevelWords(path)
-    known, out = loaded[path], []
-    for text in texts:
-        first, *rest = chunks_of(text)
-        out.append(known.piece(first) + b"".join(map(known.__getitem__, rest)))
-    return out
+        loaded[path] = Encoder(path)
+    return loaded[path]
 
 
 TOKEN_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -121,13 +190,11 @@ def tokenize_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: s
     """A row for each document in ascending id order, with its place within its part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, end = TaskContext.get().partitionId(), 0, array("I", [end_id]).tobytes()
+        part, start = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", keeps="tokens"):
-            got = [x + end for x in encode_texts(["" if x is None else x for x in batch.column("text").to_pylist()], tokenizer_path)]
-            sizes = np.array([len(x) // 4 for x in got], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), part, dtype=np.int32)), batch.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(sizes), ids], ["part", "doc_id", "local_start", "n_tokens", "ids"])
+            offsets, values = encoder(tokenizer_path).encode(batch.column("text"), end_id)
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(offsets) - 1, part, dtype=np.int32)), batch.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), ids], ["part", "doc_id", "local_start", "n_tokens", "ids"])
             start += int(offsets[-1])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, TOKEN_SCHEMA)

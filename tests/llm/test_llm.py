@@ -91,14 +91,58 @@ def test_token_file_layout(spark, docs, tokenizer):
     assert "DELTA_BINARY_PACKED" in encodings["doc_id"] and any("DICTIONARY" in x for x in encodings["ids.list.element"])
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a ", "\n x\n\ny", "don't we'll", "a b c", "日本 語 x", "<|endoftext|> x", "1st 2nd\t3", "x" * 50, "½ Ⅷ ²", "\x1c a", "😀 é"])
-def test_pieces_encode_as_the_whole(text, tokenizer):
+def encoded(path, texts, end_id=None):
+    import pyarrow as pa
+
+    from duolume.llm.token_output import Encoder
+
+    at, ids = Encoder(path).encode(pa.array(texts, type=pa.string()), end_id)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_encode_as_the_whole(name):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    from duolume.llm.token_output import encode_texts
+    path = public_tokenizers.path(name)
+    rng = random.Random(1)
+    signs = [*"ab zé ñß.,'*1½²\n\t  日本語한κаж", "\xa0", "\u2003", "\u180e", "\x1c", "\x85", "\u200b", "\u0378", "\U0001f600", "\u0301", "\u0660", "\U0001e900", "\ufeff", "\u3000", "ª", "ʰ", "<|endoftext|>", "'s", "'ll", "  ", "\n\n", "\r\n", "the", " and."]
+    texts = ["a  b", " a", "a ", "\n x\n\ny", "don't we'll", "<|endoftext|> x", "x" * 500, "½ Ⅷ ²", "\x1c a", "", "x\n\n", "a.\nB\n\nc"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    t = Tokenizer.from_file(path)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encoded(path, texts) == want
+    assert encoded(path, [*texts[:50], None], 2) == [[*x, 2] for x in want[:50]] + [[2]]
+
 
-    want = Tokenizer.from_file(tokenizer).encode(text, add_special_tokens=False).ids
-    assert encode_texts([text], tokenizer)[0] == np.array(want, dtype="<u4").tobytes()
+def test_known_pieces_are_bounded(tokenizer, monkeypatch):
+    from duolume.llm import token_output as T
+
+    texts = [" ".join(prose(20) for _ in range(5)) for _ in range(30)]
+    want = encoded(tokenizer, texts)
+    monkeypatch.setattr(T, "KNOWN_PIECES", 40)
+    e = T.Encoder(tokenizer)
+    import pyarrow as pa
+
+    for i in range(0, 30, 3):
+        at, ids = e.encode(pa.array(texts[i : i + 3]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want[i : i + 3]
+    assert len(e.pieces) < 500
+
+
+def test_token_rows_with_odd_ids(spark, tokenizer):
+    from duolume.llm.common import new_path
+    from duolume.llm.token_output import token_digest, write_token_files
+
+    path = new_path(spark, "t")
+    rows = [(5, "b b"), (5, "a"), (None, "n"), (None, None), (1, "")]
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizer, 2)
+    got = sorted((tuple(r)[:3] for r in token_digest(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 1, 5, 5] and [r[1] for r in got] == [0, 1, 3, 4, 6] and [r[2] for r in got] == [1, 2, 1, 2, 3]
+    empty = new_path(spark, "t")
+    write_token_files(spark.createDataFrame([], "doc_id long, text string"), empty, tokenizer, 2)
+    assert token_digest(spark, empty).count() == 0
 
 
 # 2 ---- mixing
