@@ -521,6 +521,69 @@ def test_repeats(spark, docs, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def passages(rng):
+    """Texts with pieces, rulers and phrases that many share, in different surroundings."""
+    pieces = ["".join(rng.choice("abé") for _ in range(rng.randint(20, 90))) for _ in range(12)]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    texts += [prose(rng.randint(1, 9), rng) + "-" * rng.randint(18, 70) + prose(rng.randint(1, 9), rng) for _ in range(40)]
+    return texts + ["\0" * 60, "x" + "\0" * 55, "", None]
+
+
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_repeats_of_hot_anchors(spark, monkeypatch, hot):
+    from duolume.llm import repeats as R
+
+    monkeypatch.setattr(R, "HOT", hot)
+    texts = passages(random.Random(7))
+    check_repeats(spark, list(enumerate(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = len(R.hot_anchors(df.select("doc_id", F.col("text").cast("binary").alias("text"))))
+    assert n > 20 if hot == 2 else n == 0
+
+
+def test_repeats_with_equal_and_null_ids(spark):
+    from duolume.llm.repeats import remove_repeats
+
+    text = prose(30)
+    rows = [(4, text), (4, text), (None, "z" + text), (7, text + "y"), (4, None)]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(text)
+    assert got == sorted([("4", n, 0), ("4", n, 0), ("4", 0, 0), ("7", n + 1, n), ("None", n + 1, n)])
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    from duolume.llm.repeats import repeat_groups
+
+    texts = passages(random.Random(17))
+    raw = [(t or "").encode() for t in texts]
+    got = repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["repeat"], r["length"]].add((r["doc_id"], r["start"]))
+    assert len(groups) > 50
+    at = defaultdict(list)
+    for key, places in groups.items():
+        assert len({d for d, _ in places}) > 1 and len({raw[d][s : s + key[1]] for d, s in places}) == 1 and key[1] >= 50
+        for place in places:
+            at[place[0]].append((place[1], key))
+    where = defaultdict(set)
+    for d, b in enumerate(raw):
+        for j in range(len(b) - 49):
+            where[b[j : j + 50]].add((d, j))
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            d, j = min(places)
+            assert any(s <= j and j + 50 <= s + key[1] and {(x, y - j + s) for x, y in places} <= groups[key] for s, key in at[d])
+
+
+def test_stack_scan():
+    from duolume.llm.repeats import scan
+
+    # banana: a ana anana banana na nana
+    assert sorted(map(tuple, scan([-1, 1, 3, 0, 0, 2], [0] * 6).tolist())) == [(0, 0, 6), (1, 0, 3), (2, 4, 6), (3, 1, 3)]
+    assert sorted(map(tuple, scan([-1, 2, -1, 0, 5], [1, 1, 0, 0, 0]).tolist())) == [(0, 2, 5), (2, 0, 2), (5, 3, 5)]
+
+
 def test_repeats_in_long_texts(spark, monkeypatch):
     from duolume.llm import repeats as R
 
