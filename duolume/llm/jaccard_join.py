@@ -29,10 +29,15 @@ are done. The nodes of the others are cut into blocks, of one key or of the whol
 component, whichever copies less; each pair of blocks is joined exactly in a task of its
 own, which gives links that connect its nodes, not its pairs.
 
+A key that many nodes of one task share is sent on for the smallest of them only, which
+stands for the others; no key's nodes are ever in one place. The number of packs and
+tasks follows the bytes of the input.
+
 Null or empty texts, or texts without words: empty set, linked with nothing.
-Texts shorter than n words: their whole sequence is one shingle. Repeated rows
-are one node. Empty tables give an empty result. The result has only the named
-columns.
+Texts shorter than n words: their whole sequence is one shingle. Rows with equal texts
+are one node, rows with equal ids and different texts are nodes of their own. Null ids link like others, but
+are no component's smallest id; a component of null ids alone has none. Empty tables give an empty result. The result has
+only the named columns.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, ranges, slices
 from .components import connected_components
 from .shingles import mix, shingle_sets, text_batches
 
@@ -65,6 +70,11 @@ MOST_TOKENS = 8_000_000
 BLOCKS = 4
 #: Nodes of a bucket in one row.
 CHUNK = 1_024
+#: Nodes of a key in one task, beyond which only the smallest is sent on.
+MOST_LOCAL = 64
+#: Bytes of text for each destination of packs, and for each task that reads them.
+DEAL_BYTES = 8 << 20
+TASK_BYTES = 64 << 20
 #: Documents sampled for frequent tokens, how many must have one, and how many are kept.
 SAMPLE = 5_000
 OFTEN = 3
@@ -151,9 +161,8 @@ def segment_keys(tokens: np.ndarray, p: int, q: int, frequent: np.ndarray | None
     return np.unique(np.concatenate(out))
 
 
-def frequent_tokens(rows: DataFrame, n_words: int) -> np.ndarray:
-    """Sorted hashes of shingles that several documents of a bounded sample have."""
-    n = rows.count()
+def frequent_tokens(rows: DataFrame, n_words: int, n: int) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a bounded sample (of n rows) have."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,7 +170,7 @@ def frequent_tokens(rows: DataFrame, n_words: int) -> np.ndarray:
             yield pd.DataFrame({"token": np.concatenate([x.view(np.int64) for x in got]) if got else np.zeros(0, dtype=np.int64)})
 
     share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("often"), "doc_id"), F.lit(1 << 30)) < share).dropDuplicates(["text"])
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("often"), "doc_id", "key"), F.lit(1 << 30)) < share).dropDuplicates(["text"])
     often = sample.mapInPandas(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
     got = often.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
     return np.sort(got.view(np.uint64))
@@ -172,19 +181,24 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
 
 
-_FOUND = "kind int, a long, b long, n long, members array<long>"
+_FOUND = "kind int, a long, b long, n long, key long, members array<long>"
 
 
-def _found(kind: int, a, b, n, members: list | None = None) -> pa.RecordBatch:
+def _found(kind: int, a, b, n=None, key=None, members: list | None = None) -> pa.RecordBatch:
     size = len(a)
-    as_long = lambda x: pa.array(x if x is not None else [None] * size, type=pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), as_long(a), as_long(b), as_long(n), pa.array(members if members is not None else [None] * size, type=pa.list_(pa.int64()))], ["kind", "a", "b", "n", "members"])
+    as_long = lambda x: x if isinstance(x, pa.Array) else pa.array(x if x is not None else [None] * size, type=pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(size, kind, dtype=np.int32)), *map(as_long, (a, b, n, key)), pa.array(members if members is not None else [None] * size, type=pa.list_(pa.int64()))], ["kind", "a", "b", "n", "key", "members"]
+    )
+
 
+def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None, size: int = 0) -> DataFrame:
+    """(doc_id, key, text) -> kinds 0: rows (doc_id, node, size, key); 1: (pivot, node) pairs; 2: buckets of three and more nodes, CHUNK of them in a row.
 
-def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None) -> DataFrame:
-    """(doc_id, text) -> kinds 0: documents (doc_id, node, size); 1: (pivot, node) pairs; 2: buckets of three and more nodes, CHUNK of them in a row."""
-    spark = rows.sparkSession
-    deal = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    `size`: bytes of all texts.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal, tasks = min(2**31 - 1, max(4 * least, size // DEAL_BYTES)), max(least, size // TASK_BYTES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -194,15 +208,26 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
             out = []
             if keys:
                 k, v = np.concatenate(keys), np.repeat(np.array(nodes, dtype=np.int64), sizes)
+                order = np.lexsort((v, k))
+                k, v = k[order], v[order]
+                starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                counts = np.diff(starts, append=len(k))
+                many = np.zeros(len(k), dtype=bool)
+                keep = np.ones(len(k), dtype=bool)
+                for s, c in zip(starts[counts > MOST_LOCAL], counts[counts > MOST_LOCAL], strict=True):
+                    many[s], keep[s + 1 : s + c] = True, False
+                    for at in range(s, s + c, CHUNK):
+                        out.append((int(mix(v[at : at + 1].view(np.uint64))[0] % np.uint64(deal)), 2, k[s : s + 1].tobytes() + v[s : s + 1].tobytes() + v[at : min(at + CHUNK, s + c)].tobytes()))
+                k, v, many = k[keep], v[keep], many[keep]
                 to = (k % np.uint64(deal)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                k, v, to = k[order], v[order], to[order]
+                k, v, many, to = k[order], v[order], many[order], to[order]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
                 for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
-                    out.append((int(to[a]), 1, k[a:b].tobytes() + v[a:b].tobytes()))
+                    out.append((int(to[a]), 1, k[a:b].tobytes() + v[a:b].tobytes() + many[a:b].tobytes()))
             for at in range(0, len(docs), 2048):
                 part = np.array(docs[at : at + 2048], dtype=np.int64)
-                out.append((int(mix(part[:1, 0].view(np.uint64))[0] % np.uint64(deal)), 0, part.T.tobytes()))
+                out.append((int(mix(part[:1, 2].view(np.uint64))[0] % np.uint64(deal)), 0, part.T.tobytes()))
             keys.clear(), nodes.clear(), sizes.clear(), docs.clear()
             if len(seen) > PACK:
                 seen.clear()
@@ -210,11 +235,11 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], type=pa.int32()), pa.array([x[1] for x in out], type=pa.int32()), pa.array([x[2] for x in out], type=pa.binary())], ["deal", "kind", "packed"])
 
         for batch in slices(batches, "text"):
-            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            ids, own_keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
             for a, b in text_batches(texts):
                 for i, tokens in enumerate(shingle_sets([x or "" for x in texts[a:b]], n_words), a):
                     node = node_of(tokens)
-                    docs.append((ids[i], node, len(tokens)))
+                    docs.append((ids[i] or 0, ids[i] is None, node, len(tokens), own_keys[i]))
                     if len(tokens) and node not in seen:
                         seen.add(node)
                         keys.append(segment_keys(tokens, p, q, frequent.value if frequent else None))
@@ -230,14 +255,16 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
         known: set[int] = set()
 
         def close() -> Iterator[pa.RecordBatch]:
-            k = np.concatenate([np.frombuffer(x[: len(x) // 2], dtype=np.uint64) for x in held])
-            v = np.concatenate([np.frombuffer(x[len(x) // 2 :], dtype=np.int64) for x in held])
+            counts = [len(x) // 17 for x in held]
+            k = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=n) for x, n in zip(held, counts, strict=True)])
+            v = np.concatenate([np.frombuffer(x, dtype=np.int64, count=n, offset=8 * n) for x, n in zip(held, counts, strict=True)])
+            more = np.concatenate([np.frombuffer(x, dtype=bool, count=n, offset=16 * n) for x, n in zip(held, counts, strict=True)])
             held.clear()
-            order = np.lexsort((v, k))
-            k, v = k[order], v[order]
+            order = np.lexsort((~more, v, k))
+            k, v, more = k[order], v[order], more[order]
             new = np.ones(len(k), dtype=bool)
             new[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-            k, v = k[new], v[new]
+            k, v, more = k[new], v[new], more[new]
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             counts = np.diff(starts, append=len(k))
             many = counts > 1
@@ -249,11 +276,14 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
             pivot = np.repeat(v[starts], counts)
             pick = inner & ~first
             pairs = np.unique(np.stack([pivot[pick], v[pick]], axis=1), axis=0)
-            yield _found(1, pairs[:, 0], pairs[:, 1], None)
+            yield _found(1, pairs[:, 0], pairs[:, 1])
             members, names = [], []
-            for s, c in zip(starts[counts > 2], counts[counts > 2], strict=True):
+            # a key with more nodes elsewhere is known by itself, other buckets by their nodes
+            more = np.logical_or.reduceat(more, starts)
+            wanted = (counts > 2) | (many & more)
+            for s, c, own in zip(starts[wanted], counts[wanted], more[wanted], strict=True):
                 got = v[s : s + c]
-                name = node_of(got)
+                name = int(k[s].view(np.int64)) if own else node_of(got)
                 if name not in known:
                     known.add(name)
                     members.append(got)
@@ -261,13 +291,19 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
             # the bucket's name, pivot and size stand beside each chunk
             for at_once in range(0, len(members), 1024):
                 cuts = [(name, got, at) for name, got in zip(names[at_once : at_once + 1024], members[at_once : at_once + 1024], strict=True) for at in range(0, len(got), CHUNK)]
-                yield _found(2, [x[0] for x in cuts], [int(x[1][0]) for x in cuts], [len(x[1]) for x in cuts], [x[1][x[2] : x[2] + CHUNK] for x in cuts])
+                yield _found(2, [x[0] for x in cuts], [int(x[1][0]) for x in cuts], [len(x[1]) for x in cuts], members=[x[1][x[2] : x[2] + CHUNK] for x in cuts])
 
         for batch in batches:
             for to, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("deal", "kind", "packed")), strict=True):
                 if kind == 0:
-                    doc_id, node, n = np.frombuffer(packed, dtype=np.int64).reshape(3, -1)
-                    yield _found(0, doc_id, node, n)
+                    doc_id, no_id, node, n, key = np.frombuffer(packed, dtype=np.int64).reshape(5, -1)
+                    yield _found(0, pa.array(doc_id, mask=no_id > 0), node, n, key)
+                    continue
+                if kind == 2:
+                    name, pivot, *_ = got = np.frombuffer(packed, dtype=np.int64)
+                    yield _found(2, [name], [pivot], [len(got) - 2], members=[got[2:]])
+                    if len(others := got[2:][got[2:] != pivot]):
+                        yield _found(1, np.full(len(others), pivot), others)
                     continue
                 if to != at and held:
                     yield from close()
@@ -277,7 +313,7 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
             yield from close()
 
     packed = rows.mapInArrow(pack, "deal int, kind int, packed binary")
-    return materialize(packed.repartition("deal").sortWithinPartitions("deal", "kind").mapInArrow(group, _FOUND), "join-found")
+    return materialize(packed.repartition(tasks, "deal").sortWithinPartitions("deal", "kind").mapInArrow(group, _FOUND), "join-found")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
@@ -344,19 +380,13 @@ def join_component(sets: list[np.ndarray], p: int, q: int) -> np.ndarray:
         i = open_ones[0]
         asked[i] = True
         low, high = np.searchsorted(tokens, sets[i], side="left"), np.searchsorted(tokens, sets[i], side="right")
-        same = np.bincount(owner[_ranges(low, high)], minlength=n)
+        same = np.bincount(owner[ranges(low, high - low)], minlength=n)
         linked = np.flatnonzero((same * q >= p * (sizes + sizes[i] - same)) & (same > 0))
         roots = np.unique(root[linked])
         if len(roots) > 1:
             root[np.isin(root, roots)] = roots[0]
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All places from low to high of each pair."""
-    sizes = high - low
-    return np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
 def _join_components(n_words: int, p: int, q: int):
     def close(comp: int, nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         order = np.argsort(nodes)
@@ -384,20 +414,40 @@ def _join_components(n_words: int, p: int, q: int):
 
 
 def _texts_of(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """Texts of some documents; `need` has doc_id and further columns."""
-    return rows.join(F.broadcast(need) if need.count() <= MOST_BROADCAST else need, "doc_id")
+    """The nodes of `need` (node, doc_id, key and further columns) with their texts; equal rows are brought once by each task that reads some."""
+    named = need.withColumnsRenamed({"doc_id": "own_id", "key": "own_key"})
+    found = rows.join(F.broadcast(named) if need.count() <= MOST_BROADCAST else named, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))).drop("own_id", "own_key")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for node in batch.column("node").to_pylist():
+                new.append(node not in seen)
+                seen.add(node)
+            yield batch if all(new) else batch.filter(pa.array(new))
+
+    repeated = not need.filter("copies > 1").isEmpty()
+    return found.mapInArrow(once, found.schema) if repeated else found
+
+
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, text: equal ids and keys are equal rows."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
 def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n_shingles) of every document, and (node, root) of nodes in components of links."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, n_words))
-    found = find_candidates(rows, n_words, p, q, frequent)
-    members = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("n").alias("n_shingles"))
+    """(doc_id, key, node, n_shingles) of every row, and (node, root) of nodes in components of links."""
+    rows = keyed_rows(docs, id_col, text_col)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, n_words, n))
+    found = find_candidates(rows, n_words, p, q, frequent, size)
+    members = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "key", F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     comps = connected_components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     comps = comps.select(F.col("u").alias("node"), F.col("root").alias("comp"))
     comps = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct())
-    reps = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    reps = members.filter("n_shingles > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+    reps = reps.groupBy("node").agg(F.min(F.struct("doc_id", "key", "copies", "size")).alias("r")).select("node", "r.*")
     nodes = materialize(comps.join(reps, "node"), "join-nodes")
     narrow, wide = _by_size(nodes, most_nodes)
     links = None
@@ -407,7 +457,7 @@ def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "
         narrow = narrow.unionByName(parted)
         if not wide.isEmpty():
             links = _wide_links(rows, peeled, buckets, wide, n_words, p, q, most_nodes)
-    texts = _texts_of(rows, narrow.select("doc_id", "node", "comp")).select("comp", "node", "text")
+    texts = _texts_of(rows, narrow.select("doc_id", "key", "node", "comp", "copies")).select("comp", "node", "text")
     roots = texts.repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_join_components(n_words, p, q), "node long, root long")
     if links is not None:
         more = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -428,7 +478,7 @@ def _peel(rows: DataFrame, found: DataFrame, wide: DataFrame, n_words: int, p: i
     When all pairs of a key's pivot are verified, the pivot only hangs on by links, and
     the key's other nodes get the next pivot. Chance agreements of two sets end there.
     """
-    texts = materialize(_texts_of(rows, wide.select("node", "doc_id")).select("node", "text"), "join-texts")
+    texts = materialize(_texts_of(rows, wide.select("node", "doc_id", "key", "copies")).select("node", "text"), "join-texts")
     inside = wide.select(F.col("node").alias("a"))
     pairs = found.filter("kind = 1").select("a", "b").join(inside, "a", "left_semi")
     buckets = found.filter("kind = 2").select("a", "b", "members").join(inside.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("a").alias("bucket"), F.explode("members").alias("node")).distinct()
@@ -488,17 +538,31 @@ def _wide_links(rows: DataFrame, links: DataFrame, buckets: DataFrame, inside: D
     # each block meets each other one; within a block, nodes meet in all of its pairs
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).filter("own <> other or k = 1")
     dealt = dealt.select(F.xxhash64("kind", "piece", F.least("own", "other"), F.greatest("own", "other")).alias("comp"), "node")
-    texts = _texts_of(rows, inside.select("node", "doc_id")).select("node", "text")
+    texts = _texts_of(rows, inside.select("node", "doc_id", "key", "copies")).select("node", "text")
     joined = dealt.join(texts, "node").select("comp", "node", "text").repartition("comp").sortWithinPartitions("comp", "node")
     more = joined.mapInArrow(_join_components(n_words, p, q), "node long, root long").filter("node <> root")
     return links.unionByName(materialize(more.select(F.col("node").alias("a"), F.col("root").alias("b")), "join-blocks"))
 
 
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds component_id to rows: the smallest id of the nodes that hang together."""
+    least = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    labelled = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    by_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.min("node").alias("first_node"))
+    labels = labelled.join(by_root, "root").select("node", "component_id", "first_node")
+    return members.join(labels, "node", "left")
+
+
 def jaccard_components(docs: DataFrame, n_words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; component_id is the smallest doc_id reachable by links."""
     members, roots = jaccard_roots(docs, n_words, p, q, id_col, text_col, most_nodes)
-    least = members.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    by_root = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(by_root, "root").select("node", "component_id")
-    return members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    return _labelled(members, roots).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def repeated_documents(docs: DataFrame, n_words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key: the rows (by keyed_rows) that aren't their component's first: smallest id, then smallest key; null ids come last."""
+    rows = _labelled(*jaccard_roots(docs, n_words, p, q, id_col, text_col)).filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    named = rows.withColumnRenamed("first_node", "component")
+    first = named.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return named.join(first, "component").filter(order != F.col("first")).select("doc_id", "key").distinct()

@@ -641,9 +641,14 @@ def near_corpus():
     return [(i * 2, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("n", "p", "q", "most_nodes"), [(4, 85, 100, 20_000), (5, 80, 100, 20_000), (4, 85, 100, 0), (2, 50, 100, 20_000)])
-def test_jaccard_components(spark, n, p, q, most_nodes):
-    from duolume.llm.jaccard_join import jaccard_components
+@pytest.mark.parametrize(("n", "p", "q", "most_nodes"), [(4, 85, 100, -2), (4, 85, 100, -1), (4, 85, 100, 20_000), (5, 80, 100, 20_000), (4, 85, 100, 0), (2, 50, 100, 20_000)])
+def test_jaccard_components(spark, monkeypatch, n, p, q, most_nodes):
+    from duolume.llm import jaccard_join as J
+
+    jaccard_components = J.jaccard_components
+    if most_nodes < 0:  # keys are shared by many nodes of one task
+        monkeypatch.setattr(J, "MOST_LOCAL", 2)
+        most_nodes = 20_000 if most_nodes == -2 else 3
 
     rows = near_corpus()
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, p, q, most_nodes=most_nodes).collect()
@@ -711,6 +716,28 @@ def test_hot_buckets_lie_in_bounded_pieces(spark, monkeypatch):
     assert sizes.value > 10
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    from duolume.llm.jaccard_join import jaccard_components, repeated_documents
+
+    a, b, c = prose(80), prose(80), prose(80)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, c), (None, c + " y"), (None, c), (7, b), (7, prose(50)), (7, None), (None, None), (9, c), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_components(df, 4, 85, 100).collect())
+    comps = {a: 1, b: 1, a + " x": 1, b + " x": 1, c: 9, c + " y": 9}
+    assert got == sorted((str(i), max(0, len((t or "").split()) - 3), comps.get(t, i)) for i, t in rows)
+    gone = {(r["doc_id"], r["key"]) for r in repeated_documents(df).collect()}
+    texts = {(r["doc_id"], r["k"]): r["text"] for r in df.withColumn("k", F.xxhash64("text")).collect()}
+    assert {(i, texts[i, k]) for i, k in gone} == {(1, b) if texts[1, min(k for i, k in texts if i == 1)] == a else (1, a), (2, a + " x"), (3, b + " x"), (7, b), (None, c), (None, c + " y")} - {(1, a), (1, b)}
+
+
+def test_jaccard_of_one_id(spark):
+    from duolume.llm.jaccard_join import jaccard_components
+
+    base = prose(60)
+    df = spark.createDataFrame([(None, f"{base} v{i % 3}") for i in range(90)], "doc_id long, text string").repartition(6)
+    assert {tuple(r) for r in jaccard_components(df, 4, 85, 100).collect()} == {(None, 58, None)}
+
+
 def test_jaccard_odd_rows(docs, empty):
     from duolume.llm.jaccard_join import jaccard_components
 
