@@ -11,15 +11,17 @@ neighbours finds all items within the radius. A candidate's similarity is then
 computed exactly: weighted Jaccard of the shingle multisets, where a shingle of
 the item weighs 1 / (number of items that have it), and any other one 1.
 
-A window without any item shingle has similarity 0, so only windows around
-shared shingles are fingerprinted; nothing is lost by that.
+A window without any shingle of an item has similarity 0 to it, so only windows around
+shared shingles are fingerprinted, and only for the items that have one of them (by lists of
+the items of each shingle); nothing is lost by that.
 
-The benchmark is read in blocks of at most MOST_ITEMS items and MOST_BYTES of text, each of which is
-broadcast; documents are never shuffled.
+The benchmark is read in blocks, dealt by a hash of id and text until each has at most MOST_ITEMS items and
+MOST_BYTES of text (or is a single item); several blocks are broadcast together, up to MOST_BLOCKS a pass over the documents.
+Documents are never shuffled.
 
 Null or empty texts and items match nothing. Items under SHINGLE words are one
-shingle of their own length. Repeated rows are matched each by itself, repeated
-items alike. Empty tables give an empty result. The result has only the named
+shingle of their own length. Repeated rows are matched each by itself, null ids like others; items that are equal in id and text
+count once, items with equal or null ids are items of their own. Empty tables give an empty result. The result has only the named
 columns.
 """
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ranges, slices
 from .shingles import mix, shingles, text_batches, word_hashes
 
 SHINGLE = 5
@@ -44,6 +46,9 @@ RADIUS = 19
 BLOCKS = 10
 MOST_ITEMS = 20_000
 MOST_BYTES = 16 << 20
+MOST_BLOCKS = 4
+#: Cells of a table of windows and items.
+MOST_CELLS = 1 << 22
 _FILTER = 1 << 22
 #: Weights in sums of bits are integers, so that equal windows have equal sums.
 _UNIT = 1 << 16
@@ -63,9 +68,9 @@ def packed(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one block of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]], counts: dict[int, int] | None = None):
+    def __init__(self, items: list[tuple[int | None, str | None]], counts: dict[int, int] | None = None):
         self.ids, self.shingles, self.words = [], [], []
-        for item_id, text in sorted(items, key=lambda x: (x[0], x[1])):
+        for item_id, text in sorted(set(items), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             words, _ = word_hashes([(text or "").lower()], punctuation=False)
             if len(words):
                 self.ids.append(item_id)
@@ -84,6 +89,13 @@ class Index:
         self.roots = np.maximum(1, np.rint(_UNIT * np.sqrt(self.weights))).astype(np.int64)
         self.prints = np.array([packed(self.weighted_bits(x).sum(axis=0))[0] for x in self.shingles], dtype=np.uint64)
         self.lengths = sorted(set(self.words))
+        self.words_of = np.array(self.words, dtype=np.int64)
+        # the items of each shingle, one list after the other
+        pairs = [np.unique(np.searchsorted(self.vocabulary, x)) for x in self.shingles]
+        at = np.concatenate([np.zeros(0, dtype=np.int64), *pairs]).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        self.having = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])[order].astype(np.int32)
+        self.having_at = np.searchsorted(at[order], np.arange(len(self.vocabulary) + 1))
         #: by length: its items, and for each block which of them lie next to each value of the block
         self.tables: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
         for n in self.lengths:
@@ -121,57 +133,76 @@ class Index:
         weight = np.where(b > 0, self.weights[at], 1.0)
         return float((np.minimum(a, b) * weight).sum() / (np.maximum(a, b) * weight).sum())
 
-    def candidates(self, prints: np.ndarray, n: int) -> list[tuple[int, int]]:
-        """(window, item) pairs of which the fingerprints are within RADIUS."""
+    def items_with(self, values: np.ndarray) -> np.ndarray:
+        """The items that have one of these known shingles."""
+        at = np.unique(np.searchsorted(self.vocabulary, values))
+        if len(at) == 1:
+            return self.having[self.having_at[at[0]] : self.having_at[at[0] + 1]]
+        low = self.having_at[at]
+        return np.unique(self.having[ranges(low, self.having_at[at + 1] - low)])
+
+    def candidates(self, prints: np.ndarray, n: int, items: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """(window, item) pairs of which the fingerprints are within RADIUS, among (some) items of n words."""
         own, near = self.tables[n]
-        found = np.zeros((len(prints), len(own)), dtype=bool)
+        column = np.arange(len(own)) if items is None else np.searchsorted(own, items)
+        found = np.zeros((len(prints), len(column)), dtype=bool)
         for low, high, table in zip(_EDGES[:-1], _EDGES[1:], near, strict=True):
-            found |= table[((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)]
+            value = ((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+            found |= table[value[:, None], column]
         window, item = np.nonzero(found)
-        close = np.bitwise_count(prints[window] ^ self.prints[own[item]]) <= RADIUS
-        return list(zip(window[close].tolist(), own[item[close]].tolist(), strict=True))
+        item = own[column[item]]
+        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        return list(zip(window[close].tolist(), item[close].tolist(), strict=True))
 
     def matches(self, words: np.ndarray, values: np.ndarray, hits: np.ndarray, k: int) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of one text's best window for each item found."""
         best: dict[int, tuple[float, int, int]] = {}
-        for n in self.lengths:
-            if min(n, SHINGLE) != k:
-                continue
-            size = min(n, len(words))
-            span = size - k + 1  # shingles of a window
-            starts = np.unique(np.concatenate([hits - j for j in range(span)]))
-            starts = starts[(starts >= 0) & (starts + span <= len(values))]
-            # runs of starts with what their windows cover
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
-                for at in range(0, len(run), 4096):
-                    part = run[at : at + 4096]
-                    low, high = part[0], part[-1] + span
-                    sums = np.zeros((high - low + 1, 64), dtype=np.int64)
-                    np.cumsum(self.weighted_bits(values[low:high]), axis=0, out=sums[1:])
-                    prints = packed(sums[part - low + span] - sums[part - low])
-                    for w, item in self.candidates(prints, n):
-                        score = self.similarity(values[part[w] : part[w] + span], item)
-                        if score >= SIMILARITY and score > best.get(item, (0.0,))[0]:
-                            best[item] = (score, int(part[w]), size)
+        # hits that no window has together are looked at apart
+        for near in np.split(hits, np.flatnonzero(np.diff(hits) > self.lengths[-1]) + 1):
+            items = self.items_with(values[near])
+            for n in np.unique(self.words_of[items]).tolist():
+                if min(n, SHINGLE) != k:
+                    continue
+                own = items[self.words_of[items] == n]
+                size = min(n, len(words))
+                span = size - k + 1  # shingles of a window
+                starts = np.unique(np.concatenate([near - j for j in range(span)]))
+                starts = starts[(starts >= 0) & (starts + span <= len(values))]
+                step = max(64, min(4096, MOST_CELLS // len(own)))
+                # runs of starts with what their windows cover
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
+                    for at in range(0, len(run), step):
+                        part = run[at : at + step]
+                        low, high = part[0], part[-1] + span
+                        sums = np.zeros((high - low + 1, 64), dtype=np.int64)
+                        np.cumsum(self.weighted_bits(values[low:high]), axis=0, out=sums[1:])
+                        prints = packed(sums[part - low + span] - sums[part - low])
+                        for w, item in self.candidates(prints, n, own):
+                            score = self.similarity(values[part[w] : part[w] + span], item)
+                            if score >= SIMILARITY and score > best.get(item, (0.0,))[0]:
+                                best[item] = (score, int(part[w]), size)
         for item, (score, start, size) in sorted(best.items()):
             yield item, score, start, size
 
 
-def find_matches(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, float, int, int]]:
+def find_matches(texts: list[str | None], indexes: list[Index]) -> Iterator[tuple[int, int | None, float, int, int]]:
     """(text, item id, similarity, first word, words) of every match of some texts."""
     words, owner = word_hashes([(x or "").lower() for x in texts], punctuation=False)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for k in sorted({min(n, SHINGLE) for n in index.lengths}):
+    for k in sorted({min(n, SHINGLE) for index in indexes for n in index.lengths}):
         if len(words) < k:
             continue
         values = shingles(words, k)
         one_text = owner[: len(values)] == owner[k - 1 :]
-        hits = np.flatnonzero(index.known(values) & one_text)
-        for i in np.unique(owner[hits]):
-            a, b = bounds[i], bounds[i + 1]
-            own = hits[slice(*np.searchsorted(hits, [a, b]))] - a
-            for item, score, start, size in index.matches(words[a:b], values[a : b - k + 1], own, k):
-                yield int(i), index.ids[item], score, start, size
+        for index in indexes:
+            if not len(index.vocabulary):
+                continue
+            hits = np.flatnonzero(index.known(values) & one_text)
+            for i in np.unique(owner[hits]):
+                a, b = bounds[i], bounds[i + 1]
+                own = hits[slice(*np.searchsorted(hits, [a, b]))] - a
+                for item, score, start, size in index.matches(words[a:b], values[a : b - k + 1], own, k):
+                    yield int(i), index.ids[item], score, start, size
 
 
 def item_counts(items: DataFrame, wanted: np.ndarray) -> dict[int, int]:
@@ -188,31 +219,45 @@ def item_counts(items: DataFrame, wanted: np.ndarray) -> dict[int, int]:
     return {r["v"] % (1 << 64): r["n"] for r in rows}
 
 
+def _dealt(items: DataFrame) -> tuple[DataFrame, int]:
+    """The items with a block each, and the number of blocks: doubled until the sizes of all are in bounds."""
+    key = F.xxhash64(F.lit("block"), "item_id", "text")
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = 1 + int(max(n // MOST_ITEMS, size // MOST_BYTES))
+    while True:
+        dealt = items.withColumn("block", F.pmod(key, F.lit(blocks)).cast("int"))
+        too_large = (F.col("n") > MOST_ITEMS) | (F.col("size") > MOST_BYTES)
+        if blocks >= 2 * n or dealt.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).filter(too_large & (F.col("n") > 1)).isEmpty():
+            return dealt, blocks
+        blocks *= 2
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: the best window of each document for each item it has."""
+    """doc_id, item_id, similarity, first_word, n_words, key: the best window of each document for each item it has; the key is xxhash64 of the text."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = 1 + max(n // MOST_ITEMS, size // MOST_BYTES)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null").distinct()
+    dealt, blocks = _dealt(items)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).filter("text is not null")
+    schema = "doc_id long, item_id long, similarity double, first_word long, n_words long, key long"
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def index_of(block: int):
+        own = [tuple(x) for x in dealt.filter(F.col("block") == block).select("item_id", "text").collect()]
+        index = Index(own)
+        if blocks > 1 and len(index.vocabulary):
+            index = Index(own, item_counts(items, index.vocabulary))
+        return spark.sparkContext.broadcast(index)
 
-    def against(index) -> DataFrame:
+    def against(indexes: list) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                ids, texts, out = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
+                ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
+                out = []
                 for a, b in text_batches(texts):
-                    out += [(ids[a + i], *x) for i, *x in find_matches(texts[a:b], index.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
+                    out += [(ids[a + i], *x, keys[a + i]) for i, *x in find_matches(texts[a:b], [x.value for x in indexes])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
         return rows.mapInArrow(search, schema)
 
-    parts = []
-    for block in range(blocks):
-        # a block is bounded by MOST_ITEMS and MOST_BYTES on average
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        index = Index([tuple(x) for x in own])
-        if blocks > 1 and len(index.vocabulary):
-            index = Index([tuple(x) for x in own], item_counts(items, index.vocabulary))
-        parts.append(against(spark.sparkContext.broadcast(index)))
+    parts = [against([index_of(x) for x in range(at, min(at + MOST_BLOCKS, blocks))]) for at in range(0, blocks, MOST_BLOCKS)]
     return reduce(DataFrame.unionByName, parts)

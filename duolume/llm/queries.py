@@ -60,7 +60,7 @@ def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import benchmark_matches
 
-    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

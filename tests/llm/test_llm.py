@@ -406,6 +406,32 @@ def test_decontaminate_in_blocks(spark, docs, empty, monkeypatch):
     assert D.benchmark_matches(empty, items).count() == 0 and D.benchmark_matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontaminate_odd_items(spark, monkeypatch):
+    from duolume.llm import decontaminate as D
+
+    a, b = prose(20), prose(20)
+    items = spark.createDataFrame([(1, a), (1, a), (1, b), (None, b), (None, None), (None, ""), (5, None), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(3, "x " + a), (3, b), (None, "y " + a), (4, None)], "doc_id long, text string")
+    for most in (20_000, 1):
+        monkeypatch.setattr(D, "MOST_ITEMS", most)
+        got = sorted((str(r["doc_id"]), str(r["item_id"]), r["first_word"]) for r in D.benchmark_matches(docs, items).collect())
+        assert got == [("3", "1", 0), ("3", "1", 1), ("3", "None", 0), ("None", "1", 1)]
+
+
+def test_time_follows_shared_shingles_not_items():
+    from duolume.llm import decontaminate as D
+
+    rng = random.Random(2)
+    items = [(i, prose(20, rng)) for i in range(3000)]
+    index = D.Index(items)
+    calls = []
+    own = index.candidates
+    index.candidates = lambda prints, n, some=None: calls.append(len(prints) * len(some)) or own(prints, n, some)
+    texts = [f"{prose(30, rng)} {items[i * 50][1]} {prose(30, rng)}" for i in range(20)]
+    assert {(i, item) for i, item, *_ in D.find_matches(texts, [index])} == {(i, i * 50) for i in range(20)}
+    assert sum(calls) < 20 * 40 * 5
+
+
 def test_documents_shorter_than_an_item(spark):
     from duolume.llm.decontaminate import benchmark_matches
 
