@@ -560,9 +560,9 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, p: int = 80, q: int =
 
 
 def repeated_documents(docs: DataFrame, n_words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key: the rows (by keyed_rows) that aren't their component's first: smallest id, then smallest key; null ids come last."""
+    """doc_id, key, kept: the rows (by keyed_rows) that aren't their component's first (smallest id, then key; null ids come last), and firsts of which there are equal rows (kept)."""
     rows = _labelled(*jaccard_roots(docs, n_words, p, q, id_col, text_col)).filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    named = rows.withColumnRenamed("first_node", "component")
-    first = named.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return named.join(first, "component").filter(order != F.col("first")).select("doc_id", "key").distinct()
+    rows = rows.groupBy("first_node", "doc_id", "key").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("first_node").agg(F.min(order).alias("first"), F.sum("copies").alias("n")).filter("n > 1")
+    return rows.join(first, "first_node").withColumn("kept", order.eqNullSafe(F.col("first"))).filter("copies > 1 or not kept").select("doc_id", "key", "kept")
