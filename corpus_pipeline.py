@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage is an operator of duolume.llm, written as Parquet and read again by the next."""
+"""A corpus pipeline: each stage is an operator of duolume.llm, written as Parquet and read again by the next.
+
+Documents are known by id and text, so repeated or null ids drop only the rows that are meant; rows equal
+in both are one document to near_duplicates, which keeps one of them. Null texts have no language and go in the
+first stage. Columns are those of the input, whatever their names. Empty tables pass all stages.
+"""
 
 from __future__ import annotations
 
@@ -13,33 +18,50 @@ MOST_BROADCAST = 2_000_000
 LEAST_SCORE = 0.4
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of which the id isn't among these; documents are only shuffled if the ids are many."""
-    ids = materialize(ids.distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
+def _same(docs: DataFrame, found: DataFrame):
+    """Whether a row of `found` (doc_id, key: hash of the text) names a document."""
+    return docs["doc_id"].eqNullSafe(found["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(found["key"])
+
+
+def _small(found: DataFrame) -> DataFrame:
+    """A table to be joined to documents; they are only shuffled if it is large."""
+    found = materialize(found, "dropped")
+    return F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    found = _small(found.select("doc_id", "key").distinct())
+    return docs.join(found, _same(docs, found), "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or no language that is likely enough."""
     from duolume.llm.language_id import UNKNOWN, predict, train
 
-    known = predict(docs, train(docs), lang="__lang_pred", score="__lang_score")
-    return known.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = (next(x for x in (f"{name}{'_' * k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("lang_pred", "lang_score"))
+    known = predict(docs, train(docs), lang=lang, score=score)
+    return known.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (five words, similarity 0.8)."""
-    from duolume.llm.jaccard_join import jaccard_components
+    from duolume.llm.jaccard_join import repeated_documents
 
-    groups = jaccard_components(docs, n_words=5, p=80, q=100)
-    return _without(docs, groups.filter("doc_id <> component_id").select("doc_id"))
+    found = materialize(repeated_documents(docs, n_words=5, p=80, q=100), "repeated")
+    kept = _without(docs, found)
+    twice = found.filter("kept")
+    if twice.isEmpty():
+        return kept
+    # rows that are equal in id and text
+    twice = _small(twice)
+    return kept.unionByName(docs.join(twice, _same(docs, twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     from duolume.llm.decontaminate import benchmark_matches
 
-    return _without(docs, benchmark_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    return _without(docs, benchmark_matches(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
