@@ -4,16 +4,16 @@ Texts are lower-cased and runs of anything but letters become one space. All
 character n-grams (1 to 4) of the whole text are hashed into BUCKETS. A model is
 a matrix of log probabilities, languages by buckets, with add-one smoothing; it
 is broadcast (its size is languages * BUCKETS * 4 bytes, and at most MAX_LANGS
-languages are learned). Scoring is a sparse matrix product: the matrix rows of
+languages are learned). Priors are the shares of languages among all labelled documents. Scoring is a sparse matrix product: the matrix rows of
 all n-grams of a batch of texts are gathered and summed for each text.
 
 Training reads at most `max_training_docs` labelled documents of each language
-(whole texts), chosen by a hash of the id.
+(whole texts), chosen by a hash of id and text. A very long text is looked at in parts.
 
 Null texts and texts without letters: `und`, score 0. An empty training set
 gives `und` for everything. Ties go to the language that sorts first. Repeated
-rows are scored alike. Columns with clashing names are not touched: the result
-is made of id and prediction only, or of all input columns plus two new ones.
+rows are scored alike. The result has all input columns, or the named ones, plus two new ones, which take the place
+of input columns of the same name.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ def clean(text: str | None) -> str:
     return f" {got} " if any(map(str.isalpha, got)) else ""
 
 
-def buckets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def buckets_of(texts: list[str], starts: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of some texts, and the number of n-grams of each text.
 
     n-grams of one order stand together, so the second value has a row for each order.
+    Of a single text, those that start before `starts` can be taken only.
     """
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
@@ -67,28 +68,35 @@ def buckets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = (h[:m] ^ codes[n - 1 :]) * _MIX
         h ^= h >> np.uint32(15)
         if n in ORDERS:
-            found.append((h[last[:m] >= n] ^ np.uint32(n)) & np.uint32(BUCKETS - 1))
-        counts.append(np.maximum(lengths - n + 1, 0) if n in ORDERS else np.zeros(len(texts), dtype=np.int64))
+            found.append((h[: min(m, starts)][last[: min(m, starts)] >= n] ^ np.uint32(n)) & np.uint32(BUCKETS - 1))
+        counts.append(np.clip(lengths - n + 1, 0, starts) if n in ORDERS else np.zeros(len(texts), dtype=np.int64))
     return (np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)), np.array([c for n, c in enumerate(counts, 1) if n in ORDERS])
 
 
-def _batches(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of some length together, with the place of the first."""
-    at, size = 0, 0
+def _batches(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Buckets and counts of runs of texts of some length together, with the place of the first; a longer text comes in parts."""
+    at, size, held = 0, 0, []
     for i, x in enumerate(texts):
+        if len(x) > most:
+            if held:
+                yield at, *buckets_of(held)
+            for start in range(0, len(x), most):
+                yield i, *buckets_of([x[start : start + most + max(ORDERS) - 1]], most)
+            at, size, held = i + 1, 0, []
+            continue
+        held.append(x)
         size += len(x)
         if size >= most:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+            yield at, *buckets_of(held)
+            at, size, held = i + 1, 0, []
+    if held:
+        yield at, *buckets_of(held)
 
 
 def score_texts(texts: list[str], log_probs: np.ndarray, priors: np.ndarray) -> np.ndarray:
     """Log posteriors without the common term: a row for each (cleaned) text."""
     out = np.tile(priors, (len(texts), 1))
-    for at, part in _batches(texts):
-        buckets, counts = buckets_of(part)
+    for at, buckets, counts in _batches(texts):
         flat = counts.ravel()
         full = np.flatnonzero(flat)
         if not len(full):
@@ -97,7 +105,7 @@ def score_texts(texts: list[str], log_probs: np.ndarray, priors: np.ndarray) ->
         for lang in range(log_probs.shape[0]):
             sums = np.zeros(len(flat))
             sums[full] = np.add.reduceat(log_probs[lang][buckets], starts, dtype=np.float64)
-            out[at : at + len(part), lang] += sums.reshape(counts.shape).sum(axis=0)
+            out[at : at + counts.shape[1], lang] += sums.reshape(counts.shape).sum(axis=0)
     return out
 
 
@@ -110,15 +118,15 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         return [], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros(0)
     share = {x["lang"]: min(1.0, max_training_docs / x["n"]) for x in totals}
     keep = F.create_map(*[y for k, v in share.items() for y in (F.lit(k), F.lit(int(v * (1 << 30))))])
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < F.element_at(keep, F.col("lang")))
+    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) < F.element_at(keep, F.col("lang")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(langs), BUCKETS), dtype=np.int64)
         at = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                for _, part in _batches([clean(x) for x in texts]):
-                    sums[at[lang]] += np.bincount(buckets_of(part)[0], minlength=BUCKETS)
+                for _, buckets, _ in _batches([clean(x) for x in texts]):
+                    sums[at[lang]] += np.bincount(buckets, minlength=BUCKETS)
         i, j = np.nonzero(sums)
         yield pd.DataFrame({"lang": i.astype(np.int32), "bucket": j.astype(np.int32), "n": sums[i, j]})
 
@@ -127,14 +135,15 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     sums = np.ones((len(langs), BUCKETS))
     sums[got["lang"], got["bucket"]] += got["n"]
     log_probs = np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32)
-    return langs, log_probs, np.full(len(langs), -np.log(len(langs)))
+    priors = np.array([{x["lang"]: x["n"] for x in totals}[k] for k in langs], dtype=float)
+    return langs, log_probs, np.log(priors / priors.sum())
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", *, lang: str = "lang_pred", score: str = "score", returned: list[str] | None = None) -> DataFrame:
     """All input columns (or the named ones) plus the language and its posterior probability."""
     langs, log_probs, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((log_probs, priors))
-    kept = docs.columns if returned is None else returned
+    kept = [x for x in (docs.columns if returned is None else returned) if x not in (lang, score)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ A page's lines are its HTML cut at line breaks and at the tags of blocks, withou
 outer white space. For each host, the pages that contain a line are divided by
 the host's pages; lines above a ratio are dropped from that host's pages.
 
+Lines and pages are known by 64-bit hashes. A host is a URL's without user and port, in lower case.
 Only (host, line hash) pairs are shuffled, once for each page that has them, and
 pre-aggregated. The lines to drop are few; they are copied over SALTS salts, so a
 host or line that most pages share is looked up by many tasks. Texts move
@@ -11,7 +12,7 @@ once, by page.
 
 Hosts with fewer than `least_pages` pages keep all lines. Null HTML has no lines;
 a null or odd URL has the empty host. Repeated rows count as pages of their own,
-and get equal results. Empty tables give an empty result. The result has the named
+and get equal results; null ids are ids like others, and input columns of any name do no harm. Empty tables give an empty result. The result has the named
 columns only.
 """
 
@@ -27,11 +28,12 @@ SALTS = 16
 BLOCK_TAGS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:\s[^>]*)?/?>"
 HIDDEN = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>"
 ANY_TAG = r"<[^>]*>"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 WHITE = r"[ \t\x0B\f\r]+"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
 def lines_of(html: Column) -> Column:
@@ -48,8 +50,10 @@ def drop_site_lines(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5,
     seen = rows.select("page", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
     totals = rows.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     often = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
-    often = often.join(totals, "host").filter(F.col("n") > ratio * F.col("pages"))
-    salted = often.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # a host may have most of the lines: they meet its total under many salts
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    often = often.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int")).join(totals.select("host", "pages", every_salt), ["host", "salt"]).filter(F.col("n") > ratio * F.col("pages"))
+    salted = often.select("host", "line", every_salt)
     dropped = seen.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"]).groupBy("page").agg(F.collect_set("line").alias("drop"))
     kept = F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x)))
     out = rows.join(dropped, "page", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<long>"))).withColumn("kept", kept)
@@ -58,7 +62,7 @@ def drop_site_lines(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5,
 
 ORACLE = r"""
 WITH rows AS (
-  SELECT page_id, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '') AS host, row_number() OVER () AS page,
+  SELECT page_id, coalesce(lower(regexp_extract(url, '{host}', 1)), '') AS host, row_number() OVER () AS page,
     list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '{block}', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
   FROM pages),
@@ -68,4 +72,4 @@ often AS (SELECT host, line FROM seen JOIN totals USING (host) GROUP BY host, li
 dropped AS (SELECT page, list(line) AS gone FROM seen JOIN often USING (host, line) GROUP BY page),
 kept AS (SELECT r.page_id, r.host, r.lines, list_filter(r.lines, lambda x: NOT list_contains(coalesce(d.gone, []), x)) AS kept FROM rows r LEFT JOIN dropped d USING (page))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS kept FROM kept
-""".replace("{block}", BLOCK_TAGS)
+""".replace("{block}", BLOCK_TAGS).replace("{host}", HOST)

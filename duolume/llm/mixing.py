@@ -1,8 +1,10 @@
 """Operator 2: mixing sources to target weights by Pareto order sampling.
 
 Each source gets a target number of words by water-filling (weights, and a cap
-of some times its own size). A document's expected copies are target / size of
-its source (times its own relative weight, if a weight column is given). Whole
+of some times its own size). Within a source, a document's expected copies are level * odds, at most the cap:
+odds grow with the fourth root of its length (a document sixteen times as long is twice as likely), or by a
+weight column; the level is water-filled as well, so that expected words meet the target. Odds are
+rounded to eighths of an octave, which keeps the table of levels small. Whole
 copies are certain; the rest is an inclusion probability p. Documents are then
 ranked by [u / (1 - u)] / [p / (1 - p)], u being a uniform number made from the
 id, and the first of them are taken until the source's words are used up: the
@@ -15,8 +17,9 @@ document whose addition or removal brings the source nearest to its target is
 changed at the end.
 
 Null or empty texts have size 0 and are taken 0 times. Null sources are a source
-(the last). Repeated rows have equal ranks and are taken together. Empty tables
-give an empty result. The result has the named columns only.
+(the last). Rows with equal ids and sizes have equal ranks and are taken together, the last change included, so a source
+that mostly consists of such rows may miss its target by some of them; so do null ids of one size. Weights of 0 or less and
+null weights count as the smallest odds. Empty tables give an empty result. The result has the named columns only.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, word_count
 
 BINS = 1024
+#: Odds of a document grow with this power of its words.
+LENGTH_POWER = 0.25
 #: Sources whose plan is broadcast; with more, documents are joined to it by source.
 MOST_BROADCAST = 100_000
 
@@ -59,6 +64,17 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
     return per.withColumn("reached", reached).select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("reached") * F.col("weight")).alias("target"))
 
 
+def odds_levels(sized: DataFrame, per: DataFrame, cap: float) -> DataFrame:
+    """s (source), level: where expected copies min(cap, level * odds) give the target; null if all are at the cap. A row for each source and odds is all that is ordered."""
+    rows = sized.groupBy("source", "own_weight").agg(F.sum("size").alias("n")).filter("n > 0").join(per.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
+    order = Window.partitionBy("source").orderBy(F.desc("own_weight"))
+    left = F.col("target") - F.lit(float(cap)) * F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = left / F.sum(F.col("n") * F.col("own_weight")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("level", level).withColumn("at", F.row_number().over(order)).withColumn("full", F.col("level") * F.col("own_weight") >= F.lit(float(cap)))
+    first = rows.groupBy("source").agg(F.min(F.when(~F.col("full"), F.struct("at", "level"))).alias("m"))
+    return per.select(F.col("source").alias("s")).join(first, F.col("s").eqNullSafe(F.col("source")), "left").select("s", F.col("m.level").alias("level"))
+
+
 def _cut(rows: DataFrame, bin_col: str) -> DataFrame:
     """For each source, the bin in which its words run out, and the words in the bins before."""
     bins = rows.groupBy("source", bin_col).agg(F.sum("size").alias("n"), F.first("need").alias("need"))
@@ -72,8 +88,7 @@ def _ranked(rows: DataFrame, plan: DataFrame, cap: float, seed: str) -> DataFram
     """Adds whole copies, the inclusion probability of one more, and the Pareto rank as a number in (0, 1)."""
     named = plan.withColumnRenamed("source", "s")
     rows = rows.join(F.broadcast(named) if plan.count() <= MOST_BROADCAST else named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    own = F.coalesce(F.col("own_weight") / F.col("mean_weight"), F.lit(1.0))
-    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size") * own, F.lit(float(cap)))).otherwise(F.lit(0.0))
+    expected = F.when(F.col("source_size") > 0, F.least(F.coalesce(F.col("level") * F.col("own_weight"), F.lit(float(cap))), F.lit(float(cap)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole")).withColumn("u", uniform(F.col("doc_id"), seed))
     # [u / (1 - u)] / [p / (1 - p)], brought to (0, 1) in the same order
     return rows.withColumn("rank", (F.col("u") * (1 - F.col("p"))) / (F.col("u") * (1 - F.col("p")) + F.col("p") * (1 - F.col("u"))))
@@ -91,8 +106,7 @@ def mix_plan(sized: DataFrame, weights: list[float], share: float, cap: float, s
     `sized` has doc_id, source, size, own_weight.
     """
     per = source_targets(sized, weights, share, cap)
-    mean = sized.groupBy(F.col("source").alias("s")).agg((F.sum(F.col("own_weight") * F.col("size")) / F.sum("size")).alias("mean_weight"))
-    per = materialize(per.join(mean, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
+    per = materialize(per.join(odds_levels(sized, per, cap), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-targets")
     rows = _ranked(sized, per, cap, seed)
 
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("all")).select(F.col("source").alias("s"), (F.col("all") - F.col("certain")).alias("need"))
@@ -135,8 +149,13 @@ def with_copies(sized: DataFrame, plan: DataFrame, cap: float, seed: str) -> Dat
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("own_weight"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(weight_col).cast("double") if weight_col else F.lit(None).cast("double")).alias("own_weight"))
+    return rows.withColumn("own_weight", odds(F.coalesce("own_weight", F.lit(0.0)) if weight_col else F.pow(F.col("size") + 1, F.lit(LENGTH_POWER))))
+
+
+def odds(weight: Column) -> Column:
+    """A weight rounded to eighths of an octave, between 2^-30 and 2^30."""
+    return F.pow(F.lit(2.0), F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.coalesce(F.round(F.when(weight > 0, F.log2(weight)) * 8) / 8, F.lit(-30.0)))))
 
 
 def pareto_mix(docs: DataFrame, weights: list[float], share: float, cap: float, seed: str = "mix", **columns: str) -> DataFrame:
@@ -150,6 +169,6 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float, cap: fl
     """The documents themselves, each as many times as the mix takes it, with their own columns."""
     sized = materialize(sizes(docs), "mix-sizes")
     plan = mix_plan(sized, weights, share, cap, seed)
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(1.0).alias("own_weight"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("own_weight", odds(F.pow(F.col("size") + 1, F.lit(LENGTH_POWER))))
     rows = with_copies(own, plan, cap, seed).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -194,6 +194,58 @@ def test_mix_weights_change_the_odds(spark):
     assert n[0] > 1.8 * n[1]
 
 
+def brute_draw(rows, weights, share, cap):
+    """Copies of each (doc_id, size, source): levels by bisection, every document ranked, cut, last change."""
+    sizes = defaultdict(int)
+    for _, n, source in rows:
+        sizes[source] += n
+    out, targets = {}, targets_by_rounds(sizes, weights, share, cap)
+    for source in sizes:
+        own = [(d, n, 2 ** (round(np.log2((n + 1) ** 0.25) * 8) / 8)) for d, n, s in rows if s == source]
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(cap, mid * w) * n for _, n, w in own) < targets[source] else (low, mid)
+        ranked = []
+        for d, n, w in own:
+            expected = min(cap, high * w)
+            whole = int(expected + 1e-9)
+            p = max(0.0, expected - whole)
+            u = (int(hashlib.md5(f"mix|{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            out[d] = whole
+            if p > 1e-9 and n:
+                ranked.append((u * (1 - p) / (u * (1 - p) + p * (1 - u)), d, n))
+        need, taken, before = targets[source] - sum(out[d] * n for d, n, _ in own), set(), 0
+        for _, d, n in sorted(ranked):
+            if before + n / 2 > need:
+                break
+            taken.add(d)
+            before += n
+        gap = need - before
+        off = lambda d, n: abs(gap - (-n if d in taken else n))
+        best = min(((off(d, n), rank, d) for rank, d, n in ranked if (d in taken) == (gap < 0) and off(d, n) < abs(gap)), default=None)
+        if best:
+            taken ^= {best[2]}
+        for d in taken:
+            out[d] += 1
+    return out
+
+
+def test_mix_against_a_brute_force_draw(spark):
+    from duolume.llm.mixing import pareto_mix
+
+    rng = random.Random(21)
+    rows = [(i, min(400, int(rng.paretovariate(0.9))), rng.choice(["a", "b", "c", "c", None, "d"])) for i in range(1500)]
+    df = spark.createDataFrame([(d, " ".join(["w"] * n), None, s, 0) for d, n, s in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in pareto_mix(df, [3, 1, 2], 1.5, 2.0).collect()}
+    want = brute_draw(rows, [3, 1, 2], 1.5, 2.0)
+    assert {d: r["copies"] for d, r in got.items()} == {d: want[d] if n else got[d]["copies"] for d, n, _ in rows}
+    # longer documents are likelier
+    part = [(d, n) for d, n, s in rows if s == "c"]
+    mean = lambda some: np.mean([got[d]["copies"] for d, _ in some])
+    assert mean([x for x in part if x[1] >= 16]) > 1.2 * mean([x for x in part if 1 <= x[1] <= 2])
+
+
 def test_mix_odd_rows(docs, empty):
     from duolume.llm.mixing import mixed_documents, pareto_mix
 
@@ -282,6 +334,45 @@ def test_shards_odd_rows(docs, empty):
     assert shard_documents(docs, 16).count() == len(ROWS) and shard_documents(empty, 16).count() == 0
 
 
+def test_shards_against_brute_force(spark, monkeypatch):
+    """Every group placed one by one in plain Python, as all groups are over the bound of light ones."""
+    from duolume.llm import sharding as S
+
+    monkeypatch.setattr(S, "GRAIN", 10**6)
+    rng = random.Random(23)
+    rows = [(i, prose(rng.randint(1, 40), rng), None, None, 0) for i in range(90)]
+    rows += [(200 + i, rows[i % 7][1], None, None, 0) for i in range(20)]
+    got = {r["doc_id"]: r["shard"] for r in S.shard_documents(spark.createDataFrame(rows, SCHEMA), 3).collect()}
+    groups = defaultdict(lambda: [0, 0, 0])
+    for _, t, *_ in rows:
+        for k, n in enumerate((len(t.encode()) + 1, len(t.split()), 1)):
+            groups[t][k] += n
+    total = [sum(g[k] for g in groups.values()) for k in range(3)]
+    vector = {t: [x / y for x, y in zip(g, total, strict=True)] for t, g in groups.items()}
+    weigh = lambda v: sum(w * x for w, x in zip(S.WEIGHTS, v, strict=True))
+    left, own = [[1 / 3] * 3 for _ in range(3)], {}
+    for t in sorted(vector, key=lambda t: -weigh(vector[t])):
+        own[t] = max(range(3), key=lambda s: weigh([a * b for a, b in zip(left[s], vector[t], strict=True)]))
+        left[own[t]] = [a - b for a, b in zip(left[own[t]], vector[t], strict=True)]
+    ties = len(vector) - len({round(weigh(v), 12) for v in vector.values()})
+    assert ties or {i: own[t] for i, t, *_ in rows} == got
+    sums = np.zeros((3, 3))
+    for i, t, *_ in rows:
+        sums[got[i]] += [len(t.encode()) + 1, len(t.split()), 1]
+    assert (sums.max(axis=0) / sums.min(axis=0) < [1.05, 1.3, 1.5]).all()
+
+
+def test_shards_with_equal_and_null_ids(spark):
+    from duolume.llm.sharding import shard_documents
+
+    rows = [(None, "a b", None, None, 0), (None, "a b", None, None, 0), (1, "a b", None, None, 0), (1, None, None, None, 0), (1, None, None, None, 0)]
+    got = shard_documents(spark.createDataFrame(rows, SCHEMA), 2).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 5 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_placement_balances_all_measures():
     from duolume.llm.sharding import place_vectors
 
@@ -321,6 +412,31 @@ def test_language_scores_are_sums_of_log_probabilities():
     assert len(L.buckets_of(["abcd"])[0]) == 4 + 3 + 2 + 1 and len(L.buckets_of(["ab", "abcd"])[0]) == 3 + 10
 
 
+def test_language_counts_and_long_texts(spark, monkeypatch):
+    """Training counts and scores by plain counting of whole texts."""
+    from collections import Counter
+
+    from duolume.llm import language_id as L
+
+    rng = random.Random(4)
+    rows = [(i, prose(rng.randint(1, 30), rng), "pq"[i % 3 > 0], None, 0) for i in range(40)] + [(None, "zz top", "q", None, 0), (None, "zz top", "q", None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    langs, log_probs, priors = L.train(df)
+    for k, lang in enumerate(langs):
+        n = Counter(x for _, t, own, *_ in rows if own == lang for x in L.buckets_of([L.clean(t)])[0].tolist())
+        want = np.ones(L.BUCKETS)
+        for x, m in n.items():
+            want[x] += m
+        assert np.allclose(log_probs[k], np.log(want / want.sum()), rtol=1e-5)
+        assert np.isclose(priors[k], np.log(sum(r[2] == lang for r in rows) / len(rows)))
+    long = L.clean(prose(3000))
+    whole = np.sort(L.buckets_of([long])[0])
+    parts = [b for _, b, _ in L._batches(["ab", long, "c"], 1000)]
+    assert (np.sort(np.concatenate(parts[1:-1])) == whole).all()
+    got = L.predict(df.withColumn("score", F.lit("mine")), (langs, log_probs, priors))
+    assert got.columns.count("score") == 1 and got.filter("score > 0").count() == len(rows)
+
+
 def test_language_without_training(docs, empty):
     from duolume.llm.language_id import predict, train
 
@@ -343,6 +459,17 @@ def test_site_lines(spark):
     assert drop_site_lines(df).count() == len(rows) and drop_site_lines(df.limit(0)).count() == 0
 
 
+def test_site_lines_hosts_and_clashing_columns(spark):
+    from duolume.llm.line_dedup import drop_site_lines, host_of
+
+    urls = {"http://u:p@Ex.com:8080/a": "ex.com", "https://ex.com?x": "ex.com", "ftp://[::1]:21/a": "[::1]", "http://a@b@c.org#x": "c.org", "mailto:x": "", None: ""}
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, url string")
+    assert {r["url"]: r["h"] for r in df.withColumn("h", host_of(F.col("url"))).collect()} == urls
+    rows = [(None if i == 3 else i, f"http://ex.com:{i}/", "<p>menu<p>own" + str(i)) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({x: F.lit(7) for x in ("host", "line", "page", "drop", "salt", "n")})
+    assert sorted(r["kept"] for r in drop_site_lines(pages).collect()) == [f"own{i}" for i in range(8)]
+
+
 # 7 ---- decontamination
 
 
@@ -502,6 +629,32 @@ def test_fingerprints(docs, empty):
     assert P.fingerprint_documents(docs.limit(1)).count() == 1
 
 
+def test_fingerprints_by_whole_numbers():
+    """Hashes and sketches by Python's integers, spans one by one."""
+    from duolume.llm import fingerprints as P
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % 2**64
+        return x ^ (x >> 31)
+
+    m = 2**31 - 1
+    for text in ("", "a", "short text", "é日本😀" * 9, prose(200), "ab" * 300):
+        codes = [ord(c) + 1 for c in text]
+        of = lambda part, base: sum(c * pow(base, j, m) for j, c in enumerate(part)) % m
+        k = min(P.SPAN, len(codes))
+        spans = {mixed((of(codes[i : i + k], P.BASES[0]) << 31) | of(codes[i : i + k], P.BASES[1])) >> 32 for i in range(len(codes) - k + 1)} if codes else set()
+        want = f"{len(codes):x}-{of(codes, P.BASES[0]):08x}{of(codes, P.BASES[1]):08x}-{''.join(f'{x:08x}' for x in sorted(spans)[: P.SKETCH])}"
+        assert P._Document(text).fingerprint == want
+
+
+def test_fingerprints_with_equal_and_null_ids(spark):
+    from duolume.llm import fingerprints as P
+
+    got = P.fingerprint_documents(spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == [("1", 1), ("1", 1), ("None", 0), ("None", 1)]
+
+
 def test_prefix_hashes():
     from duolume.llm import fingerprints as P
 
