@@ -3,23 +3,27 @@
 A small tree builder takes the events of Python's HTML tokenizer, closes what
 tags imply (paragraphs, list items, cells, rows, options), and ignores end tags without a
 start. Rendering walks the tree: invisible elements give nothing (scripts, styles,
-heads, hidden attributes, display:none); blocks stand on lines of their own,
+heads, hidden attributes, display:none, closed dialogs; with visibility:hidden, only descendants that are visible again show); blocks stand on lines of their own,
 with a blank line around paragraphs, headings, lists and tables; list items have
-bullets or numbers, indented by depth; cells of a table are aligned in columns;
-white space collapses, but not in preformatted text. Formulas, labels and titles
-of drawings and all options of a selection are inline text; as no scripts or plug-ins
-run, noscript, object and canvas show their content. Nothing visible is dropped, but
-for what a drawing only shows by reference (defs, symbol).
+bullets or numbers (start, value and reversed count), indented by depth; cells of a table are aligned in columns,
+which colspan and rowspan stretch over; white space collapses, but not in preformatted text. Formulas, labels and titles
+of drawings, values of fields and all options of a selection are inline text; as no scripts or plug-ins
+run, noscript, object and canvas show their content, and closed details do, as any reader can open them. Nothing visible is dropped, but
+for what a drawing only shows by reference (defs, symbol). Comments, declarations and tags without an end are
+what the HTML standard takes them for: they go on to the end of the page.
 
 Null HTML gives null text; empty pages give the empty text. Repeated rows give repeated
 results. Trees deeper than MOST_DEPTH are flattened from there on (text is
-kept). Empty tables give an empty result. All input columns but the HTML stay.
+kept). Empty tables give an empty result. All input columns but the HTML stay; one that is named like the
+result is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head script style template title meta link datalist iframe audio video".split())
+INVISIBLE = frozenset("head script style template title meta link datalist iframe audio video progress meter".split())
 #: Parts of drawings and formulas that show nothing where they stand.
 UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
 UNWRITTEN = frozenset("annotation annotation-xml".split())
@@ -43,26 +47,40 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 MOST_DEPTH = 200
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Fields that don't show their value, and elements of which the text is no markup.
+VALUELESS = frozenset("hidden checkbox radio password file color range image".split())
+RAW_TEXT = frozenset("textarea title".split())
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
+_COMMENT_END = re.compile(r"--!?>")
+_NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})")
+
+
+def _number(text: str | None, default: int) -> int:
+    found = _NUMBER.match(text or "")
+    return int(found[1]) if found else default
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "mute", "tag")
 
-    def __init__(self, tag: str, attrs: dict):
+    def __init__(self, tag: str, attrs: dict, mute: bool = False):
         self.tag, self.attrs, self.children = tag, attrs, []
+        found = _VISIBILITY.findall(attrs.get("style") or "")
+        #: whether its own text is invisible, though descendants may show
+        self.mute = found[-1].lower() != "visible" if found else mute
 
     @property
     def visible(self) -> bool:
-        return self.tag not in INVISIBLE and self.unhidden
+        return self.tag not in INVISIBLE and self.unhidden and not (self.tag == "dialog" and "open" not in self.attrs)
 
     @property
     def unhidden(self) -> bool:
-        return "hidden" not in self.attrs and self.attrs.get("aria-hidden") != "true" and not _HIDDEN_STYLE.search(self.attrs.get("style") or "")
+        return "hidden" not in self.attrs and not _NO_DISPLAY.search(self.attrs.get("style") or "")
 
 
 class TreeBuilder(HTMLParser):
@@ -88,10 +106,13 @@ class TreeBuilder(HTMLParser):
             self._close({"head"}, set())
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
+        node = Node(tag, dict(attrs), self.open[-1].mute)
+        if not (node.mute and tag in VOID):
+            self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < MOST_DEPTH:
             self.open.append(node)
+        if tag in RAW_TEXT and not self.foreign and not hasattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS"):
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,7 +129,37 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if self.cdata_elem in RAW_TEXT and not hasattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS"):
+            data = unescape(data)
+        if not self.open[-1].mute:
+            self.open[-1].children.append(data)
+
+    @property
+    def foreign(self) -> bool:
+        return any(x.tag in ("svg", "math") for x in self.open)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else -1
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        if self.rawdata.startswith("<![CDATA[", i) and self.foreign:
+            end = self.rawdata.find("]]>", i)
+            if end >= 0:
+                self.handle_data(self.rawdata[i + 9 : end])
+            return end + 3 if end >= 0 else -1
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def finish(self) -> None:
+        """The end of the page; a comment, declaration or tag that is open there shows nothing."""
+        if not self.cdata_elem and re.match(r"<[!?]|</?[A-Za-z]", self.rawdata):
+            self.rawdata = ""
+        self.close()
 
 
 class Lines:
@@ -147,7 +198,8 @@ def _inside(node: Node, depth: int = 0) -> list[str]:
 
 
 def _walk(node: Node, lines: Lines, depth: int) -> None:
-    count = int(node.attrs.get("start") or 1) if node.tag == "ol" and str(node.attrs.get("start") or 1).lstrip("-").isdigit() else 1
+    step = -1 if node.tag == "ol" and "reversed" in node.attrs else 1
+    count = _number(node.attrs.get("start"), 1 if step > 0 else sum(1 for x in node.children if not isinstance(x, str) and x.tag == "li"))
     for child in node.children:
         if isinstance(child, str):
             lines.text(child)
@@ -159,11 +211,10 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
             lines.line()
         elif tag == "hr":
             lines.space()
-        elif tag == "img":
-            lines.text(f" {child.attrs.get('alt') or ''} ")
-        elif tag in ("input", "button") and tag == "input":
-            if child.attrs.get("type") in ("submit", "button", "reset"):
-                lines.text(f" {child.attrs.get('value') or ''} ")
+        elif tag in ("img", "input"):
+            lines.text(_shown(child))
+        elif tag == "textarea":
+            lines.text(f" {_plain(child)} ")
         elif tag in EMBEDDED:
             lines.text(_embedded(child))
         elif tag == "table":
@@ -178,8 +229,9 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
             lines.space()
         elif tag == "li":
             lines.line()
+            count = _number(child.attrs.get("value"), count)
             mark = f"{count}. " if node.tag == "ol" else "- "
-            count += 1
+            count += step
             got = _inside(child, depth + 1)
             for i, row in enumerate(got):
                 lines.add((mark if i == 0 else " " * len(mark)) + row if row else row)
@@ -191,8 +243,44 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
             _walk(child, lines, depth)
 
 
+def _shown(node: Node) -> str:
+    """The inline text of an image or a field."""
+    kind = (node.attrs.get("type") or "").lower()
+    if node.tag == "img" or kind == "image":
+        return f" {node.attrs.get('alt') or ''} "
+    return f" {node.attrs.get('value') or node.attrs.get('placeholder') or ''} " if kind not in VALUELESS else ""
+
+
 def _plain(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else "\n" if x.tag == "br" else (_embedded if x.tag in EMBEDDED else _plain)(x) if x.visible else "" for x in node.children)
+    """Text with its white space; blocks stand on lines of their own."""
+    out: list[str] = []
+
+    def border() -> None:
+        last = next((x for x in reversed(out) if x), "\n")
+        if not last.endswith("\n"):
+            out.append("\n")
+
+    for x in node.children:
+        if isinstance(x, str):
+            out.append(x)
+        elif not x.visible:
+            continue
+        elif x.tag == "br":
+            out.append("\n")
+        elif x.tag in ("img", "input"):
+            out.append(_shown(x).strip(" "))
+        elif x.tag in EMBEDDED:
+            out.append(_embedded(x))
+        elif x.tag == "table":
+            border()
+            out.append("\n".join(_table(x, 0)) + "\n")
+        elif x.tag in BLOCKS:
+            border()
+            out.append(_plain(x))
+            border()
+        else:
+            out.append(_plain(x))
+    return "".join(out)
 
 
 def _embedded(node: Node) -> str:
@@ -243,36 +331,77 @@ def _options(node: Node) -> str:
     return "".join(out)
 
 
-def _rows(node: Node) -> Iterator[Node | str]:
+def _rows(node: Node, section: int = 1) -> Iterator[tuple[int, Node | str]]:
+    """Rows and loose content, with 0 for a table's head and 2 for its foot, which stand first and last."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                yield child
+                yield 0, child
         elif not child.visible:
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child)
+            yield from _rows(child, ("thead", "tbody", "tfoot").index(child.tag))
         else:
-            yield child
+            yield section if child.tag == "tr" else 0, child
+
+
+def _grid(rows: list[Node], depth: int) -> list[list[tuple[int, int, list[str]]]]:
+    """(first column, end column, lines) of each row's cells; a place that a cell above reaches into is an empty one."""
+    out: list[list[tuple[int, int, list[str]]]] = []
+    reach: dict[int, int] = {}  # column -> rows that a cell above still takes
+    for r, row in enumerate(rows):
+        cells, at = [], 0
+        for x in row.children:
+            if isinstance(x, str):
+                if not x.strip():
+                    continue
+                span, down, lines = 1, 1, [_WHITE.sub(" ", x).strip(" ")]
+            elif not x.visible:
+                continue
+            else:
+                span = min(max(_number(x.attrs.get("colspan"), 1), 1), 1000)
+                down = _number(x.attrs.get("rowspan"), 1)
+                down = len(rows) - r if down == 0 else min(max(down, 1), len(rows) - r)
+                lines = _inside(x, depth)
+            while reach.get(at, 0) > 0:
+                at += 1
+            cells.append((at, at + span, lines))
+            if down > 1:
+                reach |= {c: down for c in range(at, at + span)}
+            at += span
+        reach = {c: n - 1 for c, n in reach.items() if n > 1}
+        out.append(cells)
+    # columns in which no cell starts are part of the one before
+    firsts = sorted({c[0] for cells in out for c in cells})
+    place = {c: i for i, c in enumerate(firsts)}
+    return [[(place[a], bisect_left(firsts, b), lines) for a, b, lines in cells] for cells in out]
 
 
 def _table(table: Node, depth: int) -> list[str]:
-    """Rows with cells as wide as the widest of their column (columns wider than WIDEST aren't filled up)."""
-    rows: list[list[list[str]]] = []
-    loose: list[str] = []
-    for child in _rows(table):
+    """Rows with cells as wide as the widest of their columns (columns wider than WIDEST aren't filled up)."""
+    out: list[str] = []
+    rows: list[Node] = []
+    for _, child in sorted(_rows(table), key=lambda x: x[0]):
         if isinstance(child, str):
-            loose.append(_WHITE.sub(" ", child).strip(" "))
+            out.append(_WHITE.sub(" ", child).strip(" "))
         elif child.tag != "tr":
-            loose += _inside(child, depth)
+            out += _inside(child, depth)
         else:
-            cells = [_inside(x, depth) if not isinstance(x, str) else [x.strip()] for x in child.children if not isinstance(x, str) and x.visible or isinstance(x, str) and x.strip()]
-            rows.append(cells)
-    widths = [max((len(line) for r in rows if i < len(r) for line in r[i]), default=0) for i in range(max(map(len, rows), default=0))]
-    out = list(loose)
-    for cells in rows:
-        for k in range(max((len(x) for x in cells), default=0)):
-            line = " | ".join((x[k] if k < len(x) else "").ljust(min(w, WIDEST)) for x, w in zip(cells, widths, strict=False))
+            rows.append(child)
+    grid = _grid(rows, depth)
+    widths = [0] * max((c[1] for cells in grid for c in cells), default=0)
+    for first, end, lines in sorted((c for cells in grid for c in cells), key=lambda c: c[1] - c[0]):
+        need = min(max(map(len, lines), default=0), WIDEST) - sum(widths[first:end]) - 3 * (end - first - 1)
+        widths[end - 1] += max(0, need)
+    for cells in grid:
+        own = {c[0]: c for c in cells}
+        for k in range(max((len(c[2]) for c in cells), default=0)):
+            parts, at = [], 0
+            while at <= max(own):
+                first, end, lines = own.get(at, (at, at + 1, []))
+                parts.append((lines[k] if k < len(lines) else "").ljust(sum(widths[first:end]) + 3 * (end - first - 1)))
+                at = end
+            line = " | ".join(parts)
             if line.strip(" |"):
                 out.append(line.rstrip())
     return out
@@ -285,12 +414,9 @@ def render(html: str | None) -> str | None:
     """The visible text of one page."""
     if html is None:
         return None
-    start = html.rfind("<!--")
-    if start >= 0 and "-->" not in html[start:] and "</script" not in html[start:].lower():
-        html = html[:start]  # a comment without an end goes on to the end of the page
     builder = TreeBuilder()
     builder.feed(html)
-    builder.close()
+    builder.finish()
     return "\n".join(_inside(builder.root)).strip("\n")
 
 

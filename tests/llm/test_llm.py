@@ -290,6 +290,55 @@ def test_visible_text_of_embedded_elements(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<p title="<!--">Hello</p><p>World</p>', "Hello\n\nWorld"), ("<textarea>a <!-- b &lt;p></textarea>c", "a <!-- b <p> c"), ("a<!-->b<!--->c<!-- x --!>d", "abcd"), ("a<![foo[ x ]]>b<!doctype x>c<?php x?>d", "abcd"),
+        ("<p>cut <a href='http://x", "cut"), ("a < b <3 c", "a < b <3 c"), ("<svg><text><![CDATA[x < y]]></text></svg>", "x < y"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"), ("<div style='display:none'><b style='visibility:visible'>no</b></div>ok", "ok"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<span aria-hidden=true>seen</span>", "seen"), ("<pre>a<div>b</div>c<p>d</p></pre>", "a\nb\nc\nd"), ("<pre>x <img alt=pic> y</pre>", "x pic y"),
+        ("<ol start='²'><li>x</ol>", "1. x"), ("<ol start=-2><li>x<li value=7>y<li>z</ol>", "-2. x\n7. y\n8. z"), ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"), ("<ol start='99999999999999'><li>x</ol>", "999999999. x"),
+        ("<table><tr><td colspan=2>AB<td>C<tr><td>1<td>2<td>3</table>", "AB    | C\n1 | 2 | 3"), ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"), ("<table><tr><td colspan=1000>wide<tr><td>1<td>2</table>", "wide\n1 | 2"),
+        ("<table><tfoot><tr><td>f</tfoot><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a | b\n  | c\n  | f".replace("  | f", "  | f")), ("<input value=typed><input type=hidden value=no><input placeholder=hint>", "typed hint"),
+    ],
+)
+def test_nothing_visible_is_lost(html, text):
+    from duolume.llm.html_text import render
+
+    assert render(html) == text
+
+
+def plain_words(page):
+    """Words of all text between tags, by a small reading of its own: comments, scripts, styles and titles out."""
+    import html
+
+    page = re.sub(r"(?is)<!--.*?-->|<(script|style|title)\b.*?</\1\s*>|<!doctype[^>]*>", " ", page)
+    page = re.sub(r"(?i)</?(?:b|i|a|em|strong|span)\b[^>]*>", "", page)
+    return re.findall(r"\S+", html.unescape(re.sub(r"<[a-zA-Z/][^>]*>", " ", page)))
+
+
+def test_all_text_of_pages_appears(spark):
+    from collections import Counter
+
+    from duolume.llm.html_text import extract_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in extract_text(pages.withColumn("kept", F.col("html"))).collect()}
+    assert len(got) == pages.count()
+    for r in got.values():
+        want, have = Counter(plain_words(r["kept"])), Counter(r["text"].split())
+        assert not want - have and set(have - want) <= {"-"}
+
+
+def test_odd_html_never_fails():
+    from duolume.llm.html_text import render
+
+    rng = random.Random(5)
+    parts = ["<p>", "</p>", "<table>", "<tr>", "<td colspan=3>", "<td rowspan=9>", "</table>", "<ol start=x>", "<li value='5'>", "<!--", "-->", "<![", "]]>", "<pre>", "</pre>", "<svg>", "</svg>", "<textarea>", "</textarea>", "<select>", "<option>", "x", " y ", "&amp;", "&#0;", "<", ">", "<a b='", "<div hidden>", "</div>", "<head>", "<body>", "<dialog>", "<math>", "<mfrac>", "<br/>", "<td/>"]
+    for _ in range(3000):
+        assert isinstance(render("".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))), str)
+
+
 def test_deep_and_long_html():
     from duolume.llm.html_text import render
 
