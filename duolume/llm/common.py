@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,11 +40,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Of intermediate tables; a task holds one in memory.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": str(ROW_GROUP_BYTES)}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,10 +61,32 @@ def word_count(text: Column) -> Column:
 worker_caches: dict[str, dict] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
-    """Batches of some megabytes of text. Frees what other operators kept in this worker."""
+#: Rows of text in one Arrow batch at most.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS: texts are long, and a batch stands in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def trim_memory() -> None:
+    """Gives freed memory of this Python worker back: workers live on from task to task beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches of some megabytes of text. Frees what other operators kept in this worker, and what this task did."""
     for name in [x for x in worker_caches if x != keeps]:
         del worker_caches[name]
+    trim_memory()
     for batch in batches:
         at, size = 0, 0
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
@@ -69,6 +97,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20,
                 at, size = i + 1, 0
         if at < batch.num_rows:
             yield batch.slice(at)
+        batch = None
+    trim_memory()
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

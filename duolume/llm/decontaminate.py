@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, slices
+from .common import ranges, slices, small_batches
 from .shingles import mix, shingles, text_batches, word_hashes
 
 SHINGLE = 5
@@ -235,6 +235,7 @@ def _dealt(items: DataFrame) -> tuple[DataFrame, int]:
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words, key: the best window of each document for each item it has; the key is xxhash64 of the text."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null").distinct()
     dealt, blocks = _dealt(items)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).filter("text is not null")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 
 P = np.uint64((1 << 31) - 1)
 _P = (1 << 31) - 1
@@ -168,6 +168,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     it. Only the first row of each range needs one from another range: those
     two rows of each range are compared in a second, small step.
     """
+    small_batches(docs.sparkSession)
     extra = "kind int, part int, text string"
     fields = [*_NAMES, "kind", "part", "text"]
 

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranges, slices
+from .common import materialize, ranges, slices, small_batches
 from .components import connected_components
 from .shingles import mix, shingle_sets, text_batches
 
@@ -62,7 +62,8 @@ MOST_BROADCAST = 2_000_000
 PARTNERS = 500
 #: Rounds of verified pivots that part a large component before its keys are joined by blocks.
 PEELS = 3
-PACK = 1_000_000
+#: Index entries and known nodes of a task that are held at once.
+PACK = 250_000
 #: Components up to this many nodes and tokens are joined in one task.
 MOST_NODES = 20_000
 MOST_TOKENS = 8_000_000
@@ -73,8 +74,8 @@ CHUNK = 1_024
 #: Nodes of a key in one task, beyond which only the smallest is sent on.
 MOST_LOCAL = 64
 #: Bytes of text for each destination of packs, and for each task that reads them.
-DEAL_BYTES = 8 << 20
-TASK_BYTES = 64 << 20
+DEAL_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 #: Documents sampled for frequent tokens, how many must have one, and how many are kept.
 SAMPLE = 5_000
 OFTEN = 3
@@ -294,7 +295,7 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
                 yield _found(2, [x[0] for x in cuts], [int(x[1][0]) for x in cuts], [len(x[1]) for x in cuts], members=[x[1][x[2] : x[2] + CHUNK] for x in cuts])
 
         for batch in batches:
-            for to, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("deal", "kind", "packed")), strict=True):
+            for to, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("deal", "kind")), map(memoryview, (x.as_buffer() for x in batch.column("packed"))), strict=True):
                 if kind == 0:
                     doc_id, no_id, node, n, key = np.frombuffer(packed, dtype=np.int64).reshape(5, -1)
                     yield _found(0, pa.array(doc_id, mask=no_id > 0), node, n, key)
@@ -438,6 +439,7 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node, n_shingles) of every row, and (node, root) of nodes in components of links."""
+    small_batches(docs.sparkSession)
     rows = keyed_rows(docs, id_col, text_col)
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, n_words, n))

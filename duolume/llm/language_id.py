@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -141,6 +141,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", *, lang: str = "lang_pred", score: str = "score", returned: list[str] | None = None) -> DataFrame:
     """All input columns (or the named ones) plus the language and its posterior probability."""
+    small_batches(docs.sparkSession)
     langs, log_probs, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((log_probs, priors))
     kept = [x for x in (docs.columns if returned is None else returned) if x not in (lang, score)]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, slices, worker_caches
+from .common import ranges, slices, small_batches, worker_caches
 
 #: White space in any version of Unicode but line ends, for a character class.
 _WHITE = r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -197,6 +197,7 @@ def tokenize_sorted(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(offsets) - 1, part, dtype=np.int32)), batch.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), ids], ["part", "doc_id", "local_start", "n_tokens", "ids"])
             start += int(offsets[-1])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, TOKEN_SCHEMA)
 
 
