@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranges
+from .common import materialize, ranges, small_batches, trim_memory
 from .shingles import mix
 
 LENGTH = 50
@@ -52,7 +52,7 @@ LEFT = LENGTH - ANCHOR
 WIDTH = LEFT + LENGTH
 _BLOCK = 1 << 20
 #: Bytes of text that a task looks at before it sends what it found.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LAST = np.uint64(2**64 - 1)
@@ -60,11 +60,11 @@ _KEEP = np.uint64(2**48 - 1)
 _NO_ID = 2**63 - 1
 _ROWS = "deal int, kind int, packed binary"
 #: Bytes of text for each destination of packs, and for each task that reads them.
-DEAL_BYTES = 16 << 20
-TASK_BYTES = 64 << 20
+DEAL_BYTES = 2 << 20
+TASK_BYTES = 16 << 20
 #: An anchor with so many contexts in a sample (of SAMPLE documents, or a thousandth of all) is hot; so many hot ones are kept.
 HOT = 32
-SAMPLE = 5_000
+SAMPLE = 4_000
 MOST_HOT = 1_000_000
 
 
@@ -192,10 +192,15 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(deal, type=pa.int32()), pa.array(kind, type=pa.int32()), pa.array(packed, type=pa.binary())], ["deal", "kind", "packed"])
 
 
+def _packs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, memoryview]]:
+    """Destination, kind and bytes of each pack; the bytes aren't copied."""
+    return zip(*(batch.column(x).to_pylist() for x in ("deal", "kind")), (memoryview(x.as_buffer()) for x in batch.column("packed")), strict=True)
+
+
 class _Outbox:
     """Gathers findings of a task and sends them in packs, one for each destination, when they are many or at the end."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, kind: int, widths: list[int], deal: int):
         self.kind, self.widths, self.deal = kind, widths, deal
@@ -228,6 +233,7 @@ def _home(ids: np.ndarray, deal: int) -> np.ndarray:
 def _runs(batches: Iterator[pa.RecordBatch], most: int = FLUSH) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids and texts, some megabytes together, in id order."""
     ids, texts, size = [], [], 0
+    trim_memory()
 
     def out():
         order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -244,6 +250,8 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = FLUSH) -> Iterator[tupl
                 ids, texts, size = [], [], 0
     if ids:
         yield out()
+    ids, texts = [], []
+    trim_memory()
 
 
 _STRING = [6, 8, 8, 6]  # anchor, string, doc_id, start
@@ -311,6 +319,8 @@ def _send_hashes(deal: int, hot):
                     rows += [(to, 3, _pack([*x, x[1] + LENGTH], _SPAN)) for to, x in _split(_home(ids[who[gone]], deal), [ids[who[gone]], start[gone]])]
                     keep = ~gone
                     rows += [(to, 2, _pack(x, _STRING)) for to, x in _split((mix(string[keep]) % np.uint64(deal)).astype(np.int64), [own[keep], string[keep], ids[who[keep]], start[keep]])]
+                    yield _batch(rows)
+                    rows = []
                 owner, number, h, c = (x[~is_hot] for x in (owner, number, h, c))
             doc = ids[owner]
             covered = _covered(h, c, doc=doc)
@@ -328,7 +338,9 @@ def hot_anchors(rows: DataFrame) -> np.ndarray:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _runs(batches):
             _, _, h, c = _many_anchors(texts)
-            pairs = np.unique(np.stack([h.view(np.int64), c.view(np.int64)]), axis=1) if len(h) else np.zeros((2, 0), dtype=np.int64)
+            order = np.lexsort((c, h))
+            new = _firsts(h[order], c[order])
+            pairs = h[order][new].view(np.int64), c[order][new].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["h", "c"])
 
     share = int(min(1.0, max(SAMPLE / max(rows.count(), 1), 0.001)) * (1 << 30))
@@ -367,6 +379,7 @@ def _compare_hashes(deal: int, one_document: bool = False):
 def _by_deal(batches: Iterator[pa.RecordBatch], settlers: dict) -> Iterator[pa.RecordBatch]:
     """Gathers the packs of a kind and destination and settles them together; kinds without a settler pass."""
     held, at = [], None
+    trim_memory()
 
     def settle() -> list[tuple[int, int, bytes]]:
         if not held:
@@ -378,7 +391,7 @@ def _by_deal(batches: Iterator[pa.RecordBatch], settlers: dict) -> Iterator[pa.R
 
     for batch in batches:
         rows = []
-        for to, k, packed in zip(*(batch.column(x).to_pylist() for x in ("deal", "kind", "packed")), strict=True):
+        for to, k, packed in _packs(batch):
             if k not in settlers:
                 rows.append((to, k, packed))
                 continue
@@ -388,6 +401,8 @@ def _by_deal(batches: Iterator[pa.RecordBatch], settlers: dict) -> Iterator[pa.R
             held.append(packed)
         yield _batch(rows)
     yield _batch(settle() + [x for _, box in settlers.values() for x in box.rows()])
+    batch = None
+    trim_memory()
 
 
 def _pack_texts(deal: int):
@@ -416,8 +431,9 @@ def _texts(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
 def _meet(batches: Iterator[pa.RecordBatch], widths: list[int]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray]]]:
     """(ids, texts, findings) of each pack of texts, with the findings of its home sorted by document."""
     held, at, table = [], None, None
+    trim_memory()
     for batch in batches:
-        for to, kind, packed in zip(*(batch.column(x).to_pylist() for x in ("deal", "kind", "packed")), strict=True):
+        for to, kind, packed in _packs(batch):
             if to != at:
                 held, at, table = [], to, None
             if kind != 9:
@@ -608,6 +624,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _plan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
     """(doc_id, text) as bytes, the number of destinations of packs, and the tasks that read them."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -649,7 +666,7 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, at = [], None
     for batch in batches:
-        for to, kind, packed in zip(*(batch.column(x).to_pylist() for x in ("deal", "kind", "packed")), strict=True):
+        for to, kind, packed in _packs(batch):
             if to != at and held:
                 settle(held, None)
                 held = []
