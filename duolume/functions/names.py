@@ -155,6 +155,11 @@ def metric(metrics: Column, name: str) -> Column:
     return F.coalesce(metrics[name], metrics[f"m{name}"])
 
 
+def group_label(label: Column, size: Column) -> Column:
+    """A label, with the size of its group where that is more than one."""
+    return F.when(size > 1, F.format_string("%s N=%d", label, size.cast("long"))).otherwise(label)
+
+
 def fmt_pm(mean: Column, std: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f±%.{digits}f", mean, std)
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pixels import ALL, haar, inverse_haar
 from .scores import MOST_WEIGHT, cap_weights
 from .stats import interp_column
 
@@ -15,15 +16,35 @@ FLOOR = 0.01
 KINDS = ("blend", "freq_blend", "nonlinear", "concat")
 
 
+#: What stands in the three channels of a substitution: its own visible one (v), the thermal one (t), or half of each (m).
+PATTERNS = ("vvv", "vvt", "vtv", "tvv", "vtt", "tvt", "ttv", "ttt", "vvm", "vmv", "mvv", "vmt", "mvt", "mtv", "mtt", "tmt", "ttm")
+_SHARES = {"v": 0.0, "m": 0.5, "t": 1.0}
+_EPS = 1e-8
+
+
+def freq_blend(px: DataFrame, alphas: list[float]) -> DataFrame:
+    """Mixtures in the Haar domain: blended approximations, and the details that are larger when weighed by alpha. All alphas are columns of one pass."""
+    bands, picks = haar(px, list(ALL)), {}
+    for k, a in enumerate(alphas):
+        for c in "bgr":
+            picks[f"{c}{k}_a"] = (1 - a) * F.col(f"{c}_a") + a * F.col("t_a")
+            picks |= {f"{c}{k}_{d}": F.when(F.abs(f"t_{d}") * a > F.abs(f"{c}_{d}") * (1 - a), F.col(f"t_{d}")).otherwise(F.col(f"{c}_{d}")) for d in "hvd"}
+    back = inverse_haar(bands.withColumns(picks), [f"{c}{k}" for k in range(len(alphas)) for c in "bgr"])
+    clipped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c)))
+    each = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit("freq_blend").alias("stype"), *[clipped(f"{c}{k}").alias(f"f{i}") for i, c in enumerate("bgr")]) for k, a in enumerate(alphas)])
+    return back.select("image_id", "y", "x", F.explode(each).alias("m")).select("image_id", "y", "x", "m.*")
+
+
 def synth_mixtures(px: DataFrame, alphas: list[float]) -> DataFrame:
-    """Mixtures of known thermal share alpha: blends and geometric blends, and channel substitutions with the share they imply."""
+    """Mixtures of known thermal share alpha: blends, geometric blends (on 0..1) and Haar blends, and channel substitutions with the share they imply."""
     grid = px.select("*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
     b = lambda c: (1 - F.col("alpha")) * F.col(c) + F.col("alpha") * F.col("t")
-    n = lambda c: F.pow(F.col(c) + 1, 1 - F.col("alpha")) * F.pow(F.col("t") + 1, F.col("alpha")) - 1
+    n = lambda c: 255 * F.least(F.lit(1.0), F.pow(F.col(c) / 255 + _EPS, 1 - F.col("alpha")) * F.pow(F.col("t") / 255 + _EPS, F.col("alpha")))
     kinds = grid.select("image_id", "y", "x", "alpha", F.explode(F.array(*[F.struct(F.lit(k).alias("stype"), *[f(c).alias(f"f{i}") for i, c in enumerate("bgr")]) for k, f in (("blend", b), ("nonlinear", n))])).alias("m")).select("image_id", "y", "x", "alpha", "m.*")
-    swaps = [[(i >> j) & 1 for j in range(3)] for i in range(8)]
-    swapped = px.select("image_id", "y", "x", F.explode(F.array(*[F.struct(F.lit(sum(s) / 3).alias("alpha"), F.lit("concat").alias("stype"), *[(F.col("t") if s[i] else F.col(c)).alias(f"f{i}") for i, c in enumerate("bgr")]) for s in swaps])).alias("m")).select("image_id", "y", "x", "m.*")
-    return kinds.unionByName(swapped.select(kinds.columns))
+    put = {"v": F.col, "t": lambda c: F.col("t"), "m": lambda c: (F.col(c) + F.col("t")) / 2}
+    swaps = [F.struct(F.lit(sum(map(_SHARES.get, p)) / 3).alias("alpha"), F.lit("concat").alias("stype"), *[put[k](c).cast("double").alias(f"f{i}") for i, (k, c) in enumerate(zip(p, "bgr", strict=True))]) for p in PATTERNS]
+    swapped = px.select("image_id", "y", "x", F.explode(F.array(*swaps)).alias("m")).select("image_id", "y", "x", "m.*")
+    return kinds.unionByName(freq_blend(px, alphas)).unionByName(swapped.select(kinds.columns))
 
 
 def isotonic_knots(samples: DataFrame, keys: list[str]) -> DataFrame:

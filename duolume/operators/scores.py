@@ -158,17 +158,22 @@ def proxy_spectral(s: DataFrame) -> DataFrame:
 
 
 def proxy_freq(s: DataFrame) -> DataFrame:
-    """Correlation of log spectra of the grey images, anchored at the sources. The transform needs an image's pixels in one place: one group is one image."""
+    """Correlation of log spectra of the grey images, anchored at the sources. The transform needs an image's pixels in one place: one group is one image, of which one row comes back. An image with missing pixels has no value."""
+
+    def corr(a: np.ndarray, b: np.ndarray) -> float:
+        return 0.0 if min(a.std(), b.std()) < 1e-12 else float(np.corrcoef(a, b)[0, 1])
 
     def spectra(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["y", "x"])
         shape = (rows["y"].nunique(), rows["x"].nunique())
-        out = {k: np.log1p(np.abs(np.fft.fft2(rows[k].to_numpy().reshape(shape)))).ravel() for k in ("f", "v", "t")}
-        return pd.DataFrame({"method": rows["method"].iloc[0], "image_id": rows["image_id"].iloc[0], **out})
+        out = {"method": rows["method"].iloc[0], "image_id": rows["image_id"].iloc[0], "fv": None, "ft": None, "vt": None}
+        if shape[0] * shape[1] == len(rows) and not rows[["f", "v", "t"]].isna().to_numpy().any():
+            k = {c: np.log1p(np.abs(np.fft.fft2(rows[c].to_numpy().reshape(shape)))).ravel() for c in ("f", "v", "t")}
+            out |= {a + b: corr(k[a], k[b]) for a, b in ("fv", "ft", "vt")}
+        return pd.DataFrame([out])
 
     rows = s.select(*GROUP, "y", "x", grey("f").alias("f"), grey("v").alias("v"), "t")
-    spec = rows.groupBy(*GROUP).applyInPandas(spectra, "method string, image_id long, f double, v double, t double")
-    m = spec.groupBy(*GROUP).agg(corr0("f", "v").alias("fv"), corr0("f", "t").alias("ft"), corr0("v", "t").alias("vt"))
+    m = rows.groupBy(*GROUP).applyInPandas(spectra, "method string, image_id long, fv double, ft double, vt double")
     return m.select(*GROUP, anchor_map(F.col("fv") - F.col("ft"), 1 - F.col("vt"), F.col("vt") - 1).alias("value"))
 
 

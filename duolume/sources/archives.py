@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duolume.functions.names import REGIMES, build_key, build_label, clean_tags
 
@@ -63,24 +64,28 @@ def discover_cached(files: DataFrame, root: str, extension: str = ".yaml.cache")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str, schema: str) -> DataFrame:
-    """YAML documents as rows of a fixed schema; broken ones give nulls and an `_error`."""
-    fields = [x.split()[0] for x in schema.split(", ")]
+    """YAML documents as rows of a fixed schema (nested ones too); broken ones, and those with a value of another type, have an `_error`, the latter with nulls for what doesn't fit."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("json string, error string")
+    def decode(texts: pd.Series) -> pd.DataFrame:
         import yaml
 
-        for batch in batches:
-            out = []
-            for file, text in zip(batch["path"], batch["value"], strict=True):
-                try:
-                    got = yaml.safe_load(text) or {}
-                    out.append({"path": file, **{f: got.get(f) for f in fields}, "_error": None})
-                except (yaml.YAMLError, AttributeError) as e:
-                    out.append({"path": file, **dict.fromkeys(fields), "_error": str(e)[:200]})
-            yield pd.DataFrame(out, columns=["path", *fields, "_error"])
+        out = []
+        for text in texts:
+            try:
+                got = yaml.safe_load(text)
+                if got is not None and not isinstance(got, dict):
+                    raise ValueError("no mapping")
+                out.append((json.dumps(got or {}, default=str), None))
+            except (yaml.YAMLError, ValueError, TypeError, RecursionError) as e:
+                out.append((None, str(e)[:200]))
+        return pd.DataFrame(out, columns=["json", "error"])
 
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(decode, f"path string, {schema}, _error string")
+    found = text.select(F.col("_metadata.file_path").alias("path"), decode("value").alias("d"))
+    fields = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_misfit", T.StringType())])
+    found = found.select("path", "d.error", F.from_json("d.json", fields, {"columnNameOfCorruptRecord": "_misfit"}).alias("row"))
+    return found.select("path", *[F.col("row").getField(f.name).alias(f.name) for f in fields[:-1]], F.coalesce("error", F.when(F.col("row._misfit").isNotNull(), F.lit("a value doesn't fit the schema"))).alias("_error"))
 
 
 def read_epoch_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -140,10 +145,17 @@ def assemble_runs(results: DataFrame, epochs: DataFrame, args: DataFrame) -> Dat
 
 def eligible_runs(files: DataFrame, tag: str) -> DataFrame:
     """Folders with best weights and results, without an ignore marker, not yet validated for a tag."""
-    per = files.groupBy(folder(F.col("path")).alias("dir")).agg(*[F.bool_or(base(F.col("path")).endswith(n)).alias(k) for n, k in (("best.pt", "weights"), (RESULTS, "results"), (IGNORE, "ignored"), (f"validated_{tag}", "done"))])
+    name = base(F.col("path"))
+    marks = {"weights": name == "best.pt", "results": name == RESULTS, "ignored": name.endswith(IGNORE), "done": name == f"validated_{tag}"}
+    per = files.groupBy(folder(F.col("path")).alias("dir")).agg(*[F.bool_or(v).alias(k) for k, v in marks.items()])
     return per.filter("weights and results and not ignored and not done").select("dir")
 
 
+def completed(documents: DataFrame, block: str) -> DataFrame:
+    """dir, completed: whether a run's result document has its completion block (a column), for each folder."""
+    return documents.groupBy(folder(F.col("path")).alias("dir")).agg(F.bool_or(F.col(block).isNotNull()).alias("completed"))
+
+
 def combine_variants(variants: dict[str, tuple[str, str, DataFrame]]) -> DataFrame:
     """Reports of several settings as one table with variant, eq_vis and eq_th."""
     parts = [df.withColumns({"variant": F.lit(k), "eq_vis": F.lit(v), "eq_th": F.lit(t)}) for k, (v, t, df) in variants.items()]

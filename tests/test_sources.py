@@ -35,6 +35,17 @@ def test_documents_and_logs(spark, tmp_path):
     docs = S.read_documents(spark, f"file://{tmp_path}", "args.yaml", "batch int, deterministic boolean")
     got = {r["path"].split("/")[-2]: r for r in docs.collect()}
     assert got["a"]["batch"] == 8 and got["a"]["_error"] is None and got["b"]["batch"] is None and got["b"]["_error"]
+    put(tmp_path, "n/deep.yaml", "a: {p: 1, q: [1.5, 2]}\nm: {x: {v: 3}, y: {v: null}}\n")
+    put(tmp_path, "w/deep.yaml", "a: {p: wrong, q: [1.5]}\nm: {}\n")
+    put(tmp_path, "l/deep.yaml", "- 1\n- 2\n")
+    deep = S.read_documents(spark, f"file://{tmp_path}", "deep.yaml", "a struct<p: int, q: array<double>>, m map<string, struct<v: int>>")
+    got = {r["path"].split("/")[-2]: r for r in deep.collect()}
+    assert (got["n"]["a"]["p"], got["n"]["a"]["q"], got["n"]["m"]["x"]["v"], got["n"]["m"]["y"]["v"], got["n"]["_error"]) == (1, [1.5, 2.0], 3, None, None)
+    assert got["w"]["_error"] and got["l"]["_error"] and got["l"]["a"] is None
+    done = {r["dir"].split("/")[-1]: r["completed"] for r in S.completed(deep, "a").collect()}
+    assert done["n"] and not done["l"]
+    files = spark.createDataFrame([(f"/r/{x}",) for x in ("1/best.pt", "1/results.yaml", "2/notbest.pt", "2/results.yaml", "3/best.pt", "3/my_results.yaml", "4/best.pt", "4/results.yaml", "4/X_GUI_IGNORE")], "path string")
+    assert [r["dir"] for r in S.eligible_runs(files, "t").collect()] == ["/r/1"]
     put(tmp_path, "logs/results.csv", "  epoch,   train/box_loss\n   1,    0.5\n   2,  0.25\n")
     rows = S.read_epoch_logs(spark, f"file://{tmp_path}/logs", "epoch int, box_loss double").orderBy("epoch").collect()
     assert [(r["epoch"], r["box_loss"]) for r in rows] == [(1, 0.5), (2, 0.25)]
