@@ -1,8 +1,8 @@
 """Pixel tables (image_id, y, x, b, g, r, t): fusion, equalisation, windows, histograms.
 
 Arithmetic methods are column expressions. Neighbourhoods are windows or arrays
-of one image row or column, so a task holds a line of pixels at a time. Image
-statistics are grouped aggregates joined back by image.
+of one image row or column. Image statistics are windows by image: the table is
+hashed by image once, and rows, columns and images are then sorted where they are.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 BGR, ALL = ("b", "g", "r"), ("b", "g", "r", "t")
 KEYS = ("image_id", "y", "x")
+IMAGE = ("image_id",)
+
+
+def by_image(*more: str):
+    return Window.partitionBy("image_id", *more)
 
 
 def trunc(c: Column) -> Column:
@@ -130,9 +135,9 @@ def fuse_all(px: DataFrame, methods: list[str]) -> DataFrame:
 
 def norm255(fused: DataFrame) -> DataFrame:
     """Channels of an image stretched together to 0..255; images without range become 0."""
-    ends = fused.groupBy("image_id").agg(F.min(F.array_min("c")).alias("low"), F.max(F.array_max("c")).alias("high"))
+    ends = {"low": F.min(F.array_min("c")).over(by_image()), "high": F.max(F.array_max("c")).over(by_image())}
     scaled = F.transform("c", lambda v: F.when(F.col("high") - F.col("low") <= 1e-8, F.lit(0.0)).otherwise(trunc(255 * ((v - F.col("low")) / (F.col("high") - F.col("low"))))))
-    return fused.join(ends, "image_id").withColumn("c", scaled).drop("low", "high")
+    return fused.withColumns(ends).withColumn("c", scaled).drop("low", "high")
 
 
 def prepare_channels(fused: DataFrame) -> DataFrame:
@@ -184,14 +189,14 @@ def blur(px: DataFrame, columns: list[str], sigma: float = 2) -> DataFrame:
 
 def min_max(df: DataFrame, columns: list[str], constant: float = 0.0) -> DataFrame:
     """Each column of an image stretched to 0..1."""
-    ends = df.groupBy("image_id").agg(*[f(c).alias(f"__{s}_{c}") for c in columns for s, f in (("lo", F.min), ("hi", F.max))])
-    out = df.join(ends, "image_id").withColumns({c: F.when(F.col(f"__hi_{c}") - F.col(f"__lo_{c}") < 1e-12, F.lit(constant)).otherwise((F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))) for c in columns})
+    ends = {f"__{s}_{c}": f(c).over(by_image()) for c in columns for s, f in (("lo", F.min), ("hi", F.max))}
+    out = df.withColumns(ends).withColumns({c: F.when(F.col(f"__hi_{c}") - F.col(f"__lo_{c}") < 1e-12, F.lit(constant)).otherwise((F.col(c) - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))) for c in columns})
     return out.select(df.columns)
 
 
-def sobel(px: DataFrame, columns: list[str]) -> DataFrame:
-    """gx_c and gy_c of each column, by lag and lead; the frame is mirrored."""
-    wx, wy = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+def sobel(px: DataFrame, columns: list[str], keys: tuple[str, ...] | list[str] = IMAGE) -> DataFrame:
+    """gx_c and gy_c of each column, by lag and lead; the frame is mirrored. `keys` tell images apart."""
+    wx, wy = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
 
     def around(c: str, w) -> tuple[Column, Column]:
         before, after = F.lag(c).over(w), F.lead(c).over(w)
@@ -209,10 +214,10 @@ def sobel(px: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns(ends).drop(*steps)
 
 
-def box_stats(px: DataFrame, pairs: list[tuple[str, str]], size: int) -> DataFrame:
-    """Local means, variances and covariances of column pairs over size x size windows (cut at the frame)."""
+def box_stats(px: DataFrame, pairs: list[tuple[str, str]], size: int, keys: tuple[str, ...] | list[str] = IMAGE) -> DataFrame:
+    """Local means, variances and covariances of column pairs over size x size windows (cut at the frame). `keys` tell images apart."""
     r = size // 2
-    wx, wy = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-r, r), Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-r, r)
+    wx, wy = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-r, r), Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-r, r)
     names = list(dict.fromkeys(c for p in pairs for c in p))
     terms = {f"__{c}": F.col(c) for c in names} | {f"__{c}_{c}": F.col(c) * F.col(c) for c in names} | {f"__{a}_{b}": F.col(a) * F.col(b) for a, b in pairs}
     out = px.withColumns(terms).withColumns({t: F.sum(t).over(wx) for t in terms} | {"__n": F.count("*").over(wx)})
@@ -222,20 +227,20 @@ def box_stats(px: DataFrame, pairs: list[tuple[str, str]], size: int) -> DataFra
     return out.withColumns(stats).drop(*terms, "__n")
 
 
-def ssim_map(px: DataFrame, a: str, b: str, out: str, size: int = 11, span: float = 255.0) -> DataFrame:
-    """Structural similarity of two columns at every pixel."""
+def ssim_maps(px: DataFrame, maps: dict[str, tuple[str, str]], size: int = 11, span: float = 255.0) -> DataFrame:
+    """Structural similarity of pairs of columns at every pixel, all in one pass: output column -> pair."""
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    s = box_stats(px, [(a, b)], size)
-    top = (2 * F.col(f"mean_{a}") * F.col(f"mean_{b}") + c1) * (2 * F.col(f"cov_{a}_{b}") + c2)
-    low = (F.col(f"mean_{a}") * F.col(f"mean_{a}") + F.col(f"mean_{b}") * F.col(f"mean_{b}") + c1) * (F.col(f"var_{a}") + F.col(f"var_{b}") + c2)
-    return s.withColumn(out, top / low).select(*px.columns, out)
+
+    def one(a: str, b: str) -> Column:
+        top = (2 * F.col(f"mean_{a}") * F.col(f"mean_{b}") + c1) * (2 * F.col(f"cov_{a}_{b}") + c2)
+        return top / ((F.col(f"mean_{a}") * F.col(f"mean_{a}") + F.col(f"mean_{b}") * F.col(f"mean_{b}") + c1) * (F.col(f"var_{a}") + F.col(f"var_{b}") + c2))
+
+    return box_stats(px, list(maps.values()), size).select(*px.columns, *[one(*pair).alias(out) for out, pair in maps.items()])
 
 
 def _ssim_fusion(swap: bool) -> Callable[[DataFrame], DataFrame]:
     def run(px: DataFrame) -> DataFrame:
-        rows = px
-        for c in BGR:
-            rows = ssim_map(rows, c, "t", f"m_{c}")
+        rows = ssim_maps(px, {f"m_{c}": (c, "t") for c in BGR})
         rows = min_max(blur(rows, [f"m_{c}" for c in BGR]), [f"m_{c}" for c in BGR])
         mix = [F.col(f"m_{c}") * F.col(c) + (1 - F.col(f"m_{c}")) * F.col("t") if swap else (1 - F.col(f"m_{c}")) * F.col(c) + F.col(f"m_{c}") * F.col("t") for c in BGR]
         return norm255(rows.select(*KEYS, F.array(*mix).alias("c")))
@@ -253,8 +258,8 @@ def segment_fuse(px: DataFrame, segment: Column | None = None, size: int = 4) ->
     """Blend by how much a segment varies in the visible channels against the thermal one; segments are a grid unless given."""
     grid = F.floor(F.col("y") / size) * 100_000 + F.floor(F.col("x") / size)
     rows = px.withColumn("seg", grid if segment is None else segment)
-    spread = rows.groupBy("image_id", "seg").agg((reduce(Column.__add__, [F.stddev_pop(c) for c in BGR]) / 3 - F.stddev_pop("t")).alias("d"))
-    rows = rows.join(spread, ["image_id", "seg"]).withColumn("m", 1 / (1 + F.exp(-F.col("d")))).drop("seg", "d")
+    spread = lambda c: F.stddev_pop(c).over(by_image("seg"))
+    rows = rows.withColumn("d", reduce(Column.__add__, [spread(c) for c in BGR]) / 3 - spread("t")).withColumn("m", 1 / (1 + F.exp(-F.col("d")))).drop("seg", "d")
     rows = min_max(blur(min_max(rows, ["m"]), ["m"]), ["m"])
     return norm255(rows.select(*KEYS, F.array(*[F.col("m") * F.col(c) + (1 - F.col("m")) * F.col("t") for c in BGR]).alias("c")))
 
@@ -371,9 +376,9 @@ def standard_pca(px: DataFrame, n: int = 3, from_hsv_too: bool = False) -> DataF
     if from_hsv_too:
         h, s, v = hsv(*map(_c, BGR))
         rows, names = px.select(*KEYS, h.alias("h"), s.alias("s"), v.alias("v"), "t"), ["h", "s", "v", "t"]
-    ends = rows.groupBy("image_id").agg(*[f(c).alias(f"__{k}{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    ends = {f"__{k}{c}": f(c).over(by_image()) for c in names for k, f in (("m", F.avg), ("s", F.stddev_samp))}
     spread = lambda c: F.when(F.coalesce(F.col(f"__s{c}"), F.lit(0.0)) > 0, F.col(f"__s{c}")).otherwise(F.lit(1.0))
-    rows = rows.join(ends, "image_id").select(*KEYS, *[((F.col(c) - F.col(f"__m{c}")) / spread(c)).alias(c) for c in names])
+    rows = rows.withColumns(ends).select(*KEYS, *[((F.col(c) - F.col(f"__m{c}")) / spread(c)).alias(c) for c in names])
     out = norm255(_project(rows, _solved(_moments(rows, ["image_id"], names), ["image_id"], names, lambda cov: _components(cov, n)), ["image_id"], names, n))
     return out.withColumn("c", F.array_repeat(F.get("c", 0), 3)) if n == 1 else out
 
@@ -381,10 +386,9 @@ def standard_pca(px: DataFrame, n: int = 3, from_hsv_too: bool = False) -> DataF
 def alpha_pca(px: DataFrame) -> DataFrame:
     """Grey and thermal weighted by the first eigenvector of their 2 x 2 covariance; colours keep their ratio to grey."""
     rows = px.withColumn("grey", 0.114 * F.col("b") + 0.587 * F.col("g") + 0.299 * F.col("r"))
-    m = rows.groupBy("image_id").agg(F.var_pop("grey").alias("p"), F.covar_pop("grey", "t").alias("q"), F.var_pop("t").alias("s"))
+    m = rows.withColumns({"p": F.var_pop("grey").over(by_image()), "q": F.covar_pop("grey", "t").over(by_image()), "s": F.var_pop("t").over(by_image())})
     top = (F.col("p") + F.col("s")) / 2 + F.sqrt(F.pow((F.col("p") - F.col("s")) / 2, 2) + F.col("q") * F.col("q"))
-    m = m.withColumns({"v1": F.when(F.abs("q") < 1e-12, (F.col("p") >= F.col("s")).cast("double")).otherwise(F.abs(top - F.col("s"))), "v2": F.when(F.abs("q") < 1e-12, (F.col("p") < F.col("s")).cast("double")).otherwise(F.abs("q"))})
-    rows = rows.join(m.select("image_id", "v1", "v2"), "image_id")
+    rows = m.withColumns({"v1": F.when(F.abs("q") < 1e-12, (F.col("p") >= F.col("s")).cast("double")).otherwise(F.abs(top - F.col("s"))), "v2": F.when(F.abs("q") < 1e-12, (F.col("p") < F.col("s")).cast("double")).otherwise(F.abs("q"))})
     length = F.sqrt(F.col("v1") * F.col("v1") + F.col("v2") * F.col("v2"))
     mixed = (F.col("v1") * F.col("grey") + F.col("v2") * F.col("t")) / length
     return rows.select(*KEYS, F.array(*[trunc(F.when(F.col("grey") > 0, F.col(c) / F.col("grey") * mixed).otherwise(mixed)) for c in BGR]).alias("c"))
@@ -401,12 +405,10 @@ IMAGE_FUSIONS |= {
 
 def equalize_expand(px: DataFrame, column: str = "t") -> DataFrame:
     """Histogram expansion: (cdf - least cdf) * 255 / (most - least), truncated."""
-    n = px.groupBy("image_id", column).agg(F.count("*").alias("n"))
-    cdf = n.withColumn("cdf", F.sum("n").over(Window.partitionBy("image_id").orderBy(column)))
-    ends = cdf.groupBy("image_id").agg(F.min("cdf").alias("low"), F.max("cdf").alias("high"))
-    value = F.when(F.col("high") == F.col("low"), F.lit(0.0)).otherwise(trunc((F.col("cdf") - F.col("low")) * 255 / (F.col("high") - F.col("low"))))
-    table = cdf.join(ends, "image_id").select("image_id", column, value.alias("eq"))
-    return px.join(table, ["image_id", column]).withColumn(column, F.col("eq")).select(px.columns)
+    rows = px.withColumn("__cdf", F.count("*").over(by_image().orderBy(column)))
+    rows = rows.withColumns({"__low": F.min("__cdf").over(by_image()), "__high": F.max("__cdf").over(by_image())})
+    value = F.when(F.col("__high") == F.col("__low"), F.lit(0.0)).otherwise(trunc((F.col("__cdf") - F.col("__low")) * 255 / (F.col("__high") - F.col("__low"))))
+    return rows.withColumn(column, value).select(px.columns)
 
 
 def clahe(px: DataFrame, height: int, width: int, column: str = "t", clip: float = 6.0, tiles: int = 6) -> DataFrame:
@@ -459,8 +461,7 @@ def hist_metrics(hist: DataFrame) -> DataFrame:
 
 def hist_envelope(hist: DataFrame) -> DataFrame:
     """Per channel and bin: mean of the images' shares (in percent) and the band of four deviations, not below 0."""
-    total = hist.groupBy("image_id", "channel").agg(F.sum("n").alias("total"))
-    out = hist.join(total, ["image_id", "channel"]).groupBy("channel", "bin").agg(F.avg(100 * F.col("n") / F.col("total")).alias("mean"), F.stddev_pop(100 * F.col("n") / F.col("total")).alias("std"))
+    out = hist.withColumn("total", F.sum("n").over(by_image("channel"))).groupBy("channel", "bin").agg(F.avg(100 * F.col("n") / F.col("total")).alias("mean"), F.stddev_pop(100 * F.col("n") / F.col("total")).alias("std"))
     return out.withColumns({"low": F.greatest(F.lit(0.0), F.col("mean") - 4 * F.col("std")), "high": F.col("mean") + 4 * F.col("std")})
 
 

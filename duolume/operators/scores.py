@@ -1,8 +1,9 @@
 """Contribution scores: how much of a fused image comes from the visible and from the thermal one.
 
 A score table has a row for each pixel with v0..v2 (visible), t (thermal) and
-f0..f2 (fused), each stretched to 0..1 per image and channel. Every proxy is a
-grouped aggregate over (method, image): 100 means visible, 0 thermal.
+f0..f2 (fused), each stretched to 0..1 per image and channel by a window, which
+hashes the rows by (method, image). Every proxy is a grouped aggregate over these
+keys, so it needs no other shuffle: 100 means visible, 0 thermal.
 """
 
 from __future__ import annotations
@@ -13,14 +14,12 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duolume.functions.names import anchor_map
 
 from .pixels import box_stats, sobel
-from .stats import spearman
-
 GROUP = ["method", "image_id"]
 CHANNELS = ("v0", "v1", "v2", "t", "f0", "f1", "f2")
 BINS = 128
@@ -44,16 +43,31 @@ def total(columns: list[Column]) -> Column:
     return reduce(Column.__add__, columns)
 
 
-def corr0(a: str, b: str) -> Column:
-    """Correlation; 0 where either has no spread."""
-    return F.when((F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), F.lit(0.0)).otherwise(F.coalesce(F.corr(a, b), F.lit(0.0)))
+def corr0(a: str, b: str, over=None) -> Column:
+    """Correlation; 0 where either has no spread. An aggregate, or one over a window."""
+    put = lambda c: c if over is None else c.over(over)
+    return F.when((put(F.stddev_pop(a)) < 1e-12) | (put(F.stddev_pop(b)) < 1e-12), F.lit(0.0)).otherwise(F.coalesce(put(F.corr(a, b)), F.lit(0.0)))
+
+
+def _image():
+    return Window.partitionBy(*GROUP)
+
+
+def rank_corr(a: str, b: str, rank_a: str, rank_b: str) -> Column:
+    """Aggregate of values and their ordinal ranks; 0 for fewer than two rows or without spread."""
+    return F.when((F.count("*") < 2) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), F.lit(0.0)).otherwise(F.corr(rank_a, rank_b))
+
+
+def with_ranks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """rank_c of each column within an image, ties by place."""
+    return rows.withColumns({f"rank_{c}": F.row_number().over(_image().orderBy(c, "y", "x")) for c in columns})
 
 
 def normalize_channels(df: DataFrame, columns: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Each channel of each image to 0..1; constant ones become 0.5."""
-    ends = df.groupBy(*GROUP).agg(*[f(c).alias(f"__{s}{c}") for c in columns for s, f in (("l", F.min), ("h", F.max))])
+    ends = {f"__{s}{c}": f(c).over(_image()) for c in columns for s, f in (("l", F.min), ("h", F.max))}
     span = lambda c: F.col(f"__h{c}") - F.col(f"__l{c}")
-    out = df.join(ends, GROUP).withColumns({c: F.when(span(c) < 1e-12, F.lit(0.5)).otherwise((F.col(c) - F.col(f"__l{c}")) / span(c)) for c in columns})
+    out = df.withColumns(ends).withColumns({c: F.when(span(c) < 1e-12, F.lit(0.5)).otherwise((F.col(c) - F.col(f"__l{c}")) / span(c)) for c in columns})
     return out.select(df.columns)
 
 
@@ -84,25 +98,24 @@ def mutual_info(df: DataFrame, keys: list[str], a: str, b: str, bins: int = BINS
     """Mutual information (nats) of two columns in 0..1 over a bins x bins histogram with a little mass in each cell."""
     cell = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1))
     joint = df.groupBy(*keys, cell(a).alias("i"), cell(b).alias("j")).agg(F.count("*").alias("n"))
-    n = joint.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joint = joint.join(n, keys)
     eps = SMOOTHING
     mass = 1 + eps * bins * bins
-    row = joint.groupBy(*keys, "i").agg((F.sum(F.col("n") / F.col("total")) + eps * bins).alias("pi"))
-    col = joint.groupBy(*keys, "j").agg((F.sum(F.col("n") / F.col("total")) + eps * bins).alias("pj"))
+    # margins are windows over the few cells of a group
+    share = lambda *more: F.sum("n").over(Window.partitionBy(*keys, *more)) / F.col("total") + eps * bins
+    full = joint.withColumn("total", F.sum("n").over(Window.partitionBy(*keys))).withColumns({"pi": share("i"), "pj": share("j")})
     # the smoothed mass of empty cells is far below the rounding of results
     p = F.col("n") / F.col("total") + eps
-    full = joint.join(row, [*keys, "i"]).join(col, [*keys, "j"])
     return full.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.sum(p / mass * F.log(p * mass / (F.col("pi") * F.col("pj"))))).alias("mi"))
 
 
 def proxy_mi(s: DataFrame) -> DataFrame:
     """Share of what the fused channel tells about the visible one alone, less what both sources have in common."""
-    rows = s.select(*GROUP, "t", F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.col(f"v{i}").alias("v"), F.col(f"f{i}").alias("f")) for i in range(3)])).alias("p")).select(*GROUP, "t", "p.*")
-    keys = [*GROUP, "ch"]
-    fv, ft = mutual_info(rows, keys, "f", "v").withColumnRenamed("mi", "fv"), mutual_info(rows, keys, "f", "t").withColumnRenamed("mi", "ft")
-    shared = rows.groupBy(*keys).agg(F.abs(corr0("v", "t")).alias("shared"))
-    both = fv.join(ft, keys).join(shared, keys)
+    rows = s.withColumns({f"shared{i}": F.abs(corr0(f"v{i}", "t", _image())) for i in range(3)})
+    pairs = [F.struct(F.lit(i).alias("ch"), F.lit(k).alias("source"), F.col(f"shared{i}").alias("shared"), F.col(f"f{i}").alias("f"), F.col(o).alias("o")) for i in range(3) for k, o in (("v", f"v{i}"), ("t", "t"))]
+    rows = rows.select(*GROUP, F.explode(F.array(*pairs)).alias("p")).select(*GROUP, "p.*")
+    # `shared` is one value for each channel of an image
+    mi = mutual_info(rows, [*GROUP, "ch", "source", "shared"], "f", "o")
+    both = mi.groupBy(*GROUP, "ch", "shared").agg(*[F.max(F.when(F.col("source") == k, F.col("mi"))).alias(f"f{k}") for k in "vt"])
     common = F.col("shared") * F.least("fv", "ft")
     a, b = F.greatest(F.lit(0.0), F.col("fv") - common), F.greatest(F.lit(0.0), F.col("ft") - common)
     return both.groupBy(*GROUP).agg(F.avg(F.when(a + b < 1e-8, F.lit(50.0)).otherwise(100 * a / (a + b))).alias("value"))
@@ -113,20 +126,14 @@ def mean_ssim(s: DataFrame, a: str, b: str, size: int = 7) -> Column:
     return ((2 * F.col(f"mean_{a}") * F.col(f"mean_{b}") + c1) * (2 * F.col(f"cov_{a}_{b}") + c2)) / ((F.col(f"mean_{a}") ** 2 + F.col(f"mean_{b}") ** 2 + c1) * (F.col(f"var_{a}") + F.col(f"var_{b}") + c2))
 
 
-def _by_image(s: DataFrame) -> DataFrame:
-    """Window operators work by image_id: a method's image is one of its own, and `image` keeps the number."""
-    return s.withColumn("image", F.col("image_id")).withColumn("image_id", F.struct(*GROUP))
-
-
 def proxy_ssim(s: DataFrame, size: int = 7) -> DataFrame:
     """Logistic map of the difference of mean similarities to the visible and to the thermal image, over interior pixels."""
     pairs = [p for i in range(3) for p in ((f"f{i}", f"v{i}"), (f"f{i}", "t"))]
-    rows = box_stats(_by_image(s), pairs, size)
+    rows = box_stats(s.withColumns({"my": F.max("y").over(_image()), "mx": F.max("x").over(_image())}), pairs, size, GROUP)
     r = size // 2
-    ends = _by_image(s).groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    rows = rows.join(ends, "image_id").filter((F.col("y") >= r) & (F.col("x") >= r) & (F.col("y") <= F.col("my") - r) & (F.col("x") <= F.col("mx") - r))
+    rows = rows.filter((F.col("y") >= r) & (F.col("x") >= r) & (F.col("y") <= F.col("my") - r) & (F.col("x") <= F.col("mx") - r))
     sv, st = (total([mean_ssim(rows, f"f{i}", f"v{i}" if k == "v" else "t", size) for i in range(3)]) / 3 for k in "vt")
-    return rows.groupBy("method", F.col("image").alias("image_id")).agg((100 / (1 + F.exp(-5 * (F.avg(sv) - F.avg(st))))).alias("value"))
+    return rows.groupBy(*GROUP).agg((100 / (1 + F.exp(-5 * (F.avg(sv) - F.avg(st))))).alias("value"))
 
 
 def grey(prefix: str) -> Column:
@@ -135,13 +142,12 @@ def grey(prefix: str) -> Column:
 
 def proxy_grad(s: DataFrame) -> DataFrame:
     """Half agreement of gradient magnitudes, half of orientations (weighted by the fused magnitude), anchored at the sources."""
-    g = sobel(_by_image(s.withColumns({"gf": grey("f"), "gv": grey("v"), "gt": F.col("t")})), ["gf", "gv", "gt"])
+    g = sobel(s.withColumns({"gf": grey("f"), "gv": grey("v"), "gt": F.col("t")}), ["gf", "gv", "gt"], GROUP)
     mag = {k: F.sqrt(F.col(f"gx_g{k}") ** 2 + F.col(f"gy_g{k}") ** 2) for k in "fvt"}
-    g = g.withColumns({f"m{k}": v for k, v in mag.items()}).withColumn("image_id", F.col("image"))
+    g = g.withColumns({f"m{k}": v for k, v in mag.items()})
     cos = lambda a, b: F.when((F.col(f"m{a}") == 0) | (F.col(f"m{b}") == 0), F.lit(0.0)).otherwise((F.col(f"gx_g{a}") * F.col(f"gx_g{b}") + F.col(f"gy_g{a}") * F.col(f"gy_g{b}")) / (F.col(f"m{a}") * F.col(f"m{b}")))
     g = g.withColumns({"cfv": cos("f", "v"), "cft": cos("f", "t"), "cvt": cos("v", "t")})
-    mean = g.groupBy(*GROUP).agg(F.avg("mf").alias("mean_m"))
-    g = g.join(mean, GROUP).withColumn("w", F.when(F.col("mean_m") > 1e-12, clip(F.col("mf") / F.col("mean_m"), 0.0, 10.0)).otherwise(F.lit(0.0)))
+    g = g.withColumn("mean_m", F.avg("mf").over(_image())).withColumn("w", F.when(F.col("mean_m") > 1e-12, clip(F.col("mf") / F.col("mean_m"), 0.0, 10.0)).otherwise(F.lit(0.0)))
     weighted = lambda c: F.coalesce(F.sum(F.col("w") * F.col(c)) / F.sum("w"), F.lit(0.0))
     a = g.groupBy(*GROUP).agg(*[corr0(f"m{x}", f"m{y}").alias(f"r{x}{y}") for x, y in ("fv", "ft", "vt")], *[weighted(f"c{x}").alias(f"o{x}") for x in ("fv", "ft", "vt")])
     part = lambda p: anchor_map(F.col(f"{p}fv") - F.col(f"{p}ft"), 1 - F.col(f"{p}vt"), F.col(f"{p}vt") - 1)
@@ -196,11 +202,11 @@ def prescreen(s: DataFrame) -> DataFrame:
 
 def similarity(s: DataFrame) -> DataFrame:
     """Pearson, Spearman, mutual information and RMSE of the fused grey image against either source."""
-    rows = s.select(*GROUP, "y", "x", grey("f").alias("f"), grey("v").alias("v"), "t").withColumn("place", F.col("y") * 100_000 + F.col("x"))
-    out = rows.groupBy(*GROUP).agg(*[x for k in "vt" for x in (corr0("f", k).alias(f"pearson_{k}"), F.sqrt(F.avg((F.col("f") - F.col(k)) ** 2)).alias(f"rmse_{k}"))])
-    for k in "vt":
-        out = out.join(spearman(rows, GROUP, "f", k, "place").select(*GROUP, F.col("spearman").alias(f"spearman_{k}")), GROUP).join(mutual_info(rows, GROUP, "f", k).withColumnRenamed("mi", f"mi_{k}"), GROUP)
-    return out
+    rows = s.select(*GROUP, "y", "x", grey("f").alias("f"), grey("v").alias("v"), "t")
+    a = with_ranks(rows, ("f", "v", "t")).groupBy(*GROUP).agg(*[x for k in "vt" for x in (corr0("f", k).alias(f"pearson_{k}"), F.sqrt(F.avg((F.col("f") - F.col(k)) ** 2)).alias(f"rmse_{k}"), rank_corr("f", k, "rank_f", f"rank_{k}").alias(f"spearman_{k}"))])
+    pairs = rows.select(*GROUP, "f", F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.col(k).alias("o")) for k in "vt"])).alias("p")).select(*GROUP, "f", "p.*")
+    mi = mutual_info(pairs, [*GROUP, "source"], "f", "o").groupBy(*GROUP).agg(*[F.max(F.when(F.col("source") == k, F.col("mi"))).alias(f"mi_{k}") for k in "vt"])
+    return a.join(mi, GROUP)
 
 
 def eigenvalues3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> list[Column]:
@@ -221,12 +227,13 @@ def channel_redundancy(s: DataFrame, grid: int = 4) -> DataFrame:
     pairs = ((0, 1), (1, 2), (0, 2))
     mean3 = lambda p: total([F.col(f"{p}{i}{j}") for i, j in pairs]) / 3
     std3 = lambda p: F.sqrt(total([(F.col(f"{p}{i}{j}") - mean3(p)) ** 2 for i, j in pairs]) / 3)
-    m = s.groupBy(*GROUP).agg(*[F.abs(corr0(f"f{i}", f"f{j}")).alias(f"r{i}{j}") for i, j in pairs], *[F.coalesce(F.covar_samp(f"f{i}", f"f{j}"), F.lit(0.0)).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)])
-    place = s.withColumn("place", F.col("y") * 100_000 + F.col("x"))
-    for i, j in pairs:
-        m = m.join(spearman(place, GROUP, f"f{i}", f"f{j}", "place").select(*GROUP, F.abs("spearman").alias(f"s{i}{j}")), GROUP)
-    ends = s.groupBy(*GROUP).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    tiles = s.join(ends, GROUP).groupBy(*GROUP, F.floor(F.col("y") * grid / F.col("h")).alias("ty"), F.floor(F.col("x") * grid / F.col("w")).alias("tx"))
+    fused = s.select(*GROUP, "y", "x", "f0", "f1", "f2")
+    m = with_ranks(fused, ("f0", "f1", "f2")).groupBy(*GROUP).agg(
+        *[x for i, j in pairs for x in (F.abs(corr0(f"f{i}", f"f{j}")).alias(f"r{i}{j}"), F.abs(rank_corr(f"f{i}", f"f{j}", f"rank_f{i}", f"rank_f{j}")).alias(f"s{i}{j}"))],
+        *[F.coalesce(F.covar_samp(f"f{i}", f"f{j}"), F.lit(0.0)).alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)],
+    )
+    tile = lambda c: F.floor(F.col(c) * grid / (F.max(c).over(_image()) + 1))
+    tiles = fused.withColumns({"ty": tile("y"), "tx": tile("x")}).groupBy(*GROUP, "ty", "tx")
     tiles = tiles.agg((total([F.abs(corr0(f"f{i}", f"f{j}")) for i, j in pairs]) / 3).alias("score")).groupBy(*GROUP).agg(F.median("score").alias("tiles"), F.stddev_pop("score").alias("tile_std"))
     ev = F.array(*[F.greatest(F.lit(0.0), x) for x in eigenvalues3(*[F.col(x) for x in ("c00", "c11", "c22", "c01", "c02", "c12")])])
     m = m.join(tiles, GROUP).withColumn("ev", ev).withColumn("trace", F.aggregate("ev", F.lit(0.0), lambda a, x: a + x))
