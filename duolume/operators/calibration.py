@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pixels import ALL, haar, inverse_haar
-from .scores import MOST_WEIGHT, cap_weights
+from .scores import GROUP, MOST_WEIGHT, PROXIES, aggregate_proxies, cap_weights, channel_redundancy, proxies, score_table
 from .stats import interp_column
+from .stored import stored
 
 FLOOR = 0.01
 #: Fixed value: preference among kinds of samples that fit as well.
@@ -36,15 +37,16 @@ def freq_blend(px: DataFrame, alphas: list[float]) -> DataFrame:
 
 
 def synth_mixtures(px: DataFrame, alphas: list[float]) -> DataFrame:
-    """Mixtures of known thermal share alpha: blends, geometric blends (on 0..1) and Haar blends, and channel substitutions with the share they imply."""
+    """Mixtures of known thermal share alpha: blends, geometric blends (on 0..1) and Haar blends, and channel substitutions (with their pattern) with the share they imply."""
     grid = px.select("*", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha"))
     b = lambda c: (1 - F.col("alpha")) * F.col(c) + F.col("alpha") * F.col("t")
     n = lambda c: 255 * F.least(F.lit(1.0), F.pow(F.col(c) / 255 + _EPS, 1 - F.col("alpha")) * F.pow(F.col("t") / 255 + _EPS, F.col("alpha")))
     kinds = grid.select("image_id", "y", "x", "alpha", F.explode(F.array(*[F.struct(F.lit(k).alias("stype"), *[f(c).alias(f"f{i}") for i, c in enumerate("bgr")]) for k, f in (("blend", b), ("nonlinear", n))])).alias("m")).select("image_id", "y", "x", "alpha", "m.*")
     put = {"v": F.col, "t": lambda c: F.col("t"), "m": lambda c: (F.col(c) + F.col("t")) / 2}
-    swaps = [F.struct(F.lit(sum(map(_SHARES.get, p)) / 3).alias("alpha"), F.lit("concat").alias("stype"), *[put[k](c).cast("double").alias(f"f{i}") for i, (k, c) in enumerate(zip(p, "bgr", strict=True))]) for p in PATTERNS]
+    swaps = [F.struct(F.lit(sum(map(_SHARES.get, p)) / 3).alias("alpha"), F.lit("concat").alias("stype"), F.lit(p).alias("pattern"), *[put[k](c).cast("double").alias(f"f{i}") for i, (k, c) in enumerate(zip(p, "bgr", strict=True))]) for p in PATTERNS]
     swapped = px.select("image_id", "y", "x", F.explode(F.array(*swaps)).alias("m")).select("image_id", "y", "x", "m.*")
-    return kinds.unionByName(freq_blend(px, alphas)).unionByName(swapped.select(kinds.columns))
+    out = kinds.unionByName(freq_blend(px, alphas)).withColumn("pattern", F.lit(""))
+    return out.unionByName(swapped.select(out.columns))
 
 
 def isotonic_knots(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,7 +76,7 @@ def fit_calibration(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keys = ["stype", "proxy"]
     knots = packed_knots(isotonic_knots(samples, keys), keys)
-    seen = samples.join(F.broadcast(knots), keys).withColumn("cal", interp_column(F.col("knots"), F.col("raw")))
+    seen = samples.join(knots, keys).withColumn("cal", interp_column(F.col("knots"), F.col("raw")))
     sigma = seen.groupBy(*keys, "alpha").agg(F.stddev_pop("cal").alias("sigma"))
     weights = sigma.groupBy(*keys).agg((1 / F.greatest(F.avg("sigma"), F.lit(FLOOR))).alias("w"), F.array_sort(F.collect_list(F.struct(F.col("alpha").alias("knot_x"), F.greatest(F.col("sigma"), F.lit(FLOOR)).alias("knot_y")))).alias("sigmas"))
     whole = F.sum("w").over(Window.partitionBy("stype"))
@@ -90,12 +92,12 @@ def average_weights(weights: DataFrame) -> DataFrame:
 
 def calibrated(values: DataFrame, knots: DataFrame) -> DataFrame:
     """values (keys..., proxy, value) with each kind's calibrated visible share."""
-    return values.join(F.broadcast(knots), "proxy").withColumn("cal", interp_column(F.col("knots"), F.col("value"))).drop("knots")
+    return values.join(knots, "proxy").withColumn("cal", interp_column(F.col("knots"), F.col("value"))).drop("knots")
 
 
 def select_calibration(cal: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """The kind of samples under which a row's proxies agree best (least weighted deviation)."""
-    rows = cal.join(F.broadcast(weights.select("stype", "proxy", "w")), ["stype", "proxy"])
+    rows = cal.join(weights.select("stype", "proxy", "w"), ["stype", "proxy"])
     mean = rows.groupBy(*keys, "stype").agg((F.sum(F.col("w") * F.col("cal")) / F.sum("w")).alias("mean"), (F.sum(F.col("w") * F.col("cal") * F.col("cal")) / F.sum("w")).alias("square"))
     order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("stype")), F.lit(0)), F.lit(len(KINDS) + 1))
     spread = F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))), 12)
@@ -105,7 +107,7 @@ def select_calibration(cal: DataFrame, weights: DataFrame, keys: list[str]) -> D
 
 def apply_calibration(cal: DataFrame, chosen: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """latent_z: 1 - the weighted visible share, with capped global weights."""
-    rows = cal.join(chosen.select(*keys, "stype"), [*keys, "stype"]).join(F.broadcast(weights), "proxy")
+    rows = cal.join(chosen.select(*keys, "stype"), [*keys, "stype"]).join(weights, "proxy")
     packed = rows.groupBy(*keys, "stype").agg(F.array_sort(F.collect_list(F.struct("proxy", "cal", "w"))).alias("p"))
     packed = packed.withColumn("cw", cap_weights(F.transform("p", lambda x: x["w"])))
     share = F.aggregate(F.zip_with("p", "cw", lambda a, b: a["cal"] * b), F.lit(0.0), lambda s, x: s + x)
@@ -114,7 +116,7 @@ def apply_calibration(cal: DataFrame, chosen: DataFrame, weights: DataFrame, key
 
 def apply_alpha_dep(cal: DataFrame, chosen: DataFrame, sigmas: DataFrame, keys: list[str], rounds: int = 4, tolerance: float = 1e-3) -> DataFrame:
     """Weights that depend on the share itself: up to four rounds of w = 1 / sigma at the last estimate, capped."""
-    rows = cal.join(chosen.select(*keys, "stype"), [*keys, "stype"]).join(F.broadcast(sigmas.select("stype", "proxy", "sigmas")), ["stype", "proxy"])
+    rows = cal.join(chosen.select(*keys, "stype"), [*keys, "stype"]).join(sigmas.select("stype", "proxy", "sigmas"), ["stype", "proxy"])
     packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("proxy", "cal", "sigmas"))).alias("p"))
     packed = packed.withColumn("trace", F.array(1 - F.aggregate("p", F.lit(0.0), lambda s, x: s + x["cal"]) / F.size("p"))).withColumns({"iterations": F.lit(0), "converged": F.lit(False)})
     for _ in range(rounds):
@@ -147,17 +149,32 @@ def methods_overview(scored: DataFrame, method: str, columns: list[str]) -> Data
     return out.orderBy(F.col(f"{columns[-1]}_mean").desc(), method)
 
 
-def evaluate(px: DataFrame, fused: DataFrame, knots: DataFrame, weights: DataFrame, names: list[str]) -> DataFrame:
-    """End to end: scores of every method and image, calibrated, chosen and weighted."""
-    from .scores import GROUP, proxies, score_table
+def calibrate(px: DataFrame, alphas: list[float], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Knots and weights from the mixtures of a set of images. Both are stored (one row for each kind of mixture and proxy), and so are the mixtures' scores, once for all proxies."""
+    # several substitutions share an alpha, so the pattern belongs to a mixture's name
+    label = F.concat_ws("|", "stype", F.col("alpha").cast("string"), "pattern")
+    fused = synth_mixtures(px, alphas).select(label.alias("method"), "image_id", "y", "x", F.array("f0", "f1", "f2").alias("c"))
+    raw = proxies(stored(score_table(px, fused), "mixtures"), names, average_orders=True)
+    field = lambda i: F.split_part("method", F.lit("|"), F.lit(i))
+    samples = stored(raw.select(field(1).alias("stype"), "proxy", field(2).cast("double").alias("alpha"), F.col("value").alias("raw")), "samples")
+    knots, weights = fit_calibration(samples)
+    return stored(knots, "knots"), stored(weights, "weights")
 
-    # each is read by several joins; cached blocks are recomputed if an executor is lost
-    values, knots, weights = proxies(score_table(px, fused), names).persist(), knots.persist(), weights.persist()
+
+def evaluate(px: DataFrame, fused: DataFrame, knots: DataFrame, weights: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """End to end: every method and image with its proxies, their robust mean, redundancy of channels, and latent shares.
+
+    The score table is stored, so that fusions run once and not once for each proxy; so are the
+    proxies (one row for each method, image and proxy), which several joins read.
+    """
+    names = names or list(PROXIES)
+    s = stored(score_table(px, fused), "scores")
+    values = stored(proxies(s, names, average_orders=True), "proxies")
     cal = calibrated(values, knots)
     chosen = select_calibration(cal, weights, GROUP)
     latent = apply_calibration(cal, chosen, average_weights(weights), GROUP)
     dep = apply_alpha_dep(cal, chosen, weights, GROUP)
     wide = values.groupBy(*GROUP).pivot("proxy", names).agg(F.first("value"))
-    return reduce(lambda a, b: a.join(b, GROUP), [wide, latent.drop("cw"), dep.drop("trace")])
-
-
+    robust = aggregate_proxies(values, GROUP).drop("mean", "std")
+    parts = [wide, robust, channel_redundancy(s).select(*GROUP, "redundancy"), latent.drop("cw"), dep.drop("trace")]
+    return reduce(lambda a, b: a.join(b, GROUP), parts)

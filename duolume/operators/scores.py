@@ -58,9 +58,9 @@ def rank_corr(a: str, b: str, rank_a: str, rank_b: str) -> Column:
     return F.when((F.count("*") < 2) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), F.lit(0.0)).otherwise(F.corr(rank_a, rank_b))
 
 
-def with_ranks(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def with_ranks(rows: DataFrame, columns: tuple[str, ...], place: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """rank_c of each column within an image, ties by place."""
-    return rows.withColumns({f"rank_{c}": F.row_number().over(_image().orderBy(c, "y", "x")) for c in columns})
+    return rows.withColumns({f"rank_{c}": F.row_number().over(_image().orderBy(c, *place)) for c in columns})
 
 
 def normalize_channels(df: DataFrame, columns: tuple[str, ...] = CHANNELS) -> DataFrame:
@@ -126,14 +126,18 @@ def mean_ssim(s: DataFrame, a: str, b: str, size: int = 7) -> Column:
     return ((2 * F.col(f"mean_{a}") * F.col(f"mean_{b}") + c1) * (2 * F.col(f"cov_{a}_{b}") + c2)) / ((F.col(f"mean_{a}") ** 2 + F.col(f"mean_{b}") ** 2 + c1) * (F.col(f"var_{a}") + F.col(f"var_{b}") + c2))
 
 
-def proxy_ssim(s: DataFrame, size: int = 7) -> DataFrame:
-    """Logistic map of the difference of mean similarities to the visible and to the thermal image, over interior pixels."""
+def ssim_means(s: DataFrame, size: int = 7) -> DataFrame:
+    """ssim_v and ssim_t: mean similarity of the fused channels to either source over interior pixels."""
     pairs = [p for i in range(3) for p in ((f"f{i}", f"v{i}"), (f"f{i}", "t"))]
     rows = box_stats(s.withColumns({"my": F.max("y").over(_image()), "mx": F.max("x").over(_image())}), pairs, size, GROUP)
     r = size // 2
     rows = rows.filter((F.col("y") >= r) & (F.col("x") >= r) & (F.col("y") <= F.col("my") - r) & (F.col("x") <= F.col("mx") - r))
-    sv, st = (total([mean_ssim(rows, f"f{i}", f"v{i}" if k == "v" else "t", size) for i in range(3)]) / 3 for k in "vt")
-    return rows.groupBy(*GROUP).agg((100 / (1 + F.exp(-5 * (F.avg(sv) - F.avg(st))))).alias("value"))
+    return rows.groupBy(*GROUP).agg(*[F.avg(total([mean_ssim(rows, f"f{i}", f"v{i}" if k == "v" else "t", size) for i in range(3)]) / 3).alias(f"ssim_{k}") for k in "vt"])
+
+
+def proxy_ssim(s: DataFrame, size: int = 7) -> DataFrame:
+    """Logistic map of the difference of mean similarities to the visible and to the thermal image."""
+    return ssim_means(s, size).select(*GROUP, (100 / (1 + F.exp(-5 * (F.col("ssim_v") - F.col("ssim_t"))))).alias("value"))
 
 
 def grey(prefix: str) -> Column:
@@ -186,27 +190,56 @@ def proxy_freq(s: DataFrame) -> DataFrame:
 PROXIES |= {"reg": proxy_reg, "mi": proxy_mi, "ssim": proxy_ssim, "grad": proxy_grad, "spectral": proxy_spectral, "freq": proxy_freq}
 
 
-def proxies(s: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """method, image_id, proxy, value for each proxy."""
-    return reduce(DataFrame.unionByName, [PROXIES[n](s).withColumn("proxy", F.lit(n)) for n in names or list(PROXIES)])
+def _best_orders(r: Callable[[int, int], Column]) -> Column:
+    """Array of (s, order): the two orders of fused channels that agree best with the visible ones, or one if they are as good; s is the negative sum."""
+    orders = F.array(*[F.struct((-total([r(p[j], j) for j in range(3)])).alias("s"), F.array(*map(F.lit, p)).alias("order")) for p in permutations(range(3))])
+    best = F.slice(F.array_sort(orders), 1, 2)
+    return F.when(F.get(best, 1)["s"] - F.get(best, 0)["s"] < 0.01, F.slice(best, 1, 1)).otherwise(best)
 
 
 def prescreen(s: DataFrame) -> DataFrame:
-    """The two orders of fused channels that agree best with the visible ones, or one if they are as good."""
+    """Score and order of an image's kept channel orders, a row for each."""
     m = s.groupBy(*GROUP).agg(*[corr0(f"f{i}", f"v{j}").alias(f"r{i}{j}") for i in range(3) for j in range(3)])
-    orders = F.array(*[F.struct((-total([F.col(f"r{p[j]}{j}") for j in range(3)])).alias("s"), F.array(*map(F.lit, p)).alias("order")) for p in permutations(range(3))])
-    m = m.select(*GROUP, F.slice(F.array_sort(orders), 1, 2).alias("best"))
-    kept = F.when(F.get("best", 1)["s"] - F.get("best", 0)["s"] < 0.01, F.slice("best", 1, 1)).otherwise(F.col("best"))
-    return m.select(*GROUP, F.explode(kept).alias("k")).select(*GROUP, (-F.col("k.s")).alias("score"), "k.order")
+    return m.select(*GROUP, F.explode(_best_orders(lambda i, j: F.col(f"r{i}{j}"))).alias("k")).select(*GROUP, (-F.col("k.s")).alias("score"), "k.order")
+
+
+def in_orders(s: DataFrame) -> DataFrame:
+    """The score table with the fused channels in each kept order; `method` becomes (name, place of the order)."""
+    rows = s.withColumns({f"r{i}{j}": corr0(f"f{i}", f"v{j}", _image()) for i in range(3) for j in range(3)})
+    rows = rows.select("*", F.posexplode(_best_orders(lambda i, j: F.col(f"r{i}{j}"))).alias("place", "k"))
+    fused = F.array("f0", "f1", "f2")
+    return rows.select(F.struct(F.col("method").alias("name"), "place").alias("method"), "image_id", "y", "x", "v0", "v1", "v2", "t", *[F.get(fused, F.get("k.order", i)).alias(f"f{i}") for i in range(3)])
+
+
+def over_orders(values: DataFrame, *columns: str) -> DataFrame:
+    """Means over the kept orders."""
+    return values.groupBy(F.col("method.name").alias("method"), "image_id").agg(*[F.avg(c).alias(c) for c in columns])
+
+
+#: Proxies that depend on the order of the fused channels.
+ORDERED = ("reg", "mi", "ssim")
+
+
+def proxies(s: DataFrame, names: list[str] | None = None, average_orders: bool = False) -> DataFrame:
+    """method, image_id, proxy, value for each proxy; those that depend on the order of channels as means over the kept orders, if asked for."""
+    names = names or list(PROXIES)
+    turned = in_orders(s) if average_orders else None
+    of = lambda n: over_orders(PROXIES[n](turned), "value") if average_orders and n in ORDERED else PROXIES[n](s)
+    return reduce(DataFrame.unionByName, [of(n).withColumn("proxy", F.lit(n)) for n in names])
 
 
 def similarity(s: DataFrame) -> DataFrame:
-    """Pearson, Spearman, mutual information and RMSE of the fused grey image against either source."""
-    rows = s.select(*GROUP, "y", "x", grey("f").alias("f"), grey("v").alias("v"), "t")
-    a = with_ranks(rows, ("f", "v", "t")).groupBy(*GROUP).agg(*[x for k in "vt" for x in (corr0("f", k).alias(f"pearson_{k}"), F.sqrt(F.avg((F.col("f") - F.col(k)) ** 2)).alias(f"rmse_{k}"), rank_corr("f", k, "rank_f", f"rank_{k}").alias(f"spearman_{k}"))])
-    pairs = rows.select(*GROUP, "f", F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.col(k).alias("o")) for k in "vt"])).alias("p")).select(*GROUP, "f", "p.*")
-    mi = mutual_info(pairs, [*GROUP, "source"], "f", "o").groupBy(*GROUP).agg(*[F.max(F.when(F.col("source") == k, F.col("mi"))).alias(f"mi_{k}") for k in "vt"])
-    return a.join(mi, GROUP)
+    """Pearson, Spearman, mutual information, RMSE and structural similarity of the fused channels against either source's, as means over the kept orders."""
+    rows = in_orders(s)
+    channels = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.col(f"f{i}").alias("f"), F.col(f"v{i}").alias("v")) for i in range(3)])).alias("p")
+    flat = rows.select(*GROUP, "y", "x", "t", channels).select(*GROUP, "y", "x", "t", "p.*")
+    of_pair = lambda k: (corr0("f", k).alias(f"pearson_{k}"), F.sqrt(F.avg((F.col("f") - F.col(k)) ** 2)).alias(f"rmse_{k}"), rank_corr("f", k, "rank_f", f"rank_{k}").alias(f"spearman_{k}"))
+    a = with_ranks(flat, ("f", "v", "t"), ("y", "x", "ch")).groupBy(*GROUP).agg(*of_pair("v"), *of_pair("t"))
+    sources = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), F.col(k).alias("o")) for k in "vt"])).alias("q")
+    mi = mutual_info(flat.select(*GROUP, "ch", "f", sources).select(*GROUP, "ch", "f", "q.*"), [*GROUP, "ch", "source"], "f", "o")
+    mi = mi.groupBy(*GROUP).agg(*[F.avg(F.when(F.col("source") == k, F.col("mi"))).alias(f"mi_{k}") for k in "vt"])
+    every = a.join(mi, GROUP).join(ssim_means(rows), GROUP)
+    return over_orders(every, *[c for c in every.columns if c not in GROUP])
 
 
 def eigenvalues3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> list[Column]:

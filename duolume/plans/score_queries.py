@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from duolume.operators import calibration as C
 from duolume.operators import pixels as P
 from duolume.operators import scores as S
+from duolume.operators.sampling import split_calibration
+from duolume.operators.stored import stored
 
 from .run_queries import rounded
 from .views import PIXELS, pixels, table
@@ -61,7 +63,7 @@ def q9(spark, d):
 
 
 def q10(spark, d):
-    names = [f"{m}_{k}" for m in ("pearson", "spearman", "mi", "rmse") for k in "vt"]
+    names = [f"{m}_{k}" for m in ("pearson", "spearman", "mi", "rmse", "ssim") for k in "vt"]
     return rounded(S.similarity(scored(spark, d, ["rgbt"])), *names)
 
 
@@ -152,17 +154,17 @@ def d39(spark, d):
 
 
 def q22(spark, d):
-    """Calibrates on mixtures of the images, then scores fusion methods with it."""
+    """Calibrates on a fifth of the images (by a seeded split), then evaluates fusion methods on the others, with all proxies."""
     px = pixels(spark, d)
-    names = ["reg", "spectral"]
-    mixtures = C.synth_mixtures(px, [0.0, 0.25, 0.5, 0.75, 1.0])
-    label = F.concat_ws("|", "stype", "alpha")
-    fused = mixtures.select(label.alias("method"), "image_id", "y", "x", F.array("f0", "f1", "f2").alias("c"))
-    raw = S.proxies(S.score_table(px, fused), names)
-    samples = raw.select(F.split_part("method", F.lit("|"), F.lit(1)).alias("stype"), "proxy", F.split_part("method", F.lit("|"), F.lit(2)).cast("double").alias("alpha"), F.col("value").alias("raw"))
-    knots, weights = C.fit_calibration(samples)
-    out = C.evaluate(px, P.fuse_all(px, ["rgbt", "rgbt_v2"]), knots, weights, names)
-    return rounded(C.methods_overview(out, "method", ["reg", "spectral", "latent_z"]), "latent_z_mean")
+    parts = stored(split_calibration(px.select("image_id").distinct(), "image_id", "q22", ratio=0.2), "parts")
+    of = lambda part: px.join(parts.filter(F.col("part") == part).select("image_id"), "image_id")
+    knots, weights = C.calibrate(of("calibration"), [0.0, 0.25, 0.5, 0.75, 1.0])
+    seen = of("evaluation")
+    out = C.evaluate(seen, P.fuse_all(seen, EVALUATED), knots, weights)
+    return rounded(C.methods_overview(out, "method", [*S.PROXIES, "robust", "redundancy", "latent_z_alpha_dep", "latent_z"]), "latent_z_mean")
+
+
+EVALUATED = ["rgbt", "rgbt_v2", "visible", "lwir", "hsvt", "wavelet", "pca"]
 
 
 PLANS = {
