@@ -121,9 +121,11 @@ def proxy_mi(s: DataFrame) -> DataFrame:
     return both.groupBy(*GROUP).agg(F.avg(F.when(a + b < 1e-8, F.lit(50.0)).otherwise(100 * a / (a + b))).alias("value"))
 
 
-def mean_ssim(s: DataFrame, a: str, b: str, size: int = 7) -> Column:
-    c1, c2 = 0.01**2, 0.03**2
-    return ((2 * F.col(f"mean_{a}") * F.col(f"mean_{b}") + c1) * (2 * F.col(f"cov_{a}_{b}") + c2)) / ((F.col(f"mean_{a}") ** 2 + F.col(f"mean_{b}") ** 2 + c1) * (F.col(f"var_{a}") + F.col(f"var_{b}") + c2))
+def mean_ssim(a: str, b: str, size: int) -> Column:
+    """Similarity at a pixel with a whole window, from sample variances, of values in 0..1."""
+    c1, c2, sample = 0.01**2, 0.03**2, size * size / (size * size - 1)
+    var, cov = sample * (F.col(f"var_{a}") + F.col(f"var_{b}")), sample * F.col(f"cov_{a}_{b}")
+    return ((2 * F.col(f"mean_{a}") * F.col(f"mean_{b}") + c1) * (2 * cov + c2)) / ((F.col(f"mean_{a}") ** 2 + F.col(f"mean_{b}") ** 2 + c1) * (var + c2))
 
 
 def ssim_means(s: DataFrame, size: int = 7) -> DataFrame:
@@ -132,7 +134,7 @@ def ssim_means(s: DataFrame, size: int = 7) -> DataFrame:
     rows = box_stats(s.withColumns({"my": F.max("y").over(_image()), "mx": F.max("x").over(_image())}), pairs, size, GROUP)
     r = size // 2
     rows = rows.filter((F.col("y") >= r) & (F.col("x") >= r) & (F.col("y") <= F.col("my") - r) & (F.col("x") <= F.col("mx") - r))
-    return rows.groupBy(*GROUP).agg(*[F.avg(total([mean_ssim(rows, f"f{i}", f"v{i}" if k == "v" else "t", size) for i in range(3)]) / 3).alias(f"ssim_{k}") for k in "vt"])
+    return rows.groupBy(*GROUP).agg(*[F.avg(total([mean_ssim(f"f{i}", f"v{i}" if k == "v" else "t", size) for i in range(3)]) / 3).alias(f"ssim_{k}") for k in "vt"])
 
 
 def proxy_ssim(s: DataFrame, size: int = 7) -> DataFrame:
@@ -145,17 +147,26 @@ def grey(prefix: str) -> Column:
 
 
 def proxy_grad(s: DataFrame) -> DataFrame:
-    """Half agreement of gradient magnitudes, half of orientations (weighted by the fused magnitude), anchored at the sources."""
+    """Half agreement of gradient magnitudes, half of directions, both anchored at the sources.
+
+    Agreement of directions is (1 + cos) / 2, weighted by the magnitude of the one that is compared
+    (the fused image; the source itself for its anchor). A gradient of zero has direction (1, 0).
+    """
+    kinds = ("f", "v", "t")
     g = sobel(s.withColumns({"gf": grey("f"), "gv": grey("v"), "gt": F.col("t")}), ["gf", "gv", "gt"], GROUP)
-    mag = {k: F.sqrt(F.col(f"gx_g{k}") ** 2 + F.col(f"gy_g{k}") ** 2) for k in "fvt"}
-    g = g.withColumns({f"m{k}": v for k, v in mag.items()})
-    cos = lambda a, b: F.when((F.col(f"m{a}") == 0) | (F.col(f"m{b}") == 0), F.lit(0.0)).otherwise((F.col(f"gx_g{a}") * F.col(f"gx_g{b}") + F.col(f"gy_g{a}") * F.col(f"gy_g{b}")) / (F.col(f"m{a}") * F.col(f"m{b}")))
-    g = g.withColumns({"cfv": cos("f", "v"), "cft": cos("f", "t"), "cvt": cos("v", "t")})
-    g = g.withColumn("mean_m", F.avg("mf").over(_image())).withColumn("w", F.when(F.col("mean_m") > 1e-12, clip(F.col("mf") / F.col("mean_m"), 0.0, 10.0)).otherwise(F.lit(0.0)))
-    weighted = lambda c: F.coalesce(F.sum(F.col("w") * F.col(c)) / F.sum("w"), F.lit(0.0))
-    a = g.groupBy(*GROUP).agg(*[corr0(f"m{x}", f"m{y}").alias(f"r{x}{y}") for x, y in ("fv", "ft", "vt")], *[weighted(f"c{x}").alias(f"o{x}") for x in ("fv", "ft", "vt")])
-    part = lambda p: anchor_map(F.col(f"{p}fv") - F.col(f"{p}ft"), 1 - F.col(f"{p}vt"), F.col(f"{p}vt") - 1)
-    return a.select(*GROUP, (0.5 * part("r") + 0.5 * part("o")).alias("value"))
+    g = g.withColumns({f"m{k}": F.sqrt(F.col(f"gx_g{k}") ** 2 + F.col(f"gy_g{k}") ** 2) for k in kinds})
+    none = lambda k: F.col(f"m{k}") < 1e-9  # rounding of sums of values in 0..1
+    g = g.withColumns({f"u{k}": F.when(none(k), F.lit(1.0)).otherwise(F.col(f"gx_g{k}") / F.col(f"m{k}")) for k in kinds} | {f"n{k}": F.when(none(k), F.lit(0.0)).otherwise(F.col(f"gy_g{k}") / F.col(f"m{k}")) for k in kinds})
+    mean = lambda k: F.avg(f"m{k}").over(_image())
+    g = g.withColumns({f"w{k}": F.when(mean(k) > 1e-12, clip(F.col(f"m{k}") / mean(k), 0.0, 10.0)).otherwise(F.lit(0.0)) for k in kinds})
+    agree = lambda a, b: (F.col(f"u{a}") * F.col(f"u{b}") + F.col(f"n{a}") * F.col(f"n{b}") + 1) / 2
+    by = lambda c, k: F.coalesce(F.sum(c * F.col(f"w{k}")) / F.nullif(F.sum(f"w{k}"), F.lit(0.0)), F.lit(0.0))
+    a = g.groupBy(*GROUP).agg(
+        (corr0("mf", "mv") - corr0("mf", "mt")).alias("size"), (corr0("mv", "mv") - corr0("mv", "mt")).alias("size_v"), (corr0("mv", "mt") - corr0("mt", "mt")).alias("size_t"),
+        (by(agree("f", "v"), "f") - by(agree("f", "t"), "f")).alias("turn"), (by(F.lit(1.0), "v") - by(agree("v", "t"), "v")).alias("turn_v"), (by(agree("v", "t"), "t") - by(F.lit(1.0), "t")).alias("turn_t"),
+    )
+    part = lambda p: anchor_map(F.col(p), F.col(f"{p}_v"), F.col(f"{p}_t"))
+    return a.select(*GROUP, (0.5 * part("size") + 0.5 * part("turn")).alias("value"))
 
 
 def proxy_spectral(s: DataFrame) -> DataFrame:
