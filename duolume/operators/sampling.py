@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 256
+#: Hex digits of the hash that part a bucket: 65,536 parts, so that at 10^11 rows a task ranks some millions.
+DIGITS = 4
 
 
 def hash_order(key: str, seed: str) -> Column:
@@ -32,7 +33,7 @@ def stratified_sample(df: DataFrame, bucket: str, key: str, n: int, seed: str) -
     Ranks come in two steps, so no bucket is sorted by one task: rows are ranked within
     parts of the hash range, and the parts before are counted.
     """
-    rows = df.withColumn("__h", hash_order(key, seed)).withColumn("__p", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
+    rows = df.withColumn("__h", hash_order(key, seed)).withColumn("__p", F.conv(F.substring("__h", 1, DIGITS), 16, 10).cast("int"))
     counts = rows.groupBy(bucket, "__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(bucket).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     q = quotas(counts.groupBy(bucket).agg(F.sum("__n").alias("rows")), bucket, n)

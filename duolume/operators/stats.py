@@ -155,15 +155,20 @@ def training_vs_latent(runs: DataFrame, latent: DataFrame, method: str, z: float
     return fit.join(ranks, "all").filter("n >= 3").drop("all")
 
 
+MOST_KNOTS = 10_000
+
+
 def interp(df: DataFrame, knots: DataFrame, x: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """Linear interpolation over (knot_x, knot_y), flat beyond the ends.
 
     Knots of a key form an array, which is searched by an expression: no row is
-    multiplied, and rows aren't sorted.
+    multiplied, and rows aren't sorted. More than MOST_KNOTS for a key are an error when the rows are read.
     """
     keys = keys or []
     packed = knots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("knot_x", "knot_y"))).alias("__k"))
-    joined = df.join(F.broadcast(packed), keys) if keys else df.crossJoin(F.broadcast(packed))
+    packed = packed.withColumn("__k", F.when(F.size("__k") <= MOST_KNOTS, F.col("__k")).otherwise(F.raise_error(F.lit(f"over {MOST_KNOTS} knots for a key"))))
+    # without keys there is a single row of bounded size
+    joined = df.join(packed, keys) if keys else df.crossJoin(F.broadcast(packed))
     return joined.withColumn(out, interp_column(F.col("__k"), F.col(x))).drop("__k")
 
 

@@ -127,4 +127,4 @@ def project_columns(df: DataFrame, columns: list[str], rename: dict[str, str] |
 def translate(df: DataFrame, words: DataFrame, column: str, lang: str) -> DataFrame:
     """A column's labels in a language, by a (label, lang, text) table; unknown ones stay."""
     own = words.filter(F.col("lang") == lang).select(F.col("label").alias(column), F.col("text").alias("__t"))
-    return df.join(F.broadcast(own), column, "left").withColumn(column, F.coalesce("__t", column)).select(df.columns)
+    return df.join(own, column, "left").withColumn(column, F.coalesce("__t", column)).select(df.columns)
