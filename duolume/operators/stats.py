@@ -194,11 +194,15 @@ def key_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def knn_preservation(vectors: DataFrame, id_col: str, full: str, part: str, queries: Column, k: int = 10) -> DataFrame:
     """Share of each query's k nearest neighbours (itself included) that a reduced vector keeps.
 
-    A stated set of queries is compared with all rows; the best k of each come from top-k aggregates.
+    A stated set of queries is compared with all rows; Spark broadcasts it if it is small and else joins
+    block by block. A filter on the rank lets every task cut its rows to k for each query before the shuffle.
     """
-    ask = F.broadcast(vectors.filter(queries).select(F.col(id_col).alias("q"), F.col(full).alias("qf"), F.col(part).alias("qp")))
+    ask = vectors.filter(queries).select(F.col(id_col).alias("q"), F.col(full).alias("qf"), F.col(part).alias("qp"))
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.crossJoin(ask).select("q", F.col(id_col).alias("c"), square(F.col(full), F.col("qf")).alias("df"), square(F.col(part), F.col("qp")).alias("dp"))
-    near = lambda c: F.row_number().over(Window.partitionBy("q").orderBy(c, "c")) <= k
-    pairs = pairs.withColumn("in_full", near("df")).withColumn("in_part", near("dp"))
-    return pairs.groupBy("q").agg((F.sum((F.col("in_full") & F.col("in_part")).cast("int")) / k).alias("kept"))
+
+    def nearest(own: str, asked: str) -> DataFrame:
+        pairs = vectors.crossJoin(ask).select("q", F.col(id_col).alias("c"), square(F.col(own), F.col(asked)).alias("d"))
+        return pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("r") <= k).select("q", "c")
+
+    kept = nearest(part, "qp").withColumn("kept", F.lit(1))
+    return nearest(full, "qf").join(kept, ["q", "c"], "left").groupBy("q").agg((F.coalesce(F.sum("kept"), F.lit(0)) / k).alias("kept"))

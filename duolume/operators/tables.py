@@ -40,7 +40,7 @@ def trials_of(groups: DataFrame, runs: DataFrame) -> DataFrame:
 
 def distance_preservation(vectors: DataFrame, id_col: str, full: str, part: str, anchors: Column) -> DataFrame:
     """Rank correlation of distances to stated anchors in two representations; ordinal ranks, over all rows and each anchor."""
-    a = F.broadcast(vectors.filter(anchors).select(F.col(id_col).alias("anchor"), F.col(full).alias("af"), F.col(part).alias("ap")))
+    a = vectors.filter(anchors).select(F.col(id_col).alias("anchor"), F.col(full).alias("af"), F.col(part).alias("ap"))
     square = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     pairs = vectors.crossJoin(a).filter(F.col(id_col) != F.col("anchor")).select("anchor", F.col(id_col).alias("id"), square(F.col(full), F.col("af")).alias("df"), square(F.col(part), F.col("ap")).alias("dp"))
     rank = lambda c: F.row_number().over(Window.partitionBy("anchor").orderBy(c, "id"))
