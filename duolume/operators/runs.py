@@ -33,6 +33,11 @@ def pivot_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy("method").pivot("equalization", list(REGIMES)).agg(F.first("value"))
 
 
+def regime_means(cells: DataFrame) -> DataFrame:
+    """Mean of each regime's cells over the methods that have one."""
+    return cells.groupBy("equalization").agg(F.avg("value").alias("mean"), F.count("value").alias("methods"))
+
+
 def delta_vs_baseline(cells: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Each cell against its method's baseline cell, with the noise pooled over cells of several runs."""
     noise = F.sqrt(F.avg(F.when(F.col("n") > 1, F.col("std") * F.col("std"))).over(Window.partitionBy("method")))

@@ -22,6 +22,10 @@ def d7(spark, d):
     return rounded(R.build_cells(runs(spark, d)).drop("value"), "mean", "std", "median", "best", "p90")
 
 
+def d8_means(spark, d):
+    return rounded(R.regime_means(R.build_cells(runs(spark, d))), "mean")
+
+
 def d8(spark, d):
     return rounded(R.pivot_cells(R.build_cells(runs(spark, d))), *N.REGIMES)
 
@@ -218,6 +222,7 @@ D5 = "SELECT p_partkey, unnest(['person', 'cyclist']) AS class, unnest([p_retail
 
 PLANS = {
     "d7_cells": (d7, f"WITH {RUNS}, {CELLS} SELECT method, equalization, n, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, round(best, 6) AS best, round(p90, 6) AS p90 FROM cells"),
+    "d8_regime_means": (d8_means, f"WITH {RUNS}, {CELLS} SELECT equalization, round(avg(mean), 6) AS mean, count(mean) AS methods FROM cells GROUP BY 1"),
     "d8_pivot": (d8, f"WITH {RUNS}, {CELLS} SELECT method, " + ", ".join(f"round(max(mean) FILTER (equalization = '{x}'), 6) AS {x}" for x in N.REGIMES) + " FROM cells GROUP BY method"),
     "d9_delta_vs_baseline": (d9, f"""WITH {RUNS}, {CELLS}, b AS (SELECT method, sqrt(avg(CASE WHEN n > 1 THEN std * std END)) AS noise, max(CASE WHEN equalization = 'no_equalization' THEN mean END) AS base FROM cells GROUP BY method)
   SELECT method, equalization, round(mean, 6) AS value, round(base, 6) AS base, round(mean - base, 6) AS delta, round(noise, 6) AS noise FROM cells JOIN b USING (method) WHERE equalization <> 'no_equalization' AND base IS NOT NULL"""),
