@@ -10,6 +10,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +47,23 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * h
 
 
-def anova2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
-    """Two-way analysis of variance (type II, with interaction): term, sum_sq, df, f, p.
+def _cells(df: DataFrame, keys: list[str], y: str) -> DataFrame:
+    """Rows reduced to counts, sums and sums of squares of their cells."""
+    complete = F.col(y).isNotNull()
+    for k in keys:
+        complete = complete & F.col(k).isNotNull()
+    return df.filter(complete).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q"))
 
-    Rows are reduced to cell counts, sums and sums of squares.
-    """
-    spark = df.sparkSession
-    cells = df.filter(F.col(y).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q")).limit(MOST_CELLS + 1).collect()
+
+ANOVA = "term string, sum_sq double, df double, f double, p double"
+
+
+def _type_two(cells: pd.DataFrame, a: str, b: str) -> list[tuple]:
     if len(cells) > MOST_CELLS:
         raise ValueError("too many cells")
-    n, s, q = (np.array([float(x[k]) for x in cells]) for k in ("n", "s", "q"))
-    codes = [np.unique([str(x[k]) for x in cells], return_inverse=True)[1] for k in (a, b)]
-    one_hot = [np.eye(c.max() + 1)[c] for c in codes] if cells else [np.zeros((0, 0))] * 2
+    n, s, q = (cells[k].to_numpy(dtype=float) for k in ("n", "s", "q"))
+    codes = [np.unique(cells[k].astype(str), return_inverse=True)[1] for k in (a, b)]
+    one_hot = [np.eye(c.max() + 1)[c] for c in codes] if len(cells) else [np.zeros((0, 0))] * 2
 
     def rss(x: np.ndarray) -> tuple[float, int]:
         root = np.sqrt(n)[:, None]
@@ -72,8 +78,29 @@ def anova2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     for term, sum_sq, d in ((a, rss_b - rss_ab, k_ab - k_b), (b, rss_a - rss_ab, k_ab - k_a), (f"{a}:{b}", rss_ab - full, k - k_ab)):
         f = float((sum_sq / d) / (full / left)) if d > 0 and left > 0 and full > 0 else None
         rows.append((term, float(sum_sq), float(d), f, None if f is None else float(f_tail(f, d, left))))
-    rows.append(("Residual", full, float(left), None, None))
-    return spark.createDataFrame(rows, "term string, sum_sq double, df double, f double, p double")
+    return [*rows, ("Residual", full, float(left), None, None)]
+
+
+def anova2(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
+    """Two-way analysis of variance (type II, with interaction): term, sum_sq, df, f, p.
+
+    Only cells reach the driver (MOST_CELLS at most, more is an error).
+    """
+    cells = _cells(df, [a, b], y).limit(MOST_CELLS + 1).collect()
+    table = pd.DataFrame([tuple(x) for x in cells], columns=[a, b, "n", "s", "q"])
+    return df.sparkSession.createDataFrame(_type_two(table, a, b), ANOVA)
+
+
+def anova2_within(df: DataFrame, group: str, a: str, b: str, y: str) -> DataFrame:
+    """The same inside each group; a task solves one group's cells, which are aggregated before."""
+    kind = dict(df.dtypes)[group]
+
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_type_two(cells, a, b), columns=["term", "sum_sq", "df", "f", "p"])
+        out.insert(0, group, cells[group].iloc[0])
+        return out
+
+    return _cells(df, [group, a, b], y).groupBy(group).applyInPandas(solve, f"`{group}` {kind}, {ANOVA}")
 
 
 def _moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:

@@ -16,6 +16,15 @@ def d11(spark, d):
     return rounded(S.anova2(runs(spark, d), "method", "equalization", "value"), "sum_sq", "f", "p", digits=4).select("term", "sum_sq", "df", "f")
 
 
+def d11_families(spark, d):
+    return rounded(S.anova2(part_runs(spark, d), "family", "equalization", "value"), "sum_sq", "f", "p", digits=4)
+
+
+def d11_within(spark, d):
+    rows = part_runs(spark, d).withColumn("kind", F.element_at(F.split("family", " "), 1))
+    return rounded(S.anova2_within(rows, "kind", "method", "equalization", "value"), "sum_sq", "f", "p", digits=4)
+
+
 def d14(spark, d):
     return rounded(S.pca_report(table(spark, d, "lineitem"), X).drop("loadings"), "eigenvalue", "explained", "cumulative", "broken_stick")
 
@@ -94,7 +103,7 @@ r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY df, c) AS rf, row_num
 SELECT q, round(count(*) FILTER (rf <= 10 AND rp <= 10) / 10.0, 6) AS kept FROM r GROUP BY q"""
 
 PLANS = {
-    "d11_anova": (d11, None), "d14_pca_report": (d14, None), "d15_pca_scores": (d15, None),
+    "d11_anova": (d11, None), "d11_families": (d11_families, None), "d11_within_families": (d11_within, None), "d14_pca_report": (d14, None), "d15_pca_scores": (d15, None),
     "d16_ols": (d16, "SELECT 'l_quantity' AS model, round(regr_r2(l_extendedprice, l_quantity), 5) AS r2, round(regr_intercept(l_extendedprice, l_quantity), 5) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, count(*) AS n FROM lineitem"),
     "d16_nested_ols": (d16_nested, None), "d17_slice_corr": (d17, D17), "d18_training_vs_latent": (d18, D18), "e6_spearman": (e6, E6),
     "c3_join_scores": (c3, "SELECT p_partkey, round(avg(l_quantity), 6) AS quantity, any_value(p_retailprice) AS p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey"),

@@ -147,6 +147,14 @@ def test_calibrated_share_of_blends(spark, px):
     assert got["blend|0.0"] == pytest.approx(100) and got["blend|1.0"] == pytest.approx(0) and 20 < got["blend|0.5"] < 80
 
 
+def test_anova_within_groups(spark):
+    rows = [(g, f"a{i % 3}", f"b{i % 4}", float((i * 7 + len(g) * i * i) % 23)) for g in ("x", "yy") for i in range(60)] + [("x", None, "b0", 1.0), ("yy", "a0", "b0", None)]
+    df = spark.createDataFrame(rows, "g string, a string, b string, y double")
+    got = {(r["g"], r["term"]): tuple(r)[2:] for r in T.anova2_within(df, "g", "a", "b", "y").collect()}
+    want = {(g, r["term"]): tuple(r)[1:] for g in ("x", "yy") for r in T.anova2(df.filter(F.col("g") == g), "a", "b", "y").collect()}
+    assert set(got) == set(want) and all(x == pytest.approx(y) for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
 def test_anova_against_least_squares(spark):
     rows = [(a, b, float(RNG.normal() + a + 2 * b)) for a in range(3) for b in range(2) for _ in range(4 + a)]
     df = spark.createDataFrame(rows, "a int, b int, y double")
