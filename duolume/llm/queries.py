@@ -81,10 +81,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n_words=4, p=85, q=100)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damage, repair, report
+
+    return report(repair(damage(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_token_output, op2_pareto_mix, op3_html_text, op4_vector_packing, op5_language_id, op6_site_lines,
-        op7_decontaminate, op8_prefix_fingerprints, op9_repeats, op10_jaccard_join,
+        op7_decontaminate, op8_prefix_fingerprints, op9_repeats, op10_jaccard_join, op11_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
