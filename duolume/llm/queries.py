@@ -87,10 +87,23 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(repair(damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import collapse_runs, periodize, report
+
+    return report(collapse_runs(table(spark, sf_dir, "documents"), periodize))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import report, scan_licenses
+
+    return report(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_token_output, op2_pareto_mix, op3_html_text, op4_vector_packing, op5_language_id, op6_site_lines,
         op7_decontaminate, op8_prefix_fingerprints, op9_repeats, op10_jaccard_join, op11_conversation_repair,
+        op12_periodic_runs, op13_license_scan,
     )
     return {f.__name__: f for f in found}
 
