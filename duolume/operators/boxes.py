@@ -34,8 +34,23 @@ def match_detections(truth: DataFrame, found: DataFrame, image: str, det_id: str
     return found.join(best, [image, det_id], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0))).withColumn("matched", (F.col("iou") > least_iou) & (F.col("score") > least_score))
 
 
-def dataset_counts(images: DataFrame, labels: DataFrame, keys: list[str], image: str) -> DataFrame:
-    """Images, label rows, backgrounds and their share for each split and condition."""
+def distinct_ratio(images: DataFrame, keys: list[str], split: str, name: str) -> DataFrame:
+    """Distinct names over the sum of each split's distinct names, cumulated over the splits in their order.
+
+    A name counts as new in its least split; new names are summed from split to split, so no set of names is held.
+    """
+    names = images.select(*keys, split, name).distinct()
+    new = names.groupBy(*keys, name).agg(F.min(split).alias(split)).select(*keys, split, F.lit(0).alias("own"), F.lit(1).alias("new"))
+    per = names.select(*keys, split, F.lit(1).alias("own"), F.lit(0).alias("new")).unionByName(new).groupBy(*keys, split).agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
+    so_far = Window.partitionBy(*keys).orderBy(split)
+    return per.select(*keys, split, F.round(F.sum("new").over(so_far) / F.sum("own").over(so_far), 6).alias("unique_ratio"))
+
+
+def dataset_counts(images: DataFrame, labels: DataFrame, keys: list[str], image: str, split: str | None = None, name: str | None = None) -> DataFrame:
+    """Images, label rows, backgrounds and their share for each split and condition; with a split (one of the keys) and a name, the ratio of distinct names up to that split."""
+    if split:
+        ratio = distinct_ratio(images, [k for k in keys if k != split], split, name).select(*[F.col(k).alias(f"__{k}") for k in keys], "unique_ratio")
+        return dataset_counts(images, labels, keys, image).join(ratio, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
     per = labels.groupBy(image).agg(F.count("*").alias("rows"))
     joined = images.join(per, image, "left")
     out = joined.groupBy(*keys).agg(F.count("*").alias("images"), F.coalesce(F.sum("rows"), F.lit(0)).alias("labels"), F.sum(F.col("rows").isNull().cast("long")).alias("backgrounds"))

@@ -69,15 +69,31 @@ def packed_knots(knots: DataFrame, keys: list[str]) -> DataFrame:
     return knots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("knot_x", "knot_y"))).alias("knots"))
 
 
+#: The robust mean of a sample's proxies, as a proxy of its own: its curve stands in where none of a row's proxies has one.
+AGGREGATE = "aggregate"
+
+
+def with_aggregate(samples: DataFrame, sample: list[str]) -> DataFrame:
+    """Adds the robust mean of each sample's proxies (rows of equal `sample` columns, among them stype and alpha) as proxy AGGREGATE."""
+    robust = aggregate_proxies(samples, sample, "raw").select(*sample, F.lit(AGGREGATE).alias("proxy"), F.col("robust").alias("raw"))
+    return samples.select(*sample, "proxy", "raw").unionByName(robust)
+
+
+def calibration_sigmas(samples: DataFrame, knots: DataFrame) -> DataFrame:
+    """stype, proxy, alpha, sigma: deviation of the calibrated share at each alpha."""
+    keys = ["stype", "proxy"]
+    seen = samples.join(knots, keys).withColumn("cal", interp_column(F.col("knots"), F.col("raw")))
+    return seen.groupBy(*keys, "alpha").agg(F.stddev_pop("cal").alias("sigma"))
+
+
 def fit_calibration(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """samples (stype, proxy, alpha, raw) -> knots by (stype, proxy), and weights by (stype, proxy).
 
-    A proxy's weight is the inverse of its mean calibrated deviation over alpha (0.01 at least).
+    A proxy's weight is the inverse of its mean calibrated deviation over alpha (0.01 at least). AGGREGATE has knots and no weight.
     """
     keys = ["stype", "proxy"]
     knots = packed_knots(isotonic_knots(samples, keys), keys)
-    seen = samples.join(knots, keys).withColumn("cal", interp_column(F.col("knots"), F.col("raw")))
-    sigma = seen.groupBy(*keys, "alpha").agg(F.stddev_pop("cal").alias("sigma"))
+    sigma = calibration_sigmas(samples.filter(F.col("proxy") != AGGREGATE), knots)
     weights = sigma.groupBy(*keys).agg((1 / F.greatest(F.avg("sigma"), F.lit(FLOOR))).alias("w"), F.array_sort(F.collect_list(F.struct(F.col("alpha").alias("knot_x"), F.greatest(F.col("sigma"), F.lit(FLOOR)).alias("knot_y")))).alias("sigmas"))
     whole = F.sum("w").over(Window.partitionBy("stype"))
     return knots, weights.withColumn("w", F.col("w") / whole)
@@ -114,6 +130,30 @@ def apply_calibration(cal: DataFrame, chosen: DataFrame, weights: DataFrame, key
     return packed.select(*keys, "stype", (1 - share).alias("latent_z"), "cw")
 
 
+def latent_share(values: DataFrame, raw: DataFrame, knots: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """latent_z of every row of `raw` (keys, raw): by its proxies (values: keys, proxy, value), or by the aggregate curve where none of them is calibrated.
+
+    The aggregate curve is that of the first kind of samples by preference; a finite raw score is all it needs.
+    """
+    own = knots.filter(F.col("proxy") != AGGREGATE)
+    cal = calibrated(values.filter(F.col("value").isNotNull() & ~F.isnan("value")), own)
+    chosen = select_calibration(cal, weights, keys)
+    by_proxies = apply_calibration(cal, chosen, average_weights(weights), keys).select(*keys, "stype", "latent_z")
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("stype")), F.lit(0)), F.lit(len(KINDS) + 1))
+    curve = knots.filter(F.col("proxy") == AGGREGATE).agg(F.min_by(F.struct("stype", "knots"), F.struct(place, "stype")).alias("c")).select(F.col("c.stype").alias("__stype"), F.col("c.knots").alias("__knots"))
+    # a single row, with a knot for each alpha
+    rows = raw.join(by_proxies, keys, "left").crossJoin(F.broadcast(curve))
+    by_aggregate = 1 - interp_column(F.col("__knots"), F.col("raw"))
+    return rows.select(*keys, F.coalesce("stype", "__stype").alias("stype"), F.coalesce("latent_z", by_aggregate).alias("latent_z"), F.col("latent_z").isNull().alias("by_aggregate"))
+
+
+def sigma_at_latent(methods: DataFrame, sigmas: DataFrame, stype: str = KINDS[0]) -> DataFrame:
+    """methods (method, proxy, latent_z, sigma) with the calibration's deviation for the proxy: its mean over alpha, and at the method's latent share (linear, flat at the ends)."""
+    curve = sigmas.filter(F.col("stype") == stype).groupBy("proxy").agg(F.array_sort(F.collect_list(F.struct(F.col("alpha").alias("knot_x"), F.col("sigma").alias("knot_y")))).alias("__k"), F.avg("sigma").alias("sigma_calibration_global"))
+    at = interp_column(F.col("__k"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("latent_z"))))
+    return methods.join(curve, "proxy", "left").select("method", "proxy", "latent_z", F.col("sigma").alias("sigma_empirical"), "sigma_calibration_global", F.when(~F.isnan("latent_z"), at).alias("sigma_calibration_at_latent_z"))
+
+
 def apply_alpha_dep(cal: DataFrame, chosen: DataFrame, sigmas: DataFrame, keys: list[str], rounds: int = 4, tolerance: float = 1e-3) -> DataFrame:
     """Weights that depend on the share itself: up to four rounds of w = 1 / sigma at the last estimate, capped."""
     rows = cal.join(chosen.select(*keys, "stype"), [*keys, "stype"]).join(sigmas.select("stype", "proxy", "sigmas"), ["stype", "proxy"])
@@ -130,9 +170,12 @@ def apply_alpha_dep(cal: DataFrame, chosen: DataFrame, sigmas: DataFrame, keys:
     return packed.select(*keys, F.element_at("trace", -1).alias("latent_z_alpha_dep"), "trace", "iterations", "converged")
 
 
-def calibration_nodes(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Per alpha: n, median and deviation of the raw score, and the ideal."""
-    return samples.groupBy(*keys, "alpha").agg(F.count("*").alias("n"), F.median("raw").alias("median"), F.stddev_pop("raw").alias("sigma"), (100 * (1 - F.first("alpha"))).alias("ideal"))
+def calibration_nodes(samples: DataFrame, keys: list[str], knots: DataFrame | None = None) -> DataFrame:
+    """Per alpha: n, median and deviation of the raw score, and the ideal; with knots (by the keys) the latent share at the median too."""
+    nodes = samples.groupBy(*keys, "alpha").agg(F.count("*").alias("n"), F.median("raw").alias("median"), F.stddev_pop("raw").alias("sigma"), (100 * (1 - F.first("alpha"))).alias("ideal"))
+    if knots is None:
+        return nodes
+    return nodes.join(knots, keys, "left").withColumn("latent_z", 1 - interp_column(F.col("knots"), F.col("median"))).drop("knots")
 
 
 def weight_shift(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -156,7 +199,8 @@ def calibrate(px: DataFrame, alphas: list[float], names: list[str] | None = None
     fused = synth_mixtures(px, alphas).select(label.alias("method"), "image_id", "y", "x", F.array("f0", "f1", "f2").alias("c"))
     raw = proxies(stored(score_table(px, fused), "mixtures"), names, average_orders=True)
     field = lambda i: F.split_part("method", F.lit("|"), F.lit(i))
-    samples = stored(raw.select(field(1).alias("stype"), "proxy", field(2).cast("double").alias("alpha"), F.col("value").alias("raw")), "samples")
+    rows = raw.select(field(1).alias("stype"), "proxy", field(2).cast("double").alias("alpha"), F.col("value").alias("raw"), "method", "image_id")
+    samples = stored(with_aggregate(rows, ["stype", "alpha", "method", "image_id"]), "samples")
     knots, weights = fit_calibration(samples)
     return stored(knots, "knots"), stored(weights, "weights")
 

@@ -171,6 +171,37 @@ def coverage_matrix(runs: DataFrame, rows: list[str], column: str, values: list[
     return wide.withColumn("incomplete", F.least(*[F.col(f"`{v}`") for v in values]) < least if len(values) > 1 else F.col(f"`{values[0]}`") < least)
 
 
+#: Kinds of validations of a run, the more trusted first; then those on the other dataset.
+IN_DOMAIN, CROSS = ("npzfix", "train", "val"), ("cross_kaist", "cross_llvip")
+CELL = ["model_dataset", "equalization", "test_dataset", "condition"]
+#: Methods that a matrix has columns for.
+MOST_METHODS = 1_000
+
+
+def coverage_cells(runs: DataFrame) -> DataFrame:
+    """Runs of each setting and method: on the model's own dataset the count of the first kind (by priority) that has any, else the sum of both cross kinds."""
+    wide = runs.groupBy(*CELL, "fusion").pivot("tag", [*IN_DOMAIN, *CROSS]).count()
+    is_cross = ~F.col("test_dataset").startswith(F.col("model_dataset"))
+    first = F.coalesce(*[F.nullif(F.col(x), F.lit(0)) for x in IN_DOMAIN], F.lit(0))
+    both = sum((F.coalesce(x, F.lit(0)) for x in CROSS), F.lit(0))
+    return wide.select(*CELL, "fusion", F.when(is_cross, "cross").otherwise("in_domain").alias("kind"), F.when(is_cross, both).otherwise(first).cast("long").alias("count"))
+
+
+def coverage_table(runs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """A row for each setting, a column for each method of any setting (0 where it has no runs), and the methods."""
+    cells = coverage_cells(runs)
+    methods = [x[0] for x in cells.select("fusion").distinct().orderBy("fusion").limit(MOST_METHODS + 1).collect()]
+    if len(methods) > MOST_METHODS:
+        raise ValueError(f"over {MOST_METHODS} methods")
+    return cells.groupBy(*CELL, "kind").pivot("fusion", methods).agg(F.first("count")).fillna(0, methods), methods
+
+
+def coverage_long(runs: DataFrame, least: int = 5) -> DataFrame:
+    """The same as rows, with those of fewer runs than wanted (but some) marked."""
+    wide, methods = coverage_table(runs)
+    return wide.unpivot([*CELL, "kind"], methods, "fusion", "count").withColumn("few", (F.col("count") > 0) & (F.col("count") < least))
+
+
 def overlay_validation(runs: DataFrame, overrides: DataFrame, key: str, blocks: str) -> DataFrame:
     """Replaces result blocks by those of an override that has both kinds; flags the rows."""
     other = overrides.select(key, F.col(blocks).alias("new"))

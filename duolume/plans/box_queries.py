@@ -138,8 +138,15 @@ k AS (SELECT *, row_number() OVER (PARTITION BY option ORDER BY place, i) AS k F
 
 
 def d27(spark, d):
-    images = table(spark, d, "documents").select("doc_id", "lang", "source")
-    return O.dataset_counts(images, table(spark, d, "labels"), ["source", "lang"], "doc_id")
+    images = table(spark, d, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 12).alias("name"))
+    return O.dataset_counts(images, table(spark, d, "labels"), ["source", "lang"], "doc_id", split="source", name="name")
+
+
+D27 = """WITH p AS (SELECT doc_id, count(*) AS rows FROM labels GROUP BY doc_id), n AS (SELECT DISTINCT lang, source, substr(text, 1, 12) AS name FROM documents),
+f AS (SELECT lang, name, min(source) AS source FROM n GROUP BY ALL), o AS (SELECT lang, source, count(*) AS own FROM n GROUP BY ALL), w AS (SELECT lang, source, count(*) AS fresh FROM f GROUP BY ALL),
+r AS (SELECT o.lang, o.source, round(sum(coalesce(fresh, 0)) OVER k / sum(own) OVER k, 6) AS unique_ratio FROM o LEFT JOIN w ON o.lang IS NOT DISTINCT FROM w.lang AND o.source IS NOT DISTINCT FROM w.source WINDOW k AS (PARTITION BY o.lang ORDER BY o.source NULLS FIRST)),
+c AS (SELECT source, lang, count(*) AS images, coalesce(sum(rows), 0)::BIGINT AS labels, count(*) FILTER (rows IS NULL) AS backgrounds, round(100 * count(*) FILTER (rows IS NULL) / count(*), 3) AS b_percent FROM documents LEFT JOIN p USING (doc_id) GROUP BY ALL)
+SELECT c.*, unique_ratio FROM c LEFT JOIN r ON c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source"""
 
 
 def d28(spark, d):
@@ -201,7 +208,7 @@ PLANS = {
     "c7_check_pairs": (c7, "WITH a AS (SELECT doc_id FROM documents), b AS (SELECT doc_id * 2 AS doc_id FROM labels) SELECT doc_id, 'label_without_image' AS problem FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a) UNION ALL SELECT doc_id, 'image_without_label' FROM a WHERE doc_id NOT IN (SELECT doc_id FROM b)"),
     "c8_backgrounds": (c8, "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 0) GROUP BY lang"),
     "c9_match_detections": (c9, C9), "c12_duplicate_files": (c12, C12), "c13_equivalent_option": (c13, C13),
-    "d27_dataset_counts": (d27, "WITH p AS (SELECT doc_id, count(*) AS rows FROM labels GROUP BY doc_id) SELECT source, lang, count(*) AS images, coalesce(sum(rows), 0)::BIGINT AS labels, count(*) FILTER (rows IS NULL) AS backgrounds, round(100 * count(*) FILTER (rows IS NULL) / count(*), 3) AS b_percent FROM documents LEFT JOIN p USING (doc_id) GROUP BY ALL"),
+    "d27_dataset_counts": (d27, D27),
     "d28_set_counts": (d28, "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)"),
     "e14_owner_split": (e14, E14), "e8_split_contiguous": (e8, E8), "f1_stratified_sample": (f1, F1), "f2_split_calibration": (f2, F2),
     "f3_cap": (f3, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100"),

@@ -190,6 +190,40 @@ D36 = f"""WITH {RUNS} SELECT method, equalization, count(*) FILTER (user_id % 3
   least(count(*) FILTER (user_id % 3 = 0), count(*) FILTER (user_id % 3 = 1), count(*) FILTER (user_id % 3 = 2)) < 150 AS incomplete FROM runs GROUP BY method, equalization"""
 
 
+_TAGS = [*R.IN_DOMAIN, *R.CROSS]
+
+
+def tagged(spark, d):
+    """Events as validations: some methods have no corrected ones, some settings no original ones."""
+    e, k = runs(spark, d), F.col("run_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    rows = e.select(
+        pick(["kaist", "llvip"], k % 2).alias("model_dataset"), "equalization", pick(["kaist_80_20", "llvip_80_20"], F.floor(k / 2) % 2).alias("test_dataset"),
+        pick(["day", "night"], F.floor(k / 4) % 2).alias("condition"), F.col("method").alias("fusion"), pick(_TAGS, F.floor(k / 8) % 5).alias("tag"),
+    )
+    return rows.filter(((F.col("tag") != "npzfix") | (F.length("fusion") % 2 == 0)) & ((F.col("tag") != "train") | (F.col("equalization") != "rgb_equalization")) & ((F.length("fusion") != 5) | (F.col("condition") == "day")))
+
+
+TAGGED = f"""{RUNS}, tagged AS (SELECT * FROM (SELECT ['kaist', 'llvip'][1 + run_id % 2] AS model_dataset, equalization, ['kaist_80_20', 'llvip_80_20'][1 + (run_id // 2) % 2] AS test_dataset,
+  ['day', 'night'][1 + (run_id // 4) % 2] AS condition, method AS fusion, [{", ".join(f"'{x}'" for x in _TAGS)}][1 + (run_id // 8) % 5] AS tag FROM runs)
+  WHERE (tag <> 'npzfix' OR length(fusion) % 2 = 0) AND (tag <> 'train' OR equalization <> 'rgb_equalization') AND (length(fusion) <> 5 OR condition = 'day')),
+counted AS (SELECT model_dataset, equalization, test_dataset, condition, fusion, {", ".join(f"count(*) FILTER (tag = '{x}') AS {x}" for x in _TAGS)} FROM tagged GROUP BY ALL),
+cells AS (SELECT model_dataset, equalization, test_dataset, condition, fusion, CASE WHEN starts_with(test_dataset, model_dataset) THEN 'in_domain' ELSE 'cross' END AS kind,
+  CASE WHEN NOT starts_with(test_dataset, model_dataset) THEN cross_kaist + cross_llvip WHEN npzfix > 0 THEN npzfix WHEN train > 0 THEN train ELSE val END AS "count" FROM counted)"""
+
+
+def d36_cells(spark, d):
+    return R.coverage_cells(tagged(spark, d))
+
+
+def d36_long(spark, d):
+    return R.coverage_long(tagged(spark, d), 20)
+
+
+D36_LONG = f"""WITH {TAGGED}, settings AS (SELECT DISTINCT model_dataset, equalization, test_dataset, condition, kind FROM cells), methods AS (SELECT DISTINCT fusion FROM cells)
+SELECT s.*, m.fusion, coalesce(c."count", 0) AS "count", coalesce(c."count", 0) BETWEEN 1 AND 19 AS few FROM settings s CROSS JOIN methods m LEFT JOIN cells c USING (model_dataset, equalization, test_dataset, condition, kind, fusion)"""
+
+
 def c1(spark, d):
     base = table(spark, d, "orders").select("o_orderkey", F.create_map(F.lit("pr_data_1"), F.col("o_totalprice"), F.lit("validation_1"), F.col("o_totalprice") / 2, F.lit("other"), F.lit(1.0)).alias("blocks"))
     override = table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_tax").alias("tax"))
@@ -233,7 +267,8 @@ PLANS = {
     "d22_curve_envelope": (d22, f"WITH {CURVES} SELECT label, pt, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, count(value) AS n FROM curves GROUP BY ALL"),
     "d23_metric_density": (d23, D23), "d24_lamr": (d24, D24), "d25_lamr_step": (d25, D25), "d26_miss_rate": (d26, D26),
     "d35_timing": (d35, f"WITH {RUNS} SELECT method, round(avg(value * 10), 6) AS mean_ms, round(median(value * 10), 6) AS median_ms, round(stddev_samp(value * 10), 6) AS std_ms, count(value) AS n FROM runs GROUP BY method"),
-    "d36_coverage": (d36, D36), "d37_common_tags": (d37, D37),
+    "d36_coverage": (d36, D36), "d36_priority": (d36_cells, f"WITH {TAGGED} SELECT * FROM cells"), "d36_long": (d36_long, D36_LONG),
+    "d37_common_tags": (d37, D37),
     "e1_best_trials": (e1, f"WITH {RUNS}, k AS (SELECT method || '/' || equalization AS cell, run_id, value, row_number() OVER (PARTITION BY method, equalization ORDER BY value DESC NULLS LAST, run_id) AS k FROM runs) SELECT cell, run_id, value FROM k WHERE k = 1"),
     "e2_top_k": (e2, f"WITH {RUNS}, k AS (SELECT equalization, method, run_id, value, row_number() OVER (PARTITION BY equalization ORDER BY value DESC, run_id)::INT AS rank FROM runs) SELECT * FROM k WHERE rank <= 10"),
     "e3_dedup_first": (e3, "SELECT sha256(text) AS name, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1"),

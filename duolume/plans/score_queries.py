@@ -90,10 +90,10 @@ def q16(spark, d):
 def events_as_samples(spark, d):
     """Events as calibration samples: alpha by user, raw score falling with it."""
     alpha = F.round((F.col("user_id") % 11) / 10, 1)
-    return table(spark, d, "events").select(F.when(F.col("user_id") % 2 == 0, F.lit("blend")).otherwise("nonlinear").alias("stype"), F.col("event_type").alias("proxy"), alpha.alias("alpha"), (100 * (1 - alpha) + F.col("value") % 40 - 20).alias("raw"))
+    return table(spark, d, "events").select("user_id", F.when(F.col("user_id") % 2 == 0, F.lit("blend")).otherwise("nonlinear").alias("stype"), F.col("event_type").alias("proxy"), alpha.alias("alpha"), (100 * (1 - alpha) + F.col("value") % 40 - 20).alias("raw"))
 
 
-SAMPLES = "samples AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'blend' ELSE 'nonlinear' END AS stype, event_type AS proxy, round((user_id % 11) / 10, 1) AS alpha, 100 * (1 - round((user_id % 11) / 10, 1)) + value % 40 - 20 AS raw FROM events)"
+SAMPLES = "samples AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'blend' ELSE 'nonlinear' END AS stype, event_type AS proxy, round((user_id % 11) / 10, 1) AS alpha, 100 * (1 - round((user_id % 11) / 10, 1)) + value % 40 - 20 AS raw FROM events)"
 KNOTS = f"""{SAMPLES}, md AS (SELECT stype, proxy, alpha, median(raw) AS kx FROM samples GROUP BY ALL), kn AS (SELECT *, 1 - alpha AS v, row_number() OVER (PARTITION BY stype, proxy ORDER BY kx, alpha DESC) AS i FROM md),
 mm AS (SELECT a.stype, a.proxy, a.i AS j, b.i AS k, avg(c.v) AS m FROM kn a JOIN kn b ON a.stype = b.stype AND a.proxy = b.proxy AND b.i >= a.i JOIN kn c ON c.stype = a.stype AND c.proxy = a.proxy AND c.i BETWEEN a.i AND b.i GROUP BY ALL),
 lo AS (SELECT kn.stype, kn.proxy, i, kx, j, min(m) AS m FROM kn JOIN mm ON kn.stype = mm.stype AND kn.proxy = mm.proxy AND j <= i AND k >= i GROUP BY ALL),
@@ -153,6 +153,64 @@ def d39(spark, d):
     return rounded(C.calibration_nodes(events_as_samples(spark, d), ["stype", "proxy"]), "median", "sigma", "ideal")
 
 
+SAMPLE = ["stype", "alpha", "user_id"]
+
+
+def with_aggregate(spark, d):
+    """Events as samples: a user's rows are one sample; with their robust mean as a proxy."""
+    return C.with_aggregate(events_as_samples(spark, d), SAMPLE)
+
+
+def robust_sql(rows, keys, value):
+    """Robust mean of groups as common table expressions: `robust` has the keys and `raw`."""
+    return f"""ra AS (SELECT {keys}, {value} AS v FROM {rows}), rm AS (SELECT {keys}, median(v) AS mid, avg(v) AS mean, stddev_pop(v) AS std FROM ra GROUP BY ALL),
+rd AS (SELECT {keys}, greatest(1.4826 * median(abs(v - mid)), 1e-6) AS mad FROM ra JOIN rm USING ({keys}) GROUP BY ALL), rw AS (SELECT {keys}, v, std, greatest(0.05, least(1, 1 / (1 + pow((v - mid) / mad, 2)))) AS w FROM ra JOIN rm USING ({keys}) JOIN rd USING ({keys})),
+robust AS (SELECT {keys}, 50 + greatest(0, least(1, 1 - any_value(std) / 35)) * (sum(w * v) / sum(w) - 50) AS raw FROM rw GROUP BY ALL)"""
+
+
+#: Knots of all proxies, the aggregate among them, over samples with it.
+ALL_KNOTS = SAMPLES.replace("samples AS", "base AS", 1) + ", " + robust_sql("base", "stype, alpha, user_id", "raw") + """, samples AS (SELECT user_id, stype, proxy, alpha, raw FROM base UNION ALL SELECT user_id, stype, 'aggregate', alpha, raw FROM robust)""" + KNOTS.removeprefix(SAMPLES)
+
+
+def interp_sql(x, where):
+    """A value on the knots of `where` (an alias is k), flat at the ends."""
+    return f"""(SELECT CASE WHEN {x} < min(kx) THEN arg_min(ky, kx) WHEN {x} >= max(kx) THEN arg_max(ky, kx) ELSE max(CASE WHEN kx <= {x} AND nx > {x} THEN ky + (ny - ky) * ({x} - kx) / (nx - kx) END) END
+  FROM (SELECT kx, ky, lead(kx) OVER (ORDER BY kx, ky) AS nx, lead(ky) OVER (ORDER BY kx, ky) AS ny FROM {where}))"""
+
+
+def d39_latent(spark, d):
+    samples = with_aggregate(spark, d)
+    knots = C.packed_knots(C.isotonic_knots(samples, ["stype", "proxy"]), ["stype", "proxy"])
+    return rounded(C.calibration_nodes(samples, ["stype", "proxy"], knots), "median", "sigma", "ideal", "latent_z")
+
+
+D39 = f"""WITH {ALL_KNOTS}, nd AS (SELECT stype, proxy, alpha, count(*) AS n, median(raw) AS median, stddev_pop(raw) AS sigma, 100 * (1 - alpha) AS ideal FROM samples GROUP BY ALL)
+SELECT stype, proxy, alpha, n, round(median, 6) AS median, round(sigma, 6) AS sigma, round(ideal, 6) AS ideal, round(1 - {interp_sql("nd.median", "knots k WHERE k.stype = nd.stype AND k.proxy = nd.proxy")}, 6) AS latent_z FROM nd"""
+
+
+def q19(spark, d):
+    """Latent shares of customers: by five proxies, which every seventh has not, else by their robust mean."""
+    knots, weights = C.fit_calibration(with_aggregate(spark, d))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("bal"))
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    values = c.filter("c_custkey % 7 <> 0").select("c_custkey", F.explode(F.array(*[F.struct(F.lit(k).alias("proxy"), (F.abs("bal") * (i + 1) % 100).alias("value")) for i, k in enumerate(kinds)])).alias("p")).select("c_custkey", "p.*")
+    raw = c.select("c_custkey", (F.abs("bal") % 100).alias("raw"))
+    return rounded(C.latent_share(values, raw, knots, weights, ["c_custkey"]), "latent_z")
+
+
+def d40_latent(spark, d):
+    """Deviation of each user's scores by proxy, beside the calibration's at the user's latent share (by the aggregate curve)."""
+    samples = with_aggregate(spark, d)
+    knots, _ = C.fit_calibration(samples)
+    e = table(spark, d, "events").select(F.col("user_id").alias("method"), F.col("event_type").alias("proxy"), "value")
+    raw = e.groupBy("method").agg((F.avg("value") % 100).alias("raw"))
+    none = e.select("method", "proxy", "value").limit(0)
+    latent = C.latent_share(none, raw, knots, C.fit_calibration(samples)[1], ["method"]).select("method", "latent_z")
+    methods = e.groupBy("method", "proxy").agg(F.stddev_pop("value").alias("sigma")).join(latent, "method")
+    sigmas = C.calibration_sigmas(samples, knots)
+    return rounded(C.sigma_at_latent(methods, sigmas), "latent_z", "sigma_empirical", "sigma_calibration_global", "sigma_calibration_at_latent_z")
+
+
 def q22(spark, d):
     """Calibrates on a fifth of the images (by a seeded split), then evaluates fusion methods on the others, with all proxies."""
     px = pixels(spark, d)
@@ -164,6 +222,20 @@ def q22(spark, d):
     return rounded(C.methods_overview(out, "method", [*S.PROXIES, "robust", "redundancy", "latent_z_alpha_dep", "latent_z"]), "latent_z_mean")
 
 
+CAL = f"""cal AS (SELECT s.stype, s.proxy, s.alpha, {interp_sql("s.raw", "knots k WHERE k.stype = s.stype AND k.proxy = s.proxy")} AS c FROM samples s WHERE s.proxy <> 'aggregate'), sg AS (SELECT stype, proxy, alpha, stddev_pop(c) AS sigma FROM cal GROUP BY ALL)"""
+_ROUND = """, c{k} AS (SELECT * REPLACE (CASE WHEN list_sum([greatest(0, x - 0.25) for x in w]) <= 0 OR list_sum([CASE WHEN x > 0.25 THEN 0 ELSE x END for x in w]) <= 0 THEN [least(x, 0.25) for x in w]
+  ELSE [CASE WHEN x > 0.25 THEN 0.25 ELSE x + x * list_sum([greatest(0, y - 0.25) for y in w]) / list_sum([CASE WHEN y > 0.25 THEN 0 ELSE y END for y in w]) END for x in w] END AS w) FROM c{j})"""
+Q19 = f"""WITH {ALL_KNOTS}, {CAL}, w0 AS (SELECT stype, proxy, 1 / greatest(avg(sigma), 0.01) AS w FROM sg GROUP BY ALL), wt AS (SELECT stype, proxy, w / sum(w) OVER (PARTITION BY stype) AS w FROM w0),
+aw AS (SELECT proxy, sum(w) / (SELECT count(DISTINCT stype) FROM wt) AS w FROM wt GROUP BY proxy), va AS (SELECT c_custkey, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS proxy, unnest([abs(c_acctbal::DOUBLE) * i % 100 for i in range(1, 6)]) AS value FROM customer WHERE c_custkey % 7 <> 0),
+vc AS (SELECT c_custkey, va.proxy, wt.stype, wt.w, {interp_sql("va.value", "knots k WHERE k.stype = wt.stype AND k.proxy = va.proxy")} AS c FROM va JOIN wt USING (proxy)),
+sp AS (SELECT c_custkey, stype, round(sqrt(greatest(0, sum(w * c * c) / sum(w) - pow(sum(w * c) / sum(w), 2))), 12) AS spread FROM vc GROUP BY ALL),
+ch AS (SELECT c_custkey, arg_min(stype, (spread, stype)) AS stype FROM sp GROUP BY 1), c0 AS (SELECT c_custkey, stype, list(c ORDER BY proxy) AS c, list(aw.w / (SELECT sum(w) FROM aw) ORDER BY proxy) AS w FROM vc JOIN ch USING (c_custkey, stype) JOIN aw USING (proxy) GROUP BY ALL){"".join(_ROUND.format(j=j, k=j + 1) for j in range(6))},
+by_proxies AS (SELECT c_custkey, stype, 1 - list_inner_product(c, w) / list_sum(w) AS z FROM c6)
+SELECT c_custkey, coalesce(stype, 'blend') AS stype, round(coalesce(z, 1 - {interp_sql("abs(c_acctbal::DOUBLE) % 100", "knots k WHERE k.stype = 'blend' AND k.proxy = 'aggregate'")}), 6) AS latent_z, z IS NULL AS by_aggregate FROM customer LEFT JOIN by_proxies USING (c_custkey)"""
+D40_LATENT = f"""WITH {ALL_KNOTS}, {CAL}, me AS (SELECT user_id AS method, event_type AS proxy, stddev_pop(value) AS sigma FROM events GROUP BY ALL), rw2 AS (SELECT user_id AS method, avg(value) % 100 AS raw FROM events GROUP BY 1),
+lz AS (SELECT method, 1 - {interp_sql("rw2.raw", "knots k WHERE k.stype = 'blend' AND k.proxy = 'aggregate'")} AS z FROM rw2), gl AS (SELECT proxy, avg(sigma) AS g FROM sg WHERE stype = 'blend' GROUP BY 1)
+SELECT me.method, me.proxy, round(z, 6) AS latent_z, round(me.sigma, 6) AS sigma_empirical, round(g, 6) AS sigma_calibration_global,
+  round({interp_sql("lz.z", "(SELECT alpha AS kx, sigma AS ky FROM sg WHERE sg.stype = 'blend' AND sg.proxy = me.proxy) k")}, 6) AS sigma_calibration_at_latent_z FROM me JOIN lz USING (method) LEFT JOIN gl USING (proxy)"""
 EVALUATED = ["rgbt", "rgbt_v2", "visible", "lwir", "hsvt", "wavelet", "pca"]
 
 
@@ -174,5 +246,6 @@ PLANS = {
     "q14_isotonic": (q14, f"WITH {KNOTS} SELECT stype, proxy, i::INT AS i, round(kx, 6) AS knot_x, round(ky, 6) AS knot_y FROM knots"),
     "q15_weights": (q15, Q15), "q16_cap_weights": (q16, None), "q17_average_weights": (q17, f"WITH q AS ({EXACT}) SELECT proxy, round(sum(w) / 2, 6) AS w FROM q GROUP BY proxy"),
     "q18_latent": (q18, None), "q22_evaluate": (q22, None),
+    "q19_latent": (q19, Q19), "d39_latent": (d39_latent, D39), "d40_at_latent": (d40_latent, D40_LATENT),
     "d39_nodes": (d39, f"WITH {SAMPLES} SELECT stype, proxy, alpha, count(*) AS n, round(median(raw), 6) AS median, round(stddev_pop(raw), 6) AS sigma, round(100 * (1 - alpha), 6) AS ideal FROM samples GROUP BY ALL"),
 }
