@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pixels import ALL, haar, inverse_haar
+from .incremental import KEY, KeyedStore, cache_key
+from .pixels import ALL, fuse_all, haar, inverse_haar
 from .scores import GROUP, MOST_WEIGHT, PROXIES, aggregate_proxies, cap_weights, channel_redundancy, proxies, score_table
 from .stats import interp_column
 from .stored import stored
@@ -222,3 +223,41 @@ def evaluate(px: DataFrame, fused: DataFrame, knots: DataFrame, weights: DataFra
     robust = aggregate_proxies(values, GROUP).drop("mean", "std")
     parts = [wide, robust, channel_redundancy(s).select(*GROUP, "redundancy"), latent.drop("cw"), dep.drop("trace")]
     return reduce(lambda a, b: a.join(b, GROUP), parts)
+
+
+#: Changes when scores of the same pixels would.
+SCORES_VERSION = "1"
+
+
+def wanted_scores(images: DataFrame, methods: dict[str, str], equalization: str) -> DataFrame:
+    """cache_key, method, image_id of each method (with its fingerprint) and image (image_id, visible_time, thermal_time)."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(f).alias("mark")) for m, f in methods.items()]))
+    key = cache_key(SCORES_VERSION, F.col("m.method"), F.col("m.mark"), equalization, F.col("image_id"), F.col("visible_time"), F.col("thermal_time"))
+    return images.select("image_id", "visible_time", "thermal_time", each.alias("m")).select(key.alias(KEY), "m.method", "image_id")
+
+
+def score_store(spark: SparkSession, path: str) -> KeyedStore:
+    return KeyedStore(spark, path, "method string, image_id long, proxy string, value double")
+
+
+def incremental_scores(store: KeyedStore, px: DataFrame, wanted: DataFrame, names: list[str] | None = None, average_orders: bool = True) -> DataFrame:
+    """Proxies (method, image_id, proxy, value) of all wanted pairs; only pairs that aren't stored are fused and scored, and these are stored.
+
+    Calibration isn't stored: it is applied to what this returns.
+    """
+
+    def compute(missing: DataFrame) -> DataFrame:
+        missing = stored(missing, "missing")
+        methods = [x[0] for x in missing.select("method").distinct().orderBy("method").collect()]
+        each = [fuse_all(px.join(missing.filter(F.col("method") == m).select("image_id"), "image_id"), [m]) for m in methods]
+        scores = stored(score_table(px, reduce(DataFrame.unionByName, each)), "scores")
+        return proxies(scores, names, average_orders).join(missing, ["method", "image_id"])
+
+    return store.complete(wanted, compute)
+
+
+def evaluate_incremental(store: KeyedStore, px: DataFrame, wanted: DataFrame, knots: DataFrame, weights: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Latent share of every wanted method and image, from stored proxies where there are any."""
+    values = incremental_scores(store, px, wanted, names).select(*GROUP, "proxy", "value")
+    raw = aggregate_proxies(values, GROUP).select(*GROUP, F.col("robust").alias("raw"))
+    return latent_share(values, raw, knots, weights, GROUP)

@@ -5,17 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table below spark.checkpoint.dir and reads it back: computed once, and lost executors lose nothing.
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path below spark.checkpoint.dir that nothing uses yet.
 
     Where the setting is missing, local mode takes a temporary folder and a cluster gets an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,6 +22,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='duolume-core-')}")
         root = _own[0]
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Writes a table to a new folder and reads it back: computed once, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

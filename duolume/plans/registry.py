@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("name_queries", "run_queries", "stat_queries", "box_queries", "pixel_queries", "score_queries", "source_queries", "table_queries", "field_queries")
+MODULES = ("name_queries", "run_queries", "stat_queries", "box_queries", "pixel_queries", "score_queries", "source_queries", "table_queries", "field_queries", "store_queries")
 
 
 def plans() -> dict[str, tuple[Query, str | None]]:
