@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duolume.operators.ranks import sum_before
+
 # Fixed values of the annotation files.
 SKIPPED = ("person?",)
 BBGT_HEADER = "% bbGt version=3"
@@ -64,16 +66,32 @@ def write_labels(boxes: DataFrame, path: str, image: str = "image_id") -> None:
     boxes.select(image, line.alias("value")).repartition(image).write.partitionBy(image).text(path)
 
 
-def compact_labels(spark: SparkSession, path: str, out: str, split: Column | None = None) -> None:
-    """Many small label files as Parquet, a partition for each split (the folder above, unless given)."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = rows.withColumn("split", F.element_at(F.split("path", "/"), -2) if split is None else split)
-    rows.repartition("split", F.pmod(F.xxhash64("path"), F.lit(16))).sortWithinPartitions("split", "path").write.partitionBy("split").parquet(out)
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modificationTime of all files below a folder; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+
+
+def place_files(files: DataFrame, target_bytes: int) -> DataFrame:
+    """split, path, length and the part that each file goes to: parts are filled to the target one after the other, in the order of paths.
+
+    A part's bytes differ from the target by one file at most, the last one's apart.
+    """
+    placed = sum_before(files, ["split"], ["path"], "length", "__before")
+    return placed.withColumn("part", F.floor(F.col("__before") / target_bytes).cast("long")).drop("__before")
 
 
-def read_image_lists(spark: SparkSession, path: str, allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
-    """list, image of text lists with one `set/seq/img` in each line."""
-    rows = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.txt$", 1).alias("list"), F.trim("value").alias("image")).filter("image <> ''")
+def compact_labels(spark: SparkSession, path: str, out: str, split: Column | None = None, target_bytes: int = 128 << 20) -> None:
+    """Many small label files as Parquet files (split, part, path, line, value) of about equal input bytes; the split is the folder above, unless given."""
+    kind = F.element_at(F.split("path", "/"), -2) if split is None else split
+    placed = place_files(list_files(spark, path).select("path", "length", kind.alias("split")), target_bytes).select("split", "part", F.col("path").alias("file"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), "value")
+    rows = lines.join(placed, F.col("path") == F.col("file")).drop("file").repartition("split", "part").sortWithinPartitions("split", "part", "path", "line")
+    rows.write.partitionBy("split", "part").parquet(out)
+
+
+def read_image_lists(spark: SparkSession, path: str, allow: list[str] | None = None, deny: list[str] | None = None, name: str = r"([^/]+)\.txt$") -> DataFrame:
+    """list, image of text lists with one `set/seq/img` in each line; `name` takes the list's name from a file's path."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.regexp_extract("_metadata.file_path", name, 1).alias("list"), F.trim("value").alias("image")).filter("image <> ''")
     if allow:
         rows = rows.filter(F.col("list").isin(*allow))
     return rows.filter(~F.col("list").isin(*deny)) if deny else rows
@@ -101,6 +119,15 @@ def to_pixels(images: DataFrame, key: Column) -> DataFrame:
     return rows.mapInPandas(unpack, "image_id string, y long, x long, b double, g double, r double")
 
 
+def pack_images(px: DataFrame, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
+    """image_id, image: pixels (whole numbers 0..255) as rows of Spark's image source, the opposite of `to_pixels`. A task needs room for one image."""
+    at = lambda c: F.lpad(F.hex(F.col(c).cast("int")), 2, "0")
+    rows = px.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", F.concat(*map(at, channels)).alias("v")))).alias("p"), (F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
+    data = F.unhex(F.array_join(F.transform("p", lambda p: p["v"]), ""))
+    n = len(channels)
+    return rows.select("image_id", F.struct(F.col("image_id").cast("string").alias("origin"), "height", "width", F.lit(n).alias("nChannels"), F.lit(16 if n == 3 else 0).alias("mode"), data.alias("data")).alias("image"))
+
+
 def pair_images(visible: DataFrame, thermal: DataFrame) -> DataFrame:
     """Pixels that both images have: the common crop."""
     return visible.join(thermal.select("image_id", "y", "x", F.col("b").alias("t")), ["image_id", "y", "x"])
