@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank
+
 
 def check_pairs(images: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Labels without an image (an error) and images without a label (allowed)."""
@@ -70,9 +72,8 @@ def owner_split(lists: DataFrame, image: str, order: str, split: str) -> DataFra
 
 def split_contiguous(df: DataFrame, keys: list[str], order: list[str], share: float) -> DataFrame:
     """The first rows of a fixed order are train (rows 0 to floor(n * share), included), the rest test."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumn("part", F.when(place <= F.floor(F.count("*").over(w) * F.lit(share)), F.lit("train")).otherwise("test"))
+    ranked = global_rank(df, keys, order, "__rank", "__rows")
+    return ranked.withColumn("part", F.when(F.col("__rank") - 1 <= F.floor(F.col("__rows") * F.lit(share)), F.lit("train")).otherwise("test")).drop("__rank", "__rows")
 
 
 def duplicate_files(files: DataFrame, path: str, content: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .incremental import KEY, KeyedStore, cache_key
 from .pixels import ALL, fuse_all, haar, inverse_haar
+from .quantiles import aggregate_with_medians
 from .scores import GROUP, MOST_WEIGHT, PROXIES, aggregate_proxies, cap_weights, channel_redundancy, proxies, score_table
 from .stats import interp_column
 from .stored import stored
@@ -56,7 +57,7 @@ def isotonic_knots(samples: DataFrame, keys: list[str]) -> DataFrame:
     The pool-adjacent-violators result at knot i is the largest over j <= i of the smallest over k >= i
     of the mean from j to k; knots are few (one for each alpha).
     """
-    mid = samples.groupBy(*keys, "alpha").agg(F.median("raw").alias("knot_x"))
+    mid = aggregate_with_medians(samples, [*keys, "alpha"], ["raw"], [F.count("*").alias("__n")]).select(*keys, "alpha", F.col("raw_median").alias("knot_x"))
     w = Window.partitionBy(*keys).orderBy("knot_x", F.desc("alpha"))
     k = mid.withColumn("i", F.row_number().over(w)).withColumn("v", 1 - F.col("alpha"))
     run = k.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -173,7 +174,8 @@ def apply_alpha_dep(cal: DataFrame, chosen: DataFrame, sigmas: DataFrame, keys:
 
 def calibration_nodes(samples: DataFrame, keys: list[str], knots: DataFrame | None = None) -> DataFrame:
     """Per alpha: n, median and deviation of the raw score, and the ideal; with knots (by the keys) the latent share at the median too."""
-    nodes = samples.groupBy(*keys, "alpha").agg(F.count("*").alias("n"), F.median("raw").alias("median"), F.stddev_pop("raw").alias("sigma"), (100 * (1 - F.first("alpha"))).alias("ideal"))
+    others = [F.count("*").alias("n"), F.stddev_pop("raw").alias("sigma"), (100 * (1 - F.first("alpha"))).alias("ideal")]
+    nodes = aggregate_with_medians(samples, [*keys, "alpha"], ["raw"], others).withColumnRenamed("raw_median", "median")
     if knots is None:
         return nodes
     return nodes.join(knots, keys, "left").withColumn("latent_z", 1 - interp_column(F.col("knots"), F.col("median"))).drop("knots")

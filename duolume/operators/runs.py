@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from duolume.functions.names import BASELINE, REGIMES
 
+from .quantiles import aggregate_with_medians
+
 #: 90th percentile of a normal distribution as the cell tables round it.
 Z90_CELLS = 1.28
 LAMR_FLOOR = 1e-10
@@ -21,9 +24,8 @@ def sample_std(value: Column) -> Column:
 
 def build_cells(runs: DataFrame, reducer: str = "mean", z: float = Z90_CELLS) -> DataFrame:
     """method x equalization cells: n, mean, std, median, p90, best, and the chosen reducer as value."""
-    cells = runs.filter(F.col("value").isNotNull()).groupBy("method", "equalization").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), sample_std(F.col("value")).alias("std"), F.median("value").alias("median"), F.max("value").alias("best")
-    )
+    others = [F.count("*").alias("n"), F.avg("value").alias("mean"), sample_std(F.col("value")).alias("std"), F.max("value").alias("best")]
+    cells = aggregate_with_medians(runs.filter(F.col("value").isNotNull()), ["method", "equalization"], ["value"], others).withColumnRenamed("value_median", "median")
     cells = cells.withColumn("p90", F.col("mean") + F.lit(z) * F.col("std"))
     return cells.withColumn("value", F.col(reducer))
 
@@ -59,7 +61,7 @@ def averaged_table(runs: DataFrame, keys: list[str], metrics: list[str]) -> Data
 
 def summarize(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean, median, population deviation and count of each metric; nulls are skipped."""
-    return df.groupBy(*keys).agg(*[f(m).alias(f"{m}_{s}") for m in metrics for f, s in ((F.avg, "mean"), (F.median, "median"), (F.stddev_pop, "std"), (F.count, "n"))])
+    return aggregate_with_medians(df, keys, metrics, [f(m).alias(f"{m}_{s}") for m in metrics for f, s in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.count, "n"))])
 
 
 def summarize_map(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -83,21 +85,28 @@ def normal_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> D
     return df.groupBy(*keys).agg(n.alias("n"), fit.alias("percentile"))
 
 
-def curve_envelope(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean, least, most and count of a curve's points; NaN counts as missing."""
+def curve_envelope(curves: DataFrame, keys: list[str], duration: str | None = None) -> DataFrame:
+    """Mean, least, most and count of a curve's points, and the mean duration of their runs, if there is such a column; NaN counts as missing."""
     value = F.nanvl("value", F.lit(None).cast("double"))
-    return curves.groupBy(*keys, "pt").agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    return curves.groupBy(*keys, "pt").agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), *([F.avg(F.nanvl(duration, F.lit(None).cast("double"))).alias("mean_duration")] if duration else []))
 
 
 def metric_density(runs: DataFrame, keys: list[str], value: str, bins: int = 9) -> DataFrame:
-    """Histogram density between least and most of each group; the last bin includes its upper edge."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    rows = runs.filter(F.col(value).isNotNull()).withColumn("low", low).withColumn("high", high)
+    """Histogram density between least and most of each group, with its mean and population deviation; the last bin includes its upper edge."""
+    rows = runs.filter(F.col(value).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("__n"))
+    rows = rows.join(ends.withColumnsRenamed({k: f"__{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     rows = rows.withColumn("bin", F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("low")) / ((F.col("high") - F.col("low")) / bins)), F.lit(bins - 1))))
-    total = Window.partitionBy(*keys)
-    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"))
-    return counts.withColumn("density", F.col("n") / F.sum("n").over(total) / ((F.col("high") - F.col("low")) / bins))
+    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "mean", "std", "__n")])
+    return counts.withColumn("density", F.col("n") / F.col("__n") / ((F.col("high") - F.col("low")) / bins)).drop("__n")
+
+
+def normal_curve(runs: DataFrame, keys: list[str], value: str, points: int = 200, spread: float = 4.0) -> DataFrame:
+    """The normal density of each group's mean and population deviation at evenly spaced points within 4 deviations, and how many whole deviations from the mean each is (mark: null between them). Groups without spread have none."""
+    fit = runs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).filter("std > 0")
+    grid = fit.select(*keys, "mean", "std", F.explode(F.sequence(F.lit(0), F.lit(points))).alias("pt")).withColumn("z", F.lit(-spread) + F.col("pt") * F.lit(2 * spread / points))
+    near = F.round("z")
+    return grid.select(*keys, F.col("pt").cast("long").alias("pt"), (F.col("mean") + F.col("z") * F.col("std")).alias("x"), (F.exp(-F.col("z") * F.col("z") / 2) / (F.col("std") * F.sqrt(F.lit(2 * math.pi)))).alias("density"), F.when(F.abs(F.col("z") - near) < 1e-9, near.cast("int")).alias("mark"))
 
 
 def lamr(curves: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,7 +171,8 @@ def common_tags(df: DataFrame, dataset: str, condition: str, selection: str) ->
 
 
 def timing_table(df: DataFrame, method: str, ms: str) -> DataFrame:
-    return df.groupBy(method).agg(F.avg(ms).alias("mean_ms"), F.median(ms).alias("median_ms"), F.stddev_samp(ms).alias("std_ms"), F.count(ms).alias("n")).orderBy("mean_ms", method)
+    others = [F.avg(ms).alias("mean_ms"), F.stddev_samp(ms).alias("std_ms"), F.count(ms).alias("n")]
+    return aggregate_with_medians(df, [method], [ms], others).withColumnRenamed(f"{ms}_median", "median_ms").orderBy("mean_ms", method)
 
 
 def coverage_matrix(runs: DataFrame, rows: list[str], column: str, values: list[str], least: int = 5) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank
+
 #: Groups that an analysis of variance accepts; its cells are solved on the driver.
 MOST_CELLS = 10_000
 
@@ -163,13 +165,17 @@ def slice_corr(df: DataFrame, keys: list[str], y: str, xs: list[str], least: int
 
 
 def ordinal_rank(df: DataFrame, keys: list[str], value: str, tie: str, out: str) -> DataFrame:
-    """Ranks without averaging of ties. Ranks are within groups, so that groups are what tasks share out."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie)))
+    """Ranks without averaging of ties, for groups of any size."""
+    return global_rank(df, keys, [value, tie], out)
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, tie: str) -> DataFrame:
     """Rank correlation of each group; 0 for fewer than two rows or without spread."""
-    ranked = ordinal_rank(ordinal_rank(df, keys, a, tie, "__a"), keys, b, tie, "__b")
+    ranked = ordinal_rank(ordinal_rank(df.select(*dict.fromkeys([*keys, a, b, tie])), keys, a, tie, "__a"), keys, b, tie, "__b")
+    return rank_correlation(ranked, keys, a, b)
+
+
+def rank_correlation(ranked: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") < 2) | (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12), F.lit(0.0)).otherwise(F.corr("__a", "__b")).alias("spearman"))
 
 
@@ -177,7 +183,8 @@ def training_vs_latent(runs: DataFrame, latent: DataFrame, method: str, z: float
     """90th percentile of each method against its score: slope, intercept, Pearson, Spearman (three methods at least)."""
     p90 = runs.groupBy(method).agg((F.avg("value") + F.lit(z) * F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("p90"))
     both = p90.join(latent, method).withColumn("all", F.lit(1))
-    ranks = spearman(both, ["all"], "latent", "p90", method).select("all", "spearman")
+    place = lambda c: F.row_number().over(Window.partitionBy("all").orderBy(c, method))  # noqa: E731  a row for each method
+    ranks = rank_correlation(both.withColumn("__a", place("latent")).withColumn("__b", place("p90")), ["all"], "latent", "p90").select("all", "spearman")
     fit = both.groupBy("all").agg(F.count("*").alias("n"), F.regr_slope("p90", "latent").alias("slope"), F.regr_intercept("p90", "latent").alias("intercept"), F.corr("p90", "latent").alias("pearson"))
     return fit.join(ranks, "all").filter("n >= 3").drop("all")
 

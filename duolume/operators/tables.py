@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolume.functions.names import eq_from_text, eq_regime, method_rank
 
+from .quantiles import aggregate_with_medians
+from .ranks import global_rank
+
 
 def method_metadata(methods: DataFrame, registry: DataFrame) -> DataFrame:
     """Version, symbol and module of each method; identities and unknown methods have defaults."""
@@ -43,19 +46,28 @@ def distance_preservation(vectors: DataFrame, id_col: str, full: str, part: str,
     a = vectors.filter(anchors).select(F.col(id_col).alias("anchor"), F.col(full).alias("af"), F.col(part).alias("ap"))
     square = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     pairs = vectors.crossJoin(a).filter(F.col(id_col) != F.col("anchor")).select("anchor", F.col(id_col).alias("id"), square(F.col(full), F.col("af")).alias("df"), square(F.col(part), F.col("ap")).alias("dp"))
-    rank = lambda c: F.row_number().over(Window.partitionBy("anchor").orderBy(c, "id"))
-    return pairs.withColumn("rf", rank("df")).withColumn("rp", rank("dp")).groupBy("anchor").agg(F.corr("rf", "rp").alias("spearman"))
+    ranked = global_rank(global_rank(pairs, ["anchor"], ["df", "id"], "rf"), ["anchor"], ["dp", "id"], "rp")
+    return ranked.groupBy("anchor").agg(F.corr("rf", "rp").alias("spearman"))
+
+
+#: Values of a metric that are listed in a row.
+MOST_LISTED = 100_000
 
 
 def method_metrics(df: DataFrame, where: Column, metrics: list[str]) -> DataFrame:
-    """Values, mean, population deviation and median of each metric of a slice's methods."""
-    return df.filter(where).groupBy("method").agg(F.count("*").alias("n_runs"), *[x for m in metrics for x in (F.array_sort(F.collect_list(m)).alias(f"{m}_values"), F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), F.median(m).alias(f"{m}_median"))])
+    """Sorted values (null for methods with over MOST_LISTED runs), mean, population deviation and median of each metric of a slice's methods."""
+    rows = df.filter(where)
+    few = rows.groupBy("method").agg(F.count("*").alias("__n")).filter(F.col("__n") <= MOST_LISTED)
+    listed = rows.join(few, "method", "left_semi").groupBy("method").agg(*[F.array_sort(F.collect_list(m)).alias(f"{m}_values") for m in metrics])
+    others = [F.count("*").alias("n_runs"), *[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))]]
+    return aggregate_with_medians(rows, ["method"], metrics, others).join(listed, "method", "left")
 
 
 def detection_per_method(df: DataFrame, value: str, z: float = 1.28) -> DataFrame:
     """Mean, sample deviation, median and 90th percentile of each method."""
     std = F.coalesce(F.stddev_samp(value), F.lit(0.0))
-    return df.groupBy("method").agg(F.avg(value).alias("mean"), std.alias("std"), F.median(value).alias("median"), (F.avg(value) + F.lit(z) * std).alias("p90"))
+    others = [F.avg(value).alias("mean"), std.alias("std"), (F.avg(value) + F.lit(z) * std).alias("p90")]
+    return aggregate_with_medians(df, ["method"], [value], others).withColumnRenamed(f"{value}_median", "median")
 
 
 def metric_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:

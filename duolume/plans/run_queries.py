@@ -98,17 +98,25 @@ D21 = f"""WITH {PART_RUNS} SELECT method, count(value) AS n, round(CASE WHEN cou
 
 
 def d22(spark, d):
-    return rounded(R.curve_envelope(curves(spark, d), ["label"]), "mean", "low", "high")
+    return rounded(R.curve_envelope(curves(spark, d).withColumn("hours", F.col("vec_id") / 10), ["label"], "hours"), "mean", "low", "high", "mean_duration")
 
 
 def d23(spark, d):
-    return rounded(R.metric_density(runs(spark, d), ["method"], "value"), "density", "low", "high", digits=8)
+    return rounded(R.metric_density(runs(spark, d), ["method"], "value"), "density", "low", "high", "mean", "std", digits=8)
+
+
+def d23_normal(spark, d):
+    return rounded(R.normal_curve(runs(spark, d), ["method"], "value"), "x", "density", digits=8)
+
+
+D23_NORMAL = f"""WITH {RUNS}, f AS (SELECT method, avg(value) AS mean, stddev_pop(value) AS std FROM runs GROUP BY 1), g AS (SELECT *, unnest(range(201)) AS pt FROM f WHERE std > 0)
+SELECT method, pt, round(mean + (pt - 100) / 25 * std, 8) AS x, round(exp(-pow((pt - 100) / 25, 2) / 2) / (std * sqrt(2 * pi())), 8) AS density, CASE WHEN pt % 25 = 0 THEN ((pt - 100) // 25)::INT END AS mark FROM g"""
 
 
 D23 = f"""WITH {RUNS}, e AS (SELECT method, value, min(value) OVER (PARTITION BY method) AS low, max(value) OVER (PARTITION BY method) AS high FROM runs WHERE value IS NOT NULL),
 b AS (SELECT *, CASE WHEN high = low THEN 0 ELSE least(floor((value - low) / ((high - low) / 9)), 8) END::BIGINT AS bin FROM e),
-c AS (SELECT method, bin, count(*) AS n, any_value(low) AS low, any_value(high) AS high FROM b GROUP BY method, bin)
-SELECT method, bin, n, round(low, 8) AS low, round(high, 8) AS high, round(n / sum(n) OVER (PARTITION BY method) / ((high - low) / 9), 8) AS density FROM c"""
+c AS (SELECT method, bin, count(*) AS n, any_value(low) AS low, any_value(high) AS high FROM b GROUP BY method, bin), f AS (SELECT method, avg(value) AS mean, stddev_pop(value) AS std FROM runs GROUP BY 1)
+SELECT method, bin, n, round(mean, 8) AS mean, round(std, 8) AS std, round(low, 8) AS low, round(high, 8) AS high, round(n / sum(n) OVER (PARTITION BY method) / ((high - low) / 9), 8) AS density FROM c JOIN f USING (method)"""
 
 
 def d24(spark, d):
@@ -264,8 +272,8 @@ PLANS = {
     "d6_averaged_table": (d6, f"WITH {PART_RUNS} SELECT method, equalization, count(*) AS n, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std FROM runs GROUP BY ALL"),
     "d1_summary": (d1, D1), "d2_map_summary": (d2, D2), "d3_mode_counts": (d3, D3), "d5_run_table": (d5, D5),
     "d19_normal_percentile": (d19, D19), "d20_curve_percentile": (d20, D20), "d21_percentile_record": (d21, D21),
-    "d22_curve_envelope": (d22, f"WITH {CURVES} SELECT label, pt, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, count(value) AS n FROM curves GROUP BY ALL"),
-    "d23_metric_density": (d23, D23), "d24_lamr": (d24, D24), "d25_lamr_step": (d25, D25), "d26_miss_rate": (d26, D26),
+    "d22_curve_envelope": (d22, f"WITH {CURVES} SELECT label, pt, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, count(value) AS n, round(avg(vec_id / 10), 6) AS mean_duration FROM curves GROUP BY ALL"),
+    "d23_metric_density": (d23, D23), "d23_normal_curve": (d23_normal, D23_NORMAL), "d24_lamr": (d24, D24), "d25_lamr_step": (d25, D25), "d26_miss_rate": (d26, D26),
     "d35_timing": (d35, f"WITH {RUNS} SELECT method, round(avg(value * 10), 6) AS mean_ms, round(median(value * 10), 6) AS median_ms, round(stddev_samp(value * 10), 6) AS std_ms, count(value) AS n FROM runs GROUP BY method"),
     "d36_coverage": (d36, D36), "d36_priority": (d36_cells, f"WITH {TAGGED} SELECT * FROM cells"), "d36_long": (d36_long, D36_LONG),
     "d37_common_tags": (d37, D37),
