@@ -428,6 +428,37 @@ def clahe(px: DataFrame, height: int, width: int, column: str = "t", clip: float
     return px.join(mixed, list(KEYS)).withColumn(column, trunc(F.col("v"))).drop("v")
 
 
+#: Fixed values of the 8-bit colour transform: factors in 1 / 2^14.
+_SHIFT = 14
+_LUMA = {"b": 1868, "g": 9617, "r": 4899}
+_TO_CR, _TO_CB, _R_CR, _G_CR, _G_CB, _B_CB = 11682, 9241, 22987, -11698, -5636, 29049
+
+
+def _scaled(c: Column) -> Column:
+    """A sum of whole factors in 1 / 2^14, to the nearest whole number (halves up), as an unsigned byte."""
+    return F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(c + (1 << (_SHIFT - 1)), _SHIFT))).cast("int")
+
+
+def to_luma(px: DataFrame) -> DataFrame:
+    """Adds luma and the two chroma columns (cr, cb) of b, g, r, as unsigned bytes."""
+    whole = {c: F.col(c).cast("int") for c in "bgr"}
+    rows = px.withColumn("luma", _scaled(sum((n * whole[c] for c, n in _LUMA.items()), F.lit(0))))
+    middle = 128 << _SHIFT
+    return rows.withColumns({"cr": _scaled((whole["r"] - F.col("luma")) * _TO_CR + middle), "cb": _scaled((whole["b"] - F.col("luma")) * _TO_CB + middle)})
+
+
+def from_luma(px: DataFrame) -> DataFrame:
+    """b, g, r of luma and chroma, which go."""
+    luma, cr, cb = F.col("luma").cast("int") * (1 << _SHIFT), F.col("cr") - 128, F.col("cb") - 128
+    back = {"b": luma + cb * _B_CB, "g": luma + cr * _G_CR + cb * _G_CB, "r": luma + cr * _R_CR}
+    return px.withColumns({c: _scaled(v).cast("double") for c, v in back.items()}).drop("luma", "cr", "cb")
+
+
+def clahe_color(px: DataFrame, height: int, width: int, clip: float = 6.0, tiles: int = 6) -> DataFrame:
+    """Contrast-limited equalisation of the luma of b, g, r; chroma stays."""
+    return from_luma(clahe(to_luma(px), height, width, "luma", clip, tiles)).select(px.columns)
+
+
 def bad_images(px: DataFrame) -> DataFrame:
     """Images that are all 0 or all 255."""
     return px.groupBy("image_id").agg(F.min(F.least(*ALL)).alias("low"), F.max(F.greatest(*ALL)).alias("high")).filter((F.col("low") == F.col("high")) & F.col("low").isin(0.0, 255.0))
@@ -441,6 +472,20 @@ def warp(px: DataFrame, transforms: DataFrame, height: int, width: int) -> DataF
     return px.join(frame, ["image_id", "y", "x"]).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *ALL)
 
 
+def warp_bilinear(px: DataFrame, transforms: DataFrame, height: int, width: int) -> DataFrame:
+    """The same with values between the four source pixels around a place, by their nearness; places that need a pixel outside go.
+
+    A target pixel is joined to at most four source pixels, and their weighted sums are its values.
+    """
+    frame = px.select("image_id").distinct().join(transforms, "image_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("tx"))
+    sx, sy = F.col("a") * F.col("tx") + F.col("b") * F.col("ty") + F.col("c"), F.col("d") * F.col("tx") + F.col("e") * F.col("ty") + F.col("f")
+    frame = frame.select("image_id", F.col("ty").cast("long").alias("ty"), F.col("tx").cast("long").alias("tx"), F.floor(sx).alias("x0"), F.floor(sy).alias("y0"), (sx - F.floor(sx)).alias("fx"), (sy - F.floor(sy)).alias("fy"))
+    near = F.array(*[F.struct((F.col("y0") + i).alias("y"), (F.col("x0") + j).alias("x"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("w")) for i in (0, 1) for j in (0, 1)])
+    wanted = frame.select("image_id", "ty", "tx", F.explode(near).alias("m")).select("image_id", "ty", "tx", "m.*").filter("w > 0")
+    sums = px.join(wanted, ["image_id", "y", "x"]).groupBy("image_id", "ty", "tx").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ALL])
+    return sums.filter(F.col("w") > 1 - 1e-9).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *ALL)
+
+
 # ---- population statistics
 
 
@@ -460,9 +505,9 @@ def hist_metrics(hist: DataFrame) -> DataFrame:
 
 
 def hist_envelope(hist: DataFrame) -> DataFrame:
-    """Per channel and bin: mean of the images' shares (in percent) and the band of four deviations, not below 0."""
+    """Per channel and bin: mean of the images' shares (in percent), the band of four deviations, not below 0, and the variation in percent (0 where no image has any)."""
     out = hist.withColumn("total", F.sum("n").over(by_image("channel"))).groupBy("channel", "bin").agg(F.avg(100 * F.col("n") / F.col("total")).alias("mean"), F.stddev_pop(100 * F.col("n") / F.col("total")).alias("std"))
-    return out.withColumns({"low": F.greatest(F.lit(0.0), F.col("mean") - 4 * F.col("std")), "high": F.col("mean") + 4 * F.col("std")})
+    return out.withColumns({"low": F.greatest(F.lit(0.0), F.col("mean") - 4 * F.col("std")), "high": F.col("mean") + 4 * F.col("std"), "cv": F.when(F.col("mean") > 0, 100 * F.col("std") / F.col("mean")).otherwise(F.lit(0.0))})
 
 
 def hist_density(hist: DataFrame, bins: int, most: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import global_rank
+
 #: Hex digits of the hash that part a bucket: 65,536 parts, so that at 10^11 rows a task ranks some millions.
 DIGITS = 4
 
@@ -56,6 +58,12 @@ def cap(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def subsample(df: DataFrame, order: list[str], ratio: float) -> DataFrame:
+    """The first rows of an order: a share of all, rounded down, but one row at least."""
+    ranked = global_rank(df, [], order, "__rank", "__rows")
+    return ranked.filter(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__rows") * F.lit(ratio)))).drop("__rank", "__rows")
+
+
 def top_shift(df: DataFrame, value: str, tie: str, n: int = 10) -> DataFrame:
     """The largest changes, whichever way."""
     return df.orderBy(F.abs(F.col(value)).desc(), tie).limit(n)

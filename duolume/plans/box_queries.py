@@ -211,6 +211,8 @@ PLANS = {
     "d27_dataset_counts": (d27, D27),
     "d28_set_counts": (d28, "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)"),
     "e14_owner_split": (e14, E14), "e8_split_contiguous": (e8, E8), "f1_stratified_sample": (f1, F1), "f2_split_calibration": (f2, F2),
+    "f3_subsample": (lambda spark, d: S.subsample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 0.03),
+        "SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice, o_orderkey) <= greatest(1, floor(0.03 * count(*) OVER ()))"),
     "f3_cap": (f3, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100"),
     "f5_top_shift": (f5, "WITH s AS (SELECT l_partkey, round(max(l_quantity) - avg(l_quantity), 6) AS shift FROM lineitem GROUP BY 1) SELECT * FROM s ORDER BY abs(shift) DESC, l_partkey LIMIT 10"),
     "a18_incremental": (a18, "SELECT doc_id, sha256(doc_id::VARCHAR) AS cache_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),

@@ -147,7 +147,7 @@ def d30(spark, d):
 
 
 def d30_envelope(spark, d):
-    return rounded(P.hist_envelope(hist(spark, d)), "mean", "std", "low", "high")
+    return rounded(P.hist_envelope(hist(spark, d)), "mean", "std", "low", "high", "cv")
 
 
 def d31(spark, d):
@@ -175,6 +175,45 @@ def sobel_weighted(spark, d):
     return mixed.join(ends, "image_id").groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum((F.col("b") - F.col("low")) / (F.col("high") - F.col("low"))), 4).alias("s"))
 
 
+def p24_bilinear(spark, d):
+    px = pixels(spark, d)
+    matrix = [F.lit(1.0).alias("a"), F.lit(0.25).alias("b"), (F.col("image_id") % 3 / 2).alias("c"), F.lit(-0.125).alias("d"), F.lit(1.0).alias("e"), F.lit(0.5).alias("f")]
+    out = P.warp_bilinear(px, px.select("image_id").distinct().select("image_id", *matrix), 8, 8)
+    return out.select("image_id", "y", "x", *[F.round(c, 6).alias(c) for c in "bgrt"])
+
+
+P24_BILINEAR = f"""WITH {PIXELS}, f AS (SELECT image_id, ty, tx, tx + 0.25 * ty + (image_id % 3) / 2 AS sx, -0.125 * tx + ty + 0.5 AS sy FROM (SELECT DISTINCT image_id FROM px), (SELECT unnest(range(8)) AS ty), (SELECT unnest(range(8)) AS tx)),
+n AS (SELECT image_id, ty, tx, (floor(sy) + i)::BIGINT AS y, (floor(sx) + j)::BIGINT AS x, CASE WHEN i = 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END * CASE WHEN j = 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END AS w FROM f, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT image_id, ty AS y, tx AS x, {", ".join(f"round(sum(w * {c}), 6)::DOUBLE AS {c}" for c in "bgrt")} FROM n JOIN px USING (image_id, y, x) WHERE w > 0 GROUP BY image_id, ty, tx HAVING sum(w) > 1 - 1e-9"""
+
+
+def clahe_sql(rows, column):
+    """`eq`: rows (an image is 8 x 8) with `to`, the column equalised in 2 x 2 tiles with clip 6."""
+    return f"""tl AS (SELECT *, y // 4 AS ty, x // 4 AS tx, {column}::INT AS bin FROM {rows}), hc AS (SELECT image_id, ty, tx, bin, count(*) AS n FROM tl GROUP BY ALL), ar AS (SELECT image_id, ty, tx, sum(n) AS area FROM hc GROUP BY ALL),
+sr AS (SELECT image_id, ty, tx, area, greatest(1, floor(6.0 * area / 256)) AS lim, sum(greatest(0, n - greatest(1, floor(6.0 * area / 256)))) AS spare FROM hc JOIN ar USING (image_id, ty, tx) GROUP BY ALL),
+mp AS (SELECT image_id, ty AS my, tx AS mx, bin, sum(least(coalesce(n, 0), lim) + spare / 256) OVER (PARTITION BY image_id, ty, tx ORDER BY bin) * 255 / area AS v FROM (SELECT *, unnest(range(256)) AS bin FROM sr) LEFT JOIN hc USING (image_id, ty, tx, bin)),
+fr AS (SELECT tl.*, (y + 0.5) / 4 - 0.5 AS py, (x + 0.5) / 4 - 0.5 AS qx FROM tl), nr AS (SELECT fr.*, i, j, greatest(0, least(1, floor(py) + i)) AS my, greatest(0, least(1, floor(qx) + j)) AS mx,
+  CASE WHEN i = 1 THEN py - floor(py) ELSE 1 - py + floor(py) END * CASE WHEN j = 1 THEN qx - floor(qx) ELSE 1 - qx + floor(qx) END AS w FROM fr, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+mx AS (SELECT image_id, y, x, floor(greatest(0, least(255, sum(w * v)))) AS "to" FROM nr JOIN mp USING (image_id, my, mx, bin) GROUP BY ALL), eq AS (SELECT r.*, "to" FROM {rows} r JOIN mx USING (image_id, y, x))"""
+
+
+P21 = f"""WITH {PIXELS}, {clahe_sql("px", "t")} SELECT image_id, round(avg("to"), 4) AS t, count(*) AS n FROM eq GROUP BY image_id"""
+
+
+def byte_sql(c):
+    return f"greatest(0, least(255, ({c} + 8192) >> 14))"
+
+
+LUMA = f"""{PIXELS}, lu AS (SELECT *, {byte_sql("b::BIGINT * 1868 + g::BIGINT * 9617 + r::BIGINT * 4899")} AS luma FROM px),
+ch AS (SELECT *, {byte_sql("(r::BIGINT - luma) * 11682 + 2097152")} AS cr, {byte_sql("(b::BIGINT - luma) * 9241 + 2097152")} AS cb FROM lu)"""
+P21_COLOR = f"""WITH {LUMA}, {clahe_sql("ch", "luma")} SELECT image_id, y, x, {byte_sql('"to"::BIGINT * 16384 + (cb - 128) * 29049')}::DOUBLE AS b,
+  {byte_sql('"to"::BIGINT * 16384 - (cr - 128) * 11698 - (cb - 128) * 5636')}::DOUBLE AS g, {byte_sql('"to"::BIGINT * 16384 + (cr - 128) * 22987')}::DOUBLE AS r FROM eq"""
+
+
+def clahe_color(spark, d):
+    return P.clahe_color(pixels(spark, d), 8, 8, tiles=2).select("image_id", "y", "x", "b", "g", "r")
+
+
 def clahe(spark, d):
     return P.clahe(pixels(spark, d), 8, 8, tiles=2).groupBy("image_id").agg(F.round(F.avg("t"), 4).alias("t"), F.count("*").alias("n"))
 
@@ -188,14 +227,14 @@ PLANS = {
     "p25_prepare_channels": (p25, f"WITH {PIXELS} " + sums_sql(f"SELECT image_id, y, x, {V} AS c0, t AS c1, ({V} + t) / 2 AS c2 FROM px")),
     "p16_wavelet": (fused("wavelet"), WAVELET), "p19_sobel_weighted": (sobel_weighted, SOBEL_W),
     **{f"p_{m}": (fused(m), None) for m in ("hsvt", "pca", "fa", "fa_patches", "pca_full", "pca_std", "pca_1ch", "hsvt_pca", "alpha_pca", "wavelet_max", "ssim", "ssim_v2", "superpixel")},
-    "p21_clahe": (clahe, None), "p22_equalize_expand": (p22, P22),
+    "p21_clahe": (clahe, P21), "p21_clahe_color": (clahe_color, P21_COLOR), "p24_warp_bilinear": (p24_bilinear, P24_BILINEAR), "p22_equalize_expand": (p22, P22),
     "p23_bad_images": (p23, f"WITH {PIXELS} SELECT DISTINCT image_id, CASE WHEN image_id % 7 = 0 THEN 0.0 ELSE 255.0 END::DOUBLE AS low, CASE WHEN image_id % 7 = 0 THEN 0.0 ELSE 255.0 END::DOUBLE AS high FROM px WHERE image_id % 7 = 0 OR image_id % 11 = 0"),
     "p24_warp": (p24, P24), "p26_fuse_all": (fuse_all, None),
     "e4_smooth": (e4, E4), "e9_sobel": (e9, f"WITH {SOBEL} SELECT image_id, sum(gx * (y * 8 + x)) AS gx, sum(gy * (y * 8 + x)) AS gy, round(sum(sqrt(gx * gx + gy * gy)), 6) AS magnitude FROM so GROUP BY image_id"),
     "e10_box_stats": (e10, E10), "e11_blur": (e11, E11),
     "d29_histograms": (hist, f"WITH {HIST} SELECT image_id, channel, bin, n FROM hist"),
     "d30_hist_metrics": (d30, f"WITH {HIST}, b AS (SELECT image_id, channel, sum(bin * n) / sum(n) AS v FROM hist GROUP BY ALL) SELECT channel, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n, round(100 * stddev_pop(v) / avg(v), 6) AS cv FROM b GROUP BY channel"),
-    "d30_hist_envelope": (d30_envelope, f"WITH {HIST}, t AS (SELECT channel, bin, 100 * n / 64 AS p FROM hist) SELECT channel, bin, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(greatest(0, avg(p) - 4 * stddev_pop(p)), 6) AS low, round(avg(p) + 4 * stddev_pop(p), 6) AS high FROM t GROUP BY ALL"),
+    "d30_hist_envelope": (d30_envelope, f"WITH {HIST}, t AS (SELECT channel, bin, 100 * n / 64 AS p FROM hist) SELECT channel, bin, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS std, round(greatest(0, avg(p) - 4 * stddev_pop(p)), 6) AS low, round(avg(p) + 4 * stddev_pop(p), 6) AS high, round(CASE WHEN avg(p) > 0 THEN 100 * stddev_pop(p) / avg(p) ELSE 0 END, 6) AS cv FROM t GROUP BY ALL"),
     "d31_hist_density": (d31, f"WITH {HIST} SELECT channel, bin, least(n, 7) AS level, count(*) AS images FROM hist GROUP BY ALL"),
     "d32_contrast_sharpness": (d32, f"WITH {SOBEL}, c AS (SELECT image_id, stddev_pop(t) AS c FROM px GROUP BY 1) SELECT image_id, round(any_value(c), 6) AS contrast_t, round(100 * avg(gx * gx + gy * gy) / 65025, 6) AS sharpness_t FROM so JOIN c USING (image_id) GROUP BY image_id"),
     "d34_heatmap": (d34, D34),

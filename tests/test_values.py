@@ -260,3 +260,55 @@ def test_similarity(spark, scored):
             }
             for m, values in want.items():
                 assert got.loc[k, f"{m}_{name}"] == pytest.approx(np.mean(values), abs=1e-4), (k, m, name)
+
+
+def equalised(c, clip=6.0, tiles=2):
+    """Contrast-limited equalisation of one plane, pixel by pixel."""
+    n = c.shape[0] // tiles
+    maps = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            h = np.bincount(c[i * n : (i + 1) * n, j * n : (j + 1) * n].astype(int).ravel(), minlength=256).astype(float)
+            limit = max(1, int(clip * n * n / 256))
+            over = np.maximum(h - limit, 0).sum()
+            maps[i, j] = np.cumsum(np.minimum(h, limit) + over / 256) * 255 / (n * n)
+    out = np.zeros_like(c)
+    for y in range(c.shape[0]):
+        for x in range(c.shape[1]):
+            fy, fx = (y + 0.5) / n - 0.5, (x + 0.5) / n - 0.5
+            y0, x0 = int(np.floor(fy)), int(np.floor(fx))
+            out[y, x] = sum((fy - y0 if a else 1 - fy + y0) * (fx - x0 if b else 1 - fx + x0) * maps[min(max(y0 + a, 0), tiles - 1), min(max(x0 + b, 0), tiles - 1), int(c[y, x])] for a in (0, 1) for b in (0, 1))
+    return np.floor(np.clip(out, 0, 255))
+
+
+def test_clahe(spark, images):
+    got = {x["image_id"]: x["t"] for x in PLANS["p21_clahe"][0](spark, SF).collect()}
+    assert set(got) == set(images) and all(abs(equalised(v[:, :, 3]).mean() - got[k]) < 1e-4 for k, v in images.items())
+
+
+def test_clahe_of_colour(spark, images):
+    """Luma by exact fractions of 2^14, chroma and the way back by real arithmetic to within two grey levels."""
+    got = {k: g.sort_values(["y", "x"])[["b", "g", "r"]].to_numpy().reshape(8, 8, 3) for k, g in PLANS["p21_clahe_color"][0](spark, SF).toPandas().groupby("image_id")}
+    for k, v in images.items():
+        b, g, r = (v[:, :, i] for i in range(3))
+        luma = np.floor((np.round(0.299 * 2**14) * r + np.round(0.587 * 2**14) * g + np.round(0.114 * 2**14) * b) / 2**14 + 0.5)
+        cr, cb = (np.clip(np.floor((c - luma) * f + 128 + 0.5), 0, 255) for c, f in ((r, 0.713), (b, 0.564)))
+        new = equalised(luma)
+        want = np.stack([new + 1.773 * (cb - 128), new - 0.714 * (cr - 128) - 0.344 * (cb - 128), new + 1.403 * (cr - 128)], axis=2)
+        assert np.abs(got[k] - np.clip(want, 0, 255)).max() <= 2.5
+
+
+def test_bilinear_warp(spark, images):
+    got = {k: {(y, x): c for y, x, *c in g[["y", "x", "b", "g", "r", "t"]].to_numpy().tolist()} for k, g in PLANS["p24_warp_bilinear"][0](spark, SF).toPandas().groupby("image_id")}
+    for k, v in images.items():
+        want = {}
+        for y in range(8):
+            for x in range(8):
+                sx, sy = x + 0.25 * y + k % 3 / 2, -0.125 * x + y + 0.5
+                x0, y0 = int(np.floor(sx)), int(np.floor(sy))
+                near = [(y0 + i, x0 + j, (sy - y0 if i else 1 - sy + y0) * (sx - x0 if j else 1 - sx + x0)) for i in (0, 1) for j in (0, 1)]
+                near = [n for n in near if n[2] > 0]
+                if all(0 <= a < 8 and 0 <= b < 8 for a, b, _ in near):
+                    want[y, x] = sum(w * v[a, b] for a, b, w in near)
+        assert set(got.get(k, {})) == set(want)
+        assert all(np.allclose(got[k][p], c, atol=1e-5) for p, c in want.items())
