@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .stored import stored
 
 #: Values of a group that are ordered in one place; larger groups are narrowed down first.
-MOST_ORDERED = 100_000
+MOST_ORDERED = 1_000_000
 #: Cells of equal depth that a pass parts a group into, and the accuracy of the sketch that finds their bounds.
 CELLS, ACCURACY = 256, 10_000
 #: Large groups that are broadcast beside the rows; with more, rows are shuffled to them.

@@ -14,6 +14,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,22 +180,40 @@ def proxy_spectral(s: DataFrame) -> DataFrame:
 
 
 def proxy_freq(s: DataFrame) -> DataFrame:
-    """Correlation of log spectra of the grey images, anchored at the sources. The transform needs an image's pixels in one place: one group is one image, of which one row comes back. An image with missing pixels has no value."""
-
-    def corr(a: np.ndarray, b: np.ndarray) -> float:
-        return 0.0 if min(a.std(), b.std()) < 1e-12 else float(np.corrcoef(a, b)[0, 1])
-
-    def spectra(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"])
-        shape = (rows["y"].nunique(), rows["x"].nunique())
-        out = {"method": rows["method"].iloc[0], "image_id": rows["image_id"].iloc[0], "fv": None, "ft": None, "vt": None}
-        if shape[0] * shape[1] == len(rows) and not rows[["f", "v", "t"]].isna().to_numpy().any():
-            k = {c: np.log1p(np.abs(np.fft.fft2(rows[c].to_numpy().reshape(shape)))).ravel() for c in ("f", "v", "t")}
-            out |= {a + b: corr(k[a], k[b]) for a, b in ("fv", "ft", "vt")}
-        return pd.DataFrame([out])
-
-    rows = s.select(*GROUP, "y", "x", grey("f").alias("f"), grey("v").alias("v"), "t")
-    m = rows.groupBy(*GROUP).applyInPandas(spectra, "method string, image_id long, fv double, ft double, vt double")
+    """Correlation of log spectra of the grey images, anchored at the sources. An image with missing pixels has no value.
+
+    The transform needs an image's pixels in one place: they are packed into arrays, and
+    all methods of an image meet its sources (equal ones once), so that the sources'
+    spectra are made once and all of an image's planes are one transform. A task needs
+    room for one image under all methods.
+    """
+    pixel = F.struct("y", "x", grey("f").alias("f"), grey("v").alias("v"), F.col("t"))
+    odd = lambda c: F.col(c).isNull() | F.isnan(c)
+    plane = lambda c: F.transform("p", lambda x: x[c]).alias(c)
+    size = lambda c: F.size(F.array_distinct(F.transform("p", lambda x: x[c])))
+    per = s.groupBy(*GROUP).agg(F.array_sort(F.collect_list(pixel)).alias("p"), F.bool_or(reduce(Column.__or__, [odd(c) for c in CHANNELS])).alias("gaps"))
+    per = per.select(*GROUP, plane("f"), plane("v"), plane("t"), size("y").alias("ny"), size("x").alias("nx"), (F.col("gaps") | (size("y") * size("x") != F.size("p"))).alias("gaps"))
+    own = ["image_id", "ny", "nx", "gaps", "source"]
+    images = per.withColumn("source", F.xxhash64("v", "t")).groupBy(*own).agg(F.first("v").alias("v"), F.first("t").alias("t"), F.collect_list(F.struct("method", "f")).alias("fs"))
+
+    def spectra(table: pa.Table) -> pa.Table:
+        row = table.to_pylist() if table["gaps"][0].as_py() else None
+        methods = table["fs"].combine_chunks().flatten().field("method").to_pylist()
+        n = len(methods)
+        if row:
+            return pa.table({"method": methods, "image_id": [row[0]["image_id"]] * n, **{c: pa.nulls(n, pa.float64()) for c in ("fv", "ft", "vt")}})
+        flat = lambda c: np.asarray(table[c].combine_chunks().flatten())
+        fused = np.asarray(table["fs"].combine_chunks().flatten().field("f").flatten())
+        planes = np.concatenate([flat("v"), flat("t"), fused]).reshape(n + 2, table["ny"][0].as_py(), table["nx"][0].as_py())
+        k = np.log1p(np.abs(np.fft.fft2(planes))).reshape(n + 2, -1)
+        spread = k.std(axis=1)
+        k -= k.mean(axis=1, keepdims=True)
+        length = np.sqrt((k * k).sum(axis=1))
+        corr = lambda i, j: np.where(np.minimum(spread[i], spread[j]) < 1e-12, 0.0, (k[i] * k[j]).sum(axis=-1) / np.maximum(length[i] * length[j], 1e-300))
+        f = np.arange(2, n + 2)
+        return pa.table({"method": methods, "image_id": [table["image_id"][0].as_py()] * n, "fv": corr(f, 0), "ft": corr(f, 1), "vt": np.full(n, corr(0, 1))})
+
+    m = images.groupBy(*own).applyInArrow(spectra, "method string, image_id long, fv double, ft double, vt double")
     return m.select(*GROUP, anchor_map(F.col("fv") - F.col("ft"), 1 - F.col("vt"), F.col("vt") - 1).alias("value"))
 
 
