@@ -52,6 +52,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name that isn't taken for a path."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever their names."""
+    return [F.col(quoted(x)) for x in df.columns]
+
+
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,8 +13,9 @@ for what a drawing only shows by reference (defs, symbol). Comments, declaration
 what the HTML standard takes them for: they go on to the end of the page.
 
 Null HTML gives null text; empty pages give the empty text. Repeated rows give repeated
-results. Trees deeper than MOST_DEPTH are flattened from there on (text is
-kept). Empty tables give an empty result. All input columns but the HTML stay; one that is named like the
+results. Elements deeper than MOST_DEPTH aren't nodes of their own: their text goes to
+the ancestor at that depth, without layout, and what is invisible there stays so. Visibility
+is by elements and attributes; rules of style sheets aren't applied. Empty tables give an empty result. All input columns but the HTML stay; one that is named like the
 result is replaced by it.
 """
 
@@ -50,6 +51,8 @@ IMPLIED = {
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 MOST_DEPTH = 200
+#: What may stand in a head; anything else that shows ends it.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Fields that don't show their value, and elements of which the text is no markup.
 VALUELESS = frozenset("hidden checkbox radio password file color range image".split())
 RAW_TEXT = frozenset("textarea title".split())
@@ -88,41 +91,69 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.n_open: dict[str, int] = {}  # by tag
+
+    def _end(self, i: int) -> None:
+        """Closes open elements from a place on."""
+        gone = self.open[i:]
+        del self.open[i:]
+        for x in gone:
+            self.n_open[x.tag] -= 1
+        if i >= MOST_DEPTH and any(x.tag in BLOCKS for x in gone):
+            self.open[-1].children.append(" ")
 
     def _close(self, tags: set[str] | frozenset[str], border: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                # go on: a row closes its cell and the row before it
-                return self._close(tags, border)
-            if self.open[i].tag in border:
-                return None
-        return None
+        # again and again: a row closes its cell and the row before it
+        while any(self.n_open.get(x) for x in tags):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in tags:
+                    self._end(i)
+                    break
+                if self.open[i].tag in border or self.open[i].tag == "template":
+                    return
+            else:
+                return
+
+    def _end_head(self) -> None:
+        """A head ends where something stands in it, or in its noscript, that belongs to the body."""
+        i = len(self.open) - 1
+        while i and self.open[i].tag == "noscript":
+            i -= 1
+        if self.open[i].tag == "head":
+            self._end(i)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
             self._close({"p"}, {"table", "td", "th", "button", "div", "li", "blockquote"})
-        if tag in BLOCKS - {"html", "body"} and any(x.tag == "head" for x in self.open):
-            self._close({"head"}, set())
+        if tag not in HEAD:
+            self._end_head()
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         node = Node(tag, dict(attrs), self.open[-1].mute)
-        if not (node.mute and tag in VOID):
-            self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MOST_DEPTH:
+        if tag in VOID or len(self.open) < MOST_DEPTH:
+            if not (node.mute and tag in VOID):
+                self.open[-1].children.append(node)
+        elif node.visible:
+            node.children = self.open[-1].children
+            if tag in BLOCKS:
+                node.children.append(" ")
+        if tag not in VOID:
             self.open.append(node)
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
         if tag in RAW_TEXT and not self.foreign and not hasattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS"):
             self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCKS and self.open[-1].tag == tag:
-            self.open.pop()
+            self._end(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.n_open.get(tag) else ():
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._end(i)
+                return
+            if self.open[i].tag == "template":
                 return
             # an end tag in a cell doesn't close what stands outside of its table
             if self.open[i].tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
@@ -131,12 +162,14 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.cdata_elem in RAW_TEXT and not hasattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS"):
             data = unescape(data)
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         if not self.open[-1].mute:
             self.open[-1].children.append(data)
 
     @property
     def foreign(self) -> bool:
-        return any(x.tag in ("svg", "math") for x in self.open)
+        return bool(self.n_open.get("svg") or self.n_open.get("math"))
 
     def parse_comment(self, i: int, report: bool = True) -> int:
         for short in ("<!-->", "<!--->"):
@@ -345,6 +378,24 @@ def _rows(node: Node, section: int = 1) -> Iterator[tuple[int, Node | str]]:
             yield section if child.tag == "tr" else 0, child
 
 
+#: Characters of a line in a table's cell.
+WIDEST = 60
+
+
+def _wrapped(line: str) -> list[str]:
+    """A line of prose as lines of at most WIDEST characters, or one word; lines with columns of their own stay."""
+    if len(line) <= WIDEST or " | " in line or "  " in line:
+        return [line]
+    out, now, size = [], [], -1
+    for word in line.split(" "):
+        if now and size + 1 + len(word) > WIDEST:
+            out.append(" ".join(now))
+            now, size = [], -1
+        now.append(word)
+        size += 1 + len(word)
+    return [*out, " ".join(now)]
+
+
 def _grid(rows: list[Node], depth: int) -> list[list[tuple[int, int, list[str]]]]:
     """(first column, end column, lines) of each row's cells; a place that a cell above reaches into is an empty one."""
     out: list[list[tuple[int, int, list[str]]]] = []
@@ -355,14 +406,14 @@ def _grid(rows: list[Node], depth: int) -> list[list[tuple[int, int, list[str]]]
             if isinstance(x, str):
                 if not x.strip():
                     continue
-                span, down, lines = 1, 1, [_WHITE.sub(" ", x).strip(" ")]
+                span, down, lines = 1, 1, _wrapped(_WHITE.sub(" ", x).strip(" "))
             elif not x.visible:
                 continue
             else:
                 span = min(max(_number(x.attrs.get("colspan"), 1), 1), 1000)
                 down = _number(x.attrs.get("rowspan"), 1)
                 down = len(rows) - r if down == 0 else min(max(down, 1), len(rows) - r)
-                lines = _inside(x, depth)
+                lines = [y for line in _inside(x, depth) for y in _wrapped(line)]
             while reach.get(at, 0) > 0:
                 at += 1
             cells.append((at, at + span, lines))
@@ -378,7 +429,7 @@ def _grid(rows: list[Node], depth: int) -> list[list[tuple[int, int, list[str]]]
 
 
 def _table(table: Node, depth: int) -> list[str]:
-    """Rows with cells as wide as the widest of their columns (columns wider than WIDEST aren't filled up)."""
+    """Rows with cells as wide as the widest of their columns. Prose in cells is wrapped at WIDEST; a longer word, or line of an inner table, sticks out."""
     out: list[str] = []
     rows: list[Node] = []
     for _, child in sorted(_rows(table), key=lambda x: x[0]):
@@ -391,7 +442,7 @@ def _table(table: Node, depth: int) -> list[str]:
     grid = _grid(rows, depth)
     widths = [0] * max((c[1] for cells in grid for c in cells), default=0)
     for first, end, lines in sorted((c for cells in grid for c in cells), key=lambda c: c[1] - c[0]):
-        need = min(max(map(len, lines), default=0), WIDEST) - sum(widths[first:end]) - 3 * (end - first - 1)
+        need = max((len(x) for x in lines if len(x) <= WIDEST), default=min(WIDEST, max(map(len, lines), default=0))) - sum(widths[first:end]) - 3 * (end - first - 1)
         widths[end - 1] += max(0, need)
     for cells in grid:
         own = {c[0]: c for c in cells}
@@ -407,9 +458,6 @@ def _table(table: Node, depth: int) -> list[str]:
     return out
 
 
-WIDEST = 60
-
-
 def render(html: str | None) -> str | None:
     """The visible text of one page."""
     if html is None:

@@ -3,8 +3,8 @@
 Texts are lower-cased and runs of anything but letters become one space. All
 character n-grams (1 to 4) of the whole text are hashed into BUCKETS. A model is
 a matrix of log probabilities, languages by buckets, with add-one smoothing; it
-is broadcast (its size is languages * BUCKETS * 4 bytes, and at most MAX_LANGS
-languages are learned). Priors are the shares of languages among all labelled documents. Scoring is a sparse matrix product: the matrix rows of
+is broadcast (its size is languages * BUCKETS * 4 bytes; more than `most_langs`
+languages are an error, none is left out). Priors are the shares of languages among all labelled documents. Scoring is a sparse matrix product: the matrix rows of
 all n-grams of a batch of texts are gathered and summed for each text.
 
 Training reads at most `max_training_docs` labelled documents of each language
@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import quoted, slices, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-MAX_LANGS = 256
+#: Languages of a model: 128 MB of log probabilities.
+MOST_LANGS = 1_000
 MAX_TRAINING_DOCS = 2_000
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -109,10 +110,12 @@ def score_texts(texts: list[str], log_probs: np.ndarray, priors: np.ndarray) ->
     return out
 
 
-def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_training_docs: int = MAX_TRAINING_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_training_docs: int = MAX_TRAINING_DOCS, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities, log priors. Counts are summed by Spark; the driver gets one number for each language and bucket."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()
+    if len(totals) > most_langs:
+        raise ValueError(f"over {most_langs} languages")
     langs = sorted(x["lang"] for x in totals)
     if not langs:
         return [], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros(0)
@@ -149,8 +152,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_probs, priors = shared.value
-        for batch in slices(batches, text_col):
-            texts = [clean(x) for x in batch.column(text_col).to_pylist()]
+        for batch in slices(batches, "text"):
+            texts = [clean(x) for x in batch.column("text").to_pylist()]
             names, p = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if langs:
                 logs = score_texts(texts, log_probs, priors)
@@ -159,9 +162,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                 for i, text in enumerate(texts):
                     if text:
                         names[i], p[i] = langs[best[i]], float(sure[i])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, type=pa.string()), pa.array(p, type=pa.float64())], [*kept, lang, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(names, type=pa.string()), pa.array(p, type=pa.float64())], [*kept, lang, score])
 
-    return docs.mapInArrow(run, schema)
+    # input columns of any name go in by place
+    return docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, own_columns, word_count
 
 BINS = 1024
 #: Odds of a document grow with this power of its words.
@@ -169,6 +169,6 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float, cap: fl
     """The documents themselves, each as many times as the mix takes it, with their own columns."""
     sized = materialize(sizes(docs), "mix-sizes")
     plan = mix_plan(sized, weights, share, cap, seed)
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("own_weight", odds(F.pow(F.col("size") + 1, F.lit(LENGTH_POWER))))
+    own = docs.select(F.struct(*own_columns(docs)).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("own_weight", odds(F.pow(F.col("size") + 1, F.lit(LENGTH_POWER))))
     rows = with_copies(own, plan, cap, seed).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, own_columns, word_count
 
 GRAIN = 64
 LIGHT_BINS = 4096
@@ -45,8 +45,8 @@ def place_vectors(vectors: np.ndarray, shards: int) -> np.ndarray:
     return placed
 
 
-def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, n_tokens, shard, slot for every document.
+def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, n_tokens, shard, slot for every document, and its whole row as a struct (`row`), if asked for.
 
     Slots are gapless in each shard, in an order that mixes the documents: a
     chunk is made of a hash, rows are numbered in it, and chunk totals (a few
@@ -54,7 +54,7 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), word_count(text).alias("n_tokens"), F.xxhash64(text).alias("group_key")), "shard-rows")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), word_count(text).alias("n_tokens"), F.xxhash64(text).alias("group_key"), *([F.struct(*own_columns(docs)).alias("row")] if carry else [])), "shard-rows")
     measures = ("size", "n_tokens", "n_rows")
     groups = rows.groupBy("group_key").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     total = rows.agg(F.sum("size"), F.sum("n_tokens"), F.count("*")).first()
@@ -77,10 +77,16 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     first = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_slot"))
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32")) - 1)
-    return numbered.join(first, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("first_slot") + F.col("k")).alias("slot"))
+    return numbered.join(first, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("first_slot") + F.col("k")).alias("slot"), *(["row"] if carry else []))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the documents into a folder for each shard, in the order of slots within files."""
-    places = shard_documents(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(places, id_col).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the documents into a folder for each shard (`shard=0`, ...), in the order of `slot` within files.
+
+    Rows go along as they are, so equal and null ids lose and repeat nothing. Input columns named `shard` or `slot` would clash: an error.
+    """
+    clash = {"shard", "slot"} & {x.lower() for x in docs.columns}
+    if clash:
+        raise ValueError(f"columns that shards have themselves: {', '.join(sorted(clash))}")
+    rows = shard_documents(docs, shards, id_col, text_col, carry=True).select("row.*", "shard", "slot")
+    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
