@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duolume.llm.common import materialize, new_path, table
+from duolume.llm.common import materialize, new_path, own_columns, table
 
 #: Ids that are broadcast to drop documents; beyond, the join is a shuffled one.
 MOST_BROADCAST = 2_000_000
@@ -31,7 +31,7 @@ def _small(found: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
     found = _small(found.select("doc_id", "key").distinct())
-    return docs.join(found, _same(docs, found), "left_anti").select(*docs.columns)
+    return docs.join(found, _same(docs, found), "left_anti").select(*own_columns(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     lang, score = (next(x for x in (f"{name}{'_' * k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("lang_pred", "lang_score"))
     known = predict(docs, train(docs), lang=lang, score=score)
-    return known.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    return known.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*own_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
