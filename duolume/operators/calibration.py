@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duolume.sources.archives import combine_variants
+
 from .incremental import KEY, KeyedStore, cache_key
 from .pixels import ALL, fuse_all, haar, inverse_haar
 from .quantiles import aggregate_with_medians
 from .scores import GROUP, MOST_WEIGHT, PROXIES, aggregate_proxies, cap_weights, channel_redundancy, proxies, score_table
 from .stats import interp_column
 from .stored import stored
+from .tables import recalibrate_means
 
 FLOOR = 0.01
 #: Fixed value: preference among kinds of samples that fit as well.
@@ -227,6 +231,37 @@ def evaluate(px: DataFrame, fused: DataFrame, knots: DataFrame, weights: DataFra
     return reduce(lambda a, b: a.join(b, GROUP), parts)
 
 
+def mean_overview(scored: DataFrame, knots: DataFrame, columns: list[str]) -> DataFrame:
+    """The methods' overview, with the latent share of the mean beside the mean of the latent shares.
+
+    The aggregate curve isn't a line, so that means of latent shares can rank methods of
+    unlike spread the wrong way; latent_z_of_mean maps the mean robust score instead, and
+    the calibrated percentages follow from it.
+    """
+    out = methods_overview(scored, "method", columns).withColumn("__a", F.lit(AGGREGATE)).withColumn("__k", F.lit(KINDS[0]))
+    curve = knots.filter((F.col("proxy") == AGGREGATE) & (F.col("stype") == KINDS[0])).select(F.col("proxy").alias("__a"), F.col("knots").alias("__knots"))
+    out = recalibrate_means(out.join(curve, "__a", "left"), F.col("__knots"), "robust_mean", "latent_z_of_mean").drop("__a", "__k", "__knots")
+    return out.withColumns({"cont_lw_calibrated": 100 * F.col("latent_z_of_mean"), "cont_vis_calibrated": 100 - 100 * F.col("latent_z_of_mean")})
+
+
+def evaluate_variants(px: DataFrame, parts: DataFrame, methods: list[str], variants: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]], alphas: list[float], names: list[str] | None = None) -> DataFrame:
+    """End to end under several equalisations: variant, eq_vis, eq_th and the overview of all methods.
+
+    A variant is its two equalisations' names and what makes its pixels. Each is
+    calibrated on its own images of the calibration part (parts: image_id, part) and
+    evaluated on those of the evaluation part; pixels of a variant are stored once.
+    """
+    out = {}
+    for variant, (eq_vis, eq_th, change) in variants.items():
+        own = stored(change(px), f"variant-{variant}")
+        of = lambda part, own=own: own.join(parts.filter(F.col("part") == part).select("image_id"), "image_id")
+        knots, weights = calibrate(of("calibration"), alphas, names)
+        seen = of("evaluation")
+        scored = stored(evaluate(seen, fuse_all(seen, methods), knots, weights, names), "evaluated")
+        out[variant] = (eq_vis, eq_th, mean_overview(scored, knots, [*(names or list(PROXIES)), "robust", "redundancy", "latent_z_alpha_dep", "latent_z"]))
+    return combine_variants(out)
+
+
 #: Changes when scores of the same pixels would.
 SCORES_VERSION = "1"
 

@@ -222,6 +222,17 @@ def q22(spark, d):
     return rounded(C.methods_overview(out, "method", [*S.PROXIES, "robust", "redundancy", "latent_z_alpha_dep", "latent_z"]), "latent_z_mean")
 
 
+VARIANTS = {"plain": ("none", "none", lambda px: px), "expanded": ("none", "expand", P.equalize_expand)}
+
+
+def q22_variants(spark, d):
+    """Three methods by two proxies, as they are and with the thermal channel equalised; both calibrated by themselves."""
+    px = pixels(spark, d)
+    parts = stored(split_calibration(px.select("image_id").distinct(), "image_id", "q22", ratio=0.2), "parts")
+    out = C.evaluate_variants(px, parts, ["rgbt", "visible", "lwir"], VARIANTS, [0.0, 0.5, 1.0], ["reg", "spectral"])
+    return rounded(out.select("variant", "eq_vis", "eq_th", "method", "n", "reg_mean", "spectral_mean", "robust_mean", "latent_z_mean", "latent_z_of_mean", "cont_vis_calibrated"), "reg_mean", "spectral_mean", "robust_mean", "latent_z_mean", "latent_z_of_mean", "cont_vis_calibrated")
+
+
 CAL = f"""cal AS (SELECT s.stype, s.proxy, s.alpha, {interp_sql("s.raw", "knots k WHERE k.stype = s.stype AND k.proxy = s.proxy")} AS c FROM samples s WHERE s.proxy <> 'aggregate'), sg AS (SELECT stype, proxy, alpha, stddev_pop(c) AS sigma FROM cal GROUP BY ALL)"""
 _ROUND = """, c{k} AS (SELECT * REPLACE (CASE WHEN list_sum([greatest(0, x - 0.25) for x in w]) <= 0 OR list_sum([CASE WHEN x > 0.25 THEN 0 ELSE x END for x in w]) <= 0 THEN [least(x, 0.25) for x in w]
   ELSE [CASE WHEN x > 0.25 THEN 0.25 ELSE x + x * list_sum([greatest(0, y - 0.25) for y in w]) / list_sum([CASE WHEN y > 0.25 THEN 0 ELSE y END for y in w]) END for x in w] END AS w) FROM c{j})"""
@@ -245,7 +256,7 @@ PLANS = {
     "q9_prescreen": (q9, None), "q10_similarity": (q10, None), "q11_redundancy": (q11, None), "q12_robust": (q12, Q12), "q13_mixtures": (q13, Q13),
     "q14_isotonic": (q14, f"WITH {KNOTS} SELECT stype, proxy, i::INT AS i, round(kx, 6) AS knot_x, round(ky, 6) AS knot_y FROM knots"),
     "q15_weights": (q15, Q15), "q16_cap_weights": (q16, None), "q17_average_weights": (q17, f"WITH q AS ({EXACT}) SELECT proxy, round(sum(w) / 2, 6) AS w FROM q GROUP BY proxy"),
-    "q18_latent": (q18, None), "q22_evaluate": (q22, None),
+    "q18_latent": (q18, None), "q22_evaluate": (q22, None), "q22_variants": (q22_variants, None),
     "q19_latent": (q19, Q19), "d39_latent": (d39_latent, D39), "d40_at_latent": (d40_latent, D40_LATENT),
     "d39_nodes": (d39, f"WITH {SAMPLES} SELECT stype, proxy, alpha, count(*) AS n, round(median(raw), 6) AS median, round(stddev_pop(raw), 6) AS sigma, round(100 * (1 - alpha), 6) AS ideal FROM samples GROUP BY ALL"),
 }

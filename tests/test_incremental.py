@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,29 @@ def test_keys_and_fingerprints(spark):
     assert fingerprint(wanted) != fingerprint(test_keys_and_fingerprints) and len(fingerprint(len)) == 64
 
 
+def test_variants_end_to_end(spark):
+    """A variant's row equals its own calibration and evaluation; anchors are apart, and the share of the mean is on the aggregate curve."""
+    from duolume.operators import pixels as P
+
+    px = pixels(spark, SF).filter("image_id < 10")
+    parts = px.select("image_id").distinct().withColumn("part", F.when(F.col("image_id") < 3, "calibration").otherwise("evaluation"))
+    names, alphas = ["reg", "spectral"], [0.0, 0.5, 1.0]
+    got = {(x["variant"], x["method"]): x for x in C.evaluate_variants(px, parts, ["rgbt", "visible", "lwir"], {"plain": ("none", "none", lambda x: x), "eq": ("none", "expand", P.equalize_expand)}, alphas, names).collect()}
+    assert set(got) == {(v, m) for v in ("plain", "eq") for m in ("rgbt", "visible", "lwir")} and {x["eq_th"] for x in got.values()} == {"none", "expand"}
+    for variant, own in (("plain", px), ("eq", P.equalize_expand(px))):
+        knots, weights = C.calibrate(own.filter("image_id < 3"), alphas, names)
+        seen = own.filter("image_id >= 3")
+        rows = C.evaluate(seen, P.fuse_all(seen, ["rgbt"]), knots, weights, names).collect()
+        x = got[variant, "rgbt"]
+        assert x["n"] == len(rows) == 7
+        for c in ("reg", "robust", "latent_z"):
+            assert abs(x[f"{c}_mean"] - sum(r[c] for r in rows) / 7) < 1e-9
+        curve = knots.filter("proxy = 'aggregate' and stype = 'blend'").first()["knots"]
+        at = float(np.interp(x["robust_mean"], [k["knot_x"] for k in curve], [k["knot_y"] for k in curve]))
+        assert abs(x["latent_z_of_mean"] - (1 - at)) < 1e-9 and abs(x["cont_vis_calibrated"] - 100 * at) < 1e-7
+        assert got[variant, "visible"]["latent_z_of_mean"] < x["latent_z_of_mean"] < got[variant, "lwir"]["latent_z_of_mean"]
+
+
 def test_scores_and_latent_shares_from_the_store(spark, tmp_path):
     """Stored scores give the same latent shares as a store that was empty; calibration may change without computing scores again."""
     px = pixels(spark, SF).filter("image_id < 6")
