@@ -44,6 +44,89 @@ d AS (SELECT *, sqrt(2 * (pow(f01 - v01, 2) + pow(f02 - v02, 2) + pow(f12 - v12,
 SELECT method, image_id, round(CASE WHEN dv + dt < 1e-8 THEN 50 ELSE 100 * dt / (dv + dt) END, 5) AS value FROM d"""
 
 
+# ---- SQL of the scores by neighbourhoods, histograms and spectra; an image is 8 x 8
+
+
+def pairs_sql(rows, keys):
+    """`pr`: a row for each pixel, channel and source: the fused value and the source's."""
+    return f"pr AS (SELECT {keys}, y, x, unnest([0, 0, 1, 1, 2, 2]) AS ch, unnest(['v', 't', 'v', 't', 'v', 't']) AS source, unnest([f0, f0, f1, f1, f2, f2]) AS f, unnest([v0, t, v1, t, v2, t]) AS o FROM {rows})"
+
+
+def mi_sql(keys):
+    """`mi`: mutual information of each channel and source of `pr`, over 128 x 128 bins."""
+    group = f"{keys}, ch, source"
+    return f"""ce AS (SELECT {group}, least(floor(f * 128), 127) AS i, least(floor(o * 128), 127) AS j, count(*) / 64 AS p FROM pr GROUP BY ALL),
+ma AS (SELECT *, sum(p) OVER (PARTITION BY {group}, i) + 128e-10 AS pi, sum(p) OVER (PARTITION BY {group}, j) + 128e-10 AS pj FROM ce),
+mi AS (SELECT {group}, greatest(0, sum((p + 1e-10) / (1 + 16384e-10) * ln((p + 1e-10) * (1 + 16384e-10) / (pi * pj)))) AS mi FROM ma GROUP BY ALL)"""
+
+
+def ssim_sql(keys):
+    """`si`: mean similarity of `pr` to either source over the pixels with a whole 7 x 7 window, by sample variances."""
+    return f"""cn AS (SELECT {keys}, ch, source, y AS cy, x AS cx FROM pr WHERE y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4),
+st AS (SELECT {keys}, source, avg(f) AS mf, avg(o) AS mo, greatest(0, avg(f * f) - avg(f) * avg(f)) + greatest(0, avg(o * o) - avg(o) * avg(o)) AS va, avg(f * o) - avg(f) * avg(o) AS co FROM cn JOIN pr USING ({keys}, ch, source) WHERE abs(y - cy) <= 3 AND abs(x - cx) <= 3 GROUP BY {keys}, ch, source, cy, cx),
+sm AS (SELECT {keys}, source, (2 * mf * mo + 1e-4) * (2 * 49 / 48 * co + 9e-4) / ((mf * mf + mo * mo + 1e-4) * (49 / 48 * va + 9e-4)) AS s FROM st),
+si AS (SELECT {keys}, avg(CASE source WHEN 'v' THEN s END) AS ssim_v, avg(CASE source WHEN 't' THEN s END) AS ssim_t FROM sm GROUP BY ALL)"""
+
+
+def anchored_sql(delta, visible, thermal):
+    return f"(CASE WHEN abs(({visible}) - ({thermal})) < 1e-8 THEN 50 ELSE greatest(0, least(100, 100 * (({delta}) - ({thermal})) / (({visible}) - ({thermal})))) END)"
+
+
+Q4 = f"""WITH {FUSED}, {pairs_sql("sc", "method, image_id")}, {mi_sql("method, image_id")}, co AS (SELECT method, image_id, {", ".join(f"{c0(f'v{i}', 't')} AS s{i}" for i in range(3))} FROM sc GROUP BY ALL),
+sh AS (SELECT method, image_id, unnest([0, 1, 2]) AS ch, unnest([abs(s0), abs(s1), abs(s2)]) AS shared FROM co), bo AS (SELECT method, image_id, ch, max(CASE source WHEN 'v' THEN mi END) AS fv, max(CASE source WHEN 't' THEN mi END) AS ft FROM mi GROUP BY ALL),
+d AS (SELECT method, image_id, greatest(0, fv - shared * least(fv, ft)) AS a, greatest(0, ft - shared * least(fv, ft)) AS b FROM bo JOIN sh USING (method, image_id, ch))
+SELECT method, image_id, round(avg(CASE WHEN a + b < 1e-8 THEN 50 ELSE 100 * a / (a + b) END), 5) AS value FROM d GROUP BY ALL"""
+
+Q5 = f"""WITH {FUSED}, {pairs_sql("sc", "method, image_id")}, {ssim_sql("method, image_id")} SELECT method, image_id, round(100 / (1 + exp(-5 * (ssim_v - ssim_t))), 5) AS value FROM si"""
+
+GREY = "gr AS (SELECT method, image_id, y, x, (f0 + f1 + f2) / 3 AS f, (v0 + v1 + v2) / 3 AS v, t FROM sc)"
+
+
+def _agree(a, b):
+    return "1.0" if a == b else f"(u{a} * u{b} + n{a} * n{b} + 1) / 2"
+
+
+def _turn(a, b, by):
+    return f"coalesce(sum({_agree(a, b)} * w{by}) / nullif(sum(w{by}), 0), 0)"
+
+
+_SIZE = anchored_sql(*(f"{c0(f'm{k}', 'mv')} - {c0(f'm{k}', 'mt')}" for k in "fvt"))
+_TURN = anchored_sql(*(f"{_turn(k, 'v', k)} - {_turn(k, 't', k)}" for k in "fvt"))
+Q6 = f"""WITH {FUSED}, {GREY}, ofs AS (SELECT dy, dx, dx * (2 - abs(dy)) AS wx, dy * (2 - abs(dx)) AS wy FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
+ne AS (SELECT method, image_id, y, x, wx, wy, CASE WHEN y + dy < 0 THEN 1 WHEN y + dy > 7 THEN 6 ELSE y + dy END AS qy, CASE WHEN x + dx < 0 THEN 1 WHEN x + dx > 7 THEN 6 ELSE x + dx END AS qx FROM gr, ofs),
+so AS (SELECT ne.method, ne.image_id, ne.y, ne.x, {", ".join(f"sum(wx * {k}) AS x{k}, sum(wy * {k}) AS y{k}" for k in "fvt")} FROM ne JOIN gr ON gr.method = ne.method AND gr.image_id = ne.image_id AND gr.y = qy AND gr.x = qx GROUP BY ALL),
+le AS (SELECT *, {", ".join(f"sqrt(x{k} * x{k} + y{k} * y{k}) AS m{k}" for k in "fvt")} FROM so), me AS (SELECT method, image_id, {", ".join(f"avg(m{k}) AS mean_{k}" for k in "fvt")} FROM le GROUP BY ALL),
+un AS (SELECT le.*, {", ".join(f"CASE WHEN m{k} < 1e-9 THEN 1 ELSE x{k} / m{k} END AS u{k}, CASE WHEN m{k} < 1e-9 THEN 0 ELSE y{k} / m{k} END AS n{k}, CASE WHEN mean_{k} > 1e-12 THEN greatest(0, least(10, m{k} / mean_{k})) ELSE 0 END AS w{k}" for k in "fvt")} FROM le JOIN me USING (method, image_id))
+SELECT method, image_id, round(0.5 * {_SIZE} + 0.5 * {_TURN}, 5) AS value FROM un GROUP BY ALL"""
+
+Q8 = f"""WITH {FUSED}, {GREY}, wv AS (SELECT u, v AS k FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS v)), an AS (SELECT gr.*, u, k, 2 * pi() * ((u * y + k * x) % 8) / 8 AS w FROM gr, wv),
+re AS (SELECT method, image_id, u, k, {", ".join(f"ln(1 + sqrt(pow(sum({c} * cos(w)), 2) + pow(sum({c} * sin(w)), 2))) AS {c}" for c in "fvt")} FROM an GROUP BY ALL),
+co AS (SELECT method, image_id, {", ".join(f"{c0(a, b)} AS {a}{b}" for a, b in ("fv", "ft", "vt"))} FROM re GROUP BY ALL)
+SELECT method, image_id, round({anchored_sql("fv - ft", "1 - vt", "vt - 1")}, 5) AS value FROM co"""
+
+_ORDERS = ["0,1,2", "0,2,1", "1,0,2", "1,2,0", "2,0,1", "2,1,0"]
+
+
+def orders_sql(methods):
+    """`ko`: the kept orders of the fused channels, best first."""
+    return f"""rr AS (SELECT method, image_id, {", ".join(f"{c0(f'f{i}', f'v{j}')} AS r{i}{j}" for i in range(3) for j in range(3))} FROM sc WHERE method IN ({methods}) GROUP BY ALL),
+ors AS (SELECT method, image_id, unnest({_ORDERS}) AS channels, unnest([{", ".join(" + ".join(f"r{p}{j}" for j, p in enumerate(o.split(","))) for o in _ORDERS)}]) AS score FROM rr),
+pl AS (SELECT *, row_number() OVER (PARTITION BY method, image_id ORDER BY score DESC, channels) AS place, max(score) OVER (PARTITION BY method, image_id) AS best FROM ors),
+ko AS (SELECT method, image_id, place, channels, score FROM pl WHERE place = 1 OR place = 2 AND best - score >= 0.01)"""
+
+
+Q9 = f"""WITH {FUSED}, {orders_sql("'rgbt', 'rgbt_v2'")} SELECT method, image_id, round(score, 6) AS score, channels FROM ko"""
+
+_OWN = "method, image_id, place"
+_SPEARMAN = ", ".join(f"CASE WHEN stddev_pop(f) < 1e-12 OR stddev_pop({k}) < 1e-12 THEN 0 ELSE corr(rank_f, rank_{k}) END AS spearman_{k}" for k in "vt")
+Q10 = f"""WITH {FUSED}, {orders_sql("'rgbt'")}, tu AS (SELECT {_OWN}, y, x, v0, v1, v2, t, {", ".join(f"[f0, f1, f2][1 + split_part(channels, ',', {i + 1})::INT] AS f{i}" for i in range(3))} FROM sc JOIN ko USING (method, image_id)),
+fl AS (SELECT {_OWN}, y, x, t, unnest([0, 1, 2]) AS ch, unnest([f0, f1, f2]) AS f, unnest([v0, v1, v2]) AS v FROM tu), ra AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY {_OWN} ORDER BY {k}, y, x, ch) AS rank_{k}" for k in "fvt")} FROM fl),
+ag AS (SELECT {_OWN}, {", ".join(f"{c0('f', k)} AS pearson_{k}, sqrt(avg(pow(f - {k}, 2))) AS rmse_{k}" for k in "vt")}, {_SPEARMAN} FROM ra GROUP BY ALL),
+{pairs_sql("tu", _OWN)}, {mi_sql(_OWN)}, {ssim_sql(_OWN)}, mo AS (SELECT {_OWN}, {", ".join(f"avg(CASE source WHEN '{k}' THEN mi END) AS mi_{k}" for k in "vt")} FROM mi GROUP BY ALL)
+SELECT method, image_id, {", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for m in ("pearson", "spearman", "mi", "rmse", "ssim") for k in "vt")} FROM ag JOIN mo USING ({_OWN}) JOIN si USING ({_OWN}) GROUP BY ALL"""
+
+
+
 def q1(spark, d):
     return rounded(scored(spark, d).groupBy("method", "image_id").agg(*[F.sum(c).alias(c) for c in S.CHANNELS]), *S.CHANNELS)
 
@@ -252,8 +335,8 @@ EVALUATED = ["rgbt", "rgbt_v2", "visible", "lwir", "hsvt", "wavelet", "pca"]
 
 PLANS = {
     "q1_normalize": (q1, f"WITH {FUSED} SELECT method, image_id, " + ", ".join(f"round(sum({c}), 6) AS {c}" for c in S.CHANNELS) + " FROM sc GROUP BY ALL"),
-    "q2_reg": (proxy("reg"), REG), "q3_mutual_info": (q3, Q3), "q4_mi": (proxy("mi"), None), "q5_ssim": (proxy("ssim"), None), "q6_grad": (proxy("grad"), None), "q7_spectral": (proxy("spectral"), SPECTRAL), "q8_freq": (proxy("freq"), None),
-    "q9_prescreen": (q9, None), "q10_similarity": (q10, None), "q11_redundancy": (q11, None), "q12_robust": (q12, Q12), "q13_mixtures": (q13, Q13),
+    "q2_reg": (proxy("reg"), REG), "q3_mutual_info": (q3, Q3), "q4_mi": (proxy("mi"), Q4), "q5_ssim": (proxy("ssim"), Q5), "q6_grad": (proxy("grad"), Q6), "q7_spectral": (proxy("spectral"), SPECTRAL), "q8_freq": (proxy("freq"), Q8),
+    "q9_prescreen": (q9, Q9), "q10_similarity": (q10, Q10), "q11_redundancy": (q11, None), "q12_robust": (q12, Q12), "q13_mixtures": (q13, Q13),
     "q14_isotonic": (q14, f"WITH {KNOTS} SELECT stype, proxy, i::INT AS i, round(kx, 6) AS knot_x, round(ky, 6) AS knot_y FROM knots"),
     "q15_weights": (q15, Q15), "q16_cap_weights": (q16, None), "q17_average_weights": (q17, f"WITH q AS ({EXACT}) SELECT proxy, round(sum(w) / 2, 6) AS w FROM q GROUP BY proxy"),
     "q18_latent": (q18, None), "q22_evaluate": (q22, None), "q22_variants": (q22_variants, None),
