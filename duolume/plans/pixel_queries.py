@@ -218,6 +218,55 @@ def clahe(spark, d):
     return P.clahe(pixels(spark, d), 8, 8, tiles=2).groupBy("image_id").agg(F.round(F.avg("t"), 4).alias("t"), F.count("*").alias("n"))
 
 
+def stretched_sql(rows):
+    """Sums of three channels, stretched with their image to bytes."""
+    return f"f AS ({rows}), e AS (SELECT image_id, min(least(c0, c1, c2)) AS lo, max(greatest(c0, c1, c2)) AS hi FROM f GROUP BY image_id) " + sums_sql(
+        "SELECT f.image_id, y, x, " + ", ".join(f"CASE WHEN hi - lo <= 1e-8 THEN 0 ELSE floor(255 * ((c{i} - lo) / (hi - lo))) END AS c{i}" for i in range(3)) + " FROM f JOIN e USING (image_id)"
+    )
+
+
+_P, _Q, _T = "(v * (1 - s / 255))", "(v * (1 - s / 255 * f))", "(v * (1 - s / 255 * (1 - f)))"
+HSVT = f"""WITH {HSV}, h1 AS (SELECT image_id, y, x, s, (floor(deg / 2 + 0.5) % 180) / 30 AS part, floor(255 * (hi + t) / 510) AS v FROM hs), h2 AS (SELECT *, floor(part) % 6 AS i, part - floor(part) AS f FROM h1)
+""" + sums_sql("SELECT image_id, y, x, " + ", ".join(f"floor(CASE i {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(six))} END + 0.5) AS c{n}" for n, six in enumerate(((_P, _P, _T, "v", "v", _Q), (_T, "v", "v", _Q, _P, _P), ("v", _Q, _P, _P, _T, "v")))) + " FROM h2")
+
+WAVELET_MAX = f"""WITH {HAAR}, mt AS (SELECT image_id, max(t) AS most FROM px GROUP BY 1), hw AS (SELECT ha.*, CASE WHEN most > 0 THEN t_a / 2 / most ELSE 0 END AS w FROM ha JOIN mt USING (image_id)),
+m AS (SELECT image_id, v, u, {", ".join(f"(1 - w) * {c}_a + w * t_a AS {c}_a, " + ", ".join(f"CASE WHEN abs({c}_{k}) > abs(t_{k}) THEN {c}_{k} ELSE t_{k} END AS {c}_{k}" for k in "hvd") for c in "bgr")} FROM hw),
+""" + stretched_sql(f"""SELECT image_id, 2 * v + i AS y, 2 * u + j AS x, {", ".join(f"({c}_a + (1 - 2 * i) * {c}_h + (1 - 2 * j) * {c}_v + (1 - 2 * i) * (1 - 2 * j) * {c}_d) / 2 AS c{n}" for n, c in enumerate("bgr"))} FROM m, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)""")
+
+ALPHA_PCA = f"""WITH {PIXELS}, gy AS (SELECT *, 0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r AS grey FROM px), mo AS (SELECT image_id, var_pop(grey) AS p, covar_pop(grey, t) AS q, var_pop(t) AS s FROM gy GROUP BY 1),
+ve AS (SELECT image_id, CASE WHEN abs(q) < 1e-12 THEN (p >= s)::DOUBLE ELSE abs((p + s) / 2 + sqrt(pow((p - s) / 2, 2) + q * q) - s) END AS v1, CASE WHEN abs(q) < 1e-12 THEN (p < s)::DOUBLE ELSE abs(q) END AS v2 FROM mo),
+mi AS (SELECT gy.*, (v1 * grey + v2 * t) / sqrt(v1 * v1 + v2 * v2) AS mixed FROM gy JOIN ve USING (image_id))
+""" + sums_sql("SELECT image_id, y, x, " + ", ".join(f"floor(greatest(0, least(255, CASE WHEN grey > 0 THEN {c} / grey * mixed ELSE mixed END))) AS c{i}" for i, c in enumerate("bgr")) + " FROM mi")
+
+KERNEL = f"kw AS (SELECT unnest(range(17)) - 8 AS o, unnest([{', '.join(map(repr, W2))}])::DOUBLE AS w)"
+
+
+def _line_sql(rows, axis, other):
+    near = f"CASE WHEN a.{axis} + o < 0 THEN -1 - (a.{axis} + o) WHEN a.{axis} + o > 7 THEN 15 - (a.{axis} + o) ELSE a.{axis} + o END"
+    return f"SELECT a.image_id, a.ch, a.y, a.x, sum(q.m * w) AS m FROM (SELECT a.*, w, {near} AS near FROM {rows} a, kw) a JOIN {rows} q ON q.image_id = a.image_id AND q.ch = a.ch AND q.{other} = a.{other} AND q.{axis} = near GROUP BY ALL"
+
+
+def unit_sql(rows):
+    """A mask by channel (image_id, ch, y, x, m) stretched to 0..1 by image; without range it is 0."""
+    return f"SELECT r.image_id, r.ch, y, x, CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (m - lo) / (hi - lo) END AS m FROM {rows} r JOIN (SELECT image_id, ch, min(m) AS lo, max(m) AS hi FROM {rows} GROUP BY ALL) USING (image_id, ch)"
+
+
+def mask_sql(rows):
+    """`mk`: a mask by channel, blurred and stretched."""
+    return f"{KERNEL}, bx AS ({_line_sql(rows, 'x', 'y')}), bl AS ({_line_sql('bx', 'y', 'x')}), mk AS ({unit_sql('bl')})"
+
+
+_C1, _C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+SSIM_MASK = f"""{PIXELS}, wi AS (SELECT p.image_id, p.y, p.x, {", ".join(f"avg(q.{c}) AS a{c}, greatest(0, avg(q.{c} * q.{c}) - avg(q.{c}) * avg(q.{c})) AS v{c}" for c in "bgrt")}, {", ".join(f"avg(q.{c} * q.t) - avg(q.{c}) * avg(q.t) AS k{c}" for c in "bgr")}
+  FROM px p JOIN px q ON p.image_id = q.image_id WHERE abs(p.y - q.y) <= 5 AND abs(p.x - q.x) <= 5 GROUP BY ALL),
+ms AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS ch, unnest([{", ".join(f'(2 * a{c} * "at" + {_C1!r}) * (2 * k{c} + {_C2!r}) / ((a{c} * a{c} + "at" * "at" + {_C1!r}) * (v{c} + vt + {_C2!r}))' for c in "bgr")}]) AS m FROM wi),
+{mask_sql("ms")}, mm AS (SELECT image_id, y, x, {", ".join(f"max(CASE ch WHEN {i} THEN m END) AS m{i}" for i in range(3))} FROM mk GROUP BY ALL)"""
+SSIM = f"WITH {SSIM_MASK}, " + stretched_sql("SELECT px.image_id, px.y, px.x, " + ", ".join(f"(1 - m{i}) * {c} + m{i} * t AS c{i}" for i, c in enumerate("bgr")) + " FROM px JOIN mm USING (image_id, y, x)")
+SSIM_V2 = f"WITH {SSIM_MASK}, " + stretched_sql("SELECT px.image_id, px.y, px.x, " + ", ".join(f"m{i} * {c} + (1 - m{i}) * t AS c{i}" for i, c in enumerate("bgr")) + " FROM px JOIN mm USING (image_id, y, x)")
+SUPERPIXEL = f"""WITH {PIXELS}, sg AS (SELECT image_id, y // 4 AS sy, x // 4 AS sx, (stddev_pop(b) + stddev_pop(g) + stddev_pop(r)) / 3 - stddev_pop(t) AS d FROM px GROUP BY ALL), rw AS (SELECT image_id, 0 AS ch, y, x, 1 / (1 + exp(-d)) AS m FROM px JOIN sg USING (image_id) WHERE y // 4 = sy AND x // 4 = sx),
+un AS ({unit_sql("rw")}), {mask_sql("un")}, """ + stretched_sql("SELECT px.image_id, px.y, px.x, " + ", ".join(f"m * {c} + (1 - m) * t AS c{i}" for i, c in enumerate("bgr")) + " FROM px JOIN mk USING (image_id, y, x)")
+
+
 PLANS = {
     "p1_norm255": (p1, P1),
     **{f"p_{m}": (fused(m), f"WITH {PIXELS} " + sums_sql(f"SELECT image_id, y, x, {c} FROM px")) for m, c in SIMPLE.items()},
@@ -226,7 +275,8 @@ PLANS = {
     "p_vths_v3": (fused("vths_v3"), f"WITH {HSV} " + sums_sql("SELECT image_id, y, x, hi AS c0, t AS c1, floor(255 * ((floor(deg * 256 / 360 + 0.5) % 256) + s) / 510) AS c2 FROM hs")),
     "p25_prepare_channels": (p25, f"WITH {PIXELS} " + sums_sql(f"SELECT image_id, y, x, {V} AS c0, t AS c1, ({V} + t) / 2 AS c2 FROM px")),
     "p16_wavelet": (fused("wavelet"), WAVELET), "p19_sobel_weighted": (sobel_weighted, SOBEL_W),
-    **{f"p_{m}": (fused(m), None) for m in ("hsvt", "pca", "fa", "fa_patches", "pca_full", "pca_std", "pca_1ch", "hsvt_pca", "alpha_pca", "wavelet_max", "ssim", "ssim_v2", "superpixel")},
+    **{f"p_{m}": (fused(m), None) for m in ("pca", "fa", "fa_patches", "pca_full", "pca_std", "pca_1ch", "hsvt_pca")},
+    "p_hsvt": (fused("hsvt"), HSVT), "p_alpha_pca": (fused("alpha_pca"), ALPHA_PCA), "p_wavelet_max": (fused("wavelet_max"), WAVELET_MAX), "p_ssim": (fused("ssim"), SSIM), "p_ssim_v2": (fused("ssim_v2"), SSIM_V2), "p_superpixel": (fused("superpixel"), SUPERPIXEL),
     "p21_clahe": (clahe, P21), "p21_clahe_color": (clahe_color, P21_COLOR), "p24_warp_bilinear": (p24_bilinear, P24_BILINEAR), "p22_equalize_expand": (p22, P22),
     "p23_bad_images": (p23, f"WITH {PIXELS} SELECT DISTINCT image_id, CASE WHEN image_id % 7 = 0 THEN 0.0 ELSE 255.0 END::DOUBLE AS low, CASE WHEN image_id % 7 = 0 THEN 0.0 ELSE 255.0 END::DOUBLE AS high FROM px WHERE image_id % 7 = 0 OR image_id % 11 = 0"),
     "p24_warp": (p24, P24), "p26_fuse_all": (fuse_all, None),
@@ -239,3 +289,8 @@ PLANS = {
     "d32_contrast_sharpness": (d32, f"WITH {SOBEL}, c AS (SELECT image_id, stddev_pop(t) AS c FROM px GROUP BY 1) SELECT image_id, round(any_value(c), 6) AS contrast_t, round(100 * avg(gx * gx + gy * gy) / 65025, 6) AS sharpness_t FROM so JOIN c USING (image_id) GROUP BY image_id"),
     "d34_heatmap": (d34, D34),
 }
+
+# one row for each method: what its own query sums up
+PLANS["p26_fuse_all"] = (fuse_all, " UNION ALL ".join(f"SELECT '{m}' AS method, sum(n)::BIGINT AS n, round(sum(s0), 4) AS c0, NULL::VARCHAR AS error FROM ({PLANS[p][1]})" for m, p in
+    {"rgbt": "p_rgbt", "rgbt_v2": "p_rgbt_v2", "vt": "p_vt", "vths": "p_vths", "vths_v3": "p_vths_v3", "hsvt": "p_hsvt", "4ch": "p_4ch_visible", "wavelet": "p16_wavelet"}.items()
+) + " UNION ALL SELECT 'no_such_method', 0, NULL, 'unknown method'")

@@ -330,16 +330,65 @@ D40_LATENT = f"""WITH {ALL_KNOTS}, {CAL}, me AS (SELECT user_id AS method, event
 lz AS (SELECT method, 1 - {interp_sql("rw2.raw", "knots k WHERE k.stype = 'blend' AND k.proxy = 'aggregate'")} AS z FROM rw2), gl AS (SELECT proxy, avg(sigma) AS g FROM sg WHERE stype = 'blend' GROUP BY 1)
 SELECT me.method, me.proxy, round(z, 6) AS latent_z, round(me.sigma, 6) AS sigma_empirical, round(g, 6) AS sigma_calibration_global,
   round({interp_sql("lz.z", "(SELECT alpha AS kx, sigma AS ky FROM sg WHERE sg.stype = 'blend' AND sg.proxy = me.proxy) k")}, 6) AS sigma_calibration_at_latent_z FROM me JOIN lz USING (method) LEFT JOIN gl USING (proxy)"""
+
+_SHARES = f"""w0 AS (SELECT stype, proxy, 1 / greatest(avg(sigma), 0.01) AS w FROM sg GROUP BY ALL), wt AS (SELECT stype, proxy, w / sum(w) OVER (PARTITION BY stype) AS w FROM w0), aw AS (SELECT proxy, sum(w) / (SELECT count(DISTINCT stype) FROM wt) AS w FROM wt GROUP BY proxy)"""
+Q16 = f"""WITH b AS (SELECT p_partkey, [(p_size * k % 17 + 0.5)::DOUBLE for k in [1, 3, 5, 7, 11, 13]] AS w FROM part), c0 AS (SELECT p_partkey, [x / list_sum(w) for x in w] AS w FROM b){"".join(_ROUND.format(j=j, k=j + 1) for j in range(6))}
+SELECT p_partkey, round(list_max(w) / list_sum(w), 6) AS most, round(list_sum([x / list_sum(w) for x in w]), 6) AS "sum" FROM c6"""
+
+
+def _dependent_sql(i):
+    """Round i of weights by the deviation at the last estimate."""
+    at = interp_sql("u.z", "(SELECT alpha AS kx, greatest(sigma, 0.01) AS ky FROM sg WHERE sg.stype = u.stype AND sg.proxy = u.proxy) k")
+    return f""", i{i} AS (SELECT user_id, list(1 / s ORDER BY proxy) AS w FROM (SELECT user_id, proxy, {at} AS s FROM (SELECT user_id, stype, proxy, z FROM d{i - 1} JOIN vc USING (user_id, stype)) u) GROUP BY 1),
+c{i}_0 AS (SELECT user_id, [x / list_sum(w) for x in w] AS w FROM i{i}){"".join(_ROUND.format(j=f"{i}_{j}", k=f"{i}_{j + 1}") for j in range(6))},
+n{i} AS (SELECT d{i - 1}.*, 1 - list_inner_product(c, w) / list_sum(w) AS now FROM d{i - 1} JOIN c{i}_6 USING (user_id)),
+d{i} AS MATERIALIZED (SELECT user_id, stype, c, CASE WHEN converged THEN z ELSE now END AS z, iterations + (NOT converged)::INT AS iterations, converged OR abs(now - z) < 1e-3 AS converged FROM n{i})"""
+
+
+Q18 = f"""WITH {KNOTS}, {CAL}, {_SHARES}, va AS (SELECT user_id, event_type AS proxy, avg(value) AS value FROM events GROUP BY ALL),
+vc AS MATERIALIZED (SELECT user_id, va.proxy, wt.stype, wt.w, {interp_sql("va.value", "knots k WHERE k.stype = wt.stype AND k.proxy = va.proxy")} AS c FROM va JOIN wt USING (proxy)),
+sp AS (SELECT user_id, stype, round(sqrt(greatest(0, sum(w * c * c) / sum(w) - pow(sum(w * c) / sum(w), 2))), 12) AS spread FROM vc GROUP BY ALL), ch AS (SELECT user_id, arg_min(stype, (spread, stype)) AS stype FROM sp GROUP BY 1),
+b0 AS (SELECT user_id, stype, list(c ORDER BY proxy) AS c, list(aw.w ORDER BY proxy) AS w FROM vc JOIN ch USING (user_id, stype) JOIN aw USING (proxy) GROUP BY ALL), c0 AS (SELECT * REPLACE ([x / list_sum(w) for x in w] AS w) FROM b0){"".join(_ROUND.format(j=j, k=j + 1) for j in range(6))},
+lz AS (SELECT user_id, 1 - list_inner_product(c, w) / list_sum(w) AS latent_z FROM c6), d0 AS MATERIALIZED (SELECT user_id, stype, c, 1 - list_sum(c) / len(c) AS z, 0 AS iterations, false AS converged FROM b0){"".join(_dependent_sql(i) for i in range(1, 5))}
+SELECT user_id, stype, round(latent_z, 6) AS latent_z, round(z, 6) AS latent_z_alpha_dep, iterations, converged FROM d4 JOIN lz USING (user_id)"""
+
+_PAIRS = ("01", "12", "02")
+
+
+def _mean3(p):
+    return "(" + " + ".join(f"{p}{k}" for k in _PAIRS) + ") / 3"
+
+
+def _trust(spread):
+    return f"greatest(0.15, least(1, 1 - ({spread}) / 0.25))"
+
+
+def _spread3(p):
+    return "sqrt((" + " + ".join(f"pow({p}{k} - {_mean3(p)}, 2)" for k in _PAIRS) + ") / 3)"
+
+
+_WEIGHTED = {"pearson": "tp", "spearman": "ts", "tiles": "tt", "rank": "tr"}
+Q11 = f"""WITH {FUSED}, rk AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY method, image_id ORDER BY f{i}, y, x) AS k{i}" for i in range(3))} FROM sc),
+m AS (SELECT method, image_id, {", ".join(f"abs({c0(f'f{a}', f'f{b}')}) AS r{a}{b}, abs(CASE WHEN stddev_pop(f{a}) < 1e-12 OR stddev_pop(f{b}) < 1e-12 THEN 0 ELSE corr(k{a}, k{b}) END) AS s{a}{b}" for a, b in _PAIRS)}, {", ".join(f"covar_samp(f{i}, f{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))} FROM rk GROUP BY ALL),
+ti AS (SELECT method, image_id, y // 2 AS ty, x // 2 AS tx, ({" + ".join(f"abs({c0(f'f{a}', f'f{b}')})" for a, b in _PAIRS)}) / 3 AS score FROM sc GROUP BY ALL), tm AS (SELECT method, image_id, median(score) AS tiles, stddev_pop(score) AS tile_std FROM ti GROUP BY ALL),
+e1 AS (SELECT *, (c00 + c11 + c22) / 3 AS q, c01 * c01 + c02 * c02 + c12 * c12 AS off FROM m JOIN tm USING (method, image_id)), e2 AS (SELECT *, sqrt(greatest(1e-300, (pow(c00 - q, 2) + pow(c11 - q, 2) + pow(c22 - q, 2) + 2 * off) / 6)) AS p FROM e1),
+e3 AS (SELECT *, (c00 - q) / p AS ex, (c11 - q) / p AS ey, (c22 - q) / p AS ez, c01 / p AS eu, c02 / p AS ev, c12 / p AS ew FROM e2), e4 AS (SELECT *, acos(greatest(-1, least(1, (ex * (ey * ez - ew * ew) - eu * (eu * ez - ew * ev) + ev * (eu * ew - ey * ev)) / 2))) / 3 AS phi FROM e3),
+e5 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM e4), e6 AS (SELECT *, [greatest(0, l1), greatest(0, 3 * q - l1 - l3), greatest(0, l3)] AS l FROM e5),
+e7 AS (SELECT *, list_sum(l) AS trace, -list_sum([CASE WHEN x / list_sum(l) > 1e-12 THEN x / list_sum(l) * ln(x / list_sum(l)) ELSE 0 END for x in l]) AS entropy FROM e6),
+pa AS (SELECT method, image_id, {_mean3("r")} AS pearson, {_mean3("s")} AS spearman, tiles, CASE WHEN trace <= 1e-12 THEN 1 ELSE greatest(0, least(1, (3 - exp(entropy)) / 2)) END AS rank,
+  {S.PRIORS["pearson"]} * {_trust(_spread3("r"))} AS tp, {S.PRIORS["spearman"]} * {_trust(_spread3("s"))} AS ts, {S.PRIORS["tiles"]} * {_trust("tile_std")} AS tt, {S.PRIORS["rank"]} * greatest(0.2, least(1, len([x for x in l if x > 1e-10]) / 3)) AS tr FROM e7)
+SELECT method, image_id, {", ".join(f"round({k}, 6) AS {k}" for k in S.PRIORS)}, round(greatest(0, least(1, ({" + ".join(f"{w} * {k}" for k, w in _WEIGHTED.items())}) / ({" + ".join(_WEIGHTED.values())}))), 6) AS redundancy FROM pa"""
+
 EVALUATED = ["rgbt", "rgbt_v2", "visible", "lwir", "hsvt", "wavelet", "pca"]
 
 
 PLANS = {
     "q1_normalize": (q1, f"WITH {FUSED} SELECT method, image_id, " + ", ".join(f"round(sum({c}), 6) AS {c}" for c in S.CHANNELS) + " FROM sc GROUP BY ALL"),
     "q2_reg": (proxy("reg"), REG), "q3_mutual_info": (q3, Q3), "q4_mi": (proxy("mi"), Q4), "q5_ssim": (proxy("ssim"), Q5), "q6_grad": (proxy("grad"), Q6), "q7_spectral": (proxy("spectral"), SPECTRAL), "q8_freq": (proxy("freq"), Q8),
-    "q9_prescreen": (q9, Q9), "q10_similarity": (q10, Q10), "q11_redundancy": (q11, None), "q12_robust": (q12, Q12), "q13_mixtures": (q13, Q13),
+    "q9_prescreen": (q9, Q9), "q10_similarity": (q10, Q10), "q11_redundancy": (q11, Q11), "q12_robust": (q12, Q12), "q13_mixtures": (q13, Q13),
     "q14_isotonic": (q14, f"WITH {KNOTS} SELECT stype, proxy, i::INT AS i, round(kx, 6) AS knot_x, round(ky, 6) AS knot_y FROM knots"),
-    "q15_weights": (q15, Q15), "q16_cap_weights": (q16, None), "q17_average_weights": (q17, f"WITH q AS ({EXACT}) SELECT proxy, round(sum(w) / 2, 6) AS w FROM q GROUP BY proxy"),
-    "q18_latent": (q18, None), "q22_evaluate": (q22, None), "q22_variants": (q22_variants, None),
+    "q15_weights": (q15, Q15), "q16_cap_weights": (q16, Q16), "q17_average_weights": (q17, f"WITH q AS ({EXACT}) SELECT proxy, round(sum(w) / 2, 6) AS w FROM q GROUP BY proxy"),
+    "q18_latent": (q18, Q18), "q22_evaluate": (q22, None), "q22_variants": (q22_variants, None),
     "q19_latent": (q19, Q19), "d39_latent": (d39_latent, D39), "d40_at_latent": (d40_latent, D40_LATENT),
     "d39_nodes": (d39, f"WITH {SAMPLES} SELECT stype, proxy, alpha, count(*) AS n, round(median(raw), 6) AS median, round(stddev_pop(raw), 6) AS sigma, round(100 * (1 - alpha), 6) AS ideal FROM samples GROUP BY ALL"),
 }
