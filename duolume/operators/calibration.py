@@ -164,16 +164,18 @@ def apply_alpha_dep(cal: DataFrame, chosen: DataFrame, sigmas: DataFrame, keys:
     """Weights that depend on the share itself: up to four rounds of w = 1 / sigma at the last estimate, capped."""
     rows = cal.join(chosen.select(*keys, "stype"), [*keys, "stype"]).join(sigmas.select("stype", "proxy", "sigmas"), ["stype", "proxy"])
     packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("proxy", "cal", "sigmas"))).alias("p"))
-    packed = packed.withColumn("trace", F.array(1 - F.aggregate("p", F.lit(0.0), lambda s, x: s + x["cal"]) / F.size("p"))).withColumns({"iterations": F.lit(0), "converged": F.lit(False)})
-    for _ in range(rounds):
-        last = F.element_at("trace", -1)
-        w = cap_weights(F.transform("p", lambda x: 1 / interp_column(x["sigmas"], F.element_at("trace", -1))), MOST_WEIGHT)
-        packed = packed.withColumn("__w", w)
-        now = 1 - F.aggregate(F.zip_with("p", "__w", lambda a, b: a["cal"] * b), F.lit(0.0), lambda s, x: s + x)
-        packed = packed.withColumn("__n", now)
-        go = ~F.col("converged")
-        packed = packed.withColumns({"iterations": F.col("iterations") + go.cast("int"), "trace": F.when(go, F.concat("trace", F.array("__n"))).otherwise(F.col("trace")), "converged": F.col("converged") | (go & (F.abs(F.col("__n") - last) < tolerance))})
-    return packed.select(*keys, F.element_at("trace", -1).alias("latent_z_alpha_dep"), "trace", "iterations", "converged")
+    first = F.struct(F.array(1 - F.aggregate("p", F.lit(0.0), lambda s, x: s + x["cal"]) / F.size("p")).alias("trace"), F.lit(0).alias("iterations"), F.lit(False).alias("converged"))
+
+    def step(state: Column) -> Column:
+        last = F.element_at(state["trace"], -1)
+        w = cap_weights(F.transform("p", lambda x: 1 / interp_column(x["sigmas"], last)), MOST_WEIGHT)
+        now = 1 - F.aggregate(F.zip_with("p", w, lambda a, b: a["cal"] * b), F.lit(0.0), lambda s, x: s + x)
+        entered = F.transform(F.array(now), lambda n: F.struct(F.concat(state["trace"], F.array(n)).alias("trace"), (state["iterations"] + 1).alias("iterations"), F.coalesce(F.abs(n - last) < tolerance, F.lit(False)).alias("converged")))
+        return F.get(entered, 0)
+
+    # one loop over the rounds: the plan is as small for four as for one
+    state = F.aggregate(F.array_repeat(F.lit(0), rounds), first, lambda s, _: F.when(s["converged"], s).otherwise(step(s)))
+    return packed.select(*keys, state.alias("__s")).select(*keys, F.element_at("__s.trace", -1).alias("latent_z_alpha_dep"), *[F.col(f"__s.{c}").alias(c) for c in ("trace", "iterations", "converged")])
 
 
 def calibration_nodes(samples: DataFrame, keys: list[str], knots: DataFrame | None = None) -> DataFrame:

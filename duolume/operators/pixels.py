@@ -71,14 +71,23 @@ def rgbt_alpha(low: float = 0.2, high: float = 0.8, gamma: float = 1.0) -> Calla
     return lambda: [trunc((1 - alpha) * _c(c) + alpha * _c("t")) for c in BGR]
 
 
+#: Hue (both ranges) and saturation as columns: methods name them many times, and an expression is repeated wherever it is named.
+HUE, HUE_FULL, SATURATION = "__hue", "__hue_full", "__saturation"
+
+
+def with_hsv(px: DataFrame) -> DataFrame:
+    """The pixels with hue and saturation; what no method reads is pruned."""
+    (hue, saturation, _), (full, _, _) = hsv(*map(_c, BGR)), hsv(*map(_c, BGR), full=True)
+    return px.withColumns({HUE: hue, HUE_FULL: full, SATURATION: saturation})
+
+
 def _hsvt() -> list[Column]:
-    h, s, v = hsv(*map(_c, BGR))
-    return list(from_hsv(h, s, ch_avg(v, _c("t"))))
+    return list(from_hsv(_c(HUE), _c(SATURATION), ch_avg(_v(), _c("t"))))
 
 
 def _vths(full: bool, mean: bool) -> list[Column]:
-    h, s, v = hsv(*map(_c, BGR), full=full)
-    return [v, _c("t"), ch_avg(h, s) if mean else _nibbles(h, s)]
+    h, s = _c(HUE_FULL if full else HUE), _c(SATURATION)
+    return [_v(), _c("t"), ch_avg(h, s) if mean else _nibbles(h, s)]
 
 
 def _v() -> Column:
@@ -118,14 +127,14 @@ def fuse(px: DataFrame, method: str) -> DataFrame:
     """image_id, y, x, c (array of channels) of one method."""
     if method in IMAGE_FUSIONS:
         return IMAGE_FUSIONS[method](px)
-    return px.select(*KEYS, F.array(*FUSIONS[method]()).alias("c"))
+    return with_hsv(px).select(*KEYS, F.array(*FUSIONS[method]()).alias("c"))
 
 
 def fuse_all(px: DataFrame, methods: list[str]) -> DataFrame:
     """All methods as (method, image_id, y, x, c). Arithmetic methods are one pass over the pixels, unknown ones give rows with an error."""
     names = [y for x in methods for y in META_FUSIONS.get(x, (x,))]
     simple = [x for x in dict.fromkeys(names) if x in FUSIONS]
-    out = [px.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(x).alias("method"), F.array(*FUSIONS[x]()).alias("c")) for x in simple])).alias("m")).select("m.method", *KEYS, "m.c", F.lit(None).cast("string").alias("_error"))] if simple else []
+    out = [with_hsv(px).select(*KEYS, F.explode(F.array(*[F.struct(F.lit(x).alias("method"), F.array(*FUSIONS[x]()).alias("c")) for x in simple])).alias("m")).select("m.method", *KEYS, "m.c", F.lit(None).cast("string").alias("_error"))] if simple else []
     out += [fuse(px, x).select(F.lit(x).alias("method"), *KEYS, "c", F.lit(None).cast("string").alias("_error")) for x in dict.fromkeys(names) if x in IMAGE_FUSIONS]
     unknown = [x for x in names if x not in FUSIONS and x not in IMAGE_FUSIONS]
     if unknown:

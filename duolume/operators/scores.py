@@ -333,8 +333,6 @@ def cap_weights(weights: Column, cap: float = MOST_WEIGHT, rounds: int = 6) -> C
         pair = F.transform(F.array(F.struct(excess.alias("e"), free.alias("f"), w.alias("w"))), lambda p: F.when((p["e"] <= 0) | (p["f"] <= 0), F.transform(p["w"], lambda x: F.least(x, F.lit(cap)))).otherwise(F.transform(p["w"], lambda x: F.when(x > cap, F.lit(cap)).otherwise(x + x / p["f"] * p["e"]))))
         return F.get(pair, 0)
 
-    out = F.get(F.transform(F.array(F.struct(add(weights).alias("s"), weights.alias("w"))), lambda p: F.transform(p["w"], lambda x: F.when(p["s"] > 0, x / p["s"]).otherwise(1 / F.size(p["w"])))), 0)
-    for _ in range(rounds):
-        # each round reads the one before through a lambda variable, so the expression grows by a step only
-        out = F.get(F.transform(F.array(out), spread), 0)
-    return F.get(F.transform(F.array(out), lambda w: F.transform(w, lambda x: x / add(w))), 0)
+    first = F.get(F.transform(F.array(F.struct(add(weights).alias("s"), weights.alias("w"))), lambda p: F.transform(p["w"], lambda x: F.when(p["s"] > 0, x / p["s"]).otherwise(1 / F.size(p["w"])))), 0)
+    # the rounds are one loop, so that the expression doesn't grow with them
+    return F.aggregate(F.array_repeat(F.lit(0), rounds), first, lambda w, _: spread(w), lambda w: F.transform(w, lambda x: x / add(w)))
