@@ -312,3 +312,101 @@ def test_bilinear_warp(spark, images):
                     want[y, x] = sum(w * v[a, b] for a, b, w in near)
         assert set(got.get(k, {})) == set(want)
         assert all(np.allclose(got[k][p], c, atol=1e-5) for p, c in want.items())
+
+
+# ---- components and factors of images, scores of rows, the whole evaluation
+
+
+def factors(rows, n=3, rounds=200):
+    """Posterior means of a factor analysis: expectation and maximisation over the rows themselves."""
+    x = rows - rows.mean(axis=0)
+    share = 1 / (len(x) - 1)
+    cov = x.T @ x * share
+    noise = np.maximum(np.diag(cov) / 2, 1e-6)
+    values, vectors = np.linalg.eigh(cov)
+    load = vectors[:, ::-1][:, :n] * np.sqrt(np.maximum(values[::-1][:n], 1e-9) / 2)
+    for _ in range(rounds):
+        scaled_load = load / noise[:, None]
+        spread = np.linalg.inv(np.eye(n) + load.T @ scaled_load)
+        z = x @ scaled_load @ spread
+        load = (x.T @ z * share) @ np.linalg.inv(spread + z.T @ z * share)
+        noise = np.maximum((x * (x - z @ load.T)).sum(axis=0) * share, 1e-6)
+    w = np.linalg.solve(load @ load.T + np.diag(noise + 1e-9), load).T
+    return x @ (w * np.sign(w[np.arange(n), np.abs(w).argmax(axis=1)])[:, None]).T
+
+
+def hsv_and_thermal(p):
+    """Hue, saturation and value by fractions, and the thermal channel."""
+    out = []
+    for b, g, r, t in p.reshape(-1, 4).astype(int).tolist():
+        v, d = max(b, g, r), max(b, g, r) - min(b, g, r)
+        turn = Fraction(0) if d == 0 else Fraction(g - b, d) % 6 if v == r else Fraction(b - r, d) + 2 if v == g else Fraction(r - g, d) + 4
+        out.append([int(turn * 30 + Fraction(1, 2)) % 180, int(Fraction(255 * d, v or 1) + Fraction(1, 2)), v, t])
+    return np.array(out, dtype=float)
+
+
+def standard_components(rows, n=3):
+    s = rows.std(axis=0, ddof=1)
+    return components((rows - rows.mean(axis=0)) / np.where(s > 0, s, 1), n)
+
+
+def fitted(images, method):
+    if method == "pca_full":
+        every = components(np.concatenate([images[i].reshape(64, 4) for i in sorted(images)]), 3)
+        return {i: every[64 * k : 64 * k + 64] for k, i in enumerate(sorted(images))}
+    if method == "hsvt_pca":
+        return {i: standard_components(hsv_and_thermal(p)) for i, p in images.items()}
+    return {i: factors(p.reshape(64, 4)) for i, p in images.items()}  # a patch is larger than these images
+
+
+@pytest.mark.parametrize("method", ["pca_full", "hsvt_pca", "fa", "fa_patches"])
+def test_fitted_fusions(spark, images, method):
+    got = PLANS[f"p_{method}"][0](spark, SF).toPandas().set_index("image_id")
+    assert set(got.index) == set(images)
+    place = np.arange(64)[:, None]
+    for i, rows in fitted(images, method).items():
+        c = norm255(rows)
+        assert got.loc[i, "n"] == 64
+        assert np.abs(got.loc[i, ["s0", "s1", "s2"]].to_numpy(float) - c.sum(axis=0)).max() <= 2, (i, got.loc[i], c.sum(axis=0))
+        assert np.abs(got.loc[i, ["w0", "w1", "w2"]].to_numpy(float) - (c * place).sum(axis=0)).max() <= 126
+
+
+def test_component_scores_of_rows(spark):
+    rows = pd.read_parquet(f"{SF}/lineitem.parquet")
+    x = rows[["l_quantity", "l_extendedprice", "l_discount", "l_tax"]].astype(float)
+    z = ((x - x.mean()) / x.std()).to_numpy()
+    _, _, vt = np.linalg.svd(z, full_matrices=False)
+    pc = z @ (vt[:3] * np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(axis=1)])[:, None]).T
+    want = pd.DataFrame(pc, columns=["PC1", "PC2", "PC3"]).groupby(rows["l_returnflag"]).agg(["mean", "std"])
+    got = PLANS["d15_pca_scores"][0](spark, SF).toPandas().set_index("l_returnflag")
+    assert set(got.index) == set(want.index)
+    for flag in want.index:
+        for c in ("PC1", "PC2", "PC3"):
+            for s in ("mean", "std"):
+                assert got.loc[flag, f"{c}_{s}"] == pytest.approx(want.loc[flag, (c, s)], abs=1e-5), (flag, c, s)
+
+
+def test_whole_evaluation(spark, scored, images):
+    """Means over the evaluation images of the scores as made above; shares at the ends of the calibration."""
+    from duolume.operators.sampling import split_calibration
+
+    ids = spark.createDataFrame([(i,) for i in images], "image_id long")
+    seen = [x["image_id"] for x in split_calibration(ids, "image_id", "q22", ratio=0.2).filter("part = 'evaluation'").collect()]
+    assert 0 < len(seen) < len(images)
+    got = PLANS["q22_evaluate"][0](spark, SF).toPandas().set_index("method")
+    assert set(got.index) == {"rgbt", "rgbt_v2", "visible", "lwir", "hsvt", "wavelet", "pca"} and (got["n"] == len(seen)).all()
+    for method in ("rgbt", "rgbt_v2", "visible", "lwir"):
+        of = {"grad": [], "freq": [], "mi": [], "ssim": []}
+        for i in seen:
+            v, t, f = scored[method, i]
+            of["grad"].append(score_grad(v, t, f))
+            of["freq"].append(score_freq(v, t, f))
+            turned = [f[..., list(p)] for _, p in kept_orders(v, f)]
+            of["mi"].append(np.mean([score_mi(v, t, x) for x in turned]))
+            of["ssim"].append(np.mean([score_ssim(v, t, x) for x in turned]))
+        for name, values in of.items():
+            assert got.loc[method, f"{name}_mean"] == pytest.approx(np.mean(values), abs=2e-3), (method, name)
+            assert got.loc[method, f"{name}_std"] == pytest.approx(np.std(values), abs=2e-3), (method, name)
+    assert got["latent_z_mean"].between(0, 1).all()
+    assert got["latent_z_mean"].idxmax() == "lwir" and got["latent_z_mean"].idxmin() == "visible"
+    assert (got["thermal_share_reg"] + got["reg_mean"] / 100 - 1).abs().max() < 1e-9
