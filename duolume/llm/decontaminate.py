@@ -11,9 +11,10 @@ neighbours finds all items within the radius. A candidate's similarity is then
 computed exactly: weighted Jaccard of the shingle multisets, where a shingle of
 the item weighs 1 / (number of items that have it), and any other one 1.
 
-A window without any shingle of an item has similarity 0 to it, so only windows around
-shared shingles are fingerprinted, and only for the items that have one of them (by lists of
-the items of each shingle); nothing is lost by that.
+A window that is similar enough has all but a share of 1 - SIMILARITY of the item's weight, so it
+has one of the item's seeds: its heaviest (rarest) shingles, as many as weigh more than that share. Only windows
+around seeds are fingerprinted, and only for the items whose seed they have (by lists of
+the items of each seed); nothing is lost by that, and a shingle of most items is hardly ever a seed.
 
 The benchmark is read in blocks, dealt by a hash of id and text until each has at most MOST_ITEMS items and
 MOST_BYTES of text (or is a single item); several blocks are broadcast together, up to MOST_BLOCKS a pass over the documents.
@@ -90,12 +91,13 @@ class Index:
         self.prints = np.array([packed(self.weighted_bits(x).sum(axis=0))[0] for x in self.shingles], dtype=np.uint64)
         self.lengths = sorted(set(self.words))
         self.words_of = np.array(self.words, dtype=np.int64)
-        # the items of each shingle, one list after the other
-        pairs = [np.unique(np.searchsorted(self.vocabulary, x)) for x in self.shingles]
-        at = np.concatenate([np.zeros(0, dtype=np.int64), *pairs]).astype(np.int64)
+        # the items of each seed, one list after the other
+        seeds = [self.seeds_of(x) for x in self.shingles]
+        at = np.concatenate([np.zeros(0, dtype=np.uint64), *seeds])
         order = np.argsort(at, kind="stable")
-        self.having = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])[order].astype(np.int32)
-        self.having_at = np.searchsorted(at[order], np.arange(len(self.vocabulary) + 1))
+        self.having = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])[order].astype(np.int32)
+        self.seeds, first = np.unique(at[order], return_index=True)
+        self.having_at = np.append(first, len(at))
         #: by length: its items, and for each block which of them lie next to each value of the block
         self.tables: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
         for n in self.lengths:
@@ -106,15 +108,25 @@ class Index:
                 near.append(np.bitwise_count(np.arange(1 << (high - low), dtype=np.uint64)[:, None] ^ values) <= RADIUS // BLOCKS)
             self.tables[n] = own, near
 
-    def known(self, values: np.ndarray) -> np.ndarray:
-        """Whether each value is a shingle of some item."""
+    def known(self, values: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Whether each value is a shingle of some item (or one of some sorted shingles of items)."""
+        among = self.vocabulary if among is None else among
         out = self.maybe[(values % np.uint64(_FILTER)).astype(np.int64)]
         at = np.flatnonzero(out)
         if len(at):
-            found = np.minimum(np.searchsorted(self.vocabulary, values[at]), len(self.vocabulary) - 1)
-            out[at] = self.vocabulary[found] == values[at]
+            found = np.minimum(np.searchsorted(among, values[at]), len(among) - 1)
+            out[at] = among[found] == values[at]
         return out
 
+    def seeds_of(self, item: np.ndarray) -> np.ndarray:
+        """The heaviest shingles of an item, of which together every window with SIMILARITY to it lacks some weight: it has one of them."""
+        own, n = np.unique(item, return_counts=True)
+        weights = self.weights[np.searchsorted(self.vocabulary, own)]
+        order = np.argsort(-weights, kind="stable")
+        total = np.cumsum((weights * n)[order])
+        # a little more than the share, so that rounding loses no shingle
+        return own[order[: np.searchsorted(total, (1 - SIMILARITY) * (1 + 1e-9) * total[-1], side="right") + 1]]
+
     def weighted_bits(self, values: np.ndarray) -> np.ndarray:
         """The bits of each value by the root of its weight: 1 / number of items that have it, or 1."""
         root = np.full(len(values), _UNIT, dtype=np.int64)
@@ -134,8 +146,8 @@ class Index:
         return float((np.minimum(a, b) * weight).sum() / (np.maximum(a, b) * weight).sum())
 
     def items_with(self, values: np.ndarray) -> np.ndarray:
-        """The items that have one of these known shingles."""
-        at = np.unique(np.searchsorted(self.vocabulary, values))
+        """The items that have one of these seeds."""
+        at = np.unique(np.searchsorted(self.seeds, values))
         if len(at) == 1:
             return self.having[self.having_at[at[0]] : self.having_at[at[0] + 1]]
         low = self.having_at[at]
@@ -197,7 +209,7 @@ def find_matches(texts: list[str | None], indexes: list[Index]) -> Iterator[tupl
         for index in indexes:
             if not len(index.vocabulary):
                 continue
-            hits = np.flatnonzero(index.known(values) & one_text)
+            hits = np.flatnonzero(index.known(values, index.seeds) & one_text)
             for i in np.unique(owner[hits]):
                 a, b = bounds[i], bounds[i + 1]
                 own = hits[slice(*np.searchsorted(hits, [a, b]))] - a

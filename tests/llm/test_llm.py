@@ -653,6 +653,39 @@ def test_blocks_find_all_fingerprints_within_the_radius():
     assert got == want
 
 
+def test_seeds_lose_no_match_and_are_rarely_common():
+    from duolume.llm import decontaminate as D
+
+    rng = random.Random(12)
+    template = prose(40, rng)
+    items = [(i, f"{template} {prose(25, rng)}" if i % 2 else prose(rng.randint(6, 60), rng)) for i in range(300)]
+    index, whole = D.Index(items), D.Index(items)
+    # the other one takes every shingle for a seed
+    whole.seeds_of = np.unique
+    lists = [np.unique(x) for x in whole.shingles]
+    at = np.concatenate(lists)
+    order = np.argsort(at, kind="stable")
+    whole.having = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order].astype(np.int32)
+    whole.seeds, first = np.unique(at[order], return_index=True)
+    whole.having_at = np.append(first, len(at))
+    texts = []
+    for i in range(600):
+        w = items[i % 300][1].split()
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = prose(1, rng)
+        texts.append(f"{prose(rng.randint(0, 20), rng)} {' '.join(w)} {template if i % 5 == 0 else prose(9, rng)}")
+    cells = {}
+    for name, x in (("seeds", index), ("whole", whole)):
+        own, counted = x.candidates, cells.setdefault(name, [])
+        x.candidates = lambda prints, n, some=None, own=own, counted=counted: counted.append(len(prints) * len(some)) or own(prints, n, some)
+    got = list(D.find_matches(texts, [index]))
+    assert got == list(D.find_matches(texts, [whole])) and len(got) > 200
+    # a shingle that half of the items have brings no item
+    common = index.vocabulary[index.weights < 0.01]
+    assert len(common) == 36 and not np.isin(common, index.seeds).any() and np.isin(common, whole.seeds).all()
+    assert sum(cells["seeds"]) < 0.05 * sum(cells["whole"])
+
+
 # 8 ---- fingerprints
 
 
