@@ -19,7 +19,8 @@ the second does. The sample changes costs, never results. Empty subsets agree
 everywhere, so they only get a key where the pigeonhole would fail without them.
 
 Keys are packed into arrays, dealt out by key, and sorted in numpy. Sets with
-the same tokens are one node. Nodes that share a key are joined to its smallest
+the same tokens are one node, known by a 64-bit digest. A further digest of each set is compared by node: where
+different sets share an id, nodes are made once more, with a second digest in place of that id. Nodes that share a key are joined to its smallest
 node, and components of these candidate links are found. No similar pair lies
 across two of them. A component of bounded size is joined exactly in one task by an
 inverted index, with all pairs tested that don't already hang together. In
@@ -71,6 +72,8 @@ MOST_TOKENS = 8_000_000
 BLOCKS = 4
 #: Nodes of a bucket in one row.
 CHUNK = 1_024
+#: Ids of nodes that different sets may share; that many are expected from some 10^12 sets on.
+MOST_SHARED = 100_000
 #: Nodes of a key in one task, beyond which only the smallest is sent on.
 MOST_LOCAL = 64
 #: Bytes of text for each destination of packs, and for each task that reads them.
@@ -177,26 +180,35 @@ def frequent_tokens(rows: DataFrame, n_words: int, n: int) -> np.ndarray:
     return np.sort(got.view(np.uint64))
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """An id of a set's content; 0 for the empty set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
+def digests_of(tokens: np.ndarray) -> tuple[int, ...]:
+    """Three 64-bit digests of a set's content."""
+    got = hashlib.blake2b(tokens.tobytes(), digest_size=24).digest()
+    return tuple(int.from_bytes(got[at : at + 8], "little", signed=True) for at in (0, 8, 16))
 
 
-_FOUND = "kind int, a long, b long, n long, key long, members array<long>"
+def node_of(tokens: np.ndarray, shared: frozenset[int] = frozenset(), digests=digests_of) -> tuple[int, int]:
+    """An id of a set's content, 0 for the empty set, and a digest to check it by. Ids that different sets were found to share aren't used."""
+    if not len(tokens):
+        return 0, 0
+    first, second, check = digests(tokens)
+    return (second if first in shared else first), check
 
 
-def _found(kind: int, a, b, n=None, key=None, members: list | None = None) -> pa.RecordBatch:
+_FOUND = "kind int, a long, b long, n long, key long, digest long, members array<long>"
+
+
+def _found(kind: int, a, b, n=None, key=None, digest=None, members: list | None = None) -> pa.RecordBatch:
     size = len(a)
     as_long = lambda x: x if isinstance(x, pa.Array) else pa.array(x if x is not None else [None] * size, type=pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(size, kind, dtype=np.int32)), *map(as_long, (a, b, n, key)), pa.array(members if members is not None else [None] * size, type=pa.list_(pa.int64()))], ["kind", "a", "b", "n", "key", "members"]
+        [pa.array(np.full(size, kind, dtype=np.int32)), *map(as_long, (a, b, n, key, digest)), pa.array(members if members is not None else [None] * size, type=pa.list_(pa.int64()))], ["kind", "a", "b", "n", "key", "digest", "members"]
     )
 
 
-def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None, size: int = 0) -> DataFrame:
-    """(doc_id, key, text) -> kinds 0: rows (doc_id, node, size, key); 1: (pivot, node) pairs; 2: buckets of three and more nodes, CHUNK of them in a row.
+def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None, size: int = 0, shared: frozenset[int] = frozenset()) -> DataFrame:
+    """(doc_id, key, text) -> kinds 0: rows (doc_id, node, size, key, digest of the set); 1: (pivot, node) pairs; 2: buckets of three and more nodes, CHUNK of them in a row.
 
-    `size`: bytes of all texts.
+    `size`: bytes of all texts. `shared`: ids of nodes that aren't used.
     """
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal, tasks = min(2**31 - 1, max(4 * least, size // DEAL_BYTES)), max(least, size // TASK_BYTES)
@@ -239,8 +251,8 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
             ids, own_keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))
             for a, b in text_batches(texts):
                 for i, tokens in enumerate(shingle_sets([x or "" for x in texts[a:b]], n_words), a):
-                    node = node_of(tokens)
-                    docs.append((ids[i] or 0, ids[i] is None, node, len(tokens), own_keys[i]))
+                    node, digest = node_of(tokens, shared, digests_of)
+                    docs.append((ids[i] or 0, ids[i] is None, node, len(tokens), own_keys[i], digest))
                     if len(tokens) and node not in seen:
                         seen.add(node)
                         keys.append(segment_keys(tokens, p, q, frequent.value if frequent else None))
@@ -253,7 +265,7 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         at = None
-        known: set[int] = set()
+        known: set[tuple[int, ...]] = set()
 
         def close() -> Iterator[pa.RecordBatch]:
             counts = [len(x) // 17 for x in held]
@@ -284,9 +296,9 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
             wanted = (counts > 2) | (many & more)
             for s, c, own in zip(starts[wanted], counts[wanted], more[wanted], strict=True):
                 got = v[s : s + c]
-                name = int(k[s].view(np.int64)) if own else node_of(got)
-                if name not in known:
-                    known.add(name)
+                name, *more_of = (int(k[s].view(np.int64)),) if own else digests_of(got)
+                if (name, *more_of) not in known:
+                    known.add((name, *more_of))
                     members.append(got)
                     names.append(name)
             # the bucket's name, pivot and size stand beside each chunk
@@ -297,8 +309,8 @@ def find_candidates(rows: DataFrame, n_words: int, p: int, q: int, frequent=None
         for batch in batches:
             for to, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("deal", "kind")), map(memoryview, (x.as_buffer() for x in batch.column("packed"))), strict=True):
                 if kind == 0:
-                    doc_id, no_id, node, n, key = np.frombuffer(packed, dtype=np.int64).reshape(5, -1)
-                    yield _found(0, pa.array(doc_id, mask=no_id > 0), node, n, key)
+                    doc_id, no_id, node, n, key, digest = np.frombuffer(packed, dtype=np.int64).reshape(6, -1)
+                    yield _found(0, pa.array(doc_id, mask=no_id > 0), node, n, key, digest)
                     continue
                 if kind == 2:
                     name, pivot, *_ = got = np.frombuffer(packed, dtype=np.int64)
@@ -432,6 +444,15 @@ def _texts_of(rows: DataFrame, need: DataFrame) -> DataFrame:
     return found.mapInArrow(once, found.schema) if repeated else found
 
 
+def shared_nodes(found: DataFrame) -> frozenset[int]:
+    """Ids of nodes that stand for different sets: chance only, so a handful."""
+    seen = found.filter("kind = 0").groupBy(F.col("b").alias("node")).agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
+    nodes = [r["node"] for r in seen.select("node").limit(MOST_SHARED + 1).collect()]
+    if len(nodes) > MOST_SHARED:
+        raise ValueError(f"over {MOST_SHARED} digests of 64 bits stand for different sets")
+    return frozenset(nodes)
+
+
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, text: equal ids and keys are equal rows."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -444,6 +465,11 @@ def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, n_words, n))
     found = find_candidates(rows, n_words, p, q, frequent, size)
+    if shared := shared_nodes(found):
+        # different sets with one id (expected from some 10^9 sets on): once more, with the second digest in their place
+        found = find_candidates(rows, n_words, p, q, frequent, size, shared)
+        if shared_nodes(found):
+            raise ValueError("different sets have equal digests of 128 bits")
     members = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "key", F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     comps = connected_components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     comps = comps.select(F.col("u").alias("node"), F.col("root").alias("comp"))

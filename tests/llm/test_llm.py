@@ -929,7 +929,7 @@ def test_links_of_buckets_headed_by_an_unlinked_node(spark, monkeypatch):
     for i in range(1000):
         other = [*(w for w in head if w != x[i % 100]), f"h{i}"] if x[i % 100] in head else head
         head = other if shared <= keys(other) else head
-    node = lambda own: J.node_of(words_of(own))
+    node = lambda own: J.node_of(words_of(own))[0]
     head = next(h for k in range(10_000) if node(h := [*head, f"k{k}"]) < min(node(x), node(y)) and shared <= keys(h))
     assert shared and 100 * len(set(head) & set(x)) < 80 * len(set(head) | set(x))
     rows = [(1, " ".join(x)), (2, " ".join(y)), (3, " ".join(head))]
@@ -991,6 +991,20 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert found == {(2, a + " x", False), (3, b + " x", False), (7, b, False), (None, c, False), (None, c + " y", False), (9, c, True)}
 
 
+def test_sets_with_equal_ids_are_told_apart(spark, monkeypatch):
+    from duolume.llm import jaccard_join as J
+
+    rows = near_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    digests, passes, find = J.digests_of, [], J.find_candidates
+    # first digests of four bits: nearly all sets share theirs
+    monkeypatch.setattr(J, "digests_of", lambda tokens: (digests(tokens)[0] % 16, *digests(tokens)[1:]))
+    monkeypatch.setattr(J, "find_candidates", lambda *args: passes.append(args[6:]) or find(*args))
+    got = J.jaccard_components(df, 4, 85, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 85, 100)
+    assert len(passes) == 2 and 1 < len(passes[1][0]) <= 16
+
+
 def test_jaccard_of_one_id(spark):
     from duolume.llm.jaccard_join import jaccard_components
 
