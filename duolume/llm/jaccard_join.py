@@ -469,7 +469,7 @@ def jaccard_roots(docs: DataFrame, n_words: int, p: int, q: int, id_col: str = "
         # different sets with one id (expected from some 10^9 sets on): once more, with the second digest in their place
         found = find_candidates(rows, n_words, p, q, frequent, size, shared)
         if shared_nodes(found):
-            raise ValueError("different sets have equal digests of 128 bits")
+            raise ValueError("ids of nodes still stand for different sets with their second digests")
     members = found.filter("kind = 0").select(F.col("a").alias("doc_id"), "key", F.col("b").alias("node"), F.col("n").alias("n_shingles"))
     comps = connected_components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     comps = comps.select(F.col("u").alias("node"), F.col("root").alias("comp"))
