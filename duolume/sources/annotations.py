@@ -105,27 +105,36 @@ def list_visible(files: DataFrame, dataset: str) -> DataFrame:
 
 
 def to_pixels(images: DataFrame, key: Column) -> DataFrame:
-    """Spark `image` rows -> image_id, y, x, and b, g, r (grey images have all three equal)."""
+    """Spark `image` rows -> image_id, y, x, and b, g, r (grey images have all three equal). Values that `gaps`, if there is such a column, marks are null."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, h, w, n, data in zip(batch["image_id"], batch["height"], batch["width"], batch["nChannels"], batch["data"], strict=True):
+            for name, h, w, n, data, gaps in zip(batch["image_id"], batch["height"], batch["width"], batch["nChannels"], batch["data"], batch["gaps"], strict=True):
                 a = np.frombuffer(data, dtype=np.uint8).reshape(h, w, n).astype(float)
+                if gaps is not None:
+                    a[np.frombuffer(gaps, dtype=bool).reshape(h, w, n)] = np.nan
                 y, x = np.divmod(np.arange(h * w), w)
                 c = [a[:, :, min(i, n - 1)].ravel() for i in range(3)]
                 yield pd.DataFrame({"image_id": name, "y": y, "x": x, "b": c[0], "g": c[1], "r": c[2]})
 
-    rows = images.select(key.alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data")
+    gaps = F.col("gaps") if "gaps" in images.columns else F.lit(None).cast("binary").alias("gaps")
+    rows = images.select(key.alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data", gaps)
     return rows.mapInPandas(unpack, "image_id string, y long, x long, b double, g double, r double")
 
 
 def pack_images(px: DataFrame, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
-    """image_id, image: pixels (whole numbers 0..255) as rows of Spark's image source, the opposite of `to_pixels`. A task needs room for one image."""
-    at = lambda c: F.lpad(F.hex(F.col(c).cast("int")), 2, "0")
-    rows = px.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", F.concat(*map(at, channels)).alias("v")))).alias("p"), (F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
+    """image_id, image, gaps: pixels (whole numbers 0..255) as rows of Spark's image source, the opposite of `to_pixels`. A task needs room for one image.
+
+    An image has no mark for a missing value: it is 0 there, and `gaps` has a byte of 1 for it (null: nothing is missing).
+    """
+    at = lambda c: F.lpad(F.hex(F.coalesce(F.col(c).cast("int"), F.lit(0))), 2, "0")
+    hole = lambda c: F.when(F.col(c).isNull(), F.lit("01")).otherwise("00")
+    none = F.bool_and(F.concat(*channels).isNotNull())
+    rows = px.groupBy("image_id").agg(none.alias("whole"), F.array_sort(F.collect_list(F.struct("y", "x", F.concat(*map(at, channels)).alias("v"), F.concat(*map(hole, channels)).alias("g")))).alias("p"), (F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
     data = F.unhex(F.array_join(F.transform("p", lambda p: p["v"]), ""))
+    gaps = F.when(~F.col("whole"), F.unhex(F.array_join(F.transform("p", lambda p: p["g"]), "")))
     n = len(channels)
-    return rows.select("image_id", F.struct(F.col("image_id").cast("string").alias("origin"), "height", "width", F.lit(n).alias("nChannels"), F.lit(16 if n == 3 else 0).alias("mode"), data.alias("data")).alias("image"))
+    return rows.select("image_id", F.struct(F.col("image_id").cast("string").alias("origin"), "height", "width", F.lit(n).alias("nChannels"), F.lit(16 if n == 3 else 0).alias("mode"), data.alias("data")).alias("image"), gaps.alias("gaps"))
 
 
 def pair_images(visible: DataFrame, thermal: DataFrame) -> DataFrame:
