@@ -84,10 +84,17 @@ def duplicate_files(files: DataFrame, path: str, content: str) -> DataFrame:
 
 
 def equivalent_option(options: DataFrame, done: DataFrame) -> DataFrame:
-    """For each option, the first other one in registry order of equal version and extension that is done."""
-    other = options.join(done, "option", "left_semi").select(F.col("option").alias("other"), F.col("place").alias("other_place"), "version", "extension")
-    best = options.join(other, ["version", "extension"]).filter(F.col("option") != F.col("other"))
-    return best.groupBy("option").agg(F.min(F.struct("other_place", "other")).alias("m")).select("option", F.col("m.other").alias("equivalent"))
+    """For each option, the first other one in registry order of equal version and extension that is done.
+
+    That is its group's first done option, or the second where it is the first itself: options meet two of a group, not all.
+    """
+    group = ["version", "extension"]
+    other = options.join(done, "option", "left_semi").select(*group, F.struct("place", "option").alias("m"))
+    first = other.groupBy(*group).agg(F.min("m").alias("first"))
+    second = other.join(first, group).filter(F.col("m.option") != F.col("first.option")).groupBy(*group).agg(F.min("m").alias("second"))
+    pairs = options.join(first.join(second, group, "left"), group)
+    best = pairs.select("option", F.when(F.col("first.option") != F.col("option"), F.col("first")).otherwise(F.col("second")).alias("m"))
+    return best.groupBy("option").agg(F.min("m").alias("m")).filter("m is not null").select("option", F.col("m.option").alias("equivalent"))
 
 
 def expand_options(options: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from duolume.operators import ranks
+from duolume.operators import boxes, ranks
 from duolume.operators.quantiles import aggregate_with_medians
 from duolume.sources.annotations import place_files
 
@@ -85,3 +86,15 @@ def test_medians_of_odd_values(spark):
     want = {x["g"]: x["m"] for x in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
     assert got == want
     assert aggregate_with_medians(df.limit(0), ["g"], ["v"], [F.count("*").alias("n")], 20).collect() == []
+
+
+def test_equivalent_options_of_one_large_group(spark):
+    """Each option meets two of its group, not all: 40,000 options of one group are 1.6 billion pairs."""
+    small = [(k, 9 - k % 10, k % 2, k % 3) for k in range(10)]
+    options = spark.createDataFrame(small + [(k, k, 7, 7) for k in range(10, 40_010)], "option long, place long, version int, extension int")
+    start = time.monotonic()
+    got = {x["option"]: x["equivalent"] for x in boxes.equivalent_option(options, options.filter("option <> 3").select("option")).collect()}
+    assert time.monotonic() - start < 40
+    assert {k: v for k, v in got.items() if k >= 10} == {k: 11 if k == 10 else 10 for k in range(10, 40_010)}
+    want = {a: min(((p, b) for b, p, v, e in small if b not in (a, 3) and (v, e) == (va, ea)), default=None) for a, _, va, ea in small}
+    assert {k: v for k, v in got.items() if k < 10} == {k: x[1] for k, x in want.items() if x}
