@@ -87,12 +87,12 @@ A11 = "SELECT 'day' || l_linenumber AS list, 'set' || (l_suppkey % 12) || '/V' |
 
 
 def _annotations(spark, d, box):
-    """Boxes as XML annotations of their images."""
+    """Boxes as XML annotations of their images; a folder's images are written where they were grouped, so no task has a whole folder."""
     path = new_folder(spark, "xml")
     name = F.when(F.col("obj_id") == 2, F.lit("person?")).otherwise(F.col("name"))
     one = F.struct(name.alias("name"), F.struct(*box).alias("bndbox"), F.when(F.col("obj_id") == 3, F.lit("relabelled")).alias("label"))
     images = boxes(spark, d).groupBy("image_id").agg(F.collect_list(one).alias("object"))
-    images.select((F.col("image_id") % 16).alias("folder"), F.struct(F.lit(640).alias("width"), F.lit(512).alias("height")).alias("size"), "object").repartition("folder").write.partitionBy("folder").format("xml").option("rowTag", "annotation").save(path)
+    images.select((F.col("image_id") % 16).alias("folder"), F.struct(F.lit(640).alias("width"), F.lit(512).alias("height")).alias("size"), "object").write.partitionBy("folder").format("xml").option("rowTag", "annotation").save(path)
     return path
 
 

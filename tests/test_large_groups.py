@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from duolume.operators import boxes, ranks
 from duolume.operators.quantiles import aggregate_with_medians
+from duolume.plans import store_queries
 from duolume.sources.annotations import place_files
 
 
@@ -98,3 +99,9 @@ def test_equivalent_options_of_one_large_group(spark):
     assert {k: v for k, v in got.items() if k >= 10} == {k: 11 if k == 10 else 10 for k in range(10, 40_010)}
     want = {a: min(((p, b) for b, p, v, e in small if b not in (a, 3) and (v, e) == (va, ea)), default=None) for a, _, va, ea in small}
     assert {k: v for k, v in got.items() if k < 10} == {k: x[1] for k, x in want.items() if x}
+
+
+def test_no_task_writes_a_whole_folder_of_annotations(spark):
+    path = store_queries._annotations(spark, "/root/testdata/sf0.001", [F.col(c) for c in "xywh"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "/folder=([^/]+)/", 1).alias("folder"))
+    assert all(x["count"] > 1 for x in files.groupBy("folder").count().collect())
