@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolume.functions.names import eq_from_text, eq_regime, method_rank
 
+from .neighbours import blockwise
 from .quantiles import aggregate_with_medians
 from .ranks import global_rank
 
@@ -41,8 +44,41 @@ def trials_of(groups: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.withColumn("group_key", F.regexp_replace("run_key", "/[^/]*$", "")).join(groups, "group_key")
 
 
+#: Rows of which an anchor's distances are ranked in one task.
+MOST_RANKED = 4_000_000
+
+
 def distance_preservation(vectors: DataFrame, id_col: str, full: str, part: str, anchors: Column) -> DataFrame:
-    """Rank correlation of distances to stated anchors in two representations; ordinal ranks, over all rows and each anchor."""
+    """Rank correlation of distances to stated anchors in two representations; ordinal ranks, over all rows and each anchor.
+
+    Distances come from pairs of blocks, and each anchor's (16 bytes a row) are ranked in one task; beyond MOST_RANKED rows
+    all pairs are ranked over ranges.
+    """
+    if vectors.count() > MOST_RANKED:
+        return _preservation_over_ranges(vectors, id_col, full, part, anchors)
+
+    def lists(anchor, ids, df, dp):
+        other = ids != anchor
+        one = lambda x: pa.array([x[other]], pa.list_(pa.float64()))
+        return pa.array([anchor], pa.int64()), pa.array([int(ids[0])], pa.int64()), one(df), one(dp)
+
+    def correlate(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("first")  # blocks, and rows in them, are in the order of ids
+        ranks = []
+        for c in ("df", "dp"):
+            d = np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in rows[c]])
+            r = np.empty(len(d))
+            r[np.argsort(d, kind="stable")] = np.arange(len(d)) - (len(d) - 1) / 2
+            ranks.append(r)
+        a, b = ranks
+        found = [float((a * b).sum() / (a * a).sum())] if len(a) > 1 else [None][: len(a)]
+        return pa.table({"anchor": pa.array([rows["anchor"][0].as_py()] * len(found), pa.int64()), "spearman": pa.array(found, pa.float64())})
+
+    found = blockwise(vectors, anchors, id_col, [full, part], 8_192, 256, lists, "anchor long, first long, df array<double>, dp array<double>")
+    return found.groupBy("anchor").applyInArrow(correlate, "anchor long, spearman double")
+
+
+def _preservation_over_ranges(vectors: DataFrame, id_col: str, full: str, part: str, anchors: Column) -> DataFrame:
     a = vectors.filter(anchors).select(F.col(id_col).alias("anchor"), F.col(full).alias("af"), F.col(part).alias("ap"))
     square = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     pairs = vectors.crossJoin(a).filter(F.col(id_col) != F.col("anchor")).select("anchor", F.col(id_col).alias("id"), square(F.col(full), F.col("af")).alias("df"), square(F.col(part), F.col("ap")).alias("dp"))
