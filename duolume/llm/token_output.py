@@ -13,12 +13,15 @@ tables give an empty file set. Further input columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +44,14 @@ _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 _SPACE_NAME = chr(_BYTE_NAMES[32])
+_NAMES_OF_BYTES = "".join(chr(_BYTE_NAMES[b]) for b in range(256))
+#: A word of Latin letters; between it and ASCII signs the byte-level pattern cuts, and nowhere else in the two.
+_LATIN = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
 _STOPS = frozenset(".,;:!?")
 #: All but tabs, line ends and the scripts of which no version of Unicode moves letters or white space.
 _UNUSUAL = re.compile(r"[^\t\n\x20-\x7e\xa1-\u052f]")
 #: Pieces and ids that a worker knows at most, besides those of the texts at hand.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 600_000
 KNOWN_IDS = 4_000_000
 #: Words within pieces that a worker keeps; emptied when full.
 KNOWN_WORDS = 20_000
@@ -62,13 +68,18 @@ def _is_byte_level(spec: dict) -> bool:
     return bool(model.get("type") == "BPE" and plain and cuts and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding"))
 
 
+def _strings(strings: pa.Array) -> list[str]:
+    """As `to_pylist`, which makes a scalar of each and takes many times as long."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit integers, by one tokenizer file.
 
     Byte-level BPE encodes a word wherever it stands alike, so a text is cut before its
     spaces and line ends and each piece goes to the tokenizer once. A piece that isn't letters alone is cut
     by the byte-level pattern into words and signs, which go to the tokenizer's own
-    BPE model. What the pattern might treat differently here (rare white space,
+    BPE model; a word before signs is looked up as the piece that it is without them. What the pattern might treat differently here (rare white space,
     control characters, scripts that Unicode still adds to) is encoded by the tokenizer as a whole,
     as are texts with one of its added tokens, and all texts of tokenizers of any other kind.
     """
@@ -83,8 +94,9 @@ class Encoder:
             spec = json.load(f)
         self.byte_level = _is_byte_level(spec)
         self.added = sorted({x["content"] for x in spec.get("added_tokens") or [] if x.get("content")})
-        #: known pieces, with where their ids lie
-        self.pieces, self.starts, self.sizes = pa.array([], type=pa.string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        #: known pieces, and where their ids lie
+        self.pieces: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype="<i4")
         self.words: dict[str, bytes] = {}
 
@@ -123,20 +135,53 @@ class Encoder:
         first, *rest = _BORDER.split(text)
         return self.piece(first) + b"".join([self.piece(" " + x) for x in rest])
 
+    def after_space(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words of letters, each with a space before it."""
+        names = codecs.charmap_decode(" \n ".join(["", *words]).encode(), "strict", _NAMES_OF_BYTES)[0].split(_SPACE_NAME + _NAMES_OF_BYTES[10])[1:]
+        got = [[x.id for x in self.model.tokenize(name)] for name in names]
+        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        return sizes, np.fromiter(chain.from_iterable(got), dtype="<i4", count=int(sizes.sum()))
+
+    def add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.pieces.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+    def place(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces in the table of known ones; -1 for others."""
+        return np.fromiter(map(self.pieces.get, _strings(pieces), repeat(-1)), dtype=np.int64, count=len(pieces))
+
+    def learn(self, new: pa.Array) -> None:
+        """Adds pieces to the table of known ones."""
+        word = pc.ascii_rtrim(new, characters=punctuation)
+        latin = pc.match_substring_regex(word, _LATIN)
+        words = [x for x in _strings(word.filter(latin).unique()) if x not in self.pieces]
+        self.add(words, *self.after_space(words))
+        # words with signs after them
+        beyond = pc.subtract(pc.binary_length(new), pc.binary_length(word))
+        signed = pc.and_(latin, pc.greater(beyond, 0))
+        pieces, at = _strings(new.filter(signed)), self.place(word.filter(signed))
+        tails = pa.array([x[-k:] for x, k in zip(pieces, beyond.filter(signed).to_numpy().tolist(), strict=True)], type=pa.string()).dictionary_encode()
+        got = [self.word(x) for x in _strings(tails.dictionary)]
+        lengths, tail = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4, tails.indices.to_numpy(zero_copy_only=False)
+        starts = np.column_stack([self.starts[at], (len(self.ids) + np.cumsum(lengths) - lengths)[tail]]).ravel()
+        sizes = np.column_stack([self.sizes[at], lengths[tail]])
+        self.add(pieces, sizes.sum(axis=1), np.concatenate([self.ids, np.frombuffer(b"".join(got), dtype="<i4")])[ranges(starts, sizes.ravel())])
+        # all others
+        pieces = _strings(new.filter(pc.invert(latin)))
+        got = [self.after_border(x) for x in pieces]
+        self.add(pieces, np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4, np.frombuffer(b"".join(got), dtype="<i4"))
+
     def known(self, pieces: pa.Array) -> np.ndarray:
         """Places in the table of known pieces, to which new ones come."""
         if len(self.pieces) > KNOWN_PIECES or len(self.ids) > KNOWN_IDS:
             # the common ones are back with the next texts
-            self.pieces, self.starts, self.sizes, self.ids = self.pieces[:0], self.starts[:0], self.sizes[:0], self.ids[:0]
-        at = pc.index_in(pieces, value_set=self.pieces)
-        new = pieces.filter(at.is_null())
-        got = [self.after_border(x) for x in new.to_pylist()]
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, np.frombuffer(b"".join(got), dtype="<i4")])
-        out = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        out[out < 0] = len(self.pieces) + np.arange(len(got))
-        self.pieces = pa.concat_arrays([self.pieces, new])
+            self.pieces, self.starts, self.sizes, self.ids = {}, self.starts[:0], self.sizes[:0], self.ids[:0]
+        out = self.place(pieces)
+        new = out < 0
+        missing = pieces.filter(pa.array(new))
+        self.learn(missing)
+        out[new] = self.place(missing)
         return out
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +195,9 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~alone)), "\n", " \n"), " ")
         at, pieces = np.asarray(cut.offsets, dtype=np.int64), cut.values.dictionary_encode()
         places = self.known(pieces.dictionary)
-        parts = [self.piece(x) for x in cut.values.take(pa.array(at[:-1])).to_pylist()]
+        parts = [self.piece(x) for x in _strings(cut.values.take(pa.array(at[:-1])))]
         n_first = len(parts)
-        parts += [(self.whole if o else self.spaced)(x) for x, o in zip(texts.filter(pa.array(alone)).to_pylist(), other[alone].tolist(), strict=True)]
+        parts += [(self.whole if o else self.spaced)(x) for x, o in zip(_strings(texts.filter(pa.array(alone))), other[alone].tolist(), strict=True)]
         parts.append(b"" if end_id is None else array("I", [end_id]).tobytes())
         lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         n_known = len(self.starts)
