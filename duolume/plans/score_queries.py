@@ -11,13 +11,13 @@ from duolume.operators.sampling import split_calibration
 from duolume.operators.stored import stored
 
 from .run_queries import rounded
-from .views import PIXELS, pixels, table
+from .views import PIXELS, pixels, placed, table
 
 METHODS = ["rgbt", "rgbt_v2", "visible", "lwir"]
 
 
 def scored(spark, d, methods=METHODS):
-    px = pixels(spark, d)
+    px = placed(pixels(spark, d))
     return S.score_table(px, P.fuse_all(px, methods))
 
 
@@ -296,7 +296,7 @@ def d40_latent(spark, d):
 
 def q22(spark, d):
     """Calibrates on a fifth of the images (by a seeded split), then evaluates fusion methods on the others, with all proxies."""
-    px = pixels(spark, d)
+    px = placed(pixels(spark, d))
     parts = stored(split_calibration(px.select("image_id").distinct(), "image_id", "q22", ratio=0.2), "parts")
     of = lambda part: px.join(parts.filter(F.col("part") == part).select("image_id"), "image_id")
     knots, weights = C.calibrate(of("calibration"), [0.0, 0.25, 0.5, 0.75, 1.0])
@@ -310,7 +310,7 @@ VARIANTS = {"plain": ("none", "none", lambda px: px), "expanded": ("none", "expa
 
 def q22_variants(spark, d):
     """Three methods by two proxies, as they are and with the thermal channel equalised; both calibrated by themselves."""
-    px = pixels(spark, d)
+    px = placed(pixels(spark, d))
     parts = stored(split_calibration(px.select("image_id").distinct(), "image_id", "q22", ratio=0.2), "parts")
     out = C.evaluate_variants(px, parts, ["rgbt", "visible", "lwir"], VARIANTS, [0.0, 0.5, 1.0], ["reg", "spectral"])
     return rounded(out.select("variant", "eq_vis", "eq_th", "method", "n", "reg_mean", "spectral_mean", "robust_mean", "latent_z_mean", "latent_z_of_mean", "cont_vis_calibrated"), "reg_mean", "spectral_mean", "robust_mean", "latent_z_mean", "latent_z_of_mean", "cont_vis_calibrated")

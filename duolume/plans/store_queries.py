@@ -13,7 +13,7 @@ from duolume.sources import archives as R
 
 from .run_queries import rounded
 from .score_queries import REG
-from .views import BOXES, PIXELS, boxes, pixels, table
+from .views import BOXES, PIXELS, boxes, pixels, placed, table
 
 STORED_METHODS = ("rgbt", "rgbt_v2", "visible")
 
@@ -23,7 +23,7 @@ def a18(spark, d):
 
     `batch` is the run that computed a row.
     """
-    px = pixels(spark, d)
+    px = placed(pixels(spark, d))
     store = C.score_store(spark, new_folder(spark, "score-store"))
     images = px.select("image_id", F.lit(1.0).alias("visible_time"), F.lit(2.0).alias("thermal_time")).distinct()
     marks = {m: fingerprint(P.FUSIONS[m]) for m in STORED_METHODS}
@@ -53,9 +53,9 @@ A4 = "SELECT user_id % 20 AS run, event_id::INT AS epoch, round(value, 6) AS box
 
 
 def a10(spark, d):
-    """Pixels as stored images of three channels, read back as pixels."""
+    """Pixels as stored images of three channels, read back as pixels. An image has no pixel without a place."""
     path = new_folder(spark, "images")
-    A.pack_images(pixels(spark, d)).write.parquet(path)
+    A.pack_images(pixels(spark, d).dropna(subset=["y", "x"])).write.parquet(path)
     back = A.to_pixels(spark.read.parquet(path), F.col("image.origin"))
     return back.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", "b", "g", "r")
 
@@ -65,7 +65,7 @@ A10 = f"WITH {PIXELS} SELECT image_id, y, x, b, g, r FROM px"
 
 def c6(spark, d):
     """Visible images and thermal ones that lack a row and two columns, both stored; their common pixels."""
-    path, px = new_folder(spark, "pairs"), pixels(spark, d)
+    path, px = new_folder(spark, "pairs"), pixels(spark, d).dropna(subset=["y", "x"])
     A.pack_images(px).write.parquet(f"{path}/visible")
     A.pack_images(px.filter("y < 7 and x < 6"), ("t",)).write.parquet(f"{path}/lwir")
     visible, thermal = (A.to_pixels(spark.read.parquet(f"{path}/{x}"), F.col("image.origin")) for x in ("visible", "lwir"))
