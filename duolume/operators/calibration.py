@@ -55,6 +55,10 @@ def synth_mixtures(px: DataFrame, alphas: list[float]) -> DataFrame:
     return out.unionByName(swapped.select(out.columns))
 
 
+def has_value(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
 def isotonic_knots(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Non-decreasing knots of the visible share 1 - alpha over the median raw score of each alpha.
 
@@ -142,7 +146,7 @@ def latent_share(values: DataFrame, raw: DataFrame, knots: DataFrame, weights: D
     The aggregate curve is that of the first kind of samples by preference; a finite raw score is all it needs.
     """
     own = knots.filter(F.col("proxy") != AGGREGATE)
-    cal = calibrated(values.filter(F.col("value").isNotNull() & ~F.isnan("value")), own)
+    cal = calibrated(values.filter(has_value("value")), own)
     chosen = select_calibration(cal, weights, keys)
     by_proxies = apply_calibration(cal, chosen, average_weights(weights), keys).select(*keys, "stype", "latent_z")
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("stype")), F.lit(0)), F.lit(len(KINDS) + 1))
@@ -202,14 +206,17 @@ def methods_overview(scored: DataFrame, method: str, columns: list[str]) -> Data
 
 
 def calibrate(px: DataFrame, alphas: list[float], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Knots and weights from the mixtures of a set of images. Both are stored (one row for each kind of mixture and proxy), and so are the mixtures' scores, once for all proxies."""
+    """Knots and weights from the mixtures of a set of images. Both are stored (one row for each kind of mixture and proxy), and so are the mixtures' scores, once for all proxies.
+
+    A proxy without a value (of an image that lacks a channel) is no sample.
+    """
     # several substitutions share an alpha, so the pattern belongs to a mixture's name
     label = F.concat_ws("|", "stype", F.col("alpha").cast("string"), "pattern")
     fused = synth_mixtures(px, alphas).select(label.alias("method"), "image_id", "y", "x", F.array("f0", "f1", "f2").alias("c"))
     raw = proxies(stored(score_table(px, fused), "mixtures"), names, average_orders=True)
     field = lambda i: F.split_part("method", F.lit("|"), F.lit(i))
     rows = raw.select(field(1).alias("stype"), "proxy", field(2).cast("double").alias("alpha"), F.col("value").alias("raw"), "method", "image_id")
-    samples = stored(with_aggregate(rows, ["stype", "alpha", "method", "image_id"]), "samples")
+    samples = stored(with_aggregate(rows, ["stype", "alpha", "method", "image_id"]).filter(has_value("raw")), "samples")
     knots, weights = fit_calibration(samples)
     return stored(knots, "knots"), stored(weights, "weights")
 
@@ -218,19 +225,20 @@ def evaluate(px: DataFrame, fused: DataFrame, knots: DataFrame, weights: DataFra
     """End to end: every method and image with its proxies, their robust mean, redundancy of channels, and latent shares.
 
     The score table is stored, so that fusions run once and not once for each proxy; so are the
-    proxies (one row for each method, image and proxy), which several joins read.
+    proxies (one row for each method, image and proxy), which several joins read. A proxy without
+    a value (of an image that lacks a channel) has no part in the shares; without any, they are null.
     """
     names = names or list(PROXIES)
     s = stored(score_table(px, fused), "scores")
     values = stored(proxies(s, names, average_orders=True), "proxies")
-    cal = calibrated(values, knots)
+    cal = calibrated(values.filter(has_value("value")), knots)
     chosen = select_calibration(cal, weights, GROUP)
     latent = apply_calibration(cal, chosen, average_weights(weights), GROUP)
     dep = apply_alpha_dep(cal, chosen, weights, GROUP)
     wide = values.groupBy(*GROUP).pivot("proxy", names).agg(F.first("value"))
     robust = aggregate_proxies(values, GROUP).drop("mean", "std")
     parts = [wide, robust, channel_redundancy(s).select(*GROUP, "redundancy"), latent.drop("cw"), dep.drop("trace")]
-    return reduce(lambda a, b: a.join(b, GROUP), parts)
+    return reduce(lambda a, b: a.join(b, GROUP, "left"), parts)
 
 
 def mean_overview(scored: DataFrame, knots: DataFrame, columns: list[str]) -> DataFrame:
