@@ -52,7 +52,7 @@ def vectors():
     return [*rows, (80, None), (81, one(60)), (82, [None, float("nan"), *one(62)]), (83, one(70)), (None, one()), (-5, one()), (3, one())]
 
 
-@pytest.mark.parametrize("name", ["q22_evaluate"])
+@pytest.mark.parametrize("name", ["q22_evaluate", "q22_variants"])
 def test_images_that_lack_channels(spark, tmp_path, name):
     spark.createDataFrame([(k, v, 0) for k, v in vectors()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     ids = spark.createDataFrame([(i,) for i in range(-1, 21)], "image_id long")
