@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duolume.functions.names import eq_from_text, eq_regime, method_rank
 
-from .neighbours import blockwise
+from .neighbours import against_all
 from .quantiles import aggregate_with_medians
 from .ranks import global_rank
 
@@ -51,31 +51,24 @@ MOST_RANKED = 4_000_000
 def distance_preservation(vectors: DataFrame, id_col: str, full: str, part: str, anchors: Column) -> DataFrame:
     """Rank correlation of distances to stated anchors in two representations; ordinal ranks, over all rows and each anchor.
 
-    Distances come from pairs of blocks, and each anchor's (16 bytes a row) are ranked in one task; beyond MOST_RANKED rows
-    all pairs are ranked over ranges.
+    An anchor's distances (16 bytes a row) are made and ranked in one task, which reads the rows as a stream; beyond
+    MOST_RANKED of them all pairs are ranked over ranges.
     """
-    if vectors.count() > MOST_RANKED:
+    copies = vectors.filter(anchors).groupBy(id_col).count().agg(F.max("count")).first()[0] or 0
+    if vectors.count() * copies > MOST_RANKED:
         return _preservation_over_ranges(vectors, id_col, full, part, anchors)
 
-    def lists(anchor, ids, df, dp):
-        other = ids != anchor
-        one = lambda x: pa.array([x[other]], pa.list_(pa.float64()))
-        return pa.array([anchor], pa.int64()), pa.array([int(ids[0])], pa.int64()), one(df), one(dp)
-
-    def correlate(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("first")  # blocks, and rows in them, are in the order of ids
-        ranks = []
-        for c in ("df", "dp"):
-            d = np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in rows[c]])
+    def correlate(anchor, ids, df, dp):
+        other, ranks = ids != anchor, []
+        for d in (df[other], dp[other]):
             r = np.empty(len(d))
-            r[np.argsort(d, kind="stable")] = np.arange(len(d)) - (len(d) - 1) / 2
+            r[np.argsort(d, kind="stable")] = np.arange(len(d)) - (len(d) - 1) / 2  # rows are in the order of ids
             ranks.append(r)
         a, b = ranks
         found = [float((a * b).sum() / (a * a).sum())] if len(a) > 1 else [None][: len(a)]
-        return pa.table({"anchor": pa.array([rows["anchor"][0].as_py()] * len(found), pa.int64()), "spearman": pa.array(found, pa.float64())})
+        return pa.array([anchor] * len(found), pa.int64()), pa.array(found, pa.float64())
 
-    found = blockwise(vectors, anchors, id_col, [full, part], 8_192, 256, lists, "anchor long, first long, df array<double>, dp array<double>")
-    return found.groupBy("anchor").applyInArrow(correlate, "anchor long, spearman double")
+    return against_all(vectors, anchors, id_col, [full, part], correlate, "anchor long, spearman double")
 
 
 def _preservation_over_ranges(vectors: DataFrame, id_col: str, full: str, part: str, anchors: Column) -> DataFrame:
